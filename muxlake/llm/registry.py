@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from muxlake.llm import (
     op3_token_files,
+    op6_secret_scan,
+    op10_quality_rules,
     op4_token_counts,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files.query,
     "op4_token_counts": op4_token_counts.query,
+    "op6_secret_scan": op6_secret_scan.query,
+    "op10_quality_rules": op10_quality_rules.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
