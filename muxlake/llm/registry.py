@@ -10,6 +10,7 @@ import corpus_pipeline
 from muxlake.llm import (
     op3_token_files,
     op6_secret_scan,
+    op9_language_id,
     op10_quality_rules,
     op4_token_counts,
 )
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files.query,
     "op4_token_counts": op4_token_counts.query,
     "op6_secret_scan": op6_secret_scan.query,
+    "op9_language_id": op9_language_id.query,
     "op10_quality_rules": op10_quality_rules.query,
 }
 
