@@ -2,7 +2,8 @@
 
 The word-level tokenizers split at white space before any merge, and neither their normaliser nor their
 special strings reach over white space, so a text's ids are its chunks' ids in order. Chunks recur, so a
-worker keeps the ids of those it has met; the store is emptied when it reaches CACHE_ENTRIES.
+worker keeps the ids of those it has met: in a young store, which takes the place of an old one when it is half of
+CACHE_ENTRIES large, and what is met again in the old one moves to the young.
 """
 
 from __future__ import annotations
@@ -14,8 +15,9 @@ from array import array
 CACHE_ENTRIES = 800_000
 #: Longer chunks are encoded each time and never stored.
 CACHE_CHUNK_BYTES = 48
-#: Chunks that go to the library in one call.
-LIBRARY_BATCH = 20_000
+#: Chunks that go to the library as one text, and the mark between them.
+CHUNKS_IN_A_TEXT = 500
+MARK = "\u00b6"
 
 _loaded: dict[str, "ChunkEncoder"] = {}
 
@@ -46,15 +48,19 @@ class ChunkEncoder:
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
+            self.n_ids = model.get_piece_size()
             self._library = lambda texts: model.encode(texts, num_threads=1)
         else:
             from tokenizers import Tokenizer
 
             tokenizer = Tokenizer.from_file(path)
+            self.n_ids = tokenizer.get_vocab_size()
             self._library = lambda texts: [
                 e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)
             ]
-        self.cache: dict[bytes, bytes] = {}
+        self.mark = array("I", self._library([MARK])[0]).tobytes()
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> "ChunkEncoder":
@@ -64,10 +70,17 @@ class ChunkEncoder:
         return _loaded[path]
 
     def _encode(self, chunks: list[bytes]) -> list[bytes]:
+        """ids of chunks, many to a library call with a mark between them that no chunk holds."""
         out = []
-        for k in range(0, len(chunks), LIBRARY_BATCH):
-            ids = self._library([c.decode("utf-8") for c in chunks[k : k + LIBRARY_BATCH]])
-            out += [array("I", x).tobytes() for x in ids]
+        for k in range(0, len(chunks), CHUNKS_IN_A_TEXT):
+            texts = [c.decode("utf-8") for c in chunks[k : k + CHUNKS_IN_A_TEXT]]
+            joined = f" {MARK} ".join(texts)
+            found: list[bytes] = []
+            if joined.count(MARK) == len(texts) - 1:
+                found = _split(array("I", self._library([joined])[0]).tobytes(), self.mark)
+            if len(found) != len(texts):
+                found = [array("I", x).tobytes() for x in self._library(texts)]
+            out += found
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -75,23 +88,33 @@ class ChunkEncoder:
         if not self.by_chunk:
             return [array("I", x).tobytes() for x in self._library([t or "" for t in texts])]
         split = [t.encode("utf-8").split() if t else [] for t in texts]
-        cache = self.cache
-        if len(cache) > CACHE_ENTRIES:
-            cache.clear()
-        new: set[bytes] = set()
+        if len(self.young) > CACHE_ENTRIES // 2:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        missing: set[bytes] = set()
         for words in split:
-            new.update(words)
-        new.difference_update(cache)
-        fresh = list(new)
-        packed = dict(zip(fresh, self._encode(fresh)))
-        for word, ids in packed.items():
-            if len(word) <= CACHE_CHUNK_BYTES:
-                cache[word] = ids
-        known = {**packed} if any(len(w) > CACHE_CHUNK_BYTES for w in fresh) else None
-        out = []
-        for words in split:
-            if known:
-                out.append(b"".join([cache.get(w) if w in cache else known[w] for w in words]))
-            else:
-                out.append(b"".join([cache[w] for w in words]))
+            missing.update(words)
+        missing.difference_update(young)
+        for word in missing.intersection(old):
+            young[word] = old[word]
+        fresh = list(missing.difference(old))
+        young.update(zip(fresh, self._encode(fresh)))
+        out = [b"".join([young[w] for w in words]) for words in split]
+        for word in fresh:
+            if len(word) > CACHE_CHUNK_BYTES:
+                del young[word]
         return out
+
+
+def _split(ids: bytes, mark: bytes) -> list[bytes]:
+    """Parts of packed ids between the marks, which start at whole ids only."""
+    out, begin, at = [], 0, ids.find(mark)
+    while at >= 0:
+        if at % 4:
+            at = ids.find(mark, at + 1)
+            continue
+        out.append(ids[begin:at])
+        begin = at + len(mark)
+        at = ids.find(mark, begin)
+    out.append(ids[begin:])
+    return out

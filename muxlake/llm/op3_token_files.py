@@ -1,8 +1,8 @@
 """Operator 3, token ids as binary files: Arrow IPC files of fixed-size-list batches.
 
 Each file holds the ids of one range of doc_id, end to end, cut into sequences of equal length: a batch has
-a row for each sequence, its ids as fixed_size_list<uint32>[L] and its mask as fixed_size_list<uint8>[L]
-(1: a token, 0: fill at the end of the file). All buffers have a fixed place, so sequence k of a memory-mapped
+a row for each sequence, its ids as fixed_size_list<uint16>[L] (uint32 for more than 65,536 ids) and its mask as
+fixed_size_list<bool>[L] (true: a token, false: fill at the end of the file; one bit each). All buffers have a fixed place, so sequence k of a memory-mapped
 file is read without copying. A second, small Arrow file beside it has a row for each document: doc_id,
 first token in the file, tokens.
 
@@ -30,15 +30,15 @@ MANIFEST = "file string, first_doc bigint, n_docs bigint, n_tokens bigint"
 
 
 def write_sequences(sink, tokens: np.ndarray, length: int, rows_per_batch: int) -> None:
-    """Write uint32 ids as an Arrow file of equal-length sequences and masks."""
-    schema = pa.schema([("input_ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+    """Write ids as an Arrow file of equal-length sequences and masks."""
+    schema = pa.schema([("input_ids", pa.list_(pa.from_numpy_dtype(tokens.dtype), length)), ("mask", pa.list_(pa.bool_(), length))])
     with pa.ipc.new_file(sink, schema) as writer:
         for at in range(0, len(tokens), length * rows_per_batch):
             part = tokens[at : at + length * rows_per_batch]
             rows = -(-len(part) // length)
-            ids = np.zeros(rows * length, np.uint32)
-            mask = np.zeros(rows * length, np.uint8)
-            ids[: len(part)], mask[: len(part)] = part, 1
+            ids = np.zeros(rows * length, tokens.dtype)
+            mask = np.zeros(rows * length, bool)
+            ids[: len(part)], mask[: len(part)] = part, True
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), length) for x in (ids, mask)]
             writer.write_batch(pa.record_batch(lists, schema=schema))
 
@@ -49,15 +49,17 @@ def read_tokens(source) -> np.ndarray:
     parts = []
     for k in range(reader.num_record_batches):
         batch = reader.get_batch(k)
-        ids, mask = (batch.column(c).flatten().to_numpy(zero_copy_only=True) for c in ("input_ids", "mask"))
-        parts.append(ids if mask[-1] else ids[: int(mask.sum())])
+        ids, mask = batch.column("input_ids").flatten(), batch.column("mask").flatten()
+        ids = ids.to_numpy(zero_copy_only=True)
+        parts.append(ids if mask[-1].as_py() else ids[: mask.true_count])
     return np.concatenate(parts) if len(parts) != 1 else parts[0]
 
 
-def sequence(source, k: int, rows_per_batch: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and mask of sequence k, without copying where source is a memory map."""
+def sequence(source, k: int, rows_per_batch: int = 64) -> tuple[np.ndarray, pa.BooleanArray]:
+    """Ids and mask of sequence k, both views of the file's own memory where source is a memory map."""
     batch = pa.ipc.open_file(source).get_batch(k // rows_per_batch)
-    return tuple(batch.column(c)[k % rows_per_batch].values.to_numpy(zero_copy_only=True) for c in ("input_ids", "mask"))
+    ids, mask = (batch.column(c)[k % rows_per_batch].values for c in ("input_ids", "mask"))
+    return ids.to_numpy(zero_copy_only=True), mask
 
 
 def write_token_files(
@@ -75,6 +77,7 @@ def write_token_files(
         held: list[bytes] = []
         ids: list[int | None] = []
         encoder, end, size = ChunkEncoder.of(tokenizer), np.uint32(end_id).tobytes(), 0
+        kind = np.uint16 if max(encoder.n_ids - 1, end_id) < 1 << 16 else np.uint32
 
         def close() -> pa.RecordBatch:
             name = uuid.uuid4().hex
@@ -85,7 +88,7 @@ def write_token_files(
                 with pa.ipc.new_file(f, table.schema) as w:
                     w.write_table(table)
             with fs.open_output_stream(f"{base}/{name}.part") as f:
-                write_sequences(f, np.frombuffer(b"".join(held), np.uint32), length, rows_per_batch)
+                write_sequences(f, np.frombuffer(b"".join(held), np.uint32).astype(kind, copy=False), length, rows_per_batch)
             fs.move(f"{base}/{name}.part", f"{base}/{name}.arrow")
             row = {"file": [name], "first_doc": pa.array(ids[:1], pa.int64()), "n_docs": [len(ids)], "n_tokens": [int(lengths.sum())]}
             return pa.RecordBatch.from_pydict(row)
@@ -131,7 +134,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                     with fs.open_input_file(f"{base}/{name}.index.arrow") as g:
                         index = pa.ipc.open_file(g).read_all().combine_chunks()
                     first, n = (index.column(c).to_numpy() for c in ("first", "n_tokens"))
-                    crc = [zlib.crc32(tokens[a : a + m].astype("<u4", copy=False)) for a, m in zip(first, n)]
+                    crc = [zlib.crc32(tokens[a : a + m].astype("<u4")) for a, m in zip(first, n)]
                     columns = [index.column("doc_id").combine_chunks(), pa.array(first + start), pa.array(n), pa.array(crc, pa.int64())]
                 yield from pa.Table.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"]).to_batches()
 
