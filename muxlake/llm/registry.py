@@ -11,6 +11,7 @@ from muxlake.llm import (
     op1_quality_crf,
     op3_token_files,
     op6_secret_scan,
+    op7_ngram_join,
     op9_language_id,
     op10_quality_rules,
     op4_token_counts,
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files.query,
     "op4_token_counts": op4_token_counts.query,
     "op6_secret_scan": op6_secret_scan.query,
+    "op7_ngram_join": op7_ngram_join.query,
     "op9_language_id": op9_language_id.query,
     "op10_quality_rules": op10_quality_rules.query,
 }
