@@ -12,6 +12,7 @@ from muxlake.llm import (
     op3_token_files,
     op6_secret_scan,
     op7_ngram_join,
+    op8_byte_bpe,
     op9_language_id,
     op10_quality_rules,
     op4_token_counts,
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts.query,
     "op6_secret_scan": op6_secret_scan.query,
     "op7_ngram_join": op7_ngram_join.query,
+    "op8_byte_bpe": op8_byte_bpe.query,
     "op9_language_id": op9_language_id.query,
     "op10_quality_rules": op10_quality_rules.query,
 }
