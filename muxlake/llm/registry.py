@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from muxlake.llm import (
     op1_quality_crf,
+    op2_decontamination,
     op3_token_files,
     op6_secret_scan,
     op7_ngram_join,
@@ -20,6 +21,7 @@ from muxlake.llm import (
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_crf": op1_quality_crf.query,
+    "op2_decontamination": op2_decontamination.query,
     "op3_token_files": op3_token_files.query,
     "op4_token_counts": op4_token_counts.query,
     "op6_secret_scan": op6_secret_scan.query,
