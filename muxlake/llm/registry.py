@@ -11,6 +11,7 @@ from muxlake.llm import (
     op1_quality_crf,
     op2_decontamination,
     op3_token_files,
+    op5_chat_collapse,
     op6_secret_scan,
     op7_ngram_join,
     op8_byte_bpe,
@@ -20,10 +21,12 @@ from muxlake.llm import (
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "pipeline": corpus_pipeline.run,
     "op1_quality_crf": op1_quality_crf.query,
     "op2_decontamination": op2_decontamination.query,
     "op3_token_files": op3_token_files.query,
     "op4_token_counts": op4_token_counts.query,
+    "op5_chat_collapse": op5_chat_collapse.query,
     "op6_secret_scan": op6_secret_scan.query,
     "op7_ngram_join": op7_ngram_join.query,
     "op8_byte_bpe": op8_byte_bpe.query,
