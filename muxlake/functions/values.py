@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from muxlake.functions.bits import part, uint
 
@@ -61,7 +62,7 @@ CODECS = {
 _CONTROL = dict.fromkeys([*range(0x80, 0x8A), *range(0x8B, 0xA0), *range(0xE080, 0xE08A), *range(0xE08B, 0xE0A0)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def dvb_text(data: pd.Series) -> pd.Series:
     """DVB text: a leading byte selects the alphabet, control codes go, and 0x8A is a new line; null for null."""
 
@@ -101,7 +102,7 @@ def datagram_packet_size(n: Column) -> Column:
 
 def pid_list(text: Column) -> Column:
     """PIDs of a list with commas, decimal or 0x hexadecimal, distinct and ascending; null where an item is none."""
-    items = F.transform(F.split(text, ","), F.trim)
+    items = F.transform(F.split(text, ","), lambda x: F.trim(x))
     number = lambda x: F.when(x.rlike("^0[xX][0-9a-fA-F]{1,4}$"), F.conv(F.substring(x, 3, 4), 16, 10).cast("int")).when(x.rlike("^[0-9]{1,4}$"), x.cast("int"))
     pids = F.transform(items, number)
     bad = F.exists(pids, lambda p: p.isNull() | (p > 0x1FFF))

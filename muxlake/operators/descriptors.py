@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from muxlake.functions.bits import bits, part, uint, walk
 from muxlake.functions.values import bcd_minutes, dvb_text, mjd_seconds
 
-D = F.col("data")
+def _data() -> Column:
+    return F.col("data")
 
 
 @dataclass(frozen=True)
@@ -156,54 +157,54 @@ def typed(descriptors: DataFrame, family: str, tag: int) -> DataFrame:
     layout = LAYOUTS[family, tag]
     own = descriptors.where((F.col("family") == family) & (F.coalesce("ext_tag", "tag") == tag))
     if not layout.item:
-        return own.select(*descriptors.columns, *(f.read(D, F.lit(0)) for f in layout.fields))
+        return own.select(*descriptors.columns, *(f.read(_data(), F.lit(0)) for f in layout.fields))
     n = F.floor(F.length("data") / layout.item).cast("int")
     rows = own.select(*descriptors.columns, F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1))).alias("item"))
-    return rows.select(*rows.columns, *(f.read(D, F.col("item") * layout.item) for f in layout.fields))
+    return rows.select(*rows.columns, *(f.read(_data(), F.col("item") * layout.item) for f in layout.fields))
 
 
 def _text(at: Column) -> Column:
     """A text behind its byte of length."""
-    return dvb_text(part(D, at + 1, uint(D, at)))
+    return dvb_text(part(_data(), at + 1, uint(_data(), at)))
 
 
 def services(descriptors: DataFrame) -> DataFrame:
     """0x48: service type, provider and name."""
     own = descriptors.where("family = 'dvb' AND tag = 72")
-    name_at = (uint(D, 1) + 2).cast("int")
-    return own.select(*descriptors.columns, uint(D, 0).cast("int").alias("service_type"), _text(F.lit(1)).alias("provider"), _text(name_at).alias("service_name"))
+    name_at = (uint(_data(), 1) + 2).cast("int")
+    return own.select(*descriptors.columns, uint(_data(), 0).cast("int").alias("service_type"), _text(F.lit(1)).alias("provider"), _text(name_at).alias("service_name"))
 
 
 def short_events(descriptors: DataFrame) -> DataFrame:
     """0x4D: language, name and text of an event."""
     own = descriptors.where("family = 'dvb' AND tag = 77")
-    text_at = (uint(D, 3) + 4).cast("int")
-    return own.select(*descriptors.columns, F.decode(part(D, 0, 3), "ISO-8859-1").alias("language"), _text(F.lit(3)).alias("event_name"), _text(text_at).alias("text"))
+    text_at = (uint(_data(), 3) + 4).cast("int")
+    return own.select(*descriptors.columns, F.decode(part(_data(), 0, 3), "ISO-8859-1").alias("language"), _text(F.lit(3)).alias("event_name"), _text(text_at).alias("text"))
 
 
 def extended_events(descriptors: DataFrame) -> DataFrame:
     """0x4E: number, language, text, and the items' descriptions and texts as undecoded bytes."""
     own = descriptors.where("family = 'dvb' AND tag = 78")
-    size = uint(D, 4).cast("int")
+    size = uint(_data(), 4).cast("int")
 
     def item_size(pos):
-        described = uint(D, pos) + 1
-        return described + uint(D, pos + described.cast("int")) + 1
+        described = uint(_data(), pos) + 1
+        return described + uint(_data(), pos + described.cast("int")) + 1
 
-    raw = lambda pos: part(D, pos + 1, uint(D, pos))
-    items = F.transform(walk(D, 5, size + 5, 2, item_size), lambda e: F.struct(raw(e["pos"]).alias("description"), raw((e["pos"] + uint(D, e["pos"]) + 1).cast("int")).alias("item")))
+    raw = lambda pos: part(_data(), pos + 1, uint(_data(), pos))
+    items = F.transform(walk(_data(), 5, size + 5, 2, item_size), lambda e: F.struct(raw(e["pos"]).alias("description"), raw((e["pos"] + uint(_data(), e["pos"]) + 1).cast("int")).alias("item")))
     return own.select(
-        *descriptors.columns, bits(D, 0, 0, 4).cast("int").alias("number"), bits(D, 0, 4, 4).cast("int").alias("last_number"),
-        F.decode(part(D, 1, 3), "ISO-8859-1").alias("language"), items.alias("items"), _text(size + 5).alias("text"),
+        *descriptors.columns, bits(_data(), 0, 0, 4).cast("int").alias("number"), bits(_data(), 0, 4, 4).cast("int").alias("last_number"),
+        F.decode(part(_data(), 1, 3), "ISO-8859-1").alias("language"), items.alias("items"), _text(size + 5).alias("text"),
     )
 
 
 def multilingual_names(descriptors: DataFrame, tag: int = 0x5C) -> DataFrame:
     """0x5C and its kin: a row for each language and name."""
     own = descriptors.where((F.col("family") == "dvb") & (F.col("tag") == tag))
-    spans = walk(D, 0, F.length("data"), 4, lambda pos: uint(D, pos + 3) + 4)
+    spans = walk(_data(), 0, F.length("data"), 4, lambda pos: uint(_data(), pos + 3) + 4)
     rows = own.select(*descriptors.columns, F.posexplode(spans).alias("item", "e"))
-    return rows.select(*descriptors.columns, "item", F.decode(part(D, F.col("e.pos"), 3), "ISO-8859-1").alias("language"), _text(F.col("e.pos") + 3).alias("text"))
+    return rows.select(*descriptors.columns, "item", F.decode(part(_data(), F.col("e.pos"), 3), "ISO-8859-1").alias("language"), _text(F.col("e.pos") + 3).alias("text"))
 
 
 def ac3(descriptors: DataFrame) -> DataFrame:
@@ -211,10 +212,10 @@ def ac3(descriptors: DataFrame) -> DataFrame:
     own = descriptors.where("family = 'dvb' AND tag = 106")
     at, out = F.lit(1), []
     for k, name in enumerate(("component_type", "bsid", "main_id", "asvc")):
-        has = bits(D, 0, k, 1) == 1
-        out.append(F.when(has, uint(D, at)).cast("int").alias(name))
+        has = bits(_data(), 0, k, 1) == 1
+        out.append(F.when(has, uint(_data(), at)).cast("int").alias(name))
         at = at + F.when(has, 1).otherwise(0)
-    return own.select(*descriptors.columns, *out, part(D, at, F.greatest(F.length("data") - at, F.lit(0))).alias("additional_info"))
+    return own.select(*descriptors.columns, *out, part(_data(), at, F.greatest(F.length("data") - at, F.lit(0))).alias("additional_info"))
 
 
 def group_key(descriptors: DataFrame) -> DataFrame:

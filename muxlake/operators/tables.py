@@ -14,56 +14,60 @@ from muxlake.functions.bits import bits, flag, part, uint, walk
 from muxlake.functions.values import bcd_seconds, mjd_seconds
 from muxlake.operators.sections import of_kind
 
-S = F.col("section")
-END = F.length("section") - 4
+def _s() -> Column:
+    return F.col("section")
+
+
+def _end() -> Column:
+    return F.length("section") - 4
 
 
 def _twelve(at) -> Column:
-    return uint(S, at, 2).bitwiseAND(0x0FFF).cast("int")
+    return uint(_s(), at, 2).bitwiseAND(0x0FFF).cast("int")
 
 
 def _header(with_version: bool = True) -> list[Column]:
     out = [F.col(c) for c in ("source", "pid", "first_offset", "table_id", "crc32")] + [_twelve(1).alias("section_length")]
     if with_version:
-        out += [bits(S, 5, 2, 5).cast("int").alias("version"), flag(S, 5, 7).alias("current_next")]
-        out += [uint(S, 6).cast("int").alias("section_number"), uint(S, 7).cast("int").alias("last_section_number")]
+        out += [bits(_s(), 5, 2, 5).cast("int").alias("version"), flag(_s(), 5, 7).alias("current_next")]
+        out += [uint(_s(), 6).cast("int").alias("section_number"), uint(_s(), 7).cast("int").alias("last_section_number")]
     return out
 
 
 def _loop(start, end, header: int, fields: Callable[[Column], list[Column]]) -> Column:
     """Entries whose last two header bytes are the length of their descriptors."""
     size = lambda pos: header + _twelve(pos + header - 2)
-    entry = lambda e: F.struct(*fields(e["pos"]), part(S, e["pos"] + header, e["size"] - header).alias("descriptors"))
-    return F.transform(walk(S, start, end, header, size), entry)
+    entry = lambda e: F.struct(*fields(e["pos"]), part(_s(), e["pos"] + header, e["size"] - header).alias("descriptors"))
+    return F.transform(walk(_s(), start, end, header, size), entry)
 
 
 def _id(size: int, at: Column | int, name: str) -> Column:
-    return uint(S, at, size).cast("int" if size < 4 else "long").alias(name)
+    return uint(_s(), at, size).cast("int" if size < 4 else "long").alias(name)
 
 
 def pat(sections: DataFrame) -> DataFrame:
     n = F.floor((F.length("section") - 12) / 4).cast("int")
-    record = lambda k: F.struct(_id(2, k * 4 + 8, "program_number"), bits(S, k * 4 + 10, 3, 13).cast("int").alias("program_pid"))
+    record = lambda k: F.struct(_id(2, k * 4 + 8, "program_number"), bits(_s(), k * 4 + 10, 3, 13).cast("int").alias("program_pid"))
     records = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), record))
     return of_kind(sections, "PAT").select(*_header(), _id(2, 3, "ts_id"), F.coalesce(records, F.array()).alias("records"))
 
 
 def cat(sections: DataFrame) -> DataFrame:
-    return of_kind(sections, "CAT").select(*_header(), part(S, 8, END - 8).alias("descriptors"))
+    return of_kind(sections, "CAT").select(*_header(), part(_s(), 8, _end() - 8).alias("descriptors"))
 
 
 def pmt(sections: DataFrame) -> DataFrame:
     info = _twelve(10)
-    es = _loop(info + 12, END, 5, lambda p: [_id(1, p, "stream_type"), bits(S, p + 1, 3, 13).cast("int").alias("es_pid")])
+    es = _loop(info + 12, _end(), 5, lambda p: [_id(1, p, "stream_type"), bits(_s(), p + 1, 3, 13).cast("int").alias("es_pid")])
     return of_kind(sections, "PMT").select(
-        *_header(), _id(2, 3, "program_number"), bits(S, 8, 3, 13).cast("int").alias("pcr_pid"), part(S, 12, info).alias("descriptors"), es.alias("es")
+        *_header(), _id(2, 3, "program_number"), bits(_s(), 8, 3, 13).cast("int").alias("pcr_pid"), part(_s(), 12, info).alias("descriptors"), es.alias("es")
     )
 
 
 def _network(sections: DataFrame, kind: str, name: str) -> DataFrame:
     size = _twelve(8)
-    streams = _loop(size + 12, F.least(END, size + 12 + _twelve(size + 10)), 6, lambda p: [_id(2, p, "ts_id"), _id(2, p + 2, "original_network_id")])
-    return of_kind(sections, kind).select(*_header(), _id(2, 3, name), part(S, 10, size).alias("descriptors"), streams.alias("streams"))
+    streams = _loop(size + 12, F.least(_end(), size + 12 + _twelve(size + 10)), 6, lambda p: [_id(2, p, "ts_id"), _id(2, p + 2, "original_network_id")])
+    return of_kind(sections, kind).select(*_header(), _id(2, 3, name), part(_s(), 10, size).alias("descriptors"), streams.alias("streams"))
 
 
 def nit(sections: DataFrame) -> DataFrame:
@@ -75,16 +79,16 @@ def bat(sections: DataFrame) -> DataFrame:
 
 
 def sdt(sections: DataFrame) -> DataFrame:
-    services = _loop(F.lit(11), END, 5, lambda p: [
-        _id(2, p, "service_id"), flag(S, p + 2, 6).alias("eit_schedule"), flag(S, p + 2, 7).alias("eit_present_following"),
-        bits(S, p + 3, 0, 3).cast("int").alias("running_status"), flag(S, p + 3, 3).alias("free_ca")])
+    services = _loop(F.lit(11), _end(), 5, lambda p: [
+        _id(2, p, "service_id"), flag(_s(), p + 2, 6).alias("eit_schedule"), flag(_s(), p + 2, 7).alias("eit_present_following"),
+        bits(_s(), p + 3, 0, 3).cast("int").alias("running_status"), flag(_s(), p + 3, 3).alias("free_ca")])
     return of_kind(sections, "SDT").select(*_header(), _id(2, 3, "ts_id"), _id(2, 8, "original_network_id"), services.alias("services"))
 
 
 def eit(sections: DataFrame) -> DataFrame:
-    events = _loop(F.lit(14), END, 12, lambda p: [
-        _id(2, p, "event_id"), mjd_seconds(S, p + 2).alias("start_sec"), bcd_seconds(S, p + 7).alias("duration_sec"),
-        bits(S, p + 10, 0, 3).cast("int").alias("running_status"), flag(S, p + 10, 3).alias("free_ca")])
+    events = _loop(F.lit(14), _end(), 12, lambda p: [
+        _id(2, p, "event_id"), mjd_seconds(_s(), p + 2).alias("start_sec"), bcd_seconds(_s(), p + 7).alias("duration_sec"),
+        bits(_s(), p + 10, 0, 3).cast("int").alias("running_status"), flag(_s(), p + 10, 3).alias("free_ca")])
     return of_kind(sections, "EIT").select(
         *_header(), _id(2, 3, "service_id"), _id(2, 8, "ts_id"), _id(2, 10, "original_network_id"), _id(1, 12, "segment_last"),
         _id(1, 13, "last_table_id"), events.alias("events"),
@@ -92,79 +96,79 @@ def eit(sections: DataFrame) -> DataFrame:
 
 
 def tdt(sections: DataFrame) -> DataFrame:
-    return of_kind(sections, "TDT").select(*_header(False), mjd_seconds(S, 3).alias("utc_sec"))
+    return of_kind(sections, "TDT").select(*_header(False), mjd_seconds(_s(), 3).alias("utc_sec"))
 
 
 def tot(sections: DataFrame) -> DataFrame:
-    return of_kind(sections, "TOT").select(*_header(False), mjd_seconds(S, 3).alias("utc_sec"), part(S, 10, _twelve(8)).alias("descriptors"))
+    return of_kind(sections, "TOT").select(*_header(False), mjd_seconds(_s(), 3).alias("utc_sec"), part(_s(), 10, _twelve(8)).alias("descriptors"))
 
 
 def ait(sections: DataFrame) -> DataFrame:
     common = _twelve(8)
-    apps = _loop(common + 12, END, 9, lambda p: [_id(4, p, "organisation_id"), _id(2, p + 4, "application_id"), _id(1, p + 6, "control_code")])
+    apps = _loop(common + 12, _end(), 9, lambda p: [_id(4, p, "organisation_id"), _id(2, p + 4, "application_id"), _id(1, p + 6, "control_code")])
     return of_kind(sections, "AIT").select(
-        *_header(), flag(S, 3, 0).alias("test"), bits(S, 3, 1, 15).cast("int").alias("application_type"), part(S, 10, common).alias("descriptors"), apps.alias("applications")
+        *_header(), flag(_s(), 3, 0).alias("test"), bits(_s(), 3, 1, 15).cast("int").alias("application_type"), part(_s(), 10, common).alias("descriptors"), apps.alias("applications")
     )
 
 
 def ews(sections: DataFrame) -> DataFrame:
     size = _twelve(8)
-    zones = _loop(size + 12, END, 5, lambda p: [_id(2, p, "zone_id"), flag(S, p + 2, 7).alias("state")])
-    return of_kind(sections, "EWS").select(*_header(), _id(2, 3, "region_id"), part(S, 10, size).alias("descriptors"), zones.alias("zones"))
+    zones = _loop(size + 12, _end(), 5, lambda p: [_id(2, p, "zone_id"), flag(_s(), p + 2, 7).alias("state")])
+    return of_kind(sections, "EWS").select(*_header(), _id(2, 3, "region_id"), part(_s(), 10, size).alias("descriptors"), zones.alias("zones"))
 
 
 def eews(sections: DataFrame) -> DataFrame:
     size = _twelve(8)
-    devices = _loop(size + 12, END, 5, lambda p: [
-        _id(2, p, "device_id"), bits(S, p + 2, 0, 2).cast("int").alias("type"), bits(S, p + 2, 2, 5).cast("int").alias("id"), flag(S, p + 2, 7).alias("state")])
-    return of_kind(sections, "EEWS").select(*_header(), _id(2, 3, "group_id"), part(S, 10, size).alias("descriptors"), devices.alias("devices"))
+    devices = _loop(size + 12, _end(), 5, lambda p: [
+        _id(2, p, "device_id"), bits(_s(), p + 2, 0, 2).cast("int").alias("type"), bits(_s(), p + 2, 2, 5).cast("int").alias("id"), flag(_s(), p + 2, 7).alias("state")])
+    return of_kind(sections, "EEWS").select(*_header(), _id(2, 3, "group_id"), part(_s(), 10, size).alias("descriptors"), devices.alias("devices"))
 
 
 def splice(sections: DataFrame) -> DataFrame:
     """SCTE-35 cues: splice_insert, splice_schedule, time_signal, private and empty commands, and the descriptor loop."""
-    length, kind, at = _twelve(11), uint(S, 13), 14
-    encrypted = flag(S, 4, 0)
+    length, kind, at = _twelve(11), uint(_s(), 13), 14
+    encrypted = flag(_s(), 4, 0)
     c = lambda t, x: F.when((kind == t) & ~encrypted, x)
     # splice_insert
-    live = (kind == 5) & ~encrypted & ~flag(S, at + 4, 0)
-    program, timed, immediate = flag(S, at + 5, 1), flag(S, at + 5, 2), flag(S, at + 5, 3)
-    given = program & ~immediate & flag(S, at + 6, 0)
-    n_parts = F.when(~program, uint(S, at + 6).cast("int"))
-    part_size = lambda pos: F.when(immediate, 1).otherwise(F.when(flag(S, pos + 1, 0), 6).otherwise(2))
-    parts = F.slice(walk(S, at + 7, END, 1, part_size), F.lit(1), F.greatest(n_parts, F.lit(0)))
+    live = (kind == 5) & ~encrypted & ~flag(_s(), at + 4, 0)
+    program, timed, immediate = flag(_s(), at + 5, 1), flag(_s(), at + 5, 2), flag(_s(), at + 5, 3)
+    given = program & ~immediate & flag(_s(), at + 6, 0)
+    n_parts = F.when(~program, uint(_s(), at + 6).cast("int"))
+    part_size = lambda pos: F.when(immediate, 1).otherwise(F.when(flag(_s(), pos + 1, 0), 6).otherwise(2))
+    parts = F.slice(walk(_s(), at + 7, _end(), 1, part_size), F.lit(1), F.greatest(n_parts, F.lit(0)))
     parts_size = F.aggregate(parts, F.lit(0), lambda a, e: a + e["size"])
     time_size = F.when(program, F.when(immediate, 0).when(given, 5).otherwise(1)).otherwise(parts_size + 1)
     break_at = time_size + at + 6
     rest_at = break_at + F.when(timed, 5).otherwise(0)
-    components = F.transform(parts, lambda e: F.struct(_id(1, e["pos"], "component"), F.when(~immediate & flag(S, e["pos"] + 1, 0), bits(S, e["pos"] + 1, 7, 33)).alias("pts")))
+    components = F.transform(parts, lambda e: F.struct(_id(1, e["pos"], "component"), F.when(~immediate & flag(_s(), e["pos"] + 1, 0), bits(_s(), e["pos"] + 1, 7, 33)).alias("pts")))
     # time_signal and splice_schedule
-    signal = F.when(flag(S, at, 0), bits(S, at, 7, 33))
+    signal = F.when(flag(_s(), at, 0), bits(_s(), at, 7, 33))
 
     def event_size(pos):
-        base = F.when(flag(S, pos + 5, 1), 4).otherwise(uint(S, pos + 6) * 5 + 1)
-        return F.when(flag(S, pos + 4, 0), 5).otherwise(6 + base + F.when(flag(S, pos + 5, 2), 5).otherwise(0) + 4)
+        base = F.when(flag(_s(), pos + 5, 1), 4).otherwise(uint(_s(), pos + 6) * 5 + 1)
+        return F.when(flag(_s(), pos + 4, 0), 5).otherwise(6 + base + F.when(flag(_s(), pos + 5, 2), 5).otherwise(0) + 4)
 
-    events = F.slice(walk(S, at + 1, END, 5, event_size), F.lit(1), F.coalesce(uint(S, at).cast("int"), F.lit(0)))
+    events = F.slice(walk(_s(), at + 1, _end(), 5, event_size), F.lit(1), F.coalesce(uint(_s(), at).cast("int"), F.lit(0)))
     scheduled = F.transform(events, lambda e: F.struct(
-        _id(4, e["pos"], "event_id"), flag(S, e["pos"] + 4, 0).alias("cancelled"),
-        F.when(~flag(S, e["pos"] + 4, 0), uint(S, e["pos"] + e["size"] - 4, 2)).cast("int").alias("unique_program_id"),
-        F.when(~flag(S, e["pos"] + 4, 0) & flag(S, e["pos"] + 5, 1), uint(S, e["pos"] + 6, 4)).alias("utc_splice_time")))
+        _id(4, e["pos"], "event_id"), flag(_s(), e["pos"] + 4, 0).alias("cancelled"),
+        F.when(~flag(_s(), e["pos"] + 4, 0), uint(_s(), e["pos"] + e["size"] - 4, 2)).cast("int").alias("unique_program_id"),
+        F.when(~flag(_s(), e["pos"] + 4, 0) & flag(_s(), e["pos"] + 5, 1), uint(_s(), e["pos"] + 6, 4)).alias("utc_splice_time")))
     used = F.when(length != 0x0FFF, length).otherwise(
-        F.when(kind == 5, F.when(live, rest_at + 4 - at).otherwise(5)).when(kind == 6, F.when(flag(S, at, 0), 5).otherwise(1))
+        F.when(kind == 5, F.when(live, rest_at + 4 - at).otherwise(5)).when(kind == 6, F.when(flag(_s(), at, 0), 5).otherwise(1))
         .when(kind == 4, F.aggregate(events, F.lit(1), lambda a, e: a + e["size"])).otherwise(0)
     )
     loop_at = used + at
     return of_kind(sections, "SCTE35").select(
-        *_header(False), _id(1, 3, "protocol"), encrypted.alias("encrypted"), bits(S, 4, 7, 33).alias("pts_adjustment"),
-        bits(S, 10, 0, 12).cast("int").alias("tier"), length.alias("command_length"), kind.cast("int").alias("command_type"),
-        c(5, uint(S, at, 4)).alias("event_id"), c(5, flag(S, at + 4, 0)).alias("cancelled"),
-        F.when(live, flag(S, at + 5, 0)).alias("out_of_network"), F.when(live, immediate).alias("immediate"),
-        F.when(live & given, bits(S, at + 6, 7, 33)).when((kind == 6) & ~encrypted, signal).alias("splice_pts"),
+        *_header(False), _id(1, 3, "protocol"), encrypted.alias("encrypted"), bits(_s(), 4, 7, 33).alias("pts_adjustment"),
+        bits(_s(), 10, 0, 12).cast("int").alias("tier"), length.alias("command_length"), kind.cast("int").alias("command_type"),
+        c(5, uint(_s(), at, 4)).alias("event_id"), c(5, flag(_s(), at + 4, 0)).alias("cancelled"),
+        F.when(live, flag(_s(), at + 5, 0)).alias("out_of_network"), F.when(live, immediate).alias("immediate"),
+        F.when(live & given, bits(_s(), at + 6, 7, 33)).when((kind == 6) & ~encrypted, signal).alias("splice_pts"),
         F.when(live & ~program, components).alias("components"),
-        F.when(live & timed, flag(S, break_at, 0)).alias("auto_return"), F.when(live & timed, bits(S, break_at, 7, 33)).alias("break_duration"),
-        F.when(live, uint(S, rest_at, 2)).cast("int").alias("unique_program_id"), F.when(live, uint(S, rest_at + 2)).cast("int").alias("avail"),
-        F.when(live, uint(S, rest_at + 3)).cast("int").alias("avails_expected"), c(4, scheduled).alias("schedule"),
-        F.when(~encrypted, part(S, loop_at + 2, uint(S, loop_at, 2))).alias("descriptors"),
+        F.when(live & timed, flag(_s(), break_at, 0)).alias("auto_return"), F.when(live & timed, bits(_s(), break_at, 7, 33)).alias("break_duration"),
+        F.when(live, uint(_s(), rest_at, 2)).cast("int").alias("unique_program_id"), F.when(live, uint(_s(), rest_at + 2)).cast("int").alias("avail"),
+        F.when(live, uint(_s(), rest_at + 3)).cast("int").alias("avails_expected"), c(4, scheduled).alias("schedule"),
+        F.when(~encrypted, part(_s(), loop_at + 2, uint(_s(), loop_at, 2))).alias("descriptors"),
     )
 
 
