@@ -69,7 +69,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, limit: int = 2048)
     first = texts.join(
         chosen, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("content_digest") == F.col("digest")), "left_semi"
     ).select("content_digest", "text")
-    new = per_batch(first, count, "content_digest binary, n_tokens bigint")
+    new = per_batch(first, count, "content_digest binary, n_tokens bigint").dropDuplicates(["content_digest"])
     new.select(F.lit(version).alias("tokenizer_digest"), "content_digest", "n_tokens").write.mode("append").parquet(cache)
     counts = (
         read_cache(docs.sparkSession, cache).where(F.col("tokenizer_digest") == version)
