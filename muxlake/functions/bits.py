@@ -57,6 +57,11 @@ def join(*parts: Column) -> Column:
     return F.concat(*parts)
 
 
+def once(value: Column, body) -> Column:
+    """body(value), with value in the plan and computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def walk(data: Column, start: Value, end: Value, header: int, size, stop=None) -> Column:
     """The byte ranges (pos, size) of the entries of a loop; size(pos) is an entry's whole size.
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from muxlake.functions.bits import be
+from muxlake.functions.bits import be, once
 
 # The hexadecimal digits, and the digits of their four bits in reverse.
 DIGITS, REVERSED = "0123456789ABCDEF", "084C2A6E195D3B7F"
@@ -22,7 +22,7 @@ def crc32_mpeg2(data: Column) -> Column:
 
 
 def with_crc(data: Column) -> Column:
-    return F.concat(data, be(crc32_mpeg2(data), 4))
+    return once(data, lambda x: F.concat(x, be(crc32_mpeg2(x), 4)))
 
 
 def crc8_dvb(data: Column) -> Column:

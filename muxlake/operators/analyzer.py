@@ -70,13 +70,13 @@ class RateOptions:
 
     @property
     def tick(self) -> Column:
-        return F.col("adaptation_field.pcr") if self.clock == "pcr" else F.col(f"pes_header.{self.clock}")
+        return F.col(self.clock)
 
 
 def clock_ticks(packets: DataFrame, options: RateOptions) -> DataFrame:
     """source, byte_offset, tick and reset of the packets that drive the clock."""
     timed = packets.where("NOT tei").select(
-        "source", "pid", "byte_offset", options.tick.alias("tick"), F.coalesce(F.col("adaptation_field.discontinuity"), F.lit(False)).alias("reset")
+        "source", "pid", "byte_offset", options.tick.alias("tick"), F.col("discontinuity").alias("reset")
     )
     if options.reference_pid is not None:
         own = timed.where(F.col("pid") == options.reference_pid)

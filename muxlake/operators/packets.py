@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from muxlake.functions.bits import bits, flag, part, uint
+from muxlake.functions.bits import bits, flag, once, part, uint
 
 SYNC, NULL_PID = 0x47, 0x1FFF
 #: Stream ids whose PES packets have no optional header (fixed values).
@@ -37,33 +37,44 @@ def lost_sync(packets: DataFrame) -> DataFrame:
     return bad.select("source", F.lit(None).cast("int").alias("pid"), "byte_offset", F.lit("WARNING").alias("severity"), F.lit("SYNC_LOSS").alias("code"))
 
 
+def _has(raw: Column, k: int) -> Column:
+    """A flag of the adaptation field, if it has flags at all."""
+    return (uint(raw, 4) > 0) & flag(raw, 5, k)
+
+
+def clock(raw: Column, at=6) -> Column:
+    """33 bits of 90 kHz and nine of 27 MHz."""
+    return bits(raw, at, 0, 33) * 300 + bits(raw, at, 39, 9)
+
+
 def adaptation_field(raw: Column) -> Column:
     """The adaptation field as a struct; what its flags leave out is null."""
-    size = uint(raw, 4)
-    has = lambda k: (size > 0) & flag(raw, 5, k)
-    pcr = F.when(has(3), bits(raw, 6, 0, 33) * 300 + bits(raw, 6, 39, 9))
+    has = lambda k: _has(raw, k)
     opcr_at = F.lit(6) + F.when(has(3), 6).otherwise(0)
-    opcr = F.when(has(4), bits(raw, opcr_at, 0, 33) * 300 + bits(raw, opcr_at, 39, 9))
     splice_at = opcr_at + F.when(has(4), 6).otherwise(0)
     countdown = uint(raw, splice_at)
-    private_at = splice_at + F.when(has(5), 1).otherwise(0)
-    private_size = F.when(has(6), uint(raw, private_at)).otherwise(0)
-    extension_at = private_at + F.when(has(6), private_size + 1).otherwise(0)
-    extended = lambda k: has(7) & flag(raw, extension_at + 1, k)
-    ltw_at = extension_at + 2
-    rate_at = ltw_at + F.when(extended(0), 2).otherwise(0)
-    seamless_at = rate_at + F.when(extended(1), 3).otherwise(0)
-    return F.struct(
-        size.cast("short").alias("length"),
-        has(0).alias("discontinuity"), has(1).alias("random_access"), has(2).alias("priority"),
-        pcr.alias("pcr"), opcr.alias("opcr"),
-        F.when(has(5), F.when(countdown > 127, countdown - 256).otherwise(countdown)).cast("short").alias("splice_countdown"),
-        F.when(has(6), part(raw, private_at + 1, private_size)).alias("private_data"),
-        F.when(extended(0), bits(raw, ltw_at, 1, 15)).cast("int").alias("ltw_offset"),
-        F.when(extended(1), bits(raw, rate_at, 2, 22)).cast("int").alias("piecewise_rate"),
-        F.when(extended(2), bits(raw, seamless_at, 0, 4)).cast("short").alias("splice_type"),
-        F.when(extended(2), time_stamp(raw, seamless_at)).alias("dts_next_au"),
-    )
+
+    def behind_splice(private_at: Column) -> Column:
+        private_size = F.when(has(6), uint(raw, private_at)).otherwise(0)
+
+        def behind_private(extension_at: Column) -> Column:
+            extended = lambda k: has(7) & flag(raw, extension_at + 1, k)
+            rate_at = extension_at + 2 + F.when(extended(0), 2).otherwise(0)
+            return once(rate_at + F.when(extended(1), 3).otherwise(0), lambda seamless_at: F.struct(
+                uint(raw, 4).cast("short").alias("length"),
+                has(0).alias("discontinuity"), has(1).alias("random_access"), has(2).alias("priority"),
+                F.when(has(3), clock(raw)).alias("pcr"), F.when(has(4), clock(raw, opcr_at)).alias("opcr"),
+                F.when(has(5), F.when(countdown > 127, countdown - 256).otherwise(countdown)).cast("short").alias("splice_countdown"),
+                F.when(has(6), part(raw, private_at + 1, private_size)).alias("private_data"),
+                F.when(extended(0), bits(raw, extension_at + 2, 1, 15)).cast("int").alias("ltw_offset"),
+                F.when(extended(1), bits(raw, rate_at, 2, 22)).cast("int").alias("piecewise_rate"),
+                F.when(extended(2), bits(raw, seamless_at, 0, 4)).cast("short").alias("splice_type"),
+                F.when(extended(2), time_stamp(raw, seamless_at)).alias("dts_next_au"),
+            ))
+
+        return once(private_at + F.when(has(6), private_size + 1).otherwise(0), behind_private)
+
+    return once(splice_at + F.when(has(5), 1).otherwise(0), behind_splice)
 
 
 def time_stamp(data: Column, at) -> Column:
@@ -80,7 +91,7 @@ def pes_header(payload: Column) -> Column:
     dts = F.when(has(0) & has(1), time_stamp(payload, 14))
     escr_at = F.lit(9) + F.when(has(0), 5).otherwise(0) + F.when(has(0) & has(1), 5).otherwise(0)
     rate_at = escr_at + F.when(has(2), 6).otherwise(0)
-    header = F.struct(
+    header = once(rate_at, lambda rate_at: F.struct(
         stream.cast("short").alias("stream_id"), uint(payload, 4, 2).cast("int").alias("packet_length"),
         F.when(optional, bits(payload, 6, 2, 2)).cast("short").alias("scrambling"),
         F.when(optional, flag(payload, 6, 4)).alias("priority"), F.when(optional, flag(payload, 6, 5)).alias("data_alignment"),
@@ -88,12 +99,15 @@ def pes_header(payload: Column) -> Column:
         F.when(optional, uint(payload, 8)).cast("short").alias("header_length"),
         pts.alias("pts"), dts.alias("dts"), F.when(has(3), bits(payload, rate_at, 1, 22)).cast("int").alias("es_rate"),
         F.when(optional, 9 + uint(payload, 8)).otherwise(6).cast("int").alias("data_at"),
-    )
+    ))
     return F.when((uint(payload, 0, 3) == 1) & (F.length(payload) > 6), header)
 
 
 def decode(packets: DataFrame) -> DataFrame:
-    """packets(source, byte_offset, raw) with their fields; damaged and null packets have no more than a PID."""
+    """packets(source, byte_offset, raw) with their fields; damaged and null packets have no more than a PID.
+
+    What most operators ask of the adaptation and PES fields (discontinuity, pcr, pts, dts) has columns of its own.
+    """
     head = in_sync(packets).withColumn("head", uint(F.col("raw"), 0, 4))
     at = lambda shift, mask: F.shiftright("head", shift).bitwiseAND(mask)
     whole = (at(23, 1) == 0) & (at(8, 0x1FFF) != NULL_PID)
@@ -104,9 +118,15 @@ def decode(packets: DataFrame) -> DataFrame:
         "source", "byte_offset", at(8, 0x1FFF).cast("int").alias("pid"), (at(23, 1) == 1).alias("tei"), (at(22, 1) == 1).alias("pusi"),
         (at(21, 1) == 1).alias("priority"), at(6, 3).cast("short").alias("scrambling"), at(4, 3).cast("short").alias("afc"),
         at(0, 15).cast("short").alias("cc"), (at(4, 1) == 1).alias("has_payload"), (at(5, 1) == 1).alias("has_af"),
+        (field & F.coalesce(_has(F.col("raw"), 0), F.lit(False))).alias("discontinuity"), F.when(field & _has(F.col("raw"), 3), clock(F.col("raw"))).alias("pcr"),
         F.when(field, adaptation_field(F.col("raw"))).alias("adaptation_field"), payload.alias("payload"),
     )
-    return fields.withColumn("pes_header", F.when(F.col("pusi"), pes_header(F.col("payload"))))
+    data = F.col("payload")
+    timed = F.col("pusi") & (uint(data, 0, 3) == 1) & ~uint(data, 3).isin(*PLAIN_STREAMS) & flag(data, 7, 0)
+    return fields.withColumns({
+        "pts": F.when(timed, time_stamp(data, 9)), "dts": F.when(timed & flag(data, 7, 1), time_stamp(data, 14)),
+        "pes_header": F.when(F.col("pusi"), pes_header(data)),
+    })
 
 
 # PIDs of the tables that have their own.

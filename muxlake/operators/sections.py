@@ -29,7 +29,7 @@ def reassemble(packets: DataFrame) -> DataFrame:
     useful = packets.where("NOT tei AND has_payload AND scrambling = 0 AND pid <> 8191 AND payload IS NOT NULL")
     order = Window.partitionBy("source", "pid").orderBy("byte_offset")
     jump = (F.lag("cc").over(order).isNull()) | (F.pmod(F.col("cc") - F.lag("cc").over(order), F.lit(16)) != 1)
-    broken = jump | F.coalesce(F.col("adaptation_field.discontinuity"), F.lit(False))
+    broken = jump | F.col("discontinuity")
     marked = useful.select("source", "pid", "byte_offset", "pusi", "payload", broken.alias("broken"), F.when(F.col("pusi"), uint(F.col("payload"), 0)).cast("int").alias("pointer"))
     runs = marked.withColumn("run", F.sum(F.col("pusi").cast("long")).over(order))
     size = F.length("payload")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from muxlake.functions.bits import Value, be, fill, join, part
+from muxlake.functions.bits import Value, be, fill, join, once, part
 from muxlake.functions.checks import with_crc
 
 
@@ -28,40 +28,40 @@ def pts_field(prefix: int, ticks: Column) -> Column:
 def packet(pid: Value, cc: Value, payload: Column | None = None, pusi: Value = 0, field: Column | None = None, tei: Value = 0) -> Column:
     """One packet of 188 bytes; field is the adaptation field after its length, which grows to fill the packet."""
     col = lambda x: x if isinstance(x, Column) else F.lit(x)
-    n_payload = F.length(payload) if payload is not None else F.lit(0)
-    n_field = F.length(field) if field is not None else F.lit(-1)
-    room = F.lit(183) - n_payload
-    has_field = (n_field >= 0) | (room >= 0)
-    size = F.when(has_field, room).otherwise(-1)
-    control = F.when(has_field, 32).otherwise(0) + (F.lit(16) if payload is not None else F.lit(0))
-    head = join(be(0x47, 1), be(col(tei) * 32768 + col(pusi) * 16384 + col(pid), 2), be(control + col(cc), 1))
-    flags = field if field is not None else F.unhex(F.lit("00"))
-    used = F.when(size > 0, F.greatest(F.length(flags), F.lit(1))).otherwise(0)
-    body = F.when(has_field, join(be(F.greatest(size, F.lit(0)), 1), F.when(size > 0, flags).otherwise(F.unhex(F.lit(""))), fill(F.greatest(size - used, F.lit(0)))))
-    parts = [head, F.coalesce(body, F.unhex(F.lit("")))]
-    return join(*parts, payload) if payload is not None else join(*parts)
+    nothing = F.unhex(F.lit(""))
+    head = join(be(0x47, 1), be(col(tei) * 32768 + col(pusi) * 16384 + col(pid), 2))
+    carries = 16 if payload is not None else 0
+
+    def built(x: Column) -> Column:
+        room = F.lit(183) - F.length(x)
+        if field is None:
+            stuffed = F.when(room > 0, join(be(room, 1), be(0, 1), fill(room - 1))).when(room == 0, be(0, 1)).otherwise(nothing)
+            return join(head, be(F.when(room >= 0, 32 + carries).otherwise(carries) + col(cc), 1), stuffed, x)
+        filled = once(field, lambda f: join(be(room, 1), f, fill(room - F.length(f))))
+        return join(head, be(32 + carries + col(cc), 1), filled, x)
+
+    return once(payload if payload is not None else nothing, built)
 
 
 def section(table_id: Value, extension: Value, body: Column, version: Value = 0, number: Value = 0, last: Value = 0) -> Column:
     """A section with the long header and its CRC."""
     col = lambda x: x if isinstance(x, Column) else F.lit(x)
-    head = join(be(table_id, 1), be(F.length(body) + 9 + 0xB000, 2), be(extension, 2), be(col(version) * 2 + 0xC1, 1), be(number, 1), be(last, 1))
-    return with_crc(join(head, body))
+    rest = join(be(extension, 2), be(col(version) * 2 + 0xC1, 1), be(number, 1), be(last, 1))
+    return with_crc(once(body, lambda x: join(be(table_id, 1), be(F.length(x) + 9 + 0xB000, 2), rest, x)))
 
 
 def descriptor(tag: int, data: Column) -> Column:
-    return join(be(tag, 1), be(F.length(data), 1), data)
+    return once(data, lambda x: join(be(tag, 1), be(F.length(x), 1), x))
 
 
 def text(column: Column, most: int = 250) -> Column:
     """A byte of length and the text."""
-    raw = F.substring(F.encode(column, "UTF-8"), 1, most)
-    return join(be(F.length(raw), 1), raw)
+    return once(F.substring(F.encode(column, "UTF-8"), 1, most), lambda x: join(be(F.length(x), 1), x))
 
 
 def loop(data: Column, flags: int = 0xF000) -> Column:
     """Twelve bits of length and the data."""
-    return join(be(F.length(data) + flags, 2), data)
+    return once(data, lambda x: join(be(F.length(x) + flags, 2), x))
 
 
 def section_packets(sections: DataFrame, key: str = "source") -> DataFrame:
@@ -74,7 +74,6 @@ def section_packets(sections: DataFrame, key: str = "source") -> DataFrame:
     order = Window.partitionBy(key, "pid").orderBy("seq", "k")
     counted = chunks.withColumn("cc", (F.row_number().over(order) - 1) % 16)
     place = Window.partitionBy(key).orderBy("seq", "pid", "k")
-    raw = part(F.col("data"), F.col("k") * 184, 184)
-    filled = join(raw, fill(F.lit(184) - F.length(raw)))
-    made = counted.select(key, "seq", "pid", "k", packet(F.col("pid"), F.col("cc"), filled, (F.col("k") == 0).cast("int")).alias("raw"))
+    raw = once(part(F.col("data"), F.col("k") * 184, 184), lambda x: join(x, fill(F.lit(184) - F.length(x))))
+    made = counted.select(key, "seq", "pid", "k", packet(F.col("pid"), F.col("cc"), raw, (F.col("k") == 0).cast("int")).alias("raw"))
     return made.select(key, ((F.row_number().over(place) - 1) * 188).cast("long").alias("byte_offset"), "raw")

@@ -152,7 +152,7 @@ SELECT event_id * 188 AS byte_offset, CAST(64 + user_id % 16 AS INTEGER) AS pid,
 def pes_time_stamps(spark, sf_dir):
     d = packets.decode(_pes_packets(spark, sf_dir))
     h = F.col("pes_header")
-    return d.select("byte_offset", "pid", h["stream_id"].cast("int").alias("stream_id"), h["pts"].alias("pts"), F.coalesce(h["dts"], F.lit(-1)).alias("dts"))
+    return d.select("byte_offset", "pid", h["stream_id"].cast("int").alias("stream_id"), "pts", F.coalesce("dts", F.lit(-1)).alias("dts"))
 
 
 def _decoded(made: DataFrame) -> DataFrame:
