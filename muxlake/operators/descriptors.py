@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from muxlake.functions.bits import bits, part, uint, walk
+from muxlake.functions.bits import bits, once, part, sint, uint, walk
 from muxlake.functions.values import bcd_minutes, dvb_text, mjd_seconds
 
 def _data() -> Column:
@@ -222,3 +222,58 @@ def group_key(descriptors: DataFrame) -> DataFrame:
     """Family, tag and extension as one text, the key of a corpus."""
     ext = F.when(F.col("ext_tag").isNotNull(), F.concat(F.lit("_ext"), F.lpad(F.hex("ext_tag"), 2, "0"))).otherwise("")
     return descriptors.withColumn("group", F.concat(F.initcap("family"), F.lit("_"), F.lpad(F.hex("tag"), 2, "0"), ext))
+
+
+def segmentations(descriptors: DataFrame) -> DataFrame:
+    """SCTE-35 0x02: restrictions, components, duration, UPID and the segment's type and numbers; null where it is cancelled."""
+    own = descriptors.where("family = 'splice' AND tag = 2")
+    live = ~(bits(_data(), 8, 0, 1) == 1)
+    program, timed, free = (bits(_data(), 9, k, 1) == 1 for k in range(3))
+    n = F.when(live & ~program, uint(_data(), 10)).otherwise(0).cast("int")
+    component = lambda k: F.struct(uint(_data(), k * 6 + 11).cast("int").alias("component"), bits(_data(), k * 6 + 12, 7, 33).alias("pts_offset"))
+    components = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), component))
+    timed_at = F.lit(10) + F.when(program, 0).otherwise(n * 6 + 1)
+    rest = once(
+        (timed_at + F.when(timed, 5).otherwise(0)).cast("int"),
+        lambda at: once((at + 2 + uint(_data(), at + 1)).cast("int"), lambda end: F.struct(
+            uint(_data(), at).cast("int").alias("upid_type"), part(_data(), at + 2, uint(_data(), at + 1)).alias("upid"),
+            uint(_data(), end).cast("int").alias("type_id"), uint(_data(), end + 1).cast("int").alias("segment"), uint(_data(), end + 2).cast("int").alias("segments"),
+        )),
+    )
+    allowed = lambda k, w: F.when(live & ~free, bits(_data(), 9, k, w))
+    out = own.select(
+        *descriptors.columns, uint(_data(), 4, 4).alias("event_id"), (~live).alias("cancelled"), F.when(live, program).alias("program"),
+        (allowed(3, 1) == 1).alias("web_allowed"), (allowed(4, 1) == 1).alias("no_regional_blackout"), (allowed(5, 1) == 1).alias("archive_allowed"),
+        allowed(6, 2).cast("int").alias("device_restrictions"), components.alias("components"),
+        F.when(live & timed, uint(_data(), timed_at.cast("int"), 5)).alias("duration"), F.when(live, rest).alias("r"),
+    )
+    return out.select(*out.columns[:-1], "r.*")
+
+
+def cells(descriptors: DataFrame) -> DataFrame:
+    """0x6C: the cells of a list with their places in 1/2^15 of a right angle, and the extents."""
+    own = descriptors.where("family = 'dvb' AND tag = 108")
+    spans = walk(_data(), 0, F.length("data"), 10, lambda pos: uint(_data(), pos + 9) + 10)
+    rows = own.select(*descriptors.columns, F.posexplode(spans).alias("item", "e"))
+    at = F.col("e.pos")
+    return rows.select(
+        *descriptors.columns, "item", uint(_data(), at, 2).cast("int").alias("cell_id"), sint(_data(), at + 2, 2).cast("int").alias("latitude"), sint(_data(), at + 4, 2).cast("int").alias("longitude"),
+        bits(_data(), at + 6, 0, 12).cast("int").alias("extent_latitude"), bits(_data(), at + 6, 12, 12).cast("int").alias("extent_longitude"), part(_data(), at + 10, uint(_data(), at + 9)).alias("subcells"),
+    )
+
+
+def cell_frequencies(descriptors: DataFrame) -> DataFrame:
+    """0x6D: the frequency of each cell in Hz, and its subcells' bytes."""
+    own = descriptors.where("family = 'dvb' AND tag = 109")
+    spans = walk(_data(), 0, F.length("data"), 7, lambda pos: uint(_data(), pos + 6) + 7)
+    rows = own.select(*descriptors.columns, F.posexplode(spans).alias("item", "e"))
+    at = F.col("e.pos")
+    return rows.select(*descriptors.columns, "item", uint(_data(), at, 2).cast("int").alias("cell_id"), (uint(_data(), at + 2, 4) * 10).alias("frequency"), part(_data(), at + 7, uint(_data(), at + 6)).alias("subcells"))
+
+
+def application_names(descriptors: DataFrame) -> DataFrame:
+    """AIT 0x01: a row for each language and name."""
+    own = descriptors.where("family = 'ait' AND tag = 1")
+    spans = walk(_data(), 0, F.length("data"), 4, lambda pos: uint(_data(), pos + 3) + 4)
+    rows = own.select(*descriptors.columns, F.posexplode(spans).alias("item", "e"))
+    return rows.select(*descriptors.columns, "item", F.decode(part(_data(), F.col("e.pos"), 3), "ISO-8859-1").alias("language"), _text(F.col("e.pos") + 3).alias("application_name"))
