@@ -9,21 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muxlake.llm import op2_decontamination, op6_secret_scan, op7_ngram_join, op8_byte_bpe, op10_quality_rules
-from muxlake.llm.common import documents, saved
+from muxlake.llm.common import documents, saved, short_batches
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects what the rules reject, and takes lines that too many documents of a host share out of the others."""
+    short_batches(spark)
     return op10_quality_rules.clean_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest doc_id of each class of similar ones."""
+    short_batches(spark)
     return op7_ngram_join.first_of_each_class(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item, whole, cut or edited."""
+    short_batches(spark)
     return op2_decontamination.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -50,15 +53,45 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Rows that go to a Python worker at once: a session's setting that operators of long texts lower.
+ROWS_AT_ONCE = ("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Let no more rows than ROWS_AT_ONCE go to a worker at once; buffers of longer batches stay with the executor's JVM."""
+    if int(spark.conf.get(ROWS_AT_ONCE[0])) > ROWS_AT_ONCE[1]:
+        spark.conf.set(*ROWS_AT_ONCE)
+
+
+def release_memory() -> None:
+    """Give back what a Python worker's allocators keep; workers stay for later tasks, and several share an executor's memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow that releases the worker's memory when a task ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            release_memory()
+
+    return df.mapInArrow(run, schema)
+
+
 def per_batch(df: DataFrame, function: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow of a function from one batch to batches."""
+    """map_batches of a function from one batch to batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 yield from function(batch)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def fold_of(column: str, folds: int):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muxlake.llm.common import documents
+from muxlake.llm.common import documents, map_batches
 
 SEED = 3
 #: Runs of which the rarest is a seed: a stretch of STRETCH + SEED - 1 unchanged words always has one.
@@ -72,7 +72,7 @@ def count_runs(docs: DataFrame, wanted: set[Gram]) -> dict[Gram, int]:
         if counts:
             yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.int32()), pa.array(counts.values(), pa.int64())], ["k", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    rows = map_batches(docs.select("text"), run, "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     found = dict(zip(rows.column("k").to_pylist(), rows.column("n").to_pylist()))
     return {g: found.get(k, 0) for g, k in number.items()}
 
@@ -189,7 +189,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD)
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "text_hash", "score", "first", "last"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return rows.mapInArrow(run, schema)
+    return map_batches(rows, run, schema)
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

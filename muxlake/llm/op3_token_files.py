@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from muxlake.llm.chunk_encoder import ChunkEncoder
-from muxlake.llm.common import documents, file_system, new_path, shared_dir
+from muxlake.llm.common import documents, file_system, map_batches, new_path, shared_dir
 
 MANIFEST = "file string, first_doc bigint, n_docs bigint, n_tokens bigint"
 
@@ -110,7 +110,7 @@ def write_token_files(
     ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sorted_docs = ordered.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = sorted_docs.mapInArrow(write, MANIFEST)
+    manifest = map_batches(sorted_docs, write, MANIFEST)
     manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
@@ -139,7 +139,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                 yield from pa.Table.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"]).to_batches()
 
     files = starts.repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file")
-    return files.mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return map_batches(files, read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

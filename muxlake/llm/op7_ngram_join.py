@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muxlake.llm.common import documents, per_batch, saved
+from muxlake.llm.common import documents, map_batches, per_batch, saved
 from muxlake.llm.components import components
 from muxlake.llm.shingles import mixed, ngram_sets, slices
 
@@ -191,7 +191,7 @@ def _links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, n: int, thresho
         if held:
             yield close()
 
-    return dealt.mapInArrow(run, "node binary, links bigint, other binary")
+    return map_batches(dealt, run, "node binary, links bigint, other binary")
 
 
 def similarity_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:

@@ -1,8 +1,8 @@
 """Operator 8, byte-level BPE: texts to ids and back by a file of ranked merges.
 
-Pieces are counted over all documents, and the FREQUENT most frequent ones are encoded once and broadcast. A task splits its
+Words are counted over all documents, and the pieces of the FREQUENT most frequent ones are encoded once and broadcast. A task splits its
 documents and keeps each other piece of a block of documents once. Spark's higher-order functions fold the merges over its byte array: the pair of lowest rank becomes one part until no pair has a rank. Ranks come from
-a literal table, looked up by hash. Decoding looks up each id's bytes in a literal array and concatenates them. Only
+a constant table, looked up by hash. Decoding looks up each id's bytes in a constant array and concatenates them. Only
 counts are shuffled; memory follows the block, not the partition.
 
 Pieces of more than FOLD_BYTES bytes are merged with a heap instead, because the fold takes quadratic time in them.
@@ -16,12 +16,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import json
 import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,21 +28,22 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muxlake.llm.common import documents, per_batch
+from muxlake.llm.common import documents, map_batches, per_batch, short_batches
 
 #: A part of a piece is one number: its id in ID bits, its first byte in PLACE bits, and the rank of its pair with the next part.
 ID, PLACE = 20, 8
 NO_RANK = 1 << ID
 #: A pair's key is its first id times KEY plus its second. It is in one of two places of the rank table, modulo these primes.
 KEY, PRIMES = 1_500_007, (262_139, 262_133)
+PLACES = ((1 << PLACE) - 1) << ID
 LONGEST = 1 << 30
 FOLD_BYTES = 200
 #: Bytes of the texts of a block.
-BLOCK_BYTES = 24_000_000
-#: The most frequent pieces, which are encoded once for all blocks: so many at most, whatever the corpus.
-FREQUENT = 300_000
-#: Distinct pieces that a task counts before it hands the counts on.
-COUNTED_AT_ONCE = 1_000_000
+BLOCK_BYTES = 8_000_000
+#: The most frequent words, whose pieces are encoded once for all blocks: so many at most, whatever the corpus.
+FREQUENT = 400_000
+#: Distinct words that a task counts before it hands the counts on.
+COUNTED_AT_ONCE = 100_000
 
 # The characters of Unicode's White_Space; letters and numbers of the ranges that re splits itself.
 _SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -105,11 +105,6 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[k : ends[k]]] for k in range(len(piece)) if alive[k]]
 
 
-def _literal(values: list, kind: str) -> Column:
-    """An array that the optimizer folds into one literal."""
-    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), kind)
-
-
 def _let(value: Column, body, kind: str = "bigint") -> Column:
     """body(value) of a kind, with value computed once. A fold's type is known without a walk through its body."""
     zero = F.lit(0) if kind == "bigint" else F.array()
@@ -133,11 +128,15 @@ def _two_places(keys: dict[int, int]) -> list[int]:
 
 
 class RankMap:
-    """Literal arrays of a rank file: first ids of bytes, bytes of ids, and the ranks of pairs of ids.
+    """Arrays of a rank file: first ids of bytes, the ranks of pairs of ids, and the bytes of ids.
 
-    An entry of the pairs' table is a key and below it the rank; a key is in either of its two places.
+    An entry of the pairs' table is a key and below it the rank; a key is in either of its two places. Every block carries the
+    arrays as columns: as literals of the query they would be printed, 3 MB at each mention, in every text of its plan.
     """
 
+    SCHEMA = "first array<bigint>, pairs array<bigint>, pieces array<binary>"
+    NAMES = ["first", "pairs", "pieces"]
+
     def __init__(self, ranks: dict[bytes, int]):
         by_rank = {r: p for p, r in ranks.items()}
         if max(by_rank) >= NO_RANK:
@@ -148,33 +147,38 @@ class RankMap:
             for k in range(1, len(piece))
             if piece[:k] in ranks and piece[k:] in ranks
         }
-        self.first = _literal([ranks[bytes([b])] for b in range(256)], "array<bigint>")
-        self.pairs = _literal(_two_places(keys), "array<bigint>")
-        self.pieces = _literal([base64.b64encode(by_rank.get(r, b"")).decode() for r in range(max(by_rank) + 1)], "array<binary>")
+        self.columns = [
+            pa.array([[ranks[bytes([b])] for b in range(256)]], pa.list_(pa.int64())),
+            pa.array([_two_places(keys)], pa.list_(pa.int64())),
+            pa.array([[by_rank.get(r, b"") for r in range(max(by_rank) + 1)]], pa.list_(pa.binary())),
+        ]
 
-    def part(self, a: Column, b: Column, place: Column) -> Column:
+    @staticmethod
+    def part(a: Column, b: Column, place: Column) -> Column:
         """The number of part a at a place, with the rank of a and b together; NO_RANK where there is none, or no b."""
 
+        number = lambda rank: F.shiftleft(F.shiftleft(rank, PLACE) + place, ID) + a
+
         def ranked(key: Column) -> Column:
-            rank = F.lit(NO_RANK).cast("bigint")
+            out = F.shiftleft(F.lit(NO_RANK << PLACE).cast("bigint") + place, ID) + a
             for prime in reversed(PRIMES):
-                entry = F.get(self.pairs, (key % prime).cast("int"))
-                rank = F.when(F.shiftright(entry, ID) == key, entry.bitwiseAND(NO_RANK - 1)).otherwise(rank)
-            return rank
+                entry = F.get(F.col("pairs"), (key % prime).cast("int"))
+                out = F.when(F.shiftright(entry, ID) == key, number(entry.bitwiseAND(NO_RANK - 1))).otherwise(out)
+            return out
 
-        return _let(_let(a * KEY + b, ranked), lambda rank: F.shiftleft(F.shiftleft(rank, PLACE) + place, ID) + a)
+        return _let(a * KEY + b, ranked)
 
-    def encode(self, data: Column) -> Column:
+    @classmethod
+    def encode(cls, data: Column) -> Column:
         """The ids of an array of byte values, of FOLD_BYTES at most.
 
         The fold's state is the array of parts. Its minimum is the pair of lowest rank, the leftmost of equal ones; what
         stands before that pair and what has taken its place get new ranks.
         """
-        first = F.transform(data, lambda b: F.get(self.first, b.cast("int")))
+        first = F.transform(data, lambda b: F.get(F.col("first"), b.cast("int")))
         none = F.array().cast("array<bigint>")
-        rest = lambda x: F.zip_with(x, F.slice(x, 2, LONGEST), lambda a, b: self.part(a, b, F.lit(0)))
-        placed = lambda x: F.transform(x, lambda y, k: y + F.shiftleft(k.cast("bigint"), ID))
-        start = _let(_let(first, rest, "array<bigint>"), placed, "array<bigint>")
+        numbers = lambda x: F.transform(x, lambda a, k: cls.part(a, F.get(x, k + 1), k.cast("bigint")))
+        start = _let(first, numbers, "array<bigint>")
         id_of = lambda x: x.bitwiseAND(NO_RANK - 1)
         place_of = lambda x: F.shiftright(x, ID).bitwiseAND((1 << PLACE) - 1)
 
@@ -183,44 +187,47 @@ class RankMap:
 
             def at(p: Column) -> Column:
                 last = F.get(s, p - 1)
-                before = F.when(p > 0, F.array(self.part(id_of(last), new, place_of(last)))).otherwise(none)
-                after = F.array(self.part(new, id_of(F.get(s, p + 2)), place))
+                before = F.when(p > 0, F.array(cls.part(id_of(last), new, place_of(last)))).otherwise(none)
+                after = F.array(cls.part(new, id_of(F.get(s, p + 2)), place))
                 head = F.when(p > 1, F.slice(s, F.lit(1), p - 1)).otherwise(none)
                 return _let(F.array(head, before, after, F.slice(s, p + 3, F.lit(LONGEST))), F.flatten, "array<bigint>")
 
-            return _let(F.size(F.filter(s, lambda x: place_of(x) < place)), at, "array<bigint>")
+            earlier = lambda cut: F.size(F.filter(s, lambda x: x.bitwiseAND(PLACES) < cut)).cast("bigint")
+            return _let(_let(low.bitwiseAND(PLACES), earlier).cast("int"), at, "array<bigint>")
 
         def step(s: Column, _: Column) -> Column:
             return _let(F.array_min(s), lambda low: F.when(low >= NO_RANK << (ID + PLACE), s).otherwise(merge(s, low)), "array<bigint>")
 
         parts = F.aggregate(F.sequence(F.lit(1), F.size(data)), start, step)
-        return F.transform(parts, lambda x: id_of(x).cast("int"))
+        ids = F.transform(parts, lambda x: id_of(x).cast("int"))
+        return F.when(F.size(data) > 0, ids).otherwise(F.array().cast("array<int>"))
 
-    def decode(self, ids: Column) -> Column:
+    @staticmethod
+    def decode(ids: Column) -> Column:
         """The bytes of an array of ids."""
-        return F.aggregate(ids, F.lit(b""), lambda out, k: F.concat(out, F.get(self.pieces, k)))
+        return F.aggregate(ids, F.lit(b""), lambda out, k: F.concat(out, F.get(F.col("pieces"), k)))
 
 
-def count_pieces(docs: DataFrame, pattern: str) -> DataFrame:
-    """(piece, n) over the whole texts of docs."""
+def count_words(docs: DataFrame) -> DataFrame:
+    """(word, n) over the whole texts of docs; words are what stands between ASCII white space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
+        counts: Counter[bytes] = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(split_pieces(text or "", pattern))
+            for text in batch.column(0):
+                counts.update((text.as_py() or "").encode("utf-8").split())
                 if len(counts) >= COUNTED_AT_ONCE:
                     yield _counted(counts)
                     counts = Counter()
         if counts:
             yield _counted(counts)
 
-    parts = docs.select("text").mapInArrow(run, "piece string, n bigint")
-    return parts.groupBy("piece").agg(F.sum("n").alias("n"))
+    parts = map_batches(docs.select("text"), run, "word binary, n bigint")
+    return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _counted(counts: Counter[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["piece", "n"])
+def _counted(counts: Counter[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"])
 
 
 def _byte_lists(raw: list[bytes]) -> pa.ListArray:
@@ -228,40 +235,62 @@ def _byte_lists(raw: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), np.uint8).astype(np.int16)))
 
 
-def frequent_pieces(docs: DataFrame, pattern: str, table: RankMap, most: int = FREQUENT) -> tuple[list[str], list[list[int]], list[bytes]]:
-    """The most frequent pieces of all texts that the fold takes, their ids and bytes; the driver holds at most so many."""
-    top = count_pieces(docs, pattern).where(F.octet_length("piece") <= FOLD_BYTES).orderBy(F.desc("n"), "piece").limit(most)
+def frequent_pieces(docs: DataFrame, pattern: str, table: RankMap, most: int) -> pa.Table:
+    """piece, written, n and bytes of the pieces of the most frequent words of all texts, as they are after a space.
+
+    The driver holds a few pieces for each of so many words.
+    """
+    top = count_words(docs).where(F.octet_length("word") < FOLD_BYTES).orderBy(F.desc("n"), "word").limit(most)
 
     def split(batch: pa.RecordBatch):
-        yield pa.RecordBatch.from_arrays([batch.column(0), _byte_lists([x.encode("utf-8") for x in batch.column(0).to_pylist()])], ["piece", "data"])
+        words = [x.decode("utf-8") for x in batch.column(0).to_pylist()]
+        pieces = list({p for w in words for p in split_pieces(f" {w}", pattern)})
+        whole = pa.array([0, len(pieces)], pa.int32())
+        lists = [pa.ListArray.from_arrays(whole, x) for x in (pa.array(pieces, pa.string()), _byte_lists([x.encode("utf-8") for x in pieces]))]
+        yield pa.RecordBatch.from_arrays([*lists, *table.columns], ["piece", "words", *RankMap.NAMES])
 
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = per_batch(top.select("piece").repartition(width), split, "piece string, data array<smallint>")
-    encoded = rows.select("piece", table.encode(F.col("data")).alias("ids"))
-    found = encoded.select("piece", "ids", table.decode(F.col("ids")).alias("bytes")).toArrow()
-    return tuple(found.column(c).to_pylist() for c in ("piece", "ids", "bytes"))
+    rows = per_batch(top.select("word").repartition(width), split, f"piece array<string>, words array<array<smallint>>, {RankMap.SCHEMA}")
+    each = F.explode(F.arrays_zip("piece", "written", "n", "bytes")).alias("x")
+    found = _folded(rows, "piece").select(each).select("x.*").toArrow().to_pandas().drop_duplicates("piece")
+    return pa.Table.from_pandas(found, preserve_index=False)
+
+
+def _folded(blocks: DataFrame, *keep: str) -> DataFrame:
+    """For the words of every block: ids in decimal with a comma behind each, their number, and the bytes that they decode to."""
+    ids = blocks.select(*keep, "pieces", F.transform("words", lambda w: RankMap.encode(w)).alias("ids"))
+    written = F.transform("ids", lambda x: F.concat(F.array_join(F.transform(x, lambda k: k.cast("string")), ","), F.lit(",")))
+    decoded = F.transform("ids", lambda x: RankMap.decode(x))
+    return ids.select(*keep, written.alias("written"), F.transform("ids", lambda x: F.size(x)).alias("n"), decoded.alias("bytes"))
 
 
-_BLOCK = "docs binary, words array<array<smallint>>, long array<binary>, uses array<binary>"
-_frequent: dict[int, tuple] = {}
+_BLOCK = f"docs binary, words array<array<smallint>>, long array<binary>, uses array<binary>, {RankMap.SCHEMA}"
+_held: dict[str, tuple] = {}
 
 
-def _held(broadcast, what: str):
-    """The frequent pieces' places, or their written ids, numbers of ids and bytes; made once in a worker."""
-    key = broadcast.value[0]
-    if (key, what) not in _frequent:
-        _frequent.clear()
-        pieces, ids, data = broadcast.value[1:]
-        places = {x: k for k, x in enumerate(pieces)}
-        _frequent[key, what] = places if what == "places" else (ids, data, *_written(ids))
-    return _frequent[key, what]
+def _unpacked(broadcast, kind: str, unpack):
+    """What a worker makes of a broadcast, made once; that of an earlier query goes."""
+    key, value = broadcast.value
+    if _held.get(kind, (None,))[0] != key:
+        _held[kind] = key, unpack(value)
+    return _held[kind][1]
 
 
-def _written(ids: list) -> tuple[list[bytes], list[int]]:
-    return [",".join(map(str, x)).encode() for x in ids], list(map(len, ids))
+def _numbered(pieces: pa.Array) -> dict[str, int]:
+    return {x: k for k, x in enumerate(pieces.to_pylist())}
 
 
-def _blocks(docs: DataFrame, pattern: str, frequent, keep: list[str]) -> DataFrame:
+def _columns(written: pa.Array, n: pa.Array, data: pa.Array) -> tuple[pa.Array, np.ndarray, pa.Array]:
+    return written.cast(pa.binary()), n.to_numpy(zero_copy_only=False).astype(np.int64), data
+
+
+def _ends(taken: pa.Array, bounds: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    """All bytes of an array, and where in them each of some ranges of its values ends."""
+    offsets = np.frombuffer(taken.buffers()[1], np.int32)[: len(taken) + 1]
+    return memoryview(taken.buffers()[2] or b""), offsets[bounds]
+
+
+def _blocks(docs: DataFrame, pattern: str, table: RankMap, frequent, keep: list[str], block_bytes: int) -> DataFrame:
     """A row for each block: its documents' kept columns, its distinct pieces that are not frequent, and each document's places.
 
     Places count the frequent pieces first.
@@ -269,17 +298,24 @@ def _blocks(docs: DataFrame, pattern: str, frequent, keep: list[str]) -> DataFra
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
-            column = batch.column(place)
-            begin = size = 0
-            for k, n in enumerate(pa.compute.binary_length(column).to_pylist()):
+            begin = 0
+            for k, n in enumerate(pa.compute.binary_length(batch.column(place)).to_pylist(), 1):
                 size += n or 0
-                if size >= BLOCK_BYTES or k + 1 == batch.num_rows:
-                    yield block(batch.slice(begin, k + 1 - begin))
-                    begin, size = k + 1, 0
-
-    def block(rows: pa.RecordBatch) -> pa.RecordBatch:
-        known = dict(_held(frequent, "places"))
+                if size >= block_bytes:
+                    yield block([*held, batch.slice(begin, k - begin)])
+                    held, begin, size = [], k, 0
+            if begin < batch.num_rows:
+                held.append(batch.slice(begin))
+        if held:
+            yield block(held)
+        _held.clear()
+
+    def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        known = _unpacked(frequent, "pieces", _numbered)
         first = len(known)
         uses = []
         for t in rows.column(place):
@@ -287,7 +323,10 @@ def _blocks(docs: DataFrame, pattern: str, frequent, keep: list[str]) -> DataFra
             for x in set(pieces).difference(known):
                 known[x] = len(known)
             uses.append(np.fromiter(map(known.__getitem__, pieces), np.int32, len(pieces)).tobytes())
-        raw = [x.encode("utf-8") for x in islice(known, first, None)]
+        own = list(islice(known, first, None))
+        for x in own:
+            del known[x]
+        raw = [x.encode("utf-8") for x in own]
         words = _byte_lists([x if len(x) <= FOLD_BYTES else b"" for x in raw])
         sink = pa.BufferOutputStream()
         kept = rows.select(keep)
@@ -298,74 +337,85 @@ def _blocks(docs: DataFrame, pattern: str, frequent, keep: list[str]) -> DataFra
             pa.ListArray.from_arrays(pa.array([0, len(raw)], pa.int32()), words),
             pa.array([[x for x in raw if len(x) > FOLD_BYTES]], pa.list_(pa.binary())),
             pa.array([uses], pa.list_(pa.binary())),
+            *table.columns,
         ]
-        return pa.RecordBatch.from_arrays(columns, ["docs", "words", "long", "uses"])
+        return pa.RecordBatch.from_arrays(columns, ["docs", "words", "long", "uses", *RankMap.NAMES])
 
-    return docs.mapInArrow(run, _BLOCK)
+    return map_batches(docs, run, _BLOCK)
 
 
-def _encoded(docs: DataFrame, keep: list[str], path: str, pattern: str, schema: str, finish) -> DataFrame:
-    """finish(kept columns, uses, ids, bytes, written ids and their numbers of the pieces) of every block, as batches of the schema."""
+def _encoded(docs: DataFrame, keep: list[str], path: str, pattern: str, schema: str, finish, most: int, block_bytes: int) -> DataFrame:
+    """finish(kept columns, numbers of ids, and bytes with the ends of each document: written ids and decoded text) of every block, as batches of the schema, a part of a block at a time."""
     ranks = read_ranks(path)
     table = RankMap(ranks)
-    spark = docs.sparkSession
-    frequent = spark.sparkContext.broadcast((uuid.uuid4().int, *frequent_pieces(docs, pattern, table)))
-    encoded = _blocks(docs, pattern, frequent, keep).select(
-        "docs", F.transform("words", lambda w: table.encode(w)).alias("ids"), "long", "uses"
-    )
-    decoded = encoded.select("docs", "ids", F.transform("ids", lambda x: table.decode(x)).alias("bytes"), "long", "uses")
+    short_batches(docs.sparkSession)
+    share = docs.sparkSession.sparkContext.broadcast
+    common, key = frequent_pieces(docs, pattern, table, most), uuid.uuid4().hex
+    parts = [common.column(c).combine_chunks() for c in ("piece", "written", "n", "bytes")]
+    pieces, encoded = share((key, parts[0])), share((key, parts[1:]))
+    folded = _folded(_blocks(docs, pattern, table, pieces, keep, block_bytes), "docs", "long", "uses")
 
     def run(batch: pa.RecordBatch):
-        common = _held(frequent, "ids")
+        common = _unpacked(encoded, "encoded", lambda x: _columns(*x))
         for k in range(batch.num_rows):
             row = batch.slice(k, 1)
-            ids = row.column("ids").flatten().to_pylist()
-            data = row.column("bytes").flatten().to_pylist()
+            written, n, data = _columns(*(row.column(c).flatten() for c in ("written", "n", "bytes")))
             long = iter(row.column("long")[0].as_py())
             if len(row.column("long")[0]):
-                pieces = {r: p for p, r in ranks.items()}
-                for j, x in enumerate(ids):
-                    if not x:
-                        ids[j] = merge_long(next(long), ranks)
-                        data[j] = b"".join(map(pieces.__getitem__, ids[j]))
+                by_rank = {r: p for p, r in ranks.items()}
+                w, d = written.to_pylist(), data.to_pylist()
+                for j in np.flatnonzero(n == 0):
+                    ids = merge_long(next(long), ranks)
+                    w[j], n[j], d[j] = (",".join(map(str, ids)) + ",").encode(), len(ids), b"".join(map(by_rank.__getitem__, ids))
+                written, data = pa.array(w, pa.binary()), pa.array(d, pa.binary())
             rows = pa.ipc.open_stream(row.column("docs")[0].as_buffer()).read_next_batch()
-            uses = (np.frombuffer(x.as_buffer(), np.int32).tolist() for x in row.column("uses")[0].values)
-            written, n = _written(ids)
-            yield finish(rows, uses, *(a + b for a, b in zip(common, (ids, data, written, n))))
+            written, data = (pa.concat_arrays([a, b]) for a, b in ((common[0], written), (common[2], data)))
+            n = np.concatenate([common[1], n])
+            places = row.column("uses")[0].values
+            for at in range(0, rows.num_rows, 500):
+                uses = [np.frombuffer(x.as_buffer(), np.int32) for x in places.slice(at, 500)]
+                bounds = np.cumsum([0, *map(len, uses)])
+                u = np.concatenate(uses)
+                counts = np.diff(np.concatenate([[0], np.cumsum(n[u])])[bounds])
+                yield finish(rows.slice(at, 500), counts, *(_ends(x.take(pa.array(u)), bounds) for x in (written, data)))
+
+    def run_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from run(batch)
+        _held.clear()
 
-    return per_batch(decoded, run, schema)
+    return map_batches(folded, run_all, schema)
 
 
 def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row of docs(doc_id, text)."""
 
-    def finish(rows: pa.RecordBatch, uses, ids: list, data: list, written: list, n: list) -> pa.RecordBatch:
-        out: tuple[list, list, list] = ([], [], [])
-        for u in uses:
-            out[0].append(sum([n[j] for j in u]))
-            out[1].append(hashlib.sha256(b",".join([written[j] for j in u])).hexdigest())
-            out[2].append(hashlib.sha256(b"".join([data[j] for j in u])).hexdigest())
-        columns = [rows.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
+    def finish(rows: pa.RecordBatch, counts: np.ndarray, written: tuple, data: tuple) -> pa.RecordBatch:
+        ids = [hashlib.sha256(written[0][a : max(a, b - 1)]).hexdigest() for a, b in pairwise(written[1].tolist())]
+        texts = [hashlib.sha256(data[0][a:b]).hexdigest() for a, b in pairwise(data[1].tolist())]
+        columns = [rows.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _encoded(rows, ["doc_id"], path, pattern, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", finish)
+    return _encoded(rows, ["doc_id"], path, pattern, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", finish, FREQUENT, BLOCK_BYTES)
 
 
 def with_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """docs with the columns token_ids (array<int>) and decoded (the text that the ids stand for)."""
+    """docs with the columns token_ids (array<int>) and decoded (the text that the ids stand for).
+
+    Its blocks hold whole rows, so they and the broadcast pieces are smaller than those of encode_digests.
+    """
 
-    def finish(rows: pa.RecordBatch, uses, ids: list, data: list, written: list, n: list) -> pa.RecordBatch:
-        tokens, texts = [], []
-        for u in uses:
-            tokens.append(list(chain.from_iterable([ids[j] for j in u])))
-            texts.append(b"".join([data[j] for j in u]).decode("utf-8"))
+    def finish(rows: pa.RecordBatch, counts: np.ndarray, written: tuple, data: tuple) -> pa.RecordBatch:
+        values = np.fromstring(bytes(written[0][written[1][0] : written[1][-1]]), np.int32, sep=",")
+        tokens = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), pa.array(values))
+        texts = [str(data[0][a:b], "utf-8") for a, b in pairwise(data[1].tolist())]
         names = [*rows.schema.names, "token_ids", "decoded"]
-        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(tokens, pa.list_(pa.int32())), pa.array(texts, pa.string())], names)
+        return pa.RecordBatch.from_arrays([*rows.columns, tokens, pa.array(texts, pa.string())], names)
 
     kept = docs.drop("token_ids", "decoded")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return _encoded(kept, kept.columns, path, pattern, f"{schema}, token_ids array<int>, decoded string", finish)
+    return _encoded(kept, kept.columns, path, pattern, f"{schema}, token_ids array<int>, decoded string", finish, FREQUENT // 4, BLOCK_BYTES // 2)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,10 +17,9 @@ def library():
 
 
 @pytest.mark.parametrize("table", ["small", "odd", "empty"])
-@pytest.mark.parametrize("frequent", [300_000, 50])
+@pytest.mark.parametrize("frequent", [400_000, 50])
 def test_digests(table, frequent, request, library, monkeypatch):
     monkeypatch.setattr(op, "FREQUENT", frequent)
-    monkeypatch.setattr(op.frequent_pieces, "__defaults__", (frequent,))
     docs = request.getfixturevalue(table)
     want = []
     for r in docs.collect():
