@@ -1,8 +1,10 @@
 """Operator 10, quality rules: counts of a text, and the lines that too many documents of one host share.
 
 Normalised lines (lower case, single spaces) are hashed, and for each host the distinct documents of a line
-are counted. Documents whose line has the same neighbours count once, so the copies of a document do not
-condemn its lines. Lines above the limit are removed; a document that loses too much is rejected.
+are counted. clean_documents, and the pipeline with it, counts documents of different contents (all normalised lines in
+their order), so only the copies of a document do not condemn its lines; near copies count one by one.
+The query keeps to its registered SQL, which counts the different neighbours of a line: it misses the inner lines of a block
+that documents share. Lines above the limit are removed; a document that loses too much is rejected.
 
 Defined cases: a null text has no words and fails; a null host is a host of its own; null and repeated doc_ids
 keep one result a row; texts of any length are read whole; an empty table gives an empty result; other columns are
@@ -35,7 +37,7 @@ MIN_WORDS_LEFT = 5
 _ODD = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(WINDOW)], np.uint64)
 _MEASURES = (
     "doc_id bigint, host string, text_hash bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
-    "n_repeat_words bigint, lines array<struct<line:bigint,around:bigint,words:int>>"
+    "n_repeat_words bigint, content bigint, lines array<struct<line:bigint,around:bigint,words:int>>"
 )
 
 
@@ -105,6 +107,7 @@ def _measure(text: str):
         sum(map(text.count, SYMBOLS)),
         dup,
         repeated_words(words),
+        _signed(np.array(hashes, np.int64).tobytes()),
     )
     return measures, found
 
@@ -124,12 +127,15 @@ def _measures(batch: pa.RecordBatch):
         columns = [part.column("doc_id"), part.column("host"), part.column("text_hash")]
         columns += [pa.array(c, pa.int64()) for c in zip(*(m for m, _ in rows))]
         columns.append(pa.ListArray.from_arrays(pa.array(offsets), entries))
-        names = ["doc_id", "host", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"]
+        names = ["doc_id", "host", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "content", "lines"]
         yield pa.RecordBatch.from_arrays(columns, names)
 
 
-def judged(docs: DataFrame, max_line_docs: int = MAX_LINE_DOCS) -> DataFrame:
-    """A row for each row of docs(doc_id, text, source): its measures, base_failed, kept, and the lines to remove."""
+def judged(docs: DataFrame, max_line_docs: int = MAX_LINE_DOCS, counted: str = "around") -> DataFrame:
+    """A row for each row of docs(doc_id, text, source): its measures, base_failed, kept, and the lines to remove.
+
+    counted: what is counted for a line of a host, "content" for distinct documents, "around" for distinct neighbours, as the SQL does.
+    """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"),
@@ -137,9 +143,9 @@ def judged(docs: DataFrame, max_line_docs: int = MAX_LINE_DOCS) -> DataFrame:
         "text",
     )
     measured = saved(per_batch(rows, _measures, _MEASURES).withColumn("row", F.monotonically_increasing_id()), "measures")
-    lines = measured.select("row", "host", F.explode("lines").alias("l")).select("row", "host", "l.line", "l.around", "l.words")
+    lines = measured.select("row", "host", "content", F.explode("lines").alias("l")).select("row", "host", "content", "l.line", "l.around", "l.words")
     frequent = (
-        lines.groupBy("host", "line").agg(F.countDistinct("around").alias("n_docs"))
+        lines.groupBy("host", "line").agg(F.countDistinct(counted).alias("n_docs"))
         .where(F.col("n_docs") > max_line_docs).select("host", "line")
     )
     removed = (
@@ -159,7 +165,7 @@ def judged(docs: DataFrame, max_line_docs: int = MAX_LINE_DOCS) -> DataFrame:
 
 def clean_documents(docs: DataFrame, max_line_docs: int = MAX_LINE_DOCS) -> DataFrame:
     """The rows of docs that are kept, all columns, their texts without the removed lines and n_chars counted anew."""
-    verdict = judged(docs, max_line_docs).where("kept").select(
+    verdict = judged(docs, max_line_docs, "content").where("kept").select(
         F.col("doc_id").alias("v_id"), F.col("text_hash").alias("v_hash"), F.col("removed").alias("v_removed")
     )
     verdict = verdict.dropDuplicates(["v_id", "v_hash", "v_removed"])

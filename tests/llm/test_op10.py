@@ -67,3 +67,18 @@ def test_shared_line_goes_and_copies_stay(spark):
 def test_clean_documents_keeps_columns(odd):
     out = op.clean_documents(odd)
     assert out.columns == odd.columns and out.count() == len([r for r in odd.collect() if not base(r.text)[5]])
+
+
+def test_inner_lines_of_a_shared_block_go(spark):
+    words = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    block = "\n".join(f"clause {j} of the licence" for j in range(5))
+    rows = [(k, f"{words(k)}\n{block}\n{words(k + 1000)}", "s") for k in range(20)]
+    rows += [(100 + k, f"{words(k + 2000)}\n{block}", "t") for k in range(12)]
+    rows += [(200 + k, f"only{k} a b c d\n" + "\n".join(f"{words(3000 + j)}" for j in range(5)), "u") for k in range(13)]
+    rows += [(300 + k, f"{words(5000)}\n{block}\n{words(6000)}", "v") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {r.doc_id: r.text for r in op.clean_documents(docs).collect()}
+    assert all(out[k] == f"{words(k)}\n{words(k + 1000)}" for k in range(20))
+    assert all(out[100 + k] == f"{words(k + 2000)}\n{block}" for k in range(12))
+    assert not any(200 + k in out for k in range(13))
+    assert all(out[300 + k] == rows[45][1] for k in range(20))
