@@ -1,9 +1,10 @@
-"""Operator 2, benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of passages to items.
+"""Operator 2, benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of passages to items.
 
-Every run of SEED words of an item is counted over all documents. In each stretch of the item the rarest run is a seed, so that an item of
-common words has seeds too. Documents are scanned for seeds; the passage around a hit, as long as the item and a margin, is aligned to
-the item word by word, and the alignment's score over that of a perfect one decides. Copies, edited and
-cut items are found where an unchanged stretch is left.
+Every run of SEED words of an item is a seed, rare or common: a choice among them would miss the copies in which only the others are
+left. Documents are scanned for seeds; the passage around a hit, as long as the item and a margin, is aligned to
+the item word by word, and the alignment's score over that of a perfect one decides. Passages that share too few words with the item to
+reach the threshold in any order are left out first, which makes hits of common runs cheap and loses nothing. Copies, edited and
+cut items are found where SEED unchanged words in a row are left.
 
 Defined cases: null and empty texts have no hits; items without words, or null, match nothing; an item of fewer than SEED words is one
 run of all of them; null and repeated doc_ids are rows like others; equal items each get their rows; empty tables give an
@@ -24,8 +25,6 @@ from pyspark.sql import functions as F
 from muxlake.llm.common import documents, map_batches
 
 SEED = 3
-#: Runs of which the rarest is a seed: a stretch of STRETCH + SEED - 1 unchanged words always has one.
-STRETCH = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least share of a perfect alignment's score.
 THRESHOLD = 0.5
@@ -56,27 +55,6 @@ def _runs(words: list[bytes]) -> list[Gram]:
     return grams_of(words, SEED) if len(words) >= SEED else [tuple(words)]
 
 
-def count_runs(docs: DataFrame, wanted: set[Gram]) -> dict[Gram, int]:
-    """In how many documents each wanted run is; at most one row a run comes from a task, and all documents count."""
-    number = {g: k for k, g in enumerate(sorted(wanted))}
-    by_size = _by_size(number)
-    shared = docs.sparkSession.sparkContext.broadcast(by_size)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[int] = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words = words_of(text)
-                for n, grams in shared.value.items():
-                    counts.update(map(grams.__getitem__, grams.keys() & zip(*(words[k:] for k in range(n)))))
-        if counts:
-            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.int32()), pa.array(counts.values(), pa.int64())], ["k", "n"])
-
-    rows = map_batches(docs.select("text"), run, "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
-    found = dict(zip(rows.column("k").to_pylist(), rows.column("n").to_pylist()))
-    return {g: found.get(k, 0) for g, k in number.items()}
-
-
 def _by_size(grams) -> dict[int, dict]:
     out: dict[int, dict] = defaultdict(dict)
     for g in grams:
@@ -84,15 +62,19 @@ def _by_size(grams) -> dict[int, dict]:
     return dict(out)
 
 
-def choose_seeds(items: list, counts: dict[Gram, int]) -> dict[Gram, list[tuple[int, int]]]:
-    """Seeds with the (item, word) places they have: the rarest run of every stretch, the first of equally rare ones."""
-    seeds: dict[Gram, set] = defaultdict(set)
+def choose_seeds(items: list) -> dict[Gram, list[tuple[int, int]]]:
+    """Seeds with the (item, word) places they have: every run of every item."""
+    seeds: dict[Gram, list] = defaultdict(list)
     for k, (_, words) in enumerate(items):
-        runs = _runs(words)
-        for at in range(max(1, len(runs) - STRETCH + 1)):
-            best = min(range(at, min(at + STRETCH, len(runs))), key=lambda j: (counts[runs[j]], j))
-            seeds[runs[best]].add((k, best))
-    return {g: sorted(p) for g, p in seeds.items()}
+        for at, g in enumerate(_runs(words)):
+            seeds[g].append((k, at))
+    return dict(seeds)
+
+
+def most_matches(item: Counter, passage: list[int]) -> int:
+    """The words that item and passage have in common, in any order: no alignment has more matches."""
+    found = Counter(passage)
+    return sum(min(n, found[w]) for w, n in item.items())
 
 
 def smith_waterman(item: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,8 +107,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD)
     known = read_items(items)
     if not known:
         return spark.createDataFrame([], schema)
-    counts = count_runs(docs, {g for _, w in known for g in _runs(w)})
-    seeds = choose_seeds(known, counts)
+    seeds = choose_seeds(known)
     number = {w: k for k, w in enumerate(sorted({x for _, ws in known for x in ws}), 1)}
     coded = [np.array([number[x] for x in ws], np.int32) for _, ws in known]
     shared = spark.sparkContext.broadcast((_by_size(seeds), [i for i, _ in known], coded, number))
@@ -171,11 +152,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD)
         by_size, names, coded, number = shared.value
         for batch in batches:
             todo: dict[int, list] = defaultdict(list)
+            least = {}
             for row, text in enumerate(batch.column("text").to_pylist()):
                 words = words_of(text)
                 for item, begins in hits(words, by_size).items():
+                    if item not in least:
+                        least[item] = Counter(coded[item].tolist()), threshold * len(coded[item])
+                    own, enough = least[item]
                     for low, high in windows(begins, len(coded[item]), len(words)):
-                        todo[item].append((row, [number.get(w, 0) for w in words[low:high]], low))
+                        passage = [number.get(w, 0) for w in words[low:high]]
+                        if most_matches(own, passage) >= enough:
+                            todo[item].append((row, passage, low))
             best: dict[tuple[int, int], tuple] = {}
             for row, item, score, first, last in align(todo, coded):
                 if score > best.get((row, item), (0.0,))[0]:

@@ -66,6 +66,23 @@ def test_planted_copies(spark):
     assert {r.doc_id for r in clean.collect()} == {*range(45, 60), 70, 71}
 
 
+@pytest.mark.parametrize("step", [4, 5])
+def test_every_few_words_edited(spark, step):
+    rng = random.Random(step)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 4)))
+    prose = lambda n: [word() for _ in range(n)]
+    items = [(k, " ".join(prose(40))) for k in range(10)]
+    docs = []
+    for k in range(10):
+        for phase in {0, k % step} if k % 2 else {k % step}:
+            body = [f"new{j}" if j % step == phase else x for j, x in enumerate(items[k][1].split())]
+            docs += [(100 * k + 10 * phase + j, " ".join(prose(60) + body + prose(60))) for j in range(1 if phase else 3)]
+    rows = op.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute(docs, items)
+    assert {(d, d // 100) for d, _ in docs} <= want
+    assert {(r.doc_id, r.item_id) for r in rows} == want
+
+
 def test_common_items_have_seeds_too(spark):
     text = " ".join(f"w{k}" for k in range(40))
     docs = spark.createDataFrame([(k, f"x{k} {text} y{k}") for k in range(300)], "doc_id long, text string")
