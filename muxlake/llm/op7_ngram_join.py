@@ -104,8 +104,8 @@ def _ties(nodes: DataFrame) -> DataFrame:
     return rows.join(first, "band").where("key <> a").select("a", F.col("key").alias("b")).distinct()
 
 
-def _similar(sets: list[np.ndarray], block: np.ndarray, threshold: float) -> np.ndarray:
-    """Which pairs are similar: all of one block, or only those between two."""
+def _similar(sets: list[np.ndarray], block: np.ndarray, two: bool, threshold: float) -> np.ndarray:
+    """Which pairs are similar: all of one block, or only those between two blocks."""
     sizes = np.array([len(s) for s in sets], np.int64)
     owner = np.repeat(np.arange(len(sets)), sizes)
     _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -125,13 +125,18 @@ def _similar(sets: list[np.ndarray], block: np.ndarray, threshold: float) -> np.
     union = sizes[:, None] + sizes[None, :] - common
     linked = common >= threshold * union - 1e-9
     np.fill_diagonal(linked, False)
-    if block.min() != block.max():
+    if two:
         linked &= block[:, None] != block[None, :]
     return linked
 
 
-def _verify(keys: list[bytes], copies: np.ndarray, block: np.ndarray, texts: list[str], n: int, threshold: float):
-    """Rows (node, links, other): links counts copies; other is a node of the same part of the forest, or null."""
+def _verify(keys: list[bytes], copies: np.ndarray, block: np.ndarray, two: bool, texts: list[str], n: int, threshold: float):
+    """Rows (node, links, other): links counts copies; other is a node of the same part of the forest, or null.
+
+    two: the task has a pair of blocks. One of them may have no node, and then there is no pair between them.
+    """
+    if two and block.min() == block.max():
+        return [], [], []
     first = {k: i for i, k in reversed(list(enumerate(keys)))}
     own = sorted(first.values())
     keys, copies, block = [keys[i] for i in own], copies[own], block[own]
@@ -141,7 +146,7 @@ def _verify(keys: list[bytes], copies: np.ndarray, block: np.ndarray, texts: lis
         sets += ngram_sets(picked[a:b], n)
     if len(sets) < 2:
         return [], [], []
-    linked = _similar(sets, block, threshold)
+    linked = _similar(sets, block, two, threshold)
     links = linked @ copies
     part = np.arange(len(keys))
     while True:
@@ -177,7 +182,7 @@ def _links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, n: int, thresho
 
         def close():
             keys, copies, block, texts = zip(*held)
-            found = _verify(list(keys), np.array(copies, np.int64), np.array(block), list(texts), n, threshold)
+            found = _verify(list(keys), np.array(copies, np.int64), np.array(block), group[1] < group[2], list(texts), n, threshold)
             return pa.RecordBatch.from_arrays([pa.array(found[0], pa.binary()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.binary())], ["node", "links", "other"])
 
         for batch in batches:

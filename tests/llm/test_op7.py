@@ -71,6 +71,16 @@ def test_large_group_in_blocks(spark, monkeypatch):
     assert found(docs) == brute(rows)
 
 
+def test_few_texts_in_more_blocks(spark, monkeypatch):
+    monkeypatch.setattr(op, "BLOCK_NGRAMS", 60)
+    rows = []
+    for c in range(20):
+        words = [f"c{c}w{k}" for k in range(100)]
+        rows += [(10 * c + k, " ".join([*words, f"c{c}x{k}"])) for k in range(2 + c % 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(docs) == brute(rows)
+
+
 def test_first_of_each_class(spark, odd):
     out = op.first_of_each_class(odd)
     assert out.columns == odd.columns
