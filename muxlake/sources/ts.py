@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "source string, byte_offset bigint, raw binary"
 SYNC, RUN, PROBE = 0x47, 4, 2040
@@ -102,10 +102,13 @@ class TsReader(DataSourceReader):
         self.path, self.options = options["path"], options
 
     def partitions(self) -> list[Range]:
+        return self.ranges(list_files(self.path))
+
+    def ranges(self, files: list[pa.fs.FileInfo]) -> list[Range]:
         out: list[Range] = []
         step = int(float(self.options.get("range_mb", 64)) * 1_000_000)
         fs, _ = file_system(self.path)
-        for info in list_files(self.path):
+        for info in files:
             if info.size < int(self.options.get("min_bytes", PROBE)):
                 continue
             with fs.open_input_file(info.path) as f:
@@ -122,32 +125,31 @@ class TsReader(DataSourceReader):
         yield from read_range(partition)
 
 
-class TsStreamReader(SimpleDataSourceStreamReader):
-    """New files of a folder, in the order of their names; the offset is the last name read."""
+class TsStreamReader(DataSourceStreamReader):
+    """New files of a folder, whatever their names; the offset is the list of the files that are there.
+
+    The driver only lists and probes files; ranges are read by tasks, as in a batch. A file that is gone before its batch is planned is an error.
+    """
 
     def __init__(self, options: dict):
         self.options = options
 
     def initialOffset(self) -> dict:
-        return {"after": ""}
+        return {"files": []}
 
-    def _rows(self, after: str, until: str | None):
-        rows, last = [], after
-        for info in list_files(self.options["path"]):
-            if info.path <= after or (until is not None and info.path > until):
-                continue
-            for part in TsReader({**self.options, "path": info.path}).partitions():
-                for batch in read_range(part):
-                    rows += list(zip(*(batch.column(c).to_pylist() for c in range(3))))
-            last = info.path
-        return rows, last
+    def latestOffset(self) -> dict:
+        return {"files": [info.path for info in list_files(self.options["path"])]}
 
-    def read(self, start: dict):
-        rows, last = self._rows(start["after"], None)
-        return iter(rows), {"after": last}
+    def partitions(self, start: dict, end: dict) -> list[Range]:
+        seen = set(start["files"])
+        fs, _ = file_system(self.options["path"])
+        files = fs.get_file_info([path for path in end["files"] if path not in seen])
+        if gone := [info.path for info in files if not info.is_file]:
+            raise FileNotFoundError(f"files of a planned batch are gone: {gone}")
+        return TsReader(self.options).ranges(files)
 
-    def readBetweenOffsets(self, start: dict, end: dict):
-        return iter(self._rows(start["after"], end["after"])[0])
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        yield from read_range(partition)
 
     def commit(self, end: dict) -> None:
         pass
@@ -164,7 +166,7 @@ class TsSource(DataSource):
     def reader(self, schema) -> TsReader:
         return TsReader(dict(self.options))
 
-    def simpleStreamReader(self, schema) -> TsStreamReader:
+    def streamReader(self, schema) -> TsStreamReader:
         return TsStreamReader(dict(self.options))
 
 

@@ -162,6 +162,27 @@ def test_stream_equals_batch(spark, tmp_path):
     assert seen == {r.pid: (r.n_packets, r.cc_errors) for r in batch}
 
 
+def test_late_file_of_a_smaller_name(spark, tmp_path):
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    data = b"".join(b"\x47" + bytes([0, k]) + b"\x10" + bytes(184) for k in range(40))
+    ts.register(spark)
+    read = spark.readStream.format("ts").option("range_mb", 0.002).load(str(folder))
+
+    def run():
+        return read.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(out).awaitTermination(120)
+
+    for name in ("b.ts", "a.ts", "c.ts"):
+        (folder / name).write_bytes(data)
+        assert run()
+    got = spark.read.parquet(out)
+    assert {r.source[-4:]: r["count"] for r in got.groupBy("source").count().collect()} == {"a.ts": 40, "b.ts": 40, "c.ts": 40}
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, spark.read.format("ts").load(str(folder)).collect()))
+    reader = ts.TsStreamReader({"path": str(folder), "range_mb": "0.002"})
+    planned = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    assert len(planned) > 3 and all(isinstance(p, ts.Range) for p in planned)
+
+
 def test_windows_by_hand(spark):
     """Greedy windows, bytes of the closing packet, a discontinuity and a wrap."""
     ticks = [(1 << 33) * 300 - 100, None, 50, None, 27_000_000 - 20, None, 27_000_000 + 10]
