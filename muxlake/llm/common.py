@@ -11,35 +11,82 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the word contracts: the six ASCII characters that bytes.split() splits at.
 WHITE = r"\x20\x09-\x0D"
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a new temporary one only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir).
+
+    Where it is unset, a local session gets a temporary folder of its own; a cluster's executors would not see that, so there it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="muxlake-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(found)
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        app = context.applicationId
+        if app not in _local_dirs:
+            _local_dirs[app] = "file://" + tempfile.mkdtemp(prefix="muxlake-")
+        found = _local_dirs[app]
     return found.rstrip("/")
 
 
+_scratch: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder, or in the innermost scratch folder, that no other call uses."""
+    return f"{_scratch[-1] if _scratch else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What new_path names inside goes at the end; results of the body have to be written elsewhere before."""
+    folder = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    _scratch.append(folder)
+    try:
+        yield
+    finally:
+        _scratch.pop()
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder as Parquet and read again: later stages then survive lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
+    return written(df, new_path(df.sparkSession, name))
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """df, written to path as Parquet and read again."""
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, in any case: what an operator joins or adds never meets a user's column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        new, k = f"_{name}", 0
+        while new.lower() in taken:
+            k += 1
+            new = f"_{name}_{k}"
+        taken.add(new.lower())
+        out.append(new)
+    return out
+
+
+def cols(*names: str) -> list[Column]:
+    """Columns by their whole names, dots and all."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
 
 
 def file_system(uri: str) -> tuple[pa.fs.FileSystem, str]:

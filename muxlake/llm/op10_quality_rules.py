@@ -1,14 +1,13 @@
 """Operator 10, quality rules: counts of a text, and the lines that too many documents of one host share.
 
 Normalised lines (lower case, single spaces) are hashed, and for each host the distinct documents of a line
-are counted. clean_documents, and the pipeline with it, counts documents of different contents (all normalised lines in
-their order), so only the copies of a document do not condemn its lines; near copies count one by one.
-The query keeps to its registered SQL, which counts the different neighbours of a line: it misses the inner lines of a block
-that documents share. Lines above the limit are removed; a document that loses too much is rejected.
-
-Defined cases: a null text has no words and fails; a null host is a host of its own; null and repeated doc_ids
-keep one result a row; texts of any length are read whole; an empty table gives an empty result; other columns are
-ignored, or carried along by clean_documents.
+are counted. Documents are told apart by their contents (a digest of all normalised lines in their order), so exact copies
+count as one and do not condemn the lines of the document they copy; near copies count one by one. Lines above the limit are
+removed; a document that loses too much is rejected.
+
+Defined cases: a null text has no words and fails; a null host is the host ''; null and repeated doc_ids
+keep one result a row, each by its own host; texts of any length are read whole; an empty table gives an empty result; other
+columns are ignored, or carried along by clean_documents whatever their names are.
 """
 
 from __future__ import annotations
@@ -18,10 +17,10 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muxlake.llm.common import documents, per_batch, saved
+from muxlake.llm.common import cols, documents, fresh, per_batch, saved
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\r\x0b\x0c"
@@ -37,7 +36,7 @@ MIN_WORDS_LEFT = 5
 _ODD = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(WINDOW)], np.uint64)
 _MEASURES = (
     "doc_id bigint, host string, text_hash bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
-    "n_repeat_words bigint, content bigint, lines array<struct<line:bigint,around:bigint,words:int>>"
+    "n_repeat_words bigint, content bigint, lines array<struct<line:bigint,words:int>>"
 )
 
 
@@ -92,15 +91,9 @@ def _measure(text: str):
             first.add(line)
         hashes.append(_signed(normal))
         counts.append(normal.count(b" ") + 1)
-    found: dict[int, tuple[int, int]] = {}
-    before, last = 0, len(hashes) - 1
-    for k, h in enumerate(hashes):
-        after = hashes[k + 1] if k < last else 0
-        if h in found:
-            found[h] = (found[h][0], found[h][1] + counts[k])
-        else:
-            found[h] = (((before * 31) ^ after) & 0x7FFFFFFFFFFFFFFF, counts[k])
-        before = h
+    found: dict[int, int] = {}
+    for h, n in zip(hashes, counts):
+        found[h] = found.get(h, 0) + n
     measures = (
         len(words),
         len(text) - sum(map(text.count, SPACES)),
@@ -119,11 +112,8 @@ def _measures(batch: pa.RecordBatch):
         rows = [_measure(t) for t in texts]
         offsets = np.cumsum([0, *(len(f) for _, f in rows)]).astype(np.int32)
         line = list(chain.from_iterable(f for _, f in rows))
-        rest = list(chain.from_iterable(f.values() for _, f in rows))
-        entries = pa.StructArray.from_arrays(
-            [pa.array(line, pa.int64()), pa.array([a for a, _ in rest], pa.int64()), pa.array([n for _, n in rest], pa.int32())],
-            ["line", "around", "words"],
-        )
+        n_words = list(chain.from_iterable(f.values() for _, f in rows))
+        entries = pa.StructArray.from_arrays([pa.array(line, pa.int64()), pa.array(n_words, pa.int32())], ["line", "words"])
         columns = [part.column("doc_id"), part.column("host"), part.column("text_hash")]
         columns += [pa.array(c, pa.int64()) for c in zip(*(m for m, _ in rows))]
         columns.append(pa.ListArray.from_arrays(pa.array(offsets), entries))
@@ -131,25 +121,21 @@ def _measures(batch: pa.RecordBatch):
         yield pa.RecordBatch.from_arrays(columns, names)
 
 
-def judged(docs: DataFrame, max_line_docs: int = MAX_LINE_DOCS, counted: str = "around") -> DataFrame:
-    """A row for each row of docs(doc_id, text, source): its measures, base_failed, kept, and the lines to remove.
+def judged(docs: DataFrame, max_line_docs: int = MAX_LINE_DOCS) -> DataFrame:
+    """A row for each row of docs(doc_id, text, source): its host, measures, base_failed, kept, and the lines to remove.
 
-    counted: what is counted for a line of a host, "content" for distinct documents, "around" for distinct neighbours, as the SQL does.
+    The lines above the limit are saved, so Spark knows their size: it broadcasts them where they are few.
     """
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"),
-        F.xxhash64("text").alias("text_hash"),
-        "text",
-    )
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), host_of("source").alias("host"), F.xxhash64("text").alias("text_hash"), "text")
     measured = saved(per_batch(rows, _measures, _MEASURES).withColumn("row", F.monotonically_increasing_id()), "measures")
-    lines = measured.select("row", "host", "content", F.explode("lines").alias("l")).select("row", "host", "content", "l.line", "l.around", "l.words")
-    frequent = (
-        lines.groupBy("host", "line").agg(F.countDistinct(counted).alias("n_docs"))
-        .where(F.col("n_docs") > max_line_docs).select("host", "line")
+    lines = measured.select("row", "host", "content", F.explode("lines").alias("l")).select("row", "host", "content", "l.line", "l.words")
+    often = saved(
+        lines.select("host", "line", "content").distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs"))
+        .where(F.col("n_docs") > max_line_docs).select("host", "line"),
+        "often",
     )
     removed = (
-        lines.join(frequent, ["host", "line"], "left_semi")
+        lines.join(often, ["host", "line"], "left_semi")
         .groupBy("row").agg(F.sum("words").alias("n_removed_words"), F.sort_array(F.collect_set("line")).alias("removed"))
     )
     n_removed = F.coalesce("n_removed_words", F.lit(0)).cast("long")
@@ -157,21 +143,27 @@ def judged(docs: DataFrame, max_line_docs: int = MAX_LINE_DOCS, counted: str = "
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEATED_PERCENT)
     depleted = (n_removed > 0) & ((left < F.col("n_words") * MIN_SHARE_LEFT) | (left < MIN_WORDS_LEFT))
     return measured.join(removed, "row", "left").select(
-        "doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", "host", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), n_removed.alias("n_removed_words"),
         F.coalesce("removed", F.array().cast("array<bigint>")).alias("removed"),
     )
 
 
+def host_of(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
 def clean_documents(docs: DataFrame, max_line_docs: int = MAX_LINE_DOCS) -> DataFrame:
     """The rows of docs that are kept, all columns, their texts without the removed lines and n_chars counted anew."""
-    verdict = judged(docs, max_line_docs, "content").where("kept").select(
-        F.col("doc_id").alias("v_id"), F.col("text_hash").alias("v_hash"), F.col("removed").alias("v_removed")
-    )
-    verdict = verdict.dropDuplicates(["v_id", "v_hash", "v_removed"])
     names = docs.columns
+    own, host, text_hash, removed = fresh(docs, "id", "host", "hash", "removed")
+    # A verdict depends on host and text alone, so equal rows share one and the join multiplies none.
+    verdict = judged(docs, max_line_docs).where("kept").select(
+        F.col("doc_id").alias(own), F.col("host").alias(host), F.col("text_hash").alias(text_hash), F.col("removed").alias(removed)
+    ).dropDuplicates([own, host, text_hash])
     joined = docs.join(
-        verdict, F.col("doc_id").cast("long").eqNullSafe(F.col("v_id")) & (F.xxhash64("text") == F.col("v_hash"))
+        verdict,
+        F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (host_of("source") == F.col(host)) & (F.xxhash64("text") == F.col(text_hash)),
     )
     place = names.index("text")
 
@@ -182,14 +174,13 @@ def clean_documents(docs: DataFrame, max_line_docs: int = MAX_LINE_DOCS) -> Data
             if lost:
                 drop = set(lost)
                 texts[k] = "\n".join(x for x in texts[k].split("\n") if line_hash(x) not in drop)
-        columns = [pa.array(texts, pa.string()) if k == place else batch.column(k) for k in range(len(names))]
-        yield pa.RecordBatch.from_arrays(columns, names)
+        kept = [pa.array(texts, pa.string()) if k == place else batch.column(k) for k in range(len(names))]
+        yield pa.RecordBatch.from_arrays(kept, names)
 
-    out = joined.select(*(docs[c] for c in names), "v_removed")
-    out = per_batch(out, strip, docs.schema)
+    out = per_batch(joined.select(*cols(*names, removed)), strip, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents under the rules."""
-    return judged(documents(spark, sf_dir)).drop("text_hash", "removed")
+    return judged(documents(spark, sf_dir)).drop("host", "text_hash", "removed")

@@ -77,9 +77,9 @@ raw AS (SELECT doc_id, host, x.l AS line, x.k AS k FROM (SELECT doc_id, host, st
 lines AS (SELECT *, {_WORDS.format(text="lower(line)")} AS w FROM raw),
 own AS (SELECT doc_id, host, line, k, len(w) AS n, array_to_string(w, ' ') AS h FROM lines WHERE len(w) > 0),
 dup AS (SELECT doc_id, CAST(sum(n - 1) AS BIGINT) AS n FROM (SELECT doc_id, line, count(*) AS n FROM own GROUP BY doc_id, line) GROUP BY doc_id),
-near AS (SELECT *, lag(h) OVER (PARTITION BY doc_id ORDER BY k) AS before, lead(h) OVER (PARTITION BY doc_id ORDER BY k) AS after, row_number() OVER (PARTITION BY doc_id, h ORDER BY k) AS nth FROM own),
-often AS (SELECT host, h FROM near WHERE nth = 1 GROUP BY host, h HAVING count(DISTINCT (coalesce(before, ''), coalesce(after, ''))) > {op10_quality_rules.MAX_LINE_DOCS}),
-gone AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n FROM near SEMI JOIN often USING (host, h) GROUP BY doc_id),
+whole AS (SELECT doc_id, string_agg(h, chr(10) ORDER BY k) AS content FROM own GROUP BY doc_id),
+often AS (SELECT host, h FROM own JOIN whole USING (doc_id) GROUP BY host, h HAVING count(DISTINCT content) > {op10_quality_rules.MAX_LINE_DOCS}),
+gone AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n FROM own SEMI JOIN often USING (host, h) GROUP BY doc_id),
 m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[ \\t\\n\\x0B\\f\\r]', '', 'g')) AS BIGINT) AS word_chars,
   CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS n_removed_words
   FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id)),

@@ -24,17 +24,16 @@ def base(text):
 
 
 def verdicts(rows, limit):
-    around, own = defaultdict(set), []
+    contents, own = defaultdict(set), []
     for r in rows:
         lines = [" ".join(re.findall(r"[^\x20\x09-\x0D]+", x.lower())) for x in (r.text or "").split("\n")]
         lines = [x for x in lines if x]
         own.append(lines)
-        for k, x in enumerate(lines):
-            if x not in lines[:k]:
-                around[r.source or "", x].add((lines[k - 1] if k else "", lines[k + 1] if k + 1 < len(lines) else ""))
+        for x in lines:
+            contents[r.source or "", x].add(tuple(lines))
     out = []
     for r, lines in zip(rows, own):
-        lost = sum(len(x.split(" ")) for x in lines if len(around[r.source or "", x]) > limit)
+        lost = sum(len(x.split(" ")) for x in lines if len(contents[r.source or "", x]) > limit)
         n, left = base(r.text)[0], base(r.text)[0] - lost
         out.append((lost, not base(r.text)[5] and not (lost and (left < 0.2 * n or left < 5))))
     return out
@@ -82,3 +81,14 @@ def test_inner_lines_of_a_shared_block_go(spark):
     assert all(out[100 + k] == f"{words(k + 2000)}\n{block}" for k in range(12))
     assert not any(200 + k in out for k in range(13))
     assert all(out[300 + k] == rows[45][1] for k in range(20))
+
+
+def test_banner_and_two_hosts(spark):
+    words = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    banner = "first banner line\nmiddle banner line\nlast banner line"
+    rows = [(k, f"{words(k)}\n{banner}", "s") for k in range(200)]
+    rows += [(500, f"{words(500)}\nmiddle banner line", "s"), (500, f"{words(500)}\nmiddle banner line", "t"), (500, f"{words(500)}\nmiddle banner line", "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = op.clean_documents(docs).collect()
+    assert sorted(r.text for r in out if r.doc_id < 500) == sorted(words(k) for k in range(200))
+    assert sorted((r.source, r.text) for r in out if r.doc_id == 500) == [("s", words(500)), *[("t", f"{words(500)}\nmiddle banner line")] * 2]
