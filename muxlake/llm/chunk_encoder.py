@@ -22,8 +22,20 @@ MARK = "\u00b6"
 _loaded: dict[str, "ChunkEncoder"] = {}
 
 
+def _keeps_to_words(normalizer: dict | None) -> bool:
+    """True where a normaliser changes nothing across white space: Unicode forms, lower case, and white space made one space."""
+    if normalizer is None:
+        return True
+    kind = normalizer.get("type")
+    if kind == "Sequence":
+        return all(map(_keeps_to_words, normalizer["normalizers"]))
+    if kind == "Replace":
+        return normalizer["pattern"] == {"Regex": r"\s+"} and normalizer["content"] == " "
+    return kind in ("NFC", "NFD", "NFKC", "NFKD", "Lowercase")
+
+
 def splits_at_white_space(path: str) -> bool:
-    """True for a tokenizers file whose pre-tokenizer drops white space and whose special strings have none."""
+    """True for a tokenizers file whose normaliser keeps to words, whose pre-tokenizer drops white space and whose special strings have none."""
     import json
 
     with open(path, encoding="utf-8") as f:
@@ -35,7 +47,7 @@ def splits_at_white_space(path: str) -> bool:
         t["content"].split() == [t["content"]] and not (t["lstrip"] or t["rstrip"] or t["single_word"])
         for t in spec.get("added_tokens", [])
     )
-    return bool(drops and no_space and spec.get("truncation") is None and spec.get("padding") is None)
+    return bool(drops and no_space and _keeps_to_words(spec.get("normalizer")) and spec.get("truncation") is None and spec.get("padding") is None)
 
 
 class ChunkEncoder:

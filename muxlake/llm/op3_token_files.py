@@ -7,7 +7,7 @@ file is read without copying. A second, small Arrow file beside it has a row for
 first token in the file, tokens.
 
 Defined cases: a null text is the empty one (only the end id); a null doc_id comes first; rows that share a doc_id
-are kept, in the order of their text; an empty table gives no files; other columns are ignored.
+are kept, in the order of their text, over as many tasks and files as they need; an empty table gives no files; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,7 +27,10 @@ from pyspark.sql.window import Window
 from muxlake.llm.chunk_encoder import ChunkEncoder
 from muxlake.llm.common import documents, file_system, map_batches, new_path, shared_dir
 
-MANIFEST = "file string, first_doc bigint, n_docs bigint, n_tokens bigint"
+#: A file's place is its task's range and its number in it.
+MANIFEST = "part int, number int, file string, first_doc bigint, n_docs bigint, n_tokens bigint"
+#: Characters of a text that deal rows of one doc_id to ranges; the driver samples them, so they are few.
+DEALT_BY = 64
 
 
 def write_sequences(sink, tokens: np.ndarray, length: int, rows_per_batch: int) -> None:
@@ -76,7 +80,8 @@ def write_token_files(
         fs.create_dir(base, recursive=True)
         held: list[bytes] = []
         ids: list[int | None] = []
-        encoder, end, size = ChunkEncoder.of(tokenizer), np.uint32(end_id).tobytes(), 0
+        encoder, end, size, number = ChunkEncoder.of(tokenizer), np.uint32(end_id).tobytes(), 0, 0
+        task = TaskContext.get().partitionId()
         kind = np.uint16 if max(encoder.n_ids - 1, end_id) < 1 << 16 else np.uint32
 
         def close() -> pa.RecordBatch:
@@ -90,7 +95,7 @@ def write_token_files(
             with fs.open_output_stream(f"{base}/{name}.part") as f:
                 write_sequences(f, np.frombuffer(b"".join(held), np.uint32).astype(kind, copy=False), length, rows_per_batch)
             fs.move(f"{base}/{name}.part", f"{base}/{name}.arrow")
-            row = {"file": [name], "first_doc": pa.array(ids[:1], pa.int64()), "n_docs": [len(ids)], "n_tokens": [int(lengths.sum())]}
+            row = {"part": pa.array([task], pa.int32()), "number": pa.array([number], pa.int32()), "file": [name], "first_doc": pa.array(ids[:1], pa.int64()), "n_docs": [len(ids)], "n_tokens": [int(lengths.sum())]}
             return pa.RecordBatch.from_pydict(row)
 
         for batch in batches:
@@ -101,15 +106,15 @@ def write_token_files(
                     held.append(x + end)
                     ids.append(doc_id)
                     size += len(x) + 4
-                if size >= file_bytes:
-                    yield close()
-                    held, ids, size = [], [], 0
+                    if size >= file_bytes:
+                        yield close()
+                        held, ids, size, number = [], [], 0, number + 1
         if held:
             yield close()
 
     ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sorted_docs = ordered.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    sorted_docs = ordered.repartitionByRange(parts, "doc_id", F.substring("text", 1, DEALT_BY)).sortWithinPartitions("doc_id", "text")
     manifest = map_batches(sorted_docs, write, MANIFEST)
     manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
@@ -120,7 +125,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
 
     The manifest has one row a file of tens of MB, so the running total over it is small.
     """
-    order = Window.orderBy(F.col("first_doc").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     starts = manifest.select("file", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("file_start"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

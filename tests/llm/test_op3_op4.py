@@ -64,10 +64,35 @@ def test_files(table, size, request, spark):
     assert sorted(got, key=str) == sorted(want, key=str)
     if table == "small":
         local = folder.removeprefix("file://")
-        name = manifest.orderBy("first_doc", "file").first().file
+        name = manifest.orderBy("part", "number").first().file
         with pa.memory_map(f"{local}/{name}.arrow") as f:
             whole = op3.read_tokens(f)
             for k in (0, 9):
                 tokens, mask = op3.sequence(f, k, 8)
                 assert len(tokens) == 128 and tokens.dtype == np.uint16 and mask.true_count == 128
                 assert (tokens == whole[k * 128 : k * 128 + 128]).all() and not tokens.flags.owndata
+
+
+def test_one_id_over_many_files(spark):
+    rows = [(5, f"{k} " + "several words of a text that is encoded " * (20 + k % 7)) for k in range(60)] + [(4, "before"), (6, "behind"), (7, None)]
+    rows += [(None, "w " * 3000)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    folder = new_path(spark, "files")
+    manifest = op3.write_token_files(docs, folder, PATH, end_id=2, length=64, rows_per_batch=8, file_bytes=4000)
+    assert manifest.where("first_doc = 5").count() > 6
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    want, start = [], 0
+    for (doc_id, _), x in zip(rows, ids([t for _, t in rows])):
+        want.append((doc_id, start, len(x) + 1))
+        start += len(x) + 1
+    got = [(r.doc_id, r.start, r.n_tokens) for r in op3.read_token_files(manifest, folder).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_equal_rows_are_encoded_once(spark, monkeypatch):
+    docs = spark.range(5000).select((F.col("id") % 3).alias("doc_id"), F.lit("the same row again and again").alias("text")).repartition(6)
+    cache = new_path(spark, "cache")
+    assert op4.misses(docs, op4.tokenizer_digest(PATH), cache).count() == 1
+    rows = op4.token_counts(docs, PATH, cache).collect()
+    assert len(rows) == 5000 and len({(r.n_bytes, r.n_tokens) for r in rows}) == 1
+    assert op4.read_cache(spark, cache).count() == 1 and op4.misses(docs, op4.tokenizer_digest(PATH), cache).count() == 0
