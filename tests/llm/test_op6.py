@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import pytest
 
@@ -63,3 +64,19 @@ def test_trigram_queries():
     assert trigram_query("abcd|bcd") == [[frozenset({"bcd"})]]
     assert trigram_query("abc[0-9]+xyz") == [[frozenset({"abc"})], [frozenset({"xyz"})]]
     assert trigram_query("(?:ab|cde)f?") == []
+
+
+def test_many_matches_in_one_text(spark):
+    few = " ".join(f"password = secret{k:06d}abcdef {k:020x} \U0001F600" for k in range(2000))
+    many = "\ufeff" + " ".join(f"password = secret{k:06d}abcdef {k:020x} \U0001F600" for k in range(20_000))
+    docs = spark.createDataFrame([(1, few), (2, many)], "doc_id long, text string").repartition(1).cache()
+    assert docs.count() == 2
+    begin = time.time()
+    got = {r.doc_id: r for r in op.scan(docs).collect()}
+    middle = time.time()
+    assert middle - begin < 20
+    for k, text in ((1, few), (2, many)):
+        assert listed(got[k].found) == listed(spans(text))
+    clean = {r.doc_id: r.text for r in op.redact(docs).collect()}
+    assert time.time() - middle < 30
+    assert clean[2] == "\ufeff" + " ".join("password = [SECRET] \U0001F600" for _ in range(20_000)).replace("password = [SECRET]", "[SECRET] [SECRET]")
