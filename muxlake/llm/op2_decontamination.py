@@ -8,27 +8,31 @@ cut items are found where SEED unchanged words in a row are left.
 
 Defined cases: null and empty texts have no hits; items without words, or null, match nothing; an item of fewer than SEED words is one
 run of all of them; null and repeated doc_ids are rows like others; equal items each get their rows; empty tables give an
-empty result; other columns are ignored, or kept by without_leaks. The items are a stated set, broadcast while they have MAX_ITEM_WORDS words at
-most; a larger set is refused.
+empty result; other columns are ignored, or kept by without_leaks whatever their names are. The items are a stated set, broadcast in blocks
+of about BLOCK_WORDS words; each block is held against all documents.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muxlake.llm.common import documents, map_batches
+from muxlake.llm.common import documents, fresh, map_batches
 
 SEED = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least share of a perfect alignment's score.
 THRESHOLD = 0.5
-MAX_ITEM_WORDS = 2_000_000
+#: Item words that are broadcast at once.
+BLOCK_WORDS = 2_000_000
+#: Cells of the alignments that step together.
+CELLS = 500_000
 
 Gram = tuple[bytes, ...]
 
@@ -42,13 +46,16 @@ def grams_of(words: list[bytes], n: int) -> list[Gram]:
     return list(zip(*(words[k:] for k in range(n))))
 
 
+def item_blocks(items: DataFrame, block_words: int) -> list[DataFrame]:
+    """The items (item_id, text), dealt by hash to so many frames that each has about so many words; one item is never cut."""
+    own = items.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    n = own.select(F.sum(F.size(F.split("text", r"[\x20\x09-\x0D]+"))).alias("n")).first().n or 0
+    blocks = -(-n // block_words)
+    return [own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else own for k in range(blocks)]
+
+
 def read_items(items: DataFrame) -> list[tuple[int | None, list[bytes]]]:
-    """The items' words, after a check that they are few enough to broadcast."""
-    sized = items.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    n = sized.select(F.sum(F.size(F.split("text", r"[\x20\x09-\x0D]+"))).alias("n")).first().n or 0
-    if n > MAX_ITEM_WORDS:
-        raise ValueError(f"the items have {n} words; at most {MAX_ITEM_WORDS} are broadcast")
-    return [(r.item_id, w) for r in sized.collect() if (w := words_of(r.text))]
+    return [(r.item_id, w) for r in items.collect() if (w := words_of(r.text))]
 
 
 def _runs(words: list[bytes]) -> list[Gram]:
@@ -100,9 +107,18 @@ def smith_waterman(item: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray,
     return best, end
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+_SCHEMA = "doc_id bigint, item_id bigint, text_hash bigint, score double, first int, last int"
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
     """A row for each document and item that align: doc_id, item_id, text_hash, score, and the passage's words [first, last)."""
-    schema = "doc_id bigint, item_id bigint, text_hash bigint, score double, first int, last int"
+    found = [_leaks_of(docs, block, threshold) for block in item_blocks(items, block_words)]
+    return reduce(DataFrame.union, found) if found else docs.sparkSession.createDataFrame([], _SCHEMA)
+
+
+def _leaks_of(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """find_leaks for items that are few enough to broadcast."""
+    schema = _SCHEMA
     spark = docs.sparkSession
     known = read_items(items)
     if not known:
@@ -137,9 +153,16 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD)
     def align(todo: dict[int, list], coded: list) -> Iterator[tuple]:
         for item, passages in todo.items():
             own = coded[item]
-            for at in range(0, len(passages), 256):
-                part = passages[at : at + 256]
-                width = max(len(p[1]) for p in part)
+            passages.sort(key=lambda p: len(p[1]))
+            at = 0
+            while at < len(passages):
+                # As many as fit beside the widest of them, one at least.
+                n = 1
+                while at + n < len(passages) and (n + 1) * len(passages[at + n][1]) <= CELLS:
+                    n += 1
+                part = passages[at : at + n]
+                at += n
+                width = len(part[-1][1])
                 block = np.full((len(part), width), -1, np.int32)
                 for k, (_, p, _) in enumerate(part):
                     block[k, : len(p)] = p
@@ -181,8 +204,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD)
 
 def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that align with no item."""
-    leaks = find_leaks(docs, items, threshold).select(F.col("doc_id").alias("l_id"), F.col("text_hash").alias("l_hash")).distinct()
-    return docs.join(leaks, F.col("doc_id").cast("long").eqNullSafe(F.col("l_id")) & (F.xxhash64("text") == F.col("l_hash")), "left_anti")
+    own, text_hash = fresh(docs, "id", "hash")
+    leaks = find_leaks(docs, items, threshold).select(F.col("doc_id").alias(own), F.col("text_hash").alias(text_hash)).distinct()
+    return docs.join(leaks, F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(text_hash)), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,3 +98,15 @@ def test_odd_rows(table, request, spark):
     assert [r.doc_id for r in rows] == ([4, 4] if table == "odd" else [])
     assert op.without_leaks(docs, bench).columns == docs.columns
     assert op.find_leaks(docs, bench.where("item_id = 2")).count() == 0
+
+
+def test_blocks_of_items_and_long_items(spark, monkeypatch):
+    monkeypatch.setattr(op, "CELLS", 3000)
+    rng = random.Random(8)
+    prose = lambda n: " ".join(rng.choice("abcdefghijklmnop") * rng.randint(1, 4) for _ in range(n))
+    items = [(k, prose(30)) for k in range(25)] + [(50, prose(4000))]
+    docs = [(k, f"{prose(20)} {items[k][1]} {prose(20)}") for k in range(25)] + [(50, items[25][1]), (60, prose(200))]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert len(op.item_blocks(bench, 500)) == 10
+    pairs = lambda n: sorted((r.doc_id, r.item_id, r.score) for r in op.find_leaks(frame, bench, block_words=n).collect())
+    assert pairs(500) == pairs(10**9) and {(d, i) for d, i, _ in pairs(500)} >= {(k, k) for k in [*range(25), 50]}
