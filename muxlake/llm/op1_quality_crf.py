@@ -7,7 +7,8 @@ fitted to documents with a label, whose lines all take it; it sees texts only.
 
 Defined cases: a text without a word, or null, is one blank line; without labels of both kinds every score is the
 share of good labels, or 0.5 without any; null and repeated doc_ids keep one result a row; texts are read whole;
-an empty table gives an empty result; other columns are ignored. The driver holds the features of SAMPLE documents.
+an empty table gives an empty result; other columns are ignored. The driver holds the features of SAMPLE documents and SAMPLE_LINES
+lines at most.
 """
 
 from __future__ import annotations
@@ -18,11 +19,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from muxlake.llm.common import documents, fold_of, per_batch
+from muxlake.llm.common import documents, fold_of, per_batch, saved
 
 #: Labelled documents that the field is fitted to, chosen by a hash of doc_id.
 SAMPLE = 6000
+#: Lines of these documents, taken in the order of the hash while they fit; documents of over a hundredth of that are not learned from.
+SAMPLE_LINES = 600_000
 STEPS, RATE, RIDGE = 150, 0.15, 1e-3
 #: A document whose score is at least this is predicted good.
 THRESHOLD = 0.3
@@ -160,17 +164,30 @@ def fit(x: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> Field:
     return Field(mean, scale, p[:-2], float(p[-2]), float(p[-1]))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
-    """The field of docs(doc_id, text) under labels(doc_id, quality), from at most sample labelled documents.
+def sampled(docs: DataFrame, labels: DataFrame, sample: int, lines: int) -> DataFrame:
+    """(id, quality, text) of the documents to learn from: at most so many rows and lines, in the order of a hash of doc_id.
+
+    Different texts of one doc_id count one by one, equal rows once.
+    """
+    own = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("quality"))
+    marked = own.distinct().withColumn("place", F.xxhash64("id")).orderBy("place", "id", "quality").limit(sample)
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash"), "text")
+    found = texts.join(F.broadcast(marked), "id").dropDuplicates(["id", "quality", "text_hash"])
+    n_lines = F.length(F.coalesce("text", F.lit(""))) - F.length(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(""))) + 1
+    found = saved(found.withColumn("n_lines", n_lines), "labelled")
+    order = ["place", "id", "quality", "text_hash"]
+    most = found.where(F.col("n_lines") <= lines // 100).select(*order, "n_lines").orderBy(*order).limit(sample)
+    total = F.sum("n_lines").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    chosen = most.withColumn("total", total).where(F.col("total") <= lines).select(*order)
+    return found.join(F.broadcast(chosen), order, "left_semi").select("id", "quality", "text")
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = SAMPLE_LINES) -> Field:
+    """The field of docs(doc_id, text) under labels(doc_id, quality), from a bounded sample of labelled documents.
 
     Which of them are taken depends on doc_id alone. Labels other than 0 and 1 and null doc_ids are left out.
     """
-    chosen = (
-        labels.where("doc_id IS NOT NULL AND quality IN (0, 1)")
-        .select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("quality"))
-        .orderBy(F.xxhash64("id"), "id", "quality").limit(sample)
-    )
-    texts = docs.join(F.broadcast(chosen), docs.doc_id.cast("long") == F.col("id")).select("id", "quality", "text")
+    texts = sampled(docs, labels, sample, lines)
 
     def run(batch: pa.RecordBatch):
         for at in range(0, batch.num_rows, 500):

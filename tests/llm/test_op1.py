@@ -45,3 +45,15 @@ def test_odd_rows(table, marks, request, spark):
     assert all(0 <= r.score <= 1 for r in rows)
     if len(marks) == 1 and rows:
         assert {r.score for r in rows} == {1.0}
+
+
+def test_sample_is_bounded(spark):
+    rows = [(k % 4, f"text {k}\n" * (1 + k % 3)) for k in range(400)] + [(1, "a\n" * 500), (2, None), (3, "same"), (3, "same")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(9)] + [(3, 1), (3, 0)], "doc_id long, quality int")
+    every = op.sampled(docs, labels, 1000, 10_000).collect()
+    known = {(i, q) for i, q in [(k, k % 2) for k in range(4)] + [(3, 0)]}
+    assert len(every) == len({(i, q, t) for i, t in rows for a, q in known if a == i and (t or "").count("\n") < 100})
+    assert len(op.sampled(docs, labels, 3, 10_000).collect()) == 3
+    few = op.sampled(docs, labels, 1000, 600).collect()
+    assert 0 < len(few) < len(every) and sum((r.text or "").count("\n") + 1 for r in few) <= 600
