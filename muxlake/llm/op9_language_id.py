@@ -7,7 +7,8 @@ one with most letters.
 
 Defined cases: a null text and one without a letter give `und` with score 0 and no spans, and so does every text if there
 is nothing to learn from; a null doc_id is held out of nothing and not learned from; ties go to the first language in
-order of its name; texts are read whole; other columns are ignored. The driver holds languages x BUCKETS counts.
+order of its name; texts are read whole; an empty table gives an empty result; other columns are ignored. The driver holds languages x
+BUCKETS counts, so more than MAX_LANGUAGES different languages to learn from are an error.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from muxlake.llm.common import documents, fold_of, per_batch
 
 #: Hashed trigrams.
 BUCKETS = 1 << 16
+MAX_LANGUAGES = 500
 #: Nats that a change of language costs.
 SWITCH = 12.0
 #: A language is out for a script that has less than this share of its letters.
@@ -126,6 +128,8 @@ def learn(rows: DataFrame) -> Model | None:
             yield pa.RecordBatch.from_arrays(columns, ["lang", "bucket", "n"])
 
     known = rows.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
+    if known.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn from")
     table = per_batch(known, count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(set(table.column("lang").to_pylist()))
     if not languages:
@@ -161,8 +165,9 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, prior: np.ndarray, switch: fl
     begin, size = (np.cumsum(sizes) - sizes)[order], sizes[order]
     longest = int(size[0]) if len(size) else 0
     active = len(size) - np.searchsorted(size[::-1], np.arange(longest), "right")
-    came = np.zeros((n, states), np.uint8)
-    own = np.arange(states, dtype=np.uint8)
+    kind = np.uint8 if states <= 256 else np.uint16
+    came = np.zeros((n, states), kind)
+    own = np.arange(states, dtype=kind)
     last = np.zeros(len(size), np.int64)
     value = np.zeros((len(size), states))
     for t in range(longest):
@@ -172,14 +177,14 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, prior: np.ndarray, switch: fl
             value = value[:k]
             best = value.argmax(1)
             top = np.take_along_axis(value, best[:, None], 1) - switch
-            came[rows] = np.where(value >= top, own, best[:, None].astype(np.uint8))
+            came[rows] = np.where(value >= top, own, best[:, None].astype(kind))
             value = np.maximum(value, top) + scores[rows]
         else:
             value = scores[rows] + prior
         done = active[t + 1] if t + 1 < longest else 0
         if done < k:
             last[done:k] = value[done:k].argmax(1)
-    labels = np.zeros(n, np.uint8)
+    labels = np.zeros(n, kind)
     for t in range(longest - 1, -1, -1):
         k = active[t]
         rows = begin[:k] + t
@@ -199,10 +204,10 @@ def identify(docs: DataFrame, model: Model | None, switch: float = SWITCH) -> Da
         text, start, length = (np.concatenate([p[k] + (p[0] if k == 2 else 0) for p in parts]) for k in (2, 3, 4))
         labels = viterbi(scores, sizes := np.bincount(text, minlength=len(texts)), model.prior, switch)
         states = len(model.languages)
-        letters = np.bincount(text * states + labels, length, len(texts) * states).reshape(-1, states)
+        letters = np.bincount(text * states + labels.astype(np.int64), length, len(texts) * states).reshape(-1, states)
         best, total = letters.argmax(1), letters.sum(1)
         share = np.where(total > 0, letters.max(1) / np.maximum(total, 1), 0.0)
-        new = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(labels.astype(np.int8), prepend=-1) != 0))
+        new = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(labels.astype(np.int32), prepend=-1) != 0))
         end = np.append(new[1:], len(text)) - 1 if len(new) else new
         spans = (start[new], (start + length)[end], labels[new], np.bincount(text[new], minlength=len(texts)))
         return np.where(sizes > 0, best, states), share, spans

@@ -58,3 +58,15 @@ def test_odd_rows(table, request, spark):
 def test_nothing_learned(spark, odd, empty):
     rows = op.identify(odd, op.learn(empty)).collect()
     assert {r.lang_pred for r in rows} == {"und"} and len(rows) == odd.count()
+
+
+def test_many_languages(spark):
+    names = [f"l{k:03d}" for k in range(300)]
+    word = lambda k: "".join(chr(97 + (k * 7 + j * 5 + k // 26 * j) % 26) for j in range(9))
+    train = spark.createDataFrame([(f"{word(k)} " * 20, x) for k, x in enumerate(names)], "text string, lang string")
+    model = op.learn(train)
+    rows = op.identify(spark.createDataFrame([(k, f"{word(k)} " * 6) for k in range(300)], "doc_id long, text string"), model).collect()
+    same = {k: min(j for j in range(300) if word(j) == word(k)) for k in range(300)}
+    assert {r.doc_id: r.lang_pred for r in rows} == {k: names[same[k]] for k in range(300)}
+    with pytest.raises(ValueError):
+        op.learn(spark.range(op.MAX_LANGUAGES + 1).selectExpr("'some text' AS text", "cast(id AS string) AS lang"))
