@@ -6,7 +6,8 @@ keeps the maximal ones, and of equal conversations the smallest conv_id. Those a
 
 Defined cases: turns are ordered by turn, then role and text, nulls first, and repeated rows are turns of their own; a null role or text
 differs from an empty one and is rendered as empty; rows with a null conv_id are left out, as they belong to no conversation; an
-empty table gives an empty result; other columns are ignored.
+empty table gives an empty result; other columns are ignored. A conversation is one window group and one row of the result, so its turns have to
+fit one task.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from muxlake.llm.common import saved
+
 TURN_START, TURN_END = "<|turn|>", "<|end|>\n"
 _HASH = ["a", "b", "c", "d"]
 
@@ -37,7 +40,7 @@ def prefixes(turns: DataFrame) -> DataFrame:
 
 def maximal(turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns, n_copies) of the conversations that are no snapshot of a longer one, one of equal ones."""
-    hashed = prefixes(turns)
+    hashed = saved(prefixes(turns).select("conv_id", "place", *_HASH), "prefixes")
     whole = hashed.groupBy("conv_id").agg(F.max_by(F.struct("place", *_HASH), "place").alias("w")).select("conv_id", "w.*")
     shorter = (
         hashed.select("conv_id", "place", *_HASH).join(whole.select("conv_id", F.col("place").alias("n_turns")), "conv_id")
