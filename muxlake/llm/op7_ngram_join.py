@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muxlake.llm.common import documents, map_batches, per_batch, saved
+from muxlake.llm.common import cols, documents, fresh, map_batches, per_batch, saved
 from muxlake.llm.components import components
 from muxlake.llm.shingles import mixed, ngram_sets, slices
 
@@ -235,11 +235,12 @@ def first_of_each_class(docs: DataFrame, n: int = N, threshold: float = THRESHOL
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "n_rows")
     one = rows.where("label IS NOT NULL").groupBy("label").agg(F.min(order).alias("r")).select("r.doc_id", "r.text_hash", "r.n_rows")
     rest = rows.where("label IS NULL").select("doc_id", "text_hash", F.lit(1).cast("long").alias("n_rows"))
-    keep = one.union(rest).select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"), "n_rows")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("k_id")) & (F.xxhash64("text") == F.col("k_hash"))
-    kept = docs.join(keep.withColumnRenamed("n_rows", "k_rows"), same).select(*(docs[c] for c in docs.columns), "k_rows")
-    single = kept.where("k_rows = 1").select(*docs.columns)
-    return single.union(kept.where("k_rows > 1").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    own, text_hash, n_rows = fresh(docs, "id", "hash", "rows")
+    keep = one.union(rest).select(F.col("doc_id").alias(own), F.col("text_hash").alias(text_hash), F.col("n_rows").alias(n_rows))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(text_hash))
+    kept = docs.join(keep, same)
+    single = kept.where(F.col(n_rows) == 1).select(*cols(*docs.columns))
+    return single.union(kept.where(F.col(n_rows) > 1).select(*cols(*docs.columns)).dropDuplicates(["doc_id", "text"]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
