@@ -1,11 +1,12 @@
 """Measurements of packets: counts, continuity, clocks and bit rates.
 
 A rate window closes at the first clock tick that is far enough from the one it began at, so windows depend on the data. Bytes are summed between
-ticks first; only the ticks, some tens a second, are folded in order, each clock of a source in a group of its own.
+ticks first, in ranges of byte offsets; only the sums of PIDs that had bytes are folded, in order, a batch at a time, each source in a task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -15,24 +16,34 @@ from pyspark.sql.window import Window
 
 from muxlake.functions.values import PCR_BITS, PCR_RATE, PTS_BITS, PTS_RATE
 from muxlake.operators.packets import NULL_PID
+from muxlake.operators.ranges import range_of, with_number, with_previous
 
 
-def continuity(packets: DataFrame) -> DataFrame:
-    """source, pid, byte_offset, cc and is_error of each packet that is not damaged.
+def _wrong(last: Column, cc: Column, has_payload: Column) -> Column:
+    """A repeated counter is an error where the packet has payload, any other jump always; a first packet and null packets have none."""
+    step = F.pmod(cc - last, F.lit(16))
+    return F.when(last.isNull() | (F.col("pid") == NULL_PID), False).when(step == 0, has_payload).otherwise(step != 1)
 
-    A PID's first packet and null packets have no error; a repeated counter is one where the packet has payload, any other jump always.
-    """
-    order = Window.partitionBy("source", "pid").orderBy("byte_offset")
-    last = F.lag("cc").over(order)
-    step = F.pmod(F.col("cc") - last, F.lit(16))
-    wrong = F.when(last.isNull() | (F.col("pid") == NULL_PID), False).when(step == 0, F.col("has_payload")).otherwise(step != 1)
-    return packets.where("NOT tei").select("source", "pid", "byte_offset", "cc", wrong.alias("is_error"))
+
+def continuity(packets: DataFrame, range_bytes: int | None = None) -> DataFrame:
+    """source, pid, byte_offset, cc and is_error of each packet that is not damaged."""
+    rows = packets.where("NOT tei").select("source", "pid", "byte_offset", "cc", "has_payload")
+    found = with_previous(rows, ["source", "pid"], ["cc"], size=range_bytes)
+    return found.select("source", "pid", "byte_offset", "cc", _wrong(F.col("before.cc"), F.col("cc"), F.col("has_payload")).alias("is_error"))
 
 
-def pid_stats(packets: DataFrame, packet_size: int = 188) -> DataFrame:
-    """Packets, bytes and continuity errors of each PID."""
-    return continuity(packets).groupBy("source", "pid").agg(
-        F.count("*").alias("n_packets"), (F.count("*") * packet_size).alias("n_bytes"), F.sum(F.col("is_error").cast("long")).alias("cc_errors")
+def pid_stats(packets: DataFrame, packet_size: int = 188, range_bytes: int | None = None) -> DataFrame:
+    """Packets, bytes and continuity errors of each PID; one pass over the packets, errors at the borders of ranges are added at the end."""
+    rows = packets.where("NOT tei").select("source", "pid", "byte_offset", "cc", "has_payload", range_of("byte_offset", range_bytes).alias("range"))
+    order = Window.partitionBy("source", "pid", "range").orderBy("byte_offset")
+    marked = rows.withColumn("wrong", _wrong(F.lag("cc").over(order), F.col("cc"), F.col("has_payload")).cast("long"))
+    parts = marked.groupBy("source", "pid", "range").agg(
+        F.count("*").alias("n"), F.sum("wrong").alias("errors"), F.min_by(F.struct("cc", "has_payload"), "byte_offset").alias("first"), F.max_by("cc", "byte_offset").alias("last")
+    )
+    was = F.lag("last").over(Window.partitionBy("source", "pid").orderBy("range"))
+    tied = parts.withColumn("errors", F.col("errors") + _wrong(was, F.col("first.cc"), F.col("first.has_payload")).cast("long"))
+    return tied.groupBy("source", "pid").agg(
+        F.sum("n").alias("n_packets"), (F.sum("n") * packet_size).alias("n_bytes"), F.sum("errors").alias("cc_errors")
     )
 
 
@@ -73,94 +84,170 @@ class RateOptions:
         return F.col(self.clock)
 
 
-def clock_ticks(packets: DataFrame, options: RateOptions) -> DataFrame:
-    """source, byte_offset, tick and reset of the packets that drive the clock."""
-    timed = packets.where("NOT tei").select(
-        "source", "pid", "byte_offset", options.tick.alias("tick"), F.col("discontinuity").alias("reset")
-    )
+def reference_pids(packets: DataFrame, options: RateOptions) -> DataFrame:
+    """(source, reference): the PID that drives the clock of each source."""
     if options.reference_pid is not None:
-        own = timed.where(F.col("pid") == options.reference_pid)
-    else:
-        first = timed.where("tick IS NOT NULL").groupBy("source").agg(F.min_by("pid", "byte_offset").alias("pid"))
-        own = timed.join(first, ["source", "pid"])
-    return own.where("tick IS NOT NULL OR reset").select("source", "byte_offset", "tick", "reset")
+        return packets.select("source").distinct().withColumn("reference", F.lit(options.reference_pid))
+    timed = packets.where("NOT tei").where(options.tick.isNotNull())
+    return timed.groupBy("source").agg(F.min_by("pid", "byte_offset").alias("reference"))
 
 
+_SLOTS = "source string, slot bigint, tick bigint, reset boolean, sums array<struct<pid:int,n:bigint,useful:bigint,reset:boolean>>"
 _WINDOWS = "source string, pid int, byte_offset bigint, n_bytes bigint, n_useful bigint, ticks bigint"
 
 
-def bitrate(packets: DataFrame, options: RateOptions | None = None, per_pid: bool = False) -> DataFrame:
-    """A row for each window: its bytes, ticks, seconds and rate, for the stream (pid null) or for each PID.
+def slots(packets: DataFrame, options: RateOptions, per_pid: bool, range_bytes: int | None = None) -> DataFrame:
+    """A row for each tick of a source's clock: slot (its byte offset), tick, reset, and the bytes since the tick before of each PID that had some.
 
-    n_bytes counts what the options include; useful is what is not null packets. Bytes of the closing packet are in; a discontinuity on
-    the clock's PID empties the window, with the packet that tells it, and its tick begins a new one.
+    A packet belongs to the first tick at or behind it. A discontinuity on another PID than the clock's voids that PID's bytes so far in the slot.
     """
-    options = options or RateOptions()
-    ticks = clock_ticks(packets, options).withColumn("slot", F.row_number().over(Window.partitionBy("source").orderBy("byte_offset")).cast("long"))
     counted = packets.where("NOT tei") if options.include_null else packets.where((~F.col("tei")) & (F.col("pid") != NULL_PID))
+    own = counted.select("source", "pid", "byte_offset", options.tick.alias("tick"), F.coalesce("discontinuity", F.lit(False)).alias("jump"), range_of("byte_offset", range_bytes).alias("range"))
+    rows = own.join(reference_pids(packets, options), "source").withColumn("clock", F.col("pid") == F.col("reference"))
+    rows = rows.withColumn("tells", F.when(F.col("clock") & (F.col("tick").isNotNull() | F.col("jump")), F.struct(F.col("byte_offset").alias("slot"), "tick", F.col("jump").alias("reset"))))
+    within = Window.partitionBy("source", "range")
+    placed = rows.withColumn("to", F.first("tells", ignorenulls=True).over(within.orderBy("byte_offset").rowsBetween(0, Window.unboundedFollowing)))
+    voids = F.col("jump") & ~F.col("clock")
+    if per_pid:
+        epoch = F.sum(voids.cast("long")).over(Window.partitionBy("source", "range", "pid").orderBy("byte_offset"))
+    else:
+        placed, epoch = placed.withColumn("jump", F.lit(False)), F.lit(0)
     key = F.col("pid") if per_pid else F.lit(None).cast("int")
-    marks = ticks.select("source", "byte_offset", "slot")
-    placed = counted.select("source", "byte_offset", key.alias("key"), "pid").join(marks, ["source", "byte_offset"], "left")
-    ahead = Window.partitionBy("source").orderBy("byte_offset").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    slotted = placed.withColumn("slot", F.first("slot", ignorenulls=True).over(ahead)).where("slot IS NOT NULL")
     size = F.lit(options.packet_size).cast("long")
-    sums = slotted.groupBy("source", "key", "slot").agg(
-        (F.count("*") * size).alias("n_bytes"), (F.sum((F.col("pid") != NULL_PID).cast("long")) * size).alias("n_useful")
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0)) * size
+    solid = ~(F.col("jump") & ~F.col("clock"))
+    parts = placed.select("source", "range", "to", key.alias("key"), epoch.alias("epoch"), "clock", "jump", "pid").groupBy("source", "range", "to", "key", "epoch").agg(
+        n(solid).alias("n"), n(solid & (F.col("pid") != NULL_PID)).alias("useful"), F.max(~solid).alias("void")
+    )
+    # Of a slot only what follows a PID's last discontinuity counts.
+    last = parts.groupBy("source", "range", "to", "key").agg(
+        F.max_by(F.struct("n", "useful"), "epoch").alias("v"), F.max("void").alias("void")
     )
-    keys = sums.select("source", "key").distinct()
-    frame = ticks.join(keys, "source").join(sums.withColumnRenamed("slot", "s_slot").withColumnRenamed("source", "s_source").withColumnRenamed("key", "s_key"),
-        (F.col("source") == F.col("s_source")) & F.col("key").eqNullSafe(F.col("s_key")) & (F.col("slot") == F.col("s_slot")), "left")
-    frame = frame.select("source", F.col("key").alias("pid"), "byte_offset", "tick", "reset", F.coalesce("n_bytes", F.lit(0)).alias("n_bytes"), F.coalesce("n_useful", F.lit(0)).alias("n_useful"))
-    closed = frame.groupBy("source", "pid").applyInArrow(_fold(options.window_ticks, options.width), _WINDOWS)
+    # Packets behind the last tick of their range belong to the first tick of a later one.
+    ticks = last.where("to IS NOT NULL").groupBy("source", "range").agg(F.min("to").alias("first"))
+    later = F.first("first", ignorenulls=True).over(Window.partitionBy("source").orderBy("range").rowsBetween(1, Window.unboundedFollowing))
+    every = last.select("source", "range").distinct().join(ticks, ["source", "range"], "left").select("source", "range", later.alias("later"))
+    moved = last.join(every, ["source", "range"]).select("source", "range", F.coalesce("to", "later").alias("to"), "key", "v", "void").where("to IS NOT NULL")
+    # Ranges of a slot in order: a discontinuity in one voids those before it.
+    each = moved.groupBy("source", "to", "key").agg(F.sort_array(F.collect_list(F.struct("range", "void", "v"))).alias("parts"))
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("useful"), F.lit(False).alias("reset"))
+
+    def add(s: Column, x: Column) -> Column:
+        base = lambda c: F.when(x["void"], 0).otherwise(s[c])
+        return F.struct((base("n") + x["v"]["n"]).alias("n"), (base("useful") + x["v"]["useful"]).alias("useful"), (s["reset"] | x["void"]).alias("reset"))
+
+    sums = each.select("source", "to", "key", F.aggregate("parts", zero, add).alias("s"))
+    row = F.struct(F.col("key").alias("pid"), F.col("s.n").alias("n"), F.col("s.useful").alias("useful"), F.col("s.reset").alias("reset"))
+    return sums.groupBy("source", "to").agg(F.collect_list(row).alias("sums")).select("source", "to.slot", "to.tick", "to.reset", "sums")
+
+
+def bitrate(packets: DataFrame, options: RateOptions | None = None, per_pid: bool = False, range_bytes: int | None = None) -> DataFrame:
+    """A row for each window: its bytes, ticks, seconds and rate, for the stream (pid null) or for each PID.
+
+    n_bytes counts what the options include; useful is what is not null packets. Bytes of the closing packet are in; a discontinuity on
+    the clock's PID empties all windows, with the packet that tells it, and its tick begins new ones; on another PID it empties that PID's. A PID's first window
+    begins at the first tick behind its first byte, and stays open while it has none.
+    """
+    options = options or RateOptions()
+    found = slots(packets, options, per_pid, range_bytes)
+    width = int(packets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = found.repartition(width, "source").sortWithinPartitions("source", "slot")
+    closed = ordered.mapInArrow(_fold(options.window_ticks, options.width), _WINDOWS)
     seconds = F.col("ticks") / F.lit(float(options.rate))
     rate = lambda c: F.col(c) * F.lit(8.0) * F.lit(float(options.rate)) / F.col("ticks")
     return closed.select("source", "pid", "byte_offset", "n_bytes", "n_useful", "ticks", seconds.alias("seconds"), rate("n_bytes").alias("bps"), rate("n_useful").alias("useful_bps"))
 
 
 def _fold(window: int, width: int):
-    """Close windows over the ticks of one clock, in order."""
+    """Close windows over the ticks of sources, in order; the state is a window for each PID of the source at hand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, open_ = None, {}
+        for batch in batches:
+            out: list[tuple] = []
+            for own, slot, tick, reset, sums in zip(*(batch.column(c).to_pylist() for c in ("source", "slot", "tick", "reset", "sums"))):
+                if own != source:
+                    source, open_ = own, {}
+                for s in sums:
+                    begin, n, useful = open_.get(s["pid"], (None, 0, 0))
+                    open_[s["pid"]] = (None, s["n"], s["useful"]) if s["reset"] else (begin, n + s["n"], useful + s["useful"])
+                if reset:
+                    open_ = dict.fromkeys(open_, (None, 0, 0))
+                if tick is None:
+                    continue
+                for pid, (begin, n, useful) in open_.items():
+                    if begin is None:
+                        open_[pid] = (tick, n, useful)
+                    elif n and (delta := (tick - begin) % (1 << width)) >= window:
+                        out.append((own, pid, slot, n, useful, delta))
+                        open_[pid] = (tick, 0, 0)
+            if out:
+                kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+                names = ["source", "pid", "byte_offset", "n_bytes", "n_useful", "ticks"]
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), kinds)], names)
+
+    return run
+
+
+def average_rates(samples: DataFrame) -> DataFrame:
+    """Mean and largest total and useful rate of each series, in Mbit/s."""
+    mega = lambda c: F.col(c) / 1_000_000
+    return samples.groupBy("source", "pid").agg(
+        F.count("*").alias("n_windows"), F.avg(mega("bps")).alias("mean_mbps"), F.avg(mega("useful_bps")).alias("mean_useful_mbps"), F.max(mega("bps")).alias("max_mbps")
+    )
 
-    def fold(table: pa.Table) -> pa.Table:
-        table = table.sort_by("byte_offset")
-        begin, total, useful = None, 0, 0
-        out: list[tuple] = []
-        for source, pid, at, tick, reset, n, u in zip(*(table.column(c).to_pylist() for c in ("source", "pid", "byte_offset", "tick", "reset", "n_bytes", "n_useful"))):
-            if reset:
-                begin, total, useful = tick, 0, 0
-                continue
-            total, useful = total + n, useful + u
-            if begin is None:
-                begin = tick
-            elif (delta := (tick - begin) % (1 << width)) >= window and total:
-                out.append((source, pid, at, total, useful, delta))
-                begin, total, useful = tick, 0, 0
-        kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-        names = ("source", "pid", "byte_offset", "n_bytes", "n_useful", "ticks")
-        return pa.table([pa.array([r[k] for r in out], kinds[k]) for k in range(6)], names)
-
-    return fold
-
-
-def assumed_bitrate(packets: DataFrame, bits_per_sec: float, window_sec: float = 1.0, packet_size: int = 188) -> DataFrame:
+
+def legacy_rates(samples: DataFrame, packet_size: int = 188) -> DataFrame:
+    """Packets and clock ticks of each PID's window, as the older interface reports them; windows without either are left out."""
+    n = F.floor(F.col("n_bytes") / packet_size).cast("long")
+    return samples.where("pid IS NOT NULL").select("source", "pid", "byte_offset", n.alias("n_packets"), F.col("ticks").alias("delta_ticks")).where("n_packets > 0 AND delta_ticks > 0")
+
+
+def kept(samples: DataFrame, time: str = "ts", keep: str = "3 minutes") -> DataFrame:
+    """The points of each series that are not older than so long before the newest of all."""
+    newest = samples.agg(F.max(time).alias("_newest"))
+    return samples.join(F.broadcast(newest), F.col(time) >= F.col("_newest") - F.expr(f"INTERVAL {keep}")).drop("_newest")
+
+
+def assumed_bitrate(packets: DataFrame, bits_per_sec: float, window_sec: float = 1.0, packet_size: int = 188, range_bytes: int | None = None) -> DataFrame:
     """Windows of a stream without a clock, at a rate that is given: as many packets as fill one; the open rest is left out."""
     if bits_per_sec <= 0 or window_sec <= 0:
         raise ValueError("rate and window are positive")
     per_packet = int(packet_size * 8 * PCR_RATE / bits_per_sec)
     need = -(-int(window_sec * PCR_RATE) // per_packet)
-    order = Window.partitionBy("source").orderBy("byte_offset")
-    counted = packets.where((~F.col("tei")) & (F.col("pid") != NULL_PID))
-    rows = counted.select("source", "byte_offset", F.floor((F.row_number().over(order) - 1) / need).alias("window"))
+    counted = packets.where((~F.col("tei")) & (F.col("pid") != NULL_PID)).select("source", "byte_offset")
+    rows = with_number(counted, ["source"], size=range_bytes).select("source", "byte_offset", F.floor(F.col("number") / need).alias("window"))
     full = rows.groupBy("source", "window").agg(F.count("*").alias("n"), F.max("byte_offset").alias("byte_offset")).where(F.col("n") == need)
     ticks = int(need * packet_size * 8 * PCR_RATE / bits_per_sec)
     return full.select("source", "window", "byte_offset", F.lit(need * packet_size).cast("long").alias("n_bytes"), F.lit(ticks).cast("long").alias("ticks"))
 
 
-def clock_steps(packets: DataFrame, clock: str = "pcr") -> DataFrame:
+def clock_steps(packets: DataFrame, clock: str = "pcr", range_bytes: int | None = None) -> DataFrame:
     """Each time stamp of a PID with the ticks since the one before, over the wrap."""
     options = RateOptions(clock=clock)
-    order = Window.partitionBy("source", "pid").orderBy("byte_offset")
     timed = packets.where("NOT tei").select("source", "pid", "byte_offset", options.tick.alias("tick")).where("tick IS NOT NULL")
-    return timed.withColumn("delta", F.pmod(F.col("tick") - F.lag("tick").over(order), F.lit(1 << options.width)))
+    found = with_previous(timed, ["source", "pid"], ["tick"], size=range_bytes)
+    return found.withColumn("delta", F.pmod(F.col("tick") - F.col("before.tick"), F.lit(1 << options.width))).drop("before")
+
+
+def merged_points(samples: DataFrame, time: str = "ts", value: str = "bps", gap_ms: int = 150) -> DataFrame:
+    """Points of several series added up: a group takes what comes within so many milliseconds of its first point. One task a source, points are few."""
+
+    def fold(table: pa.Table) -> pa.Table:
+        table = table.sort_by("at")
+        out: list[list] = []
+        for at, v in zip(table.column("at").to_pylist(), table.column("v").to_pylist()):
+            if not out or at - out[-1][0] > gap_ms * 1000:
+                out.append([at, 0.0, 0])
+            out[-1][1] += v
+            out[-1][2] += 1
+        first = table.column("source")[0].as_py()
+        columns = [pa.array([first] * len(out), pa.string()), *(pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.float64(), pa.int64())))]
+        return pa.Table.from_arrays(columns, ["source", "at", "v", "n"])
+
+    rows = samples.where(F.col(value).isNotNull()).select("source", F.unix_micros(F.col(time).cast("timestamp")).alias("at"), F.col(value).cast("double").alias("v"))
+    found = rows.groupBy("source").applyInArrow(fold, "source string, at bigint, v double, n bigint")
+    return found.select("source", F.timestamp_micros("at").alias("first_seen"), F.col("v").alias(value), F.col("n").alias("n_points"))
 
 
 def sum_by_offset(samples: DataFrame, pids: list[int]) -> DataFrame:

@@ -2,39 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from muxlake.functions.bits import bits, flag, part, uint, walk
-from muxlake.functions.checks import crc8_dvb, crc32_mpeg2
+from muxlake.functions.bits import bits, flag, part, uint
+from muxlake.functions.checks import crc8_dvb
+from muxlake.operators.sections import crc_matches, runs, units
+
+
+_UNITS = "source string, pid int, first_offset bigint, place int, packet binary, crc_ok boolean"
+#: Payload bytes that a packet has at most.
+MAX_PAYLOAD = 8192
+
+
+def cut_packets(data: bytes) -> Iterator[bytes]:
+    """The whole T2-MI packets at the start of a run's bytes: six bytes, so many bits filled up to bytes, and four of CRC."""
+    at = 0
+    while at + 10 <= len(data):
+        n = -(-int.from_bytes(data[at + 4 : at + 6], "big") // 8)
+        if n > MAX_PAYLOAD or at + 10 + n > len(data):
+            return
+        yield data[at : at + 10 + n]
+        at += 10 + n
 
 
-def carrier_packets(packets: DataFrame) -> DataFrame:
+def carrier_packets(packets: DataFrame, range_bytes: int | None = None) -> DataFrame:
     """t2mi(source, pid, first_offset, place, packet_type, packet_count, superframe, stream_id, plp_id, frame_index, interleave_start, payload, crc_ok).
 
     Runs of packets are cut at the starts that pointers tell, as sections are; a run's bytes hold whole T2-MI packets.
     """
-    useful = packets.where("NOT tei AND payload IS NOT NULL")
-    order = Window.partitionBy("source", "pid").orderBy("byte_offset")
-    jump = F.lag("cc").over(order).isNull() | (F.pmod(F.col("cc") - F.lag("cc").over(order), F.lit(16)) != 1)
-    marked = useful.select("source", "pid", "byte_offset", "pusi", "payload", jump.alias("broken"), F.when(F.col("pusi"), uint(F.col("payload"), 0)).cast("int").alias("pointer"))
-    runs = marked.withColumn("run", F.sum(F.col("pusi").cast("long")).over(order))
-    tail = F.struct((F.col("run") - 1).alias("run"), part(F.col("payload"), 1, F.col("pointer")).alias("data"), F.col("broken"))
-    head = F.struct(F.col("run"), part(F.col("payload"), F.col("pointer") + 1, 188).alias("data"), F.lit(False).alias("broken"))
-    whole = F.struct(F.col("run"), F.col("payload").alias("data"), F.col("broken"))
-    pieces = F.when(F.col("pusi"), F.array(tail, head)).otherwise(F.array(whole))
-    dealt = runs.select("source", "pid", "byte_offset", F.explode(pieces).alias("p")).select("source", "pid", "byte_offset", "p.*").where("run > 0")
-    grouped = dealt.groupBy("source", "pid", "run").agg(F.sort_array(F.collect_list(F.struct("byte_offset", "broken", "data"))).alias("parts"), F.min("byte_offset").alias("first_offset"))
-    first_break = F.array_position(F.transform("parts", lambda x: x["broken"]), True)
-    good = F.when(first_break > 0, F.slice("parts", F.lit(1), (first_break - 1).cast("int"))).otherwise(F.col("parts"))
-    rows = grouped.select("source", "pid", "first_offset", F.aggregate(good, F.unhex(F.lit("")), lambda a, x: F.concat(a, x["data"])).alias("data"))
-    raw = F.col("data")
-    size = lambda pos: 6 + F.ceil(uint(raw, pos + 4, 2) / 8) + 4
-    spans = walk(raw, 0, F.length("data"), 10, size)
-    found = rows.select("source", "pid", "first_offset", "data", F.posexplode(spans).alias("place", "e"))
-    packet = found.select("source", "pid", "first_offset", "place", part(raw, F.col("e.pos"), F.col("e.size")).alias("packet"))
+    useful = packets.where("NOT tei AND payload IS NOT NULL").withColumn("discontinuity", F.lit(False))
+    packet = units(runs(useful, skip_pes=False, range_bytes=range_bytes), cut_packets, _UNITS, lambda every: [pa.array(map(crc_matches, every), pa.bool_())])
     p, body = F.col("packet"), F.length("packet") - 4
     kind = uint(p, 0).cast("int")
     of_frame = lambda x: F.when(kind == 0, x)
@@ -42,7 +43,7 @@ def carrier_packets(packets: DataFrame) -> DataFrame:
         "source", "pid", "first_offset", "place", kind.alias("packet_type"), uint(p, 1).cast("int").alias("packet_count"),
         bits(p, 2, 0, 4).cast("int").alias("superframe"), bits(p, 2, 13, 3).cast("int").alias("stream_id"),
         of_frame(uint(p, 7)).cast("int").alias("plp_id"), of_frame(uint(p, 6)).cast("int").alias("frame_index"), of_frame(flag(p, 8, 0)).alias("interleave_start"),
-        part(p, 6, body - 6).alias("payload"), (uint(p, body, 4) == crc32_mpeg2(part(p, 0, body))).alias("crc_ok"),
+        part(p, 6, body - 6).alias("payload"), "crc_ok",
     )
 
 
@@ -67,39 +68,46 @@ def inner_packets(frames: DataFrame) -> DataFrame:
     """The packets of the transport stream in each PLP, with offsets of their own, in the schema of packets.
 
     A frame tells where its first whole packet begins; what stands before completes the packet that the frame before left open.
-    Frames of a PLP are folded in order, one group for each PLP of a carrier.
+    Frames of a PLP come to one task in order, which holds a batch of them and one open packet.
     """
 
-    def fold(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("first_offset", "ascending"), ("place", "ascending")])
-        out: list[bytes] = []
-        rest = b""
-
-        def take(unit: bytes, mode: int, deleted: bool) -> None:
-            out.extend([NULL_PACKET] * (unit[-1] if deleted else 0))
-            out.append(b"\x47" + (unit[:187] if mode else unit[1:188]))
-
-        for data, syncd, upl, mode, deleted in zip(*(table.column(c).to_pylist() for c in ("data", "syncd", "upl", "mode", "null_deleted"))):
-            size = 187 + deleted if mode else max(upl // 8, 188)
-            begin = len(data) if syncd == 0xFFFF else syncd // 8
-            rest = rest + data[:begin] if rest else b""
-            if len(rest) == size:
-                take(rest, mode, deleted)
-            if syncd == 0xFFFF:
-                continue
-            at = begin
-            while at + size <= len(data):
-                take(data[at : at + size], mode, deleted)
-                at += size
-            rest = data[at:]
-        n = len(out)
-        first = {c: table.column(c)[0].as_py() for c in ("source", "pid", "plp_id")}
-        return pa.table([
-            pa.array([first["source"]] * n, pa.string()), pa.array([first["pid"]] * n, pa.int32()), pa.array([first["plp_id"]] * n, pa.int32()),
-            pa.array([k * 188 for k in range(n)], pa.int64()), pa.array(out, pa.binary())], ["source", "pid", "plp_id", "byte_offset", "raw"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plp, rest, n = None, b"", 0
+        for batch in batches:
+            keys: list[tuple] = []
+            out: list[bytes] = []
+
+            def take(unit: bytes, mode: int, deleted: bool) -> None:
+                made = [NULL_PACKET] * (unit[-1] if deleted else 0) + [b"\x47" + (unit[:187] if mode else unit[1:188])]
+                keys.extend((plp, n + k) for k in range(len(made)))
+                out.extend(made)
+
+            names = ("source", "pid", "plp_id", "data", "syncd", "upl", "mode", "null_deleted")
+            for source, pid, plp_id, data, syncd, upl, mode, deleted in zip(*(batch.column(c).to_pylist() for c in names)):
+                if plp != (source, pid, plp_id):
+                    plp, rest, n = (source, pid, plp_id), b"", 0
+                size = 187 + deleted if mode else max(upl // 8, 188)
+                begin = len(data) if syncd == 0xFFFF else syncd // 8
+                rest = rest + data[:begin] if rest else b""
+                held = len(out)
+                if len(rest) == size:
+                    take(rest, mode, deleted)
+                    n += len(out) - held
+                if syncd == 0xFFFF:
+                    continue
+                for at in range(begin, len(data) - size + 1, size):
+                    held = len(out)
+                    take(data[at : at + size], mode, deleted)
+                    n += len(out) - held
+                rest = data[begin + (len(data) - begin) // size * size :]
+            if out:
+                fields = [pa.array([k[0][j] for k in keys], kind) for j, kind in enumerate((pa.string(), pa.int32(), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*fields, pa.array([k[1] * 188 for k in keys], pa.int64()), pa.array(out, pa.binary())], ["source", "pid", "plp_id", "byte_offset", "raw"])
 
     whole = frames.where("ts_gs = 3 AND dfl % 8 = 0 AND (syncd = 65535 OR syncd % 8 = 0) AND mode IN (0, 1)")
-    return whole.groupBy("source", "pid", "plp_id").applyInArrow(fold, _INNER)
+    width = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = whole.repartition(width, "source", "pid", "plp_id").sortWithinPartitions("source", "pid", "plp_id", "first_offset", "place")
+    return ordered.mapInArrow(run, _INNER)
 
 
 def plp_sources(inner: DataFrame) -> DataFrame:

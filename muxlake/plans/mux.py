@@ -67,13 +67,14 @@ def loop(data: Column, flags: int = 0xF000) -> Column:
 def section_packets(sections: DataFrame, key: str = "source") -> DataFrame:
     """(key, byte_offset, raw) of the packets of sections(key, pid, seq, section), each section from a packet of its own.
 
-    Continuity counts within a PID and offsets within a key, both in the order of seq.
+    Continuity counts within a PID and offsets within a key, both in the order of seq. Sections are numbered by running totals of their packets
+    before they are cut.
     """
-    length = F.length("section") + 1
-    chunks = sections.select(key, "pid", "seq", join(be(0, 1), F.col("section")).alias("data"), F.explode(F.sequence(F.lit(0), F.floor((length - 1) / 184).cast("int"))).alias("k"))
-    order = Window.partitionBy(key, "pid").orderBy("seq", "k")
-    counted = chunks.withColumn("cc", (F.row_number().over(order) - 1) % 16)
-    place = Window.partitionBy(key).orderBy("seq", "pid", "k")
+    n = F.floor(F.length("section") / 184).cast("long") + 1
+    before = lambda *by: F.sum("n").over(Window.partitionBy(*by).orderBy("seq", "pid").rowsBetween(Window.unboundedPreceding, -1))
+    counted = sections.select(key, "pid", "seq", join(be(0, 1), F.col("section")).alias("data"), n.alias("n"))
+    placed = counted.withColumns({"of_key": F.coalesce(before(key), F.lit(0)), "of_pid": F.coalesce(before(key, "pid"), F.lit(0))})
+    chunks = placed.select(key, "pid", "data", "of_key", "of_pid", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("k"))
     raw = once(part(F.col("data"), F.col("k") * 184, 184), lambda x: join(x, fill(F.lit(184) - F.length(x))))
-    made = counted.select(key, "seq", "pid", "k", packet(F.col("pid"), F.col("cc"), raw, (F.col("k") == 0).cast("int")).alias("raw"))
-    return made.select(key, ((F.row_number().over(place) - 1) * 188).cast("long").alias("byte_offset"), "raw")
+    made = packet(F.col("pid"), (F.col("of_pid") + F.col("k")) % 16, raw, (F.col("k") == 0).cast("int"))
+    return chunks.select(key, ((F.col("of_key") + F.col("k")) * 188).cast("long").alias("byte_offset"), made.alias("raw"))

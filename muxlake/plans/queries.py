@@ -160,8 +160,9 @@ def _decoded(made: DataFrame) -> DataFrame:
     return sections.reassemble(packets.decode(mux.section_packets(made)))
 
 
-def _numbered(df: DataFrame, pid, section, seq: str, source="driver") -> DataFrame:
-    src = source if not isinstance(source, str) else F.lit(source)
+def _numbered(df: DataFrame, pid, section, seq: str, source=None) -> DataFrame:
+    """Sections for the muxer; unless told otherwise, a source has 2,000 values of seq."""
+    src = source if source is not None else F.concat(F.lit("driver "), F.floor(F.col(seq) / 2000).cast("string"))
     return df.select(src.alias("source"), pid.cast("int").alias("pid"), F.col(seq).cast("long").alias("seq"), section.alias("section"))
 
 
@@ -277,7 +278,7 @@ def _event_sections(spark, sf_dir, copies: int = 1):
     body = join(be(F.col("o_custkey") % 100, 2), be(2, 2), be(0, 1), be(0x50, 1), event)
     section = mux.section(0x50, F.col("o_custkey") % 65536, body, F.col("o_orderkey") % 32)
     rows = o.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).withColumn("seq", F.col("o_orderkey") * copies + F.col("copy"))
-    return _decoded(_numbered(rows, F.lit(0x12), section, "seq", F.concat(F.lit("orders "), (F.col("o_orderkey") % 8).cast("string"))))
+    return _decoded(_numbered(rows, F.lit(0x12), section, "seq", F.concat(F.lit("orders "), (F.col("o_orderkey") % 64).cast("string"))))
 
 
 @query("""SELECT CAST(o_custkey % 65536 AS INTEGER) AS service_id, CAST(o_orderkey % 65536 AS INTEGER) AS event_id, CAST(epoch_us(o_orderdate) // 1000000 AS BIGINT) AS start_sec,
@@ -316,7 +317,7 @@ def splice_inserts(spark, sf_dir):
     body = join(head, command, be(0, 2))
     section = mux.with_crc(join(be(0xFC, 1), be(F.length(body) + 4 + 0x3000, 2), body))
     rows = li.withColumn("seq", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
-    out = tables.splice(_decoded(_numbered(rows, F.lit(0x300), section, "seq", F.concat(F.lit("cues "), (F.col("l_orderkey") % 16).cast("string")))))
+    out = tables.splice(_decoded(_numbered(rows, F.lit(0x300), section, "seq", F.concat(F.lit("cues "), (F.col("l_orderkey") % 64).cast("string")))))
     return out.select("event_id", "out_of_network", "splice_pts", F.coalesce("break_duration", F.lit(-1)).alias("break_duration"), "unique_program_id", "avail")
 
 
