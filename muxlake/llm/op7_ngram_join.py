@@ -1,9 +1,10 @@
 """Operator 7, n-gram Jaccard join: documents whose sets of word n-grams are similar.
 
 Documents of one set form a node. MinHash bands, their number and rows chosen for a target recall at the threshold, are shuffled on their
-hashes; nodes that share a band are tied to the smallest of them, and ties give candidate groups. Each group's pairs
-are verified on the full sets. A large group is cut into blocks, and a task takes a pair of blocks, so that no
-task holds a group and no pair becomes a row: a task returns each node's number of links and a spanning forest of them.
+hashes; nodes that share a band are tied to the smallest of them, and ties give candidate groups. A small group is one block. In a large
+one each node goes to the largest band bucket it is in, and a bucket's nodes to blocks; two blocks meet only where some bucket has nodes of both. All
+pairs of blocks that meet are verified on the full sets. A task takes a pair of blocks, so that no
+task holds a group and no pair of documents becomes a row: a task returns each node's number of links and a spanning forest of them.
 
 Result: a row for each document with class_id, the smallest doc_id of its connected component, and n_links, the other
 documents that are similar to it, copies counted one by one.
@@ -32,7 +33,7 @@ from muxlake.llm.shingles import mixed, ngram_sets, slices
 N, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.9995, 256
 #: A block of a candidate group has about so many nodes and n-grams at most.
 BLOCK_NODES, BLOCK_NGRAMS = 400, 400_000
-_GROUP = ["label", "low", "high"]
+_GROUP = ["low", "high"]
 
 
 def choose_bands(threshold: float, recall: float, max_hashes: int = MAX_HASHES) -> tuple[int, int]:
@@ -89,8 +90,8 @@ def _signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return per_batch(rows_in, run, "doc_id bigint, text_hash bigint, key binary, n_ngrams bigint, bands binary")
 
 
-def _ties(nodes: DataFrame) -> DataFrame:
-    """Edges from each node to the smallest node that shares a band hash with it."""
+def _band_rows(nodes: DataFrame) -> DataFrame:
+    """(key, band) of all bands of the nodes."""
 
     def run(batch: pa.RecordBatch):
         for at in range(0, batch.num_rows, 20_000):
@@ -99,11 +100,42 @@ def _ties(nodes: DataFrame) -> DataFrame:
             place = pa.array(np.repeat(np.arange(len(each)), [len(x) for x in each]))
             yield pa.RecordBatch.from_arrays([part.column("key").take(place), pa.array(np.concatenate(each))], ["key", "band"])
 
-    rows = per_batch(nodes.select("key", "bands"), run, "key binary, band bigint")
+    return per_batch(nodes.select("key", "bands"), run, "key binary, band bigint")
+
+
+def _ties(nodes: DataFrame) -> DataFrame:
+    """Edges from each node to the smallest node that shares a band hash with it."""
+    rows = _band_rows(nodes)
     first = rows.groupBy("band").agg(F.min("key").alias("a"), F.max("key").alias("last")).where("a <> last").select("band", "a")
     return rows.join(first, "band").where("key <> a").select("a", F.col("key").alias("b")).distinct()
 
 
+def blocks(nodes: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, rep, n_copies, block) of the grouped nodes, and (block, low, high): the pairs of blocks that each block is dealt to."""
+    parts = lambda df, key: df.groupBy(key).agg(
+        F.ceil(F.greatest(F.count("*") / BLOCK_NODES, F.sum("n_ngrams") / BLOCK_NGRAMS)).cast("int").alias("n_parts")
+    )
+    sized = groups.join(nodes.select(F.col("key").alias("node"), "rep", "n_copies", "n_ngrams"), "node")
+    sized = saved(sized.join(parts(sized, "label"), "label"), "grouped")
+    placed = sized.where("n_parts = 1").select("node", "rep", "n_copies", F.xxhash64("label").alias("block"))
+    alone = lambda df: df.select("block", F.col("block").alias("low"), F.col("block").alias("high")).distinct()
+    large = sized.where("n_parts > 1").drop("n_parts")
+    if large.isEmpty():
+        return placed, alone(placed)
+    bands = _band_rows(nodes.join(large.select(F.col("node").alias("key")), "key", "left_semi"))
+    counts = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    shared = saved(bands.join(counts, "band").select(F.col("key").alias("node"), "band", "n"), "shared-bands")
+    # A node's largest bucket is at least as large as any other that it is in, so a bucket of m nodes has few cells beside its blocks.
+    cells = large.join(shared.groupBy("node").agg(F.max_by("band", F.struct("n", "band")).alias("cell")), "node")
+    cut = F.xxhash64("cell", F.pmod(F.xxhash64("node"), F.col("n_parts")))
+    placed = saved(placed.union(cells.join(parts(cells, "cell"), "cell").select("node", "rep", "n_copies", cut.alias("block"))), "blocks")
+    touched = shared.join(placed.select("node", "block"), "node").select("band", "block").distinct()
+    sets = touched.groupBy("band").agg(F.sort_array(F.collect_list("block")).alias("b")).where(F.size("b") > 1)
+    firsts = sets.select("b", F.explode(F.sequence(F.lit(0), F.size("b") - 2)).alias("k"))
+    pairs = saved(firsts.select(F.get("b", F.col("k")).alias("low"), F.explode(F.slice("b", F.col("k") + 2, F.size("b"))).alias("high")).distinct(), "block-pairs")
+    return placed, alone(placed).union(pairs.select("low", "low", "high")).union(pairs.select("high", "low", "high"))
+
+
 def _similar(sets: list[np.ndarray], block: np.ndarray, two: bool, threshold: float) -> np.ndarray:
     """Which pairs are similar: all of one block, or only those between two blocks."""
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -161,17 +193,11 @@ def _verify(keys: list[bytes], copies: np.ndarray, block: np.ndarray, two: bool,
 
 def _links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, n: int, threshold: float) -> DataFrame:
     """(node, links, other) of all tasks; the texts of grouped nodes are read again and dealt to their pairs of blocks."""
-    sized = groups.join(nodes.select(F.col("key").alias("node"), "rep", "n_copies", "n_ngrams"), "node")
-    total = sized.groupBy("label").agg(F.count("*").alias("n"), F.sum("n_ngrams").alias("grams"))
-    total = total.select("label", F.ceil(F.greatest(F.col("n") / BLOCK_NODES, F.col("grams") / BLOCK_NGRAMS)).cast("int").alias("n_blocks"))
-    block = F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")
-    placed = sized.join(total, "label").withColumn("block", block)
+    placed, deals = blocks(nodes, groups)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash"), "text")
-    with_text = placed.join(texts, F.col("rep.doc_id").eqNullSafe(F.col("id")) & (F.col("rep.text_hash") == F.col("text_hash")))
-    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other_block")
-    dealt = with_text.select("label", "node", "n_copies", "block", "text", other).select(
-        "label", F.least("block", "other_block").alias("low"), F.greatest("block", "other_block").alias("high"),
-        "node", "n_copies", "block", "text",
+    own = placed.join(deals, "block")
+    dealt = own.join(texts, F.col("rep.doc_id").eqNullSafe(F.col("id")) & (F.col("rep.text_hash") == F.col("text_hash"))).select(
+        "low", "high", "node", "n_copies", "block", "text"
     )
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(width, *_GROUP).sortWithinPartitions(*_GROUP)
@@ -182,17 +208,17 @@ def _links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, n: int, thresho
 
         def close():
             keys, copies, block, texts = zip(*held)
-            found = _verify(list(keys), np.array(copies, np.int64), np.array(block), group[1] < group[2], list(texts), n, threshold)
+            found = _verify(list(keys), np.array(copies, np.int64), np.array(block), group[0] != group[1], list(texts), n, threshold)
             return pa.RecordBatch.from_arrays([pa.array(found[0], pa.binary()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.binary())], ["node", "links", "other"])
 
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in (*_GROUP, "node", "n_copies", "block", "text")]
             for row in zip(*columns):
-                if row[:3] != group:
+                if row[:2] != group:
                     if held:
                         yield close()
-                    held, group = [], row[:3]
-                held.append(row[3:])
+                    held, group = [], row[:2]
+                held.append(row[2:])
         if held:
             yield close()
 

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from muxlake.llm import op7_ngram_join as op
 from muxlake.llm.shingles import ngram_hashes, word_hashes
@@ -110,3 +111,20 @@ def test_hashes_depend_on_words_and_order():
     assert sizes.tolist() == [3, 0, 0, 3]
     assert words[0] == words[2] == words[4] and words[1] == words[3] != words[0]
     assert ngram_hashes(words[:2], 5)[0] != ngram_hashes(words[1:3], 5)[0]
+
+
+def test_chains_are_not_compared_end_to_end(spark, monkeypatch):
+    monkeypatch.setattr(op, "BLOCK_NODES", 10)
+    words = [f"w{k}" for k in range(4000)]
+    rows = [(k, " ".join(words[8 * k : 8 * k + 60])) for k in range(400)]
+    rows += [(1000 + k, " ".join(words[8 * k : 8 * k + 60]) + " end") for k in range(0, 400, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bands, width = op.choose_bands(op.THRESHOLD, op.RECALL)
+    signed = op._signatures(docs, op.N, bands, width)
+    nodes = signed.groupBy("key").agg(F.count("*").alias("n_copies"), F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.max("n_ngrams").alias("n_ngrams"), F.first("bands").alias("bands")).cache()
+    groups = op.components(op._ties(nodes))
+    assert groups.groupBy("label").count().agg(F.max("count")).first()[0] > 100
+    placed, deals = op.blocks(nodes, groups)
+    assert placed.count() == len(rows) and placed.join(deals, "block").count() < 12 * len(rows)
+    assert placed.groupBy("block").count().agg(F.max("count")).first()[0] <= 30
+    assert found(docs) == brute(rows)
