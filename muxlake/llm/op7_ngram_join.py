@@ -1,9 +1,9 @@
 """Operator 7, n-gram Jaccard join: documents whose sets of word n-grams are similar.
 
 Documents of one set form a node. MinHash bands, their number and rows chosen for a target recall at the threshold, are shuffled on their
-hashes; nodes that share a band are tied to the smallest of them, and ties give candidate groups. A small group is one block. In a large
-one each node goes to the largest band bucket it is in, and a bucket's nodes to blocks; two blocks meet only where some bucket has nodes of both. All
-pairs of blocks that meet are verified on the full sets. A task takes a pair of blocks, so that no
+hashes; nodes that share a band are tied to the smallest of them, and ties give candidate groups. A small group is one block. A large one is
+dealt to blocks in the cheaper of two ways: by hash, and all pairs of its blocks meet; or each node with the largest band bucket it is in, and two
+blocks meet only where some bucket has nodes of both. All pairs of blocks that meet are verified on the full sets. A task takes a pair of blocks, so that no
 task holds a group and no pair of documents becomes a row: a task returns each node's number of links and a spanning forest of them.
 
 Result: a row for each document with class_id, the smallest doc_id of its connected component, and n_links, the other
@@ -117,23 +117,38 @@ def blocks(nodes: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     sized = groups.join(nodes.select(F.col("key").alias("node"), "rep", "n_copies", "n_ngrams"), "node")
     sized = saved(sized.join(parts(sized, "label"), "label"), "grouped")
-    placed = sized.where("n_parts = 1").select("node", "rep", "n_copies", F.xxhash64("label").alias("block"))
+    whole = lambda df, cut: df.select("node", "rep", "n_copies", cut.alias("block"))
     alone = lambda df: df.select("block", F.col("block").alias("low"), F.col("block").alias("high")).distinct()
-    large = sized.where("n_parts > 1").drop("n_parts")
+    placed = whole(sized.where("n_parts = 1"), F.xxhash64("label"))
+    large = sized.where("n_parts > 1")
     if large.isEmpty():
         return placed, alone(placed)
+    # One way: a block of each part of a group, and all pairs of them.
+    cut = lambda key, part: F.xxhash64(key, part.cast("long"))
+    plain = large.select("label", "node", "rep", "n_copies", cut("label", F.pmod(F.xxhash64("node"), F.col("n_parts"))).alias("block"))
+    numbers = large.select("label", "n_parts").distinct().select("label", "n_parts", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("k"))
+    two = numbers.select("label", "k", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("j"))
+    plain_deals = two.select("label", cut("label", F.col("k")).alias("block"), cut("label", F.least("k", "j")).alias("low"), cut("label", F.greatest("k", "j")).alias("high"))
+    # The other: blocks of band buckets, and the pairs of them that some bucket has nodes of.
     bands = _band_rows(nodes.join(large.select(F.col("node").alias("key")), "key", "left_semi"))
     counts = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     shared = saved(bands.join(counts, "band").select(F.col("key").alias("node"), "band", "n"), "shared-bands")
-    # A node's largest bucket is at least as large as any other that it is in, so a bucket of m nodes has few cells beside its blocks.
-    cells = large.join(shared.groupBy("node").agg(F.max_by("band", F.struct("n", "band")).alias("cell")), "node")
-    cut = F.xxhash64("cell", F.pmod(F.xxhash64("node"), F.col("n_parts")))
-    placed = saved(placed.union(cells.join(parts(cells, "cell"), "cell").select("node", "rep", "n_copies", cut.alias("block"))), "blocks")
-    touched = shared.join(placed.select("node", "block"), "node").select("band", "block").distinct()
-    sets = touched.groupBy("band").agg(F.sort_array(F.collect_list("block")).alias("b")).where(F.size("b") > 1)
-    firsts = sets.select("b", F.explode(F.sequence(F.lit(0), F.size("b") - 2)).alias("k"))
-    pairs = saved(firsts.select(F.get("b", F.col("k")).alias("low"), F.explode(F.slice("b", F.col("k") + 2, F.size("b"))).alias("high")).distinct(), "block-pairs")
-    return placed, alone(placed).union(pairs.select("low", "low", "high")).union(pairs.select("high", "low", "high"))
+    cells = large.drop("n_parts").join(shared.groupBy("node").agg(F.max_by("band", F.struct("n", "band")).alias("cell")), "node")
+    by_cell = cells.join(parts(cells, "cell"), "cell")
+    by_cell = saved(by_cell.select("label", "node", "rep", "n_copies", cut("cell", F.pmod(F.xxhash64("node"), F.col("n_parts"))).alias("block")), "blocks")
+    touched = shared.join(by_cell.select("node", "label", "block"), "node").select("label", "band", "block").distinct()
+    sets = touched.groupBy("label", "band").agg(F.sort_array(F.collect_list("block")).alias("b")).where(F.size("b") > 1)
+    firsts = sets.select("label", "b", F.explode(F.sequence(F.lit(0), F.size("b") - 2)).alias("k"))
+    pairs = firsts.select("label", F.get("b", F.col("k")).alias("low"), F.explode(F.slice("b", F.col("k") + 2, F.size("b"))).alias("high"))
+    pairs = saved(pairs.distinct(), "block-pairs")
+    own = by_cell.select("label", "block", F.col("block").alias("low"), F.col("block").alias("high")).distinct()
+    cell_deals = own.union(pairs.select("label", "low", "low", "high")).union(pairs.select("label", "high", "low", "high"))
+    # Each group goes the way that deals fewer texts: a chain of texts by its buckets, a dense group by all pairs.
+    texts = by_cell.groupBy("label", "block").agg(F.count("*").alias("n")).join(cell_deals.groupBy("block").agg(F.count("*").alias("d")), "block")
+    costs = texts.groupBy("label").agg(F.sum(F.col("n") * F.col("d")).alias("by_cell")).join(large.groupBy("label").agg(F.sum("n_parts").alias("plain")), "label")
+    chains = saved(costs.where("by_cell < plain").select("label"), "chains")
+    pick = lambda one, other: one.join(chains, "label", "left_semi").union(other.join(chains, "label", "left_anti"))
+    return placed.union(whole(pick(by_cell, plain), F.col("block"))), alone(placed).union(pick(cell_deals, plain_deals).drop("label"))
 
 
 def _similar(sets: list[np.ndarray], block: np.ndarray, two: bool, threshold: float) -> np.ndarray:
