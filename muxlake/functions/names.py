@@ -47,6 +47,38 @@ UPID_TYPES = {
     0x00: "not used", 0x01: "user defined", 0x02: "ISCI", 0x03: "Ad-ID", 0x04: "UMID", 0x05: "ISAN", 0x06: "versioned ISAN", 0x07: "TID", 0x08: "TI", 0x09: "ADI",
     0x0A: "EIDR", 0x0B: "ATSC content identifier", 0x0C: "MPU", 0x0D: "MID", 0x0E: "ADS information", 0x0F: "URI",
 }
+# Values of one operator's descriptors.
+CAS_PROVIDERS = {
+    0x02: "CAS 3.0", 0x03: "CAS 3.0 Sib", 0x11: "CAS 2.2 / CAS 2.1", 0x14: "CAS 2.0 Sib", 0x18: "CAS 4.2", 0x19: "CAS 4.1", 0x1A: "CAS 4.0 Sib", 0x28: "CAS 5.0", 0x2C: "CAS 5.5",
+}
+CAS_SERVICES = {
+    0x00: "simple EMM/ECM", 0x01: "Info cas old + TVMail old", 0x02: "Info banner old", 0x05: "Switch banner metadata", 0x06: "Switch banner content",
+    0x09: "Info banner new metadata", 0x0A: "Info banner new content", 0x0D: "R2 control subscription", 0x10: "Info cas new", 0x11: "TVMail new metadata",
+    0x12: "TVMail new data", 0x18: "ABOX",
+}
+UPDATE_TYPES = {0: "automatic update disabled", 1: "forced update in standby", 2: "forced update in normal mode", 3: "voluntary update in normal mode"}
+VBI_SERVICES = {1: "EBU teletext", 2: "inverted teletext", 4: "VPS", 5: "WSS", 6: "closed caption", 7: "monochrome 4:2:2 samples"}
+CUE_TYPES = {0: "splice_insert, splice_null, splice_schedule", 1: "all commands", 2: "segmentation", 3: "tiered splicing", 4: "tiered segmentation"}
+ALIGNMENTS = {1: "slice or video access unit", 2: "video access unit", 3: "GOP or SEQ", 4: "SEQ"}
+CAROUSEL_FORMATS = {0: "standard boot", 1: "enhanced boot"}
+MIP_FUNCTIONS = {0: "transmitter time offset", 1: "transmitter frequency offset", 2: "transmitter power", 3: "private data", 4: "cell id", 5: "enable", 6: "bandwidth"}
+HIERARCHIES = {0: "non-hierarchical", 1: "alpha 1", 2: "alpha 2", 3: "alpha 4", 4: "non-hierarchical, in-depth", 5: "alpha 1, in-depth", 6: "alpha 2, in-depth", 7: "alpha 4, in-depth"}
+MIP_BANDWIDTHS = {0: "7 MHz", 1: "8 MHz", 2: "6 MHz"}
+BANDWIDTHS = {0: "8 MHz", 1: "7 MHz", 2: "6 MHz", 3: "5 MHz"}
+POLARIZATIONS = {0: "linear horizontal", 1: "linear vertical", 2: "circular left", 3: "circular right"}
+ROLL_OFFS = {0: "0.35", 1: "0.25", 2: "0.20"}
+SATELLITE_MODULATIONS = {0: "auto", 1: "QPSK", 2: "8PSK", 3: "16-QAM"}
+INNER_FECS = {0: "not defined", 1: "1/2", 2: "2/3", 3: "3/4", 4: "5/6", 5: "7/8", 6: "8/9", 7: "3/5", 8: "4/5", 9: "9/10", 15: "none"}
+OUTER_FECS = {0: "not defined", 1: "none", 2: "RS(204/188)"}
+CABLE_MODULATIONS = {0: "not defined", 1: "16-QAM", 2: "32-QAM", 3: "64-QAM", 4: "128-QAM", 5: "256-QAM"}
+T2_BANDWIDTHS = {0: "8 MHz", 1: "7 MHz", 2: "6 MHz", 3: "5 MHz", 4: "10 MHz", 5: "1.712 MHz"}
+T2_GUARDS = {0: "1/32", 1: "1/16", 2: "1/8", 3: "1/4", 4: "1/128", 5: "19/128", 6: "19/256"}
+T2_MODES = {0: "2k", 1: "8k", 2: "4k", 3: "1k", 4: "16k", 5: "32k"}
+SISO_MISO = {0: "SISO", 1: "MISO"}
+EXTENSIONS = {0x00: "image icon", 0x04: "T2 delivery system", 0x05: "SH delivery system", 0x06: "supplementary audio", 0x07: "network change notify", 0x08: "message", 0x09: "target region", 0x0A: "target region name", 0x0B: "service relocated"}
+SPLICE_DESCRIPTORS = {0: "avail", 1: "DTMF", 2: "segmentation", 3: "time", 4: "audio"}
+AIT_DESCRIPTORS = {0: "application", 1: "application name", 2: "transport protocol", 3: "DVB-J application", 4: "DVB-J application location", 0x10: "application storage", 0x15: "simple application location"}
+STREAM_IDS = {0xBC: "program stream map", 0xBD: "private stream 1", 0xBE: "padding", 0xBF: "private stream 2", 0xF0: "ECM", 0xF1: "EMM", 0xF2: "DSM-CC", 0xF3: "ISO 13522", 0xF8: "H.222.1 type E", 0xF9: "ancillary", 0xFA: "SL-packetized", 0xFB: "FlexMux", 0xFF: "program stream directory"}
 CONSTELLATIONS = {0: "QPSK", 1: "16-QAM", 2: "64-QAM"}
 CODE_RATES = {0: "1/2", 1: "2/3", 2: "3/4", 3: "5/6", 4: "7/8"}
 GUARD_INTERVALS = {0: "1/32", 1: "1/16", 2: "1/8", 3: "1/4"}
@@ -60,6 +92,11 @@ def name_of(code: Column, names: dict[int, str], other: str = "unknown") -> Colu
     return F.coalesce(F.try_element_at(table, code.cast("int")), F.lit(other))
 
 
+def stream_id_name(code: Column) -> Column:
+    """The kind of a PES stream: sound for 0xC0 to 0xDF, pictures for 0xE0 to 0xEF."""
+    return F.when(code.between(0xC0, 0xDF), F.lit("audio")).when(code.between(0xE0, 0xEF), F.lit("video")).otherwise(name_of(code, STREAM_IDS))
+
+
 def minimum_age(rating: Column) -> Column:
     """The age of a parental rating; null where it is undefined or the broadcaster's own."""
     return F.when(rating.between(0x01, 0x0F), rating + 3)

@@ -15,7 +15,7 @@ from muxlake.operators import tables
 
 def _has(loop, tag: int):
     """Whether a descriptor loop holds a tag."""
-    return F.exists(walk(loop, 0, F.length(loop), 2, lambda pos: uint(loop, pos + 1) + 2), lambda e: uint(loop, e["pos"]) == tag)
+    return F.exists(walk(loop, 0, F.length(loop), 2, lambda pos: desc.entry_size(loop, pos)), lambda e: uint(loop, e["pos"]) == tag)
 
 
 def pmt_pids(pat: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from muxlake.functions.bits import bits, once, part, sint, uint, walk
 from muxlake.functions.values import bcd_minutes, dvb_text, mjd_seconds
+from muxlake.operators.nested import VIEWS
 
 def _data() -> Column:
     return F.col("data")
@@ -80,10 +81,7 @@ LAYOUTS: dict[tuple[str, int], Layout] = {
     ("dvb", 0x0E): Layout("maximum_bitrate", _ints("maximum_bitrate:2:22")),
     ("dvb", 0x0F): Layout("private_data_indicator", _ints("private_data_indicator:0:32")),
     ("dvb", 0x11): Layout("std", _ints("leak_valid:7!")),
-    ("dvb", 0x13): Layout("carousel_identifier", (*_ints("carousel_id:0:32 format_id:32:8"), Field("private_data", 40, 0, "rest"))),
-    ("dvb", 0x14): Layout("association_tag", _ints("association_tag:0:16 use:16:16 selector_length:32:8 transaction_id:40:32 time_out:72:32")),
     ("dvb", 0x28): Layout("avc_video", _ints("profile_idc:0:8 constraint_set0:8! constraint_set1:9! constraint_set2:10! constraint_set3:11! constraint_set4:12! constraint_set5:13! avc_compatible:14:2 level_idc:16:8 still_present:24! picture_24_hour:25! frame_packing_not_present:26!")),
-    ("dvb", 0x2A): Layout("avc_timing_and_hrd", _ints("hrd_management_valid:0! picture_and_timing:7! flag_90khz:8! n:16:32 k:48:32")),
     ("dvb", 0x38): Layout("hevc_video", _ints("profile_space:0:2 tier:2! profile_idc:3:5 profile_compatibility:8:32 progressive:40! interlaced:41! non_packed:42! frame_only:43! copied_44_bits:44:44 level_idc:88:8 temporal_layer_subset:96! still_present:97! picture_24_hour:98! sub_pic_not_present:99! hdr_wcg_idc:102:2 temporal_id_min:104:3 temporal_id_max:112:3")),
     ("dvb", 0x40): Layout("network_name", (Field("network_name", 0, 0, "text"),)),
     ("dvb", 0x41): Layout("service_list", _ints("service_id:0:16 service_type:16:8"), 3),
@@ -102,18 +100,14 @@ LAYOUTS: dict[tuple[str, int], Layout] = {
     ("dvb", 0x5A): Layout("terrestrial_delivery", (Field("centre_frequency", 0, 32, "int", 10), *_ints("bandwidth:32:3 priority:35! time_slicing:36! mpe_fec:37! constellation:40:2 hierarchy:42:3 code_rate_hp:45:3 code_rate_lp:48:3 guard_interval:51:2 transmission_mode:53:2 other_frequency:55!"))),
     ("dvb", 0x5F): Layout("private_data_specifier", _ints("private_data_specifier:0:32")),
     ("dvb", 0x60): Layout("service_move", _ints("new_original_network_id:0:16 new_ts_id:16:16 new_service_id:32:16")),
-    ("dvb", 0x64): Layout("data_broadcast", _ints("data_broadcast_id:0:16 component_tag:16:8 selector_length:24:8")),
     ("dvb", 0x66): Layout("data_broadcast_id", (*_ints("data_broadcast_id:0:16"), Field("selector", 16, 0, "rest"))),
     ("dvb", 0x6F): Layout("application_signalling", _ints("application_type:1:15 ait_version:19:5"), 3),
     ("dvb", 0x70): Layout("adaptation_field_data", _ints("adaptation_field_data_id:0:8")),
-    ("dvb", 0x7C): Layout("aac", _ints("profile_and_level:0:8 aac_type_present:8! saoc_de:9! aac_type:16:8")),
     ("dvb", 0x83): Layout("logical_channel", _ints("service_id:0:16 visible:16! lcn:22:10"), 4),
     ("dvb", 0x86): Layout("gnr", _ints("ts_id:0:16 original_network_id:16:16 service_id:32:16"), 6),
-    ("dvb", 0x89): Layout("ews_region", (Field("region_name", 8, 0, "text"),)),
+    ("dvb", 0x89): Layout("ews_region", (Field("region_name", 0, 0, "text"),)),
     ("dvb", 0x8A): Layout("cue_identifier", _ints("cue_stream_type:0:8")),
-    ("dvb", 0x90): Layout("ews_zone", (Field("zone_name", 8, 0, "text"),)),
-    ("ext", 0x04): Layout("t2_delivery", _ints("plp_id:0:8 t2_system_id:8:16 siso_miso:24:2 bandwidth:26:4 guard_interval:32:3 transmission_mode:35:3 other_frequency:38! tfs:39!")),
-    ("ext", 0x00): Layout("image_icon", _ints("descriptor_number:0:4 last_descriptor_number:4:4 icon_id:13:3")),
+    ("dvb", 0x90): Layout("ews_zone", (Field("zone_name", 0, 0, "text"),)),
     ("ait", 0x02): Layout("transport_protocol", (*_ints("protocol_id:0:16 protocol_label:16:8"), Field("selector", 24, 0, "rest"))),
     ("ait", 0x10): Layout("application_storage", _ints("storage_property:0:8 not_from_broadcast:8! complete_from_cache:9! with_older_version:10! version:17:31 priority:48:8")),
     ("ait", 0x15): Layout("simple_location", (Field("initial_path", 0, 0, "text"),)),
@@ -124,38 +118,68 @@ LAYOUTS: dict[tuple[str, int], Layout] = {
 }
 
 
+#: Tags whose header has a third byte where the second one is LONG_HEADER; the length is in the third.
+LONG_TAGS, LONG_HEADER = (0x89, 0x90), 0x15
+
+
+def header_size(loop: Column, pos: Column, family: str = "dvb") -> Column:
+    """Two bytes, or three for the long tags of one operator."""
+    if family != "dvb":
+        return F.lit(2)
+    return F.when(uint(loop, pos).isin(*LONG_TAGS) & (uint(loop, pos + 1) == LONG_HEADER), 3).otherwise(2)
+
+
+def entry_size(loop: Column, pos: Column, family: str = "dvb") -> Column:
+    """The bytes of the descriptor at a place of a loop, header and all."""
+    if family != "dvb":
+        return uint(loop, pos + 1) + 2
+    n = uint(loop, pos, 3)
+    long = F.shiftright(n, 16).isin(*LONG_TAGS) & (F.shiftright(n, 8).bitwiseAND(0xFF) == LONG_HEADER)
+    return F.when(long, n.bitwiseAND(0xFF) + 3).otherwise(uint(loop, pos + 1) + 2)
+
+
 def split(df: DataFrame, column: str, family: str = "dvb") -> DataFrame:
     """Every column of df but the loop, and position, family, tag, ext_tag, length, name and data of each of its descriptors."""
     loop, end = F.col(column), F.length(column)
-    spans = walk(loop, 0, end, 2, lambda pos: uint(loop, pos + 1) + 2)
+    spans = walk(loop, 0, end, 2, lambda pos: entry_size(loop, pos, family))
     rest = [c for c in df.columns if c != column]
     rows = df.select(*rest, column, F.posexplode(spans).alias("position", "e"))
-    tag = uint(loop, F.col("e.pos")).cast("int")
+    tag, header = uint(loop, F.col("e.pos")).cast("int"), header_size(loop, F.col("e.pos"), family)
     extended = (tag == 0x7F) & F.lit(family == "dvb")
-    start = F.col("e.pos") + 2 + F.when(extended, 1).otherwise(0)
+    start = F.col("e.pos") + header + F.when(extended, 1).otherwise(0)
     stop = F.col("e.pos") + F.col("e.size")
     out = rows.select(
         *rest, "position", F.when(extended, "ext").otherwise(family).alias("family"), tag.alias("tag"),
-        F.when(extended, uint(loop, F.col("e.pos") + 2)).cast("int").alias("ext_tag"), (F.col("e.size") - 2).alias("length"),
+        F.when(extended, uint(loop, F.col("e.pos") + 2)).cast("int").alias("ext_tag"), (F.col("e.size") - header).alias("length"),
         part(loop, start, F.greatest(stop - start, F.lit(0))).alias("data"),
     )
-    name = F.lit(None).cast("string")
-    for (own, number), layout in LAYOUTS.items():
-        name = F.when((F.col("family") == own) & (F.coalesce("ext_tag", "tag") == number), layout.name).otherwise(name)
-    return out.withColumn("name", _more_names(name))
+    return out.withColumn("name", name_of_tag())
+
+
+def name_of_tag() -> Column:
+    """The name of a descriptor by its family and tag, null where it is not known."""
+    names = {key: layout.name for key, layout in LAYOUTS.items()} | {key: name for key, (name, _) in VIEWS.items()} | {("dvb", t): n for t, n in _MORE_NAMES.items()}
+    table = F.create_map(*(F.lit(x) for (family, tag), name in sorted(names.items()) for x in (f"{family} {tag}", name)))
+    return F.try_element_at(table, F.concat_ws(" ", "family", F.coalesce("ext_tag", "tag").cast("string")))
+
+
+def unknown_tags(descriptors: DataFrame) -> DataFrame:
+    """A warning for each family and tag that no view knows, with how often it came."""
+    found = descriptors.where("name IS NULL").groupBy("family", "tag", "ext_tag").agg(F.count("*").alias("n"))
+    return found.select("family", "tag", "ext_tag", F.lit("WARNING").alias("severity"), F.lit("UNKNOWN_DESCRIPTOR").alias("code"), "n")
 
 
-def _more_names(name: Column) -> Column:
-    named = {0x48: "service", 0x4D: "short_event", 0x4E: "extended_event", 0x5C: "multilingual_bouquet_name", 0x6A: "ac3"}
-    for tag, text in named.items():
-        name = F.when((F.col("family") == "dvb") & (F.col("tag") == tag), text).otherwise(name)
-    return name
+_MORE_NAMES = {0x48: "service", 0x4D: "short_event", 0x4E: "extended_event", 0x5C: "multilingual_bouquet_name", 0x6A: "ac3"}
 
 
 def typed(descriptors: DataFrame, family: str, tag: int) -> DataFrame:
     """The descriptors of one tag with their fields; of a loop, a row for each item with its place."""
-    layout = LAYOUTS[family, tag]
     own = descriptors.where((F.col("family") == family) & (F.coalesce("ext_tag", "tag") == tag))
+    if (family, tag) in VIEWS:
+        return VIEWS[family, tag][1](own)
+    if (family, tag) in _FUNCTIONS:
+        return _FUNCTIONS[family, tag](own)
+    layout = LAYOUTS[family, tag]
     if not layout.item:
         return own.select(*descriptors.columns, *(f.read(_data(), F.lit(0)) for f in layout.fields))
     n = F.floor(F.length("data") / layout.item).cast("int")
@@ -183,7 +207,7 @@ def short_events(descriptors: DataFrame) -> DataFrame:
 
 
 def extended_events(descriptors: DataFrame) -> DataFrame:
-    """0x4E: number, language, text, and the items' descriptions and texts as undecoded bytes."""
+    """0x4E: number, language, text, and the items' descriptions and texts as bytes (event_items has them as texts)."""
     own = descriptors.where("family = 'dvb' AND tag = 78")
     size = uint(_data(), 4).cast("int")
 
@@ -199,6 +223,13 @@ def extended_events(descriptors: DataFrame) -> DataFrame:
     )
 
 
+def event_items(descriptors: DataFrame) -> DataFrame:
+    """0x4E: a row for each item, its description and text decoded."""
+    found = extended_events(descriptors)
+    rows = found.select(*(c for c in found.columns if c != "items"), F.posexplode("items").alias("item", "_i"))
+    return rows.withColumns({"description": dvb_text(F.col("_i.description")), "item_text": dvb_text(F.col("_i.item"))}).drop("_i")
+
+
 def multilingual_names(descriptors: DataFrame, tag: int = 0x5C) -> DataFrame:
     """0x5C and its kin: a row for each language and name."""
     own = descriptors.where((F.col("family") == "dvb") & (F.col("tag") == tag))
@@ -251,24 +282,11 @@ def segmentations(descriptors: DataFrame) -> DataFrame:
 
 
 def cells(descriptors: DataFrame) -> DataFrame:
-    """0x6C: the cells of a list with their places in 1/2^15 of a right angle, and the extents."""
-    own = descriptors.where("family = 'dvb' AND tag = 108")
-    spans = walk(_data(), 0, F.length("data"), 10, lambda pos: uint(_data(), pos + 9) + 10)
-    rows = own.select(*descriptors.columns, F.posexplode(spans).alias("item", "e"))
-    at = F.col("e.pos")
-    return rows.select(
-        *descriptors.columns, "item", uint(_data(), at, 2).cast("int").alias("cell_id"), sint(_data(), at + 2, 2).cast("int").alias("latitude"), sint(_data(), at + 4, 2).cast("int").alias("longitude"),
-        bits(_data(), at + 6, 0, 12).cast("int").alias("extent_latitude"), bits(_data(), at + 6, 12, 12).cast("int").alias("extent_longitude"), part(_data(), at + 10, uint(_data(), at + 9)).alias("subcells"),
-    )
+    return typed(descriptors, "dvb", 0x6C)
 
 
 def cell_frequencies(descriptors: DataFrame) -> DataFrame:
-    """0x6D: the frequency of each cell in Hz, and its subcells' bytes."""
-    own = descriptors.where("family = 'dvb' AND tag = 109")
-    spans = walk(_data(), 0, F.length("data"), 7, lambda pos: uint(_data(), pos + 6) + 7)
-    rows = own.select(*descriptors.columns, F.posexplode(spans).alias("item", "e"))
-    at = F.col("e.pos")
-    return rows.select(*descriptors.columns, "item", uint(_data(), at, 2).cast("int").alias("cell_id"), (uint(_data(), at + 2, 4) * 10).alias("frequency"), part(_data(), at + 7, uint(_data(), at + 6)).alias("subcells"))
+    return typed(descriptors, "dvb", 0x6D)
 
 
 def application_names(descriptors: DataFrame) -> DataFrame:
@@ -277,3 +295,9 @@ def application_names(descriptors: DataFrame) -> DataFrame:
     spans = walk(_data(), 0, F.length("data"), 4, lambda pos: uint(_data(), pos + 3) + 4)
     rows = own.select(*descriptors.columns, F.posexplode(spans).alias("item", "e"))
     return rows.select(*descriptors.columns, "item", F.decode(part(_data(), F.col("e.pos"), 3), "ISO-8859-1").alias("language"), _text(F.col("e.pos") + 3).alias("application_name"))
+
+
+_FUNCTIONS = {
+    ("dvb", 0x48): services, ("dvb", 0x4D): short_events, ("dvb", 0x4E): extended_events, ("dvb", 0x5C): multilingual_names, ("dvb", 0x6A): ac3,
+    ("ait", 0x01): application_names, ("splice", 0x02): segmentations,
+}

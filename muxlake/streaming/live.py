@@ -1,56 +1,183 @@
 """Streaming forms: the same decoding over packets as they arrive, with state where a result needs the past.
 
-Arrival order is byte_offset within a source and PID; each micro-batch is put in that order before it meets the state.
+Arrival order is byte_offset within a source and PID; each micro-batch is put in that order before it meets the state. What does not depend on the past
+(decoding, tables, descriptors) needs no form of its own: the batch functions take streaming DataFrames.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from muxlake.functions.bits import bits, part
+from muxlake.operators.analyzer import RateOptions
 from muxlake.operators.packets import NULL_PID, decode
+from muxlake.operators.sections import MAX_LENGTH, NO_CRC, SECTIONS, crc_matches
 
 _COUNTS = "source string, pid int, n_packets bigint, cc_errors bigint"
 _STATE = "last_cc int, n_packets bigint, cc_errors bigint"
 
 
+def _ordered(frames: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
+    return pd.concat(list(frames)).sort_values(list(by), kind="stable")
+
+
 def pid_counts(packets: DataFrame) -> DataFrame:
     """Running packets and continuity errors of each PID of decoded packets, by arbitrary state: last counter and sums."""
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, n, errors = state.get if state.exists else (-1, 0, 0)
-        rows = pd.concat(list(frames)).sort_values("byte_offset")
-        for cc, payload in zip(rows["cc"], rows["has_payload"]):
-            if last >= 0 and key[1] != NULL_PID:
-                step = (int(cc) - last) % 16
-                errors += int(payload if step == 0 else step != 1)
-            last, n = int(cc), n + 1
-        state.update((last, n, errors))
-        yield pd.DataFrame({"source": [key[0]], "pid": [key[1]], "n_packets": [n], "cc_errors": [errors]})
+        rows = _ordered(frames, "byte_offset")
+        cc, payload = rows["cc"].to_numpy(np.int64), rows["has_payload"].to_numpy(bool)
+        step = np.diff(cc, prepend=last) % 16
+        wrong = np.where(step == 0, payload, step != 1)
+        wrong[0] &= last >= 0
+        errors += int(wrong.sum()) if key[1] != NULL_PID else 0
+        state.update((int(cc[-1]), n + len(cc), errors))
+        yield pd.DataFrame({"source": [key[0]], "pid": [key[1]], "n_packets": [n + len(cc)], "cc_errors": [errors]})
 
     useful = packets.where("NOT tei").select("source", "pid", "byte_offset", F.col("cc").cast("int").alias("cc"), "has_payload")
     return useful.groupBy("source", "pid").applyInPandasWithState(update, _COUNTS, _STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def changed_tables(sections: DataFrame) -> DataFrame:
-    """Sections whose CRC is not that of the one before on their PID, across micro-batches."""
-    schema = "source string, pid int, first_offset bigint, place int, table_id int, section binary, crc32 bigint"
+class Assembler:
+    """The sections of one PID, packet by packet: the bytes since the last start that are not yet a section, and the last counter."""
+
+    def __init__(self, pending: bytes | None = None, first_offset: int | None = None, place: int = 0, last_cc: int = -1):
+        self.pending, self.first_offset, self.place, self.last_cc = pending, first_offset, place, last_cc
+
+    def _whole(self) -> Iterator[tuple]:
+        """Sections that the pending bytes begin with; stuffing or an impossible length ends the run."""
+        data, at = self.pending or b"", 0
+        while at + 3 <= len(data):
+            n = (data[at + 1] & 0x0F) << 8 | data[at + 2]
+            if data[at] == 0xFF or not 0 < n <= MAX_LENGTH:
+                self.pending = None
+                return
+            if at + 3 + n > len(data):
+                break
+            yield self.first_offset, self.place, data[at : at + 3 + n]
+            self.place += 1
+            at += 3 + n
+        self.pending = None if data[at : at + 1] == b"\xff" else data[at:]
+
+    def push(self, offset: int, cc: int, starts: bool, jump: bool, payload: bytes) -> Iterator[tuple]:
+        """(first_offset, place, section) of what this packet completes."""
+        if jump or (self.last_cc >= 0 and (cc - self.last_cc) % 16 != 1):
+            self.pending = None
+        self.last_cc = cc
+        if starts:
+            if self.pending is not None:
+                self.pending += payload[1 : 1 + payload[0]]
+                yield from self._whole()
+            self.pending, self.first_offset, self.place = payload[1 + payload[0] :], offset, 0
+            yield from self._whole()
+        elif self.pending is not None:
+            self.pending += payload
+            yield from self._whole()
+
+
+def sections(packets: DataFrame) -> DataFrame:
+    """Sections of decoded packets across micro-batches, as `sections.reassemble` gives them."""
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        assembler = Assembler(*state.get) if state.exists else Assembler()
+        rows = _ordered(frames, "byte_offset")
+        values = zip(rows["byte_offset"], rows["cc"], rows["pusi"], rows["discontinuity"], map(bytes, rows["payload"]))
+        found = [x for value in values for x in assembler.push(*value)]
+        state.update((assembler.pending, assembler.first_offset, assembler.place, assembler.last_cc))
+        whole = [x[2] for x in found]
+        yield pd.DataFrame({
+            "source": [key[0]] * len(found), "pid": [key[1]] * len(found), "first_offset": [x[0] for x in found], "place": [x[1] for x in found], "section": whole,
+            "table_id": [x[0] for x in whole], "crc32": [int.from_bytes(x[-4:], "big") for x in whole], "crc_ok": [x[0] in NO_CRC or crc_matches(x) for x in whole],
+        })
+
+    useful = packets.where("NOT tei AND has_payload AND scrambling = 0 AND pid <> 8191 AND payload IS NOT NULL")
+    useful = useful.select("source", "pid", "byte_offset", F.col("cc").cast("int").alias("cc"), "pusi", F.coalesce("discontinuity", F.lit(False)).alias("discontinuity"), "payload")
+    state = "pending binary, first_offset bigint, place int, last_cc int"
+    return useful.groupBy("source", "pid").applyInPandasWithState(update, SECTIONS, state, "append", GroupStateTimeout.NoTimeout)
+
+
+_FIELDS = [f.split()[0] for f in SECTIONS.split(", ")]
+
+
+def changed_tables(found: DataFrame) -> DataFrame:
+    """Sound sections whose CRC is not that of the one before on their PID, across micro-batches."""
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["first_offset", "place"])
+        rows = _ordered(frames, "first_offset", "place")
         before = rows["crc32"].shift(1)
         if last is not None:
             before.iloc[0] = last
         state.update((int(rows["crc32"].iloc[-1]),))
         yield rows[rows["crc32"] != before]
 
-    fields = [f.split()[0] for f in schema.split(", ")]
-    return sections.where("crc_ok").select(*fields).groupBy("source", "pid").applyInPandasWithState(update, schema, "last bigint", "append", GroupStateTimeout.NoTimeout)
+    return found.where("crc_ok").select(*_FIELDS).groupBy("source", "pid").applyInPandasWithState(update, SECTIONS, "last bigint", "append", GroupStateTimeout.NoTimeout)
+
+
+def _slot(kind: str) -> Column:
+    """The bytes of a section that name its slot: ids, and the section's number and last number."""
+    s = F.col("section")
+    places = {"NIT": [(3, 2), (6, 2)], "BAT": [(3, 2), (6, 2)], "SDT": [(3, 2), (8, 2), (6, 2)], "EIT": [(0, 1), (3, 2), (6, 2)]}[kind]
+    return F.hex(F.concat(*(part(s, at, n) for at, n in places)))
+
+
+def new_versions(found: DataFrame, kind: str) -> DataFrame:
+    """Sections of a kind (NIT, BAT, SDT, EIT; of that kind only) whose version is not the one their slot holds, across micro-batches."""
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else -1
+        rows = _ordered(frames, "first_offset", "place")
+        version = rows["version"].to_numpy(np.int64)
+        state.update((int(version[-1]),))
+        yield rows[np.diff(version, prepend=last) != 0][_FIELDS]
+
+    keyed = found.where("crc_ok").select(*_FIELDS, _slot(kind).alias("slot"), bits(F.col("section"), 5, 2, 5).cast("int").alias("version"))
+    return keyed.groupBy("source", "pid", "slot").applyInPandasWithState(update, SECTIONS, "last int", "append", GroupStateTimeout.NoTimeout)
+
+
+_RATES = "source string, byte_offset bigint, n_bytes bigint, n_useful bigint, ticks bigint"
+
+
+def rate_windows(packets: DataFrame, options: RateOptions | None = None) -> DataFrame:
+    """Rate windows of each source's stream across micro-batches, as `analyzer.bitrate` closes them; the reference PID is the first with a tick."""
+    options = options or RateOptions()
+    window, width, size = options.window_ticks, options.width, options.packet_size
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        reference, begin, total, useful = state.get if state.exists else (options.reference_pid if options.reference_pid is not None else -1, -1, 0, 0)
+        rows = _ordered(frames, "byte_offset")
+        pid, tick, jump = rows["pid"].to_numpy(), rows["tick"].to_numpy(), rows["jump"].to_numpy(bool)
+        timed = rows["tick"].notna().to_numpy()
+        if reference < 0 and timed.any():
+            reference = int(pid[timed.argmax()])
+        n, u = np.cumsum(np.full(len(pid), size)), np.cumsum(np.where(pid == NULL_PID, 0, size))
+        done_n, done_u, out = 0, 0, []
+        for k in np.flatnonzero((pid == reference) & (timed | jump)):
+            total, useful = total + int(n[k]) - done_n, useful + int(u[k]) - done_u
+            done_n, done_u = int(n[k]), int(u[k])
+            if jump[k]:
+                begin, total, useful = -1, 0, 0
+            if not timed[k]:
+                continue
+            if begin < 0:
+                begin = int(tick[k])
+            elif total and (delta := (int(tick[k]) - begin) % (1 << width)) >= window:
+                out.append((key[0], int(rows["byte_offset"].iloc[k]), total, useful, delta))
+                begin, total, useful = int(tick[k]), 0, 0
+        rest_n, rest_u = (int(n[-1]) - done_n, int(u[-1]) - done_u) if len(n) else (0, 0)
+        state.update((reference, begin, total + rest_n, useful + rest_u))
+        yield pd.DataFrame(out, columns=[f.split()[0] for f in _RATES.split(", ")])
+
+    counted = packets.where("NOT tei") if options.include_null else packets.where((~F.col("tei")) & (F.col("pid") != NULL_PID))
+    rows = counted.select("source", "pid", "byte_offset", options.tick.alias("tick"), F.coalesce("discontinuity", F.lit(False)).alias("jump"))
+    return rows.groupBy("source").applyInPandasWithState(update, _RATES, "reference int, begin bigint, total bigint, useful bigint", "append", GroupStateTimeout.NoTimeout)
 
 
 def windowed_bytes(packets: DataFrame, time: str = "ingested", width: str = "1 second", late: str = "10 seconds", packet_size: int = 188) -> DataFrame:
