@@ -11,6 +11,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType
 
 from muxlake.functions.values import dvb_text
 
@@ -41,12 +42,12 @@ def crc8_of(data: bytes) -> int:
     return out
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def ts_crc32_mpeg2(data: pd.Series) -> pd.Series:
     return data.map(crc32_of, na_action="ignore")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def ts_crc8(data: pd.Series) -> pd.Series:
     return data.map(crc8_of, na_action="ignore")
 

@@ -107,3 +107,18 @@ def pid_list(text: Column) -> Column:
     pids = F.transform(items, number)
     bad = F.exists(pids, lambda p: p.isNull() | (p > 0x1FFF))
     return F.when(~bad, F.sort_array(F.array_distinct(pids)))
+
+
+def endpoint(text: Column) -> Column:
+    """Host and port of `udp://@239.1.1.1:1234`, with or without the scheme and the at sign; null where it is none."""
+    pattern = r"^(?:udp://)?@?([0-9]{1,3}(?:\.[0-9]{1,3}){3}):([0-9]{1,5})$"
+    text = F.trim(text)
+    octets = F.transform(F.split(F.regexp_extract(text, pattern, 1), r"\."), lambda x: x.try_cast("int"))
+    port = F.regexp_extract(text, pattern, 2).try_cast("int")
+    sound = F.rlike(text, F.lit(pattern)) & F.forall(octets, lambda x: x <= 255) & port.between(1, 65535)
+    return F.when(sound, F.struct(F.regexp_extract(text, pattern, 1).alias("host"), port.alias("port")))
+
+
+def clock_time(ticks: Column, rate: int = PCR_RATE) -> Column:
+    """Ticks of a clock as a day-time interval, to the microsecond."""
+    return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.round(ticks / F.lit(float(rate)), 6).cast("decimal(18,6)"))

@@ -1,6 +1,6 @@
 """Discovery of PIDs through tables, the catalogue of PIDs and their roles, and what of it is missing.
 
-Lists of PIDs are small by their nature (8,192 at most for a source), so packets are filtered by broadcast semi-joins.
+Lists of PIDs are small for a source (8,192 at most); those of a whole corpus may not be, so Spark chooses how semi-joins are done.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from muxlake.functions.bits import uint, walk
+from muxlake.functions.names import STREAM_TYPES, name_of
 from muxlake.operators import descriptors as desc
 from muxlake.operators import tables
 
@@ -66,27 +67,43 @@ def desc_window():
 
 
 def of_pids(packets: DataFrame, pids: DataFrame) -> DataFrame:
-    """The packets on listed PIDs of their source; a source has 8,192 PIDs at most."""
-    return packets.join(F.broadcast(pids.select("source", "pid").distinct()), ["source", "pid"], "left_semi")
+    """The packets on listed PIDs of their source; Spark broadcasts the list where it is small."""
+    return packets.join(pids.select("source", "pid").distinct(), ["source", "pid"], "left_semi")
 
 
 # Kinds of tables, the PIDs they have, in the order in which later roles win.
 FIXED_ROLES = ((0x00, "PAT"), (0x01, "CAT"), (0x10, "NIT"), (0x11, "SDT/BAT"), (0x12, "EIT"), (0x14, "TDT/TOT"), (0x15, "MIP"))
 
 
-def roles(pat: DataFrame, pmt: DataFrame, packets: DataFrame) -> DataFrame:
+def section_pids(pat: DataFrame, pmt: DataFrame, packets: DataFrame) -> DataFrame:
+    """(source, pid) of everything that carries sections: the PIDs of fixed tables and those that PAT and PMT announce."""
+    fixed = packets.select("source").distinct().select("source", F.explode(F.array(*(F.lit(p) for p in (0x00, 0x01, 0x10, 0x11, 0x12, 0x14)))).alias("pid"))
+    found = [pmt_pids(pat).select("source", "pid"), ait_pids(pmt), splice_pids(pmt), warning_pids(pmt)]
+    for df in found:
+        fixed = fixed.union(df)
+    return fixed.distinct()
+
+
+def ca_pids(loops: DataFrame) -> DataFrame:
+    """(source, pid) of the conditional access descriptors of loops(source, descriptors): ECM PIDs of programmes, EMM PIDs of a CAT."""
+    return desc.typed(desc.split(loops.select("source", "descriptors"), "descriptors"), "dvb", 0x09).select("source", F.col("ca_pid").cast("int").alias("pid")).distinct()
+
+
+def roles(pat: DataFrame, pmt: DataFrame, packets: DataFrame, cat: DataFrame | None = None) -> DataFrame:
     """(source, pid, role) of every PID that is observed or that tables announce; the most telling role wins."""
     fixed = packets.sparkSession.createDataFrame([(p, r, 0) for p, r in FIXED_ROLES], "pid int, role string, rank int")
     observed = packets.where("NOT tei AND pid <> 8191").select("source", "pid").distinct()
     named = lambda df, role, rank: df.select("source", "pid", F.lit(role).alias("role"), F.lit(rank).alias("rank"))
     es = tables.entries(pmt, "PMT").select("source", F.col("es_pid").alias("pid"))
     pcr = pmt.where("pcr_pid <> 8191").select("source", F.col("pcr_pid").alias("pid"))
-    ecm = desc.typed(desc.split(pmt.select("source", "descriptors"), "descriptors"), "dvb", 0x09).select("source", F.col("ca_pid").cast("int").alias("pid"))
+    ecm = ca_pids(pmt)
     every = (
         observed.join(F.broadcast(fixed), "pid").select("source", "pid", "role", "rank")
         .union(named(pmt_pids(pat), "PMT", 5)).union(named(pcr, "PCR", 1)).union(named(es, "ES", 2)).union(named(ecm, "ECM", 3))
-        .union(named(ait_pids(pmt), "AIT", 4)).union(named(splice_pids(pmt), "SCTE-35", 4))
+        .union(named(warning_pids(pmt), "EWS", 4)).union(named(ait_pids(pmt), "AIT", 5)).union(named(splice_pids(pmt), "SCTE-35", 5)).union(named(t2mi_pids(pat, pmt), "T2-MI", 5))
     )
+    if cat is not None:
+        every = every.union(named(ca_pids(cat), "EMM", 3))
     best = every.groupBy("source", "pid").agg(F.max_by("role", "rank").alias("role"))
     return best.join(observed.withColumn("observed", F.lit(True)), ["source", "pid"], "full_outer").select(
         "source", "pid", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("observed", F.lit(False)).alias("observed")
@@ -98,25 +115,40 @@ def missing(catalogue: DataFrame) -> DataFrame:
     return catalogue.where("NOT observed")
 
 
-def service_names(sdt: DataFrame) -> DataFrame:
-    """(source, service_id, service_type, provider, service_name): the first service descriptor of each service of the newest table."""
-    rows = desc.services(desc.split(tables.entries(sdt, "SDT").select("source", "first_offset", "service_id", "entry_descriptors"), "entry_descriptors"))
-    first = rows.groupBy("source", "service_id", "first_offset").agg(F.min_by(F.struct("service_type", "provider", "service_name"), "position").alias("s"))
-    return first.groupBy("source", "service_id").agg(F.max_by("s", "first_offset").alias("s")).select("source", "service_id", "s.*")
+def _first_service(loops: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """The first service descriptor of the newest table for each key: (keys, s)."""
+    rows = desc.services(desc.split(loops.select(*keys, "first_offset", column), column))
+    order = F.struct(-F.col("first_offset"), "position")
+    return rows.groupBy(*keys).agg(F.min_by(F.struct("service_type", "provider", "service_name"), order).alias("s"))
 
 
-def services(pat: DataFrame, pmt: DataFrame, sdt: DataFrame, key: list[str] = ("source",)) -> DataFrame:
+def service_names(sdt: DataFrame, key: tuple[str, ...] | list[str] = ("source",)) -> DataFrame:
+    """(key, service_id, service_type, provider, service_name): the first service descriptor of each service of the newest table."""
+    keys = [*key, "service_id"]
+    return _first_service(tables.entries(sdt, "SDT"), "entry_descriptors", keys).select(*keys, "s.*")
+
+
+def services(pat: DataFrame, pmt: DataFrame, sdt: DataFrame, key: tuple[str, ...] | list[str] = ("source",)) -> DataFrame:
     """One row a programme or service: what each of the three tables last said of it, whichever of them is there.
 
-    The service table's name wins; a programme's own service descriptor only fills in where that is blank.
+    The service table's name wins; a programme's own service descriptor only fills in where that is blank. key: what tells streams apart, such as
+    source, or source and plp_id; all three tables have it.
     """
-    key = list(key)
-    by_pat = pmt_pids(pat).select(*key, "program_number", F.col("pid").alias("pmt_pid")).groupBy(*key, "program_number").agg(F.max("pmt_pid").alias("pmt_pid"))
+    keys = [*key, "program_number"]
+    listed = tables.entries(pat, "PAT").where("program_number <> 0")
+    by_pat = listed.groupBy(*keys).agg(F.max_by("program_pid", F.struct("first_offset", "position")).alias("pmt_pid"))
     es = F.transform("es", lambda e: F.struct(e["stream_type"].alias("stream_type"), e["es_pid"].alias("es_pid")))
-    newest = pmt.groupBy(*key, "program_number").agg(F.max_by(F.struct("pcr_pid", es.alias("streams")), "first_offset").alias("p"))
-    own = desc.services(desc.split(pmt.select(*key, "program_number", "descriptors"), "descriptors")).groupBy(*key, "program_number").agg(F.first("service_name").alias("own_name"))
-    by_pmt = newest.join(own, [*key, "program_number"], "left").select(*key, "program_number", "p.*", "own_name")
-    by_sdt = service_names(sdt).withColumnRenamed("service_id", "program_number")
-    out = by_pat.join(by_pmt, [*key, "program_number"], "full_outer").join(by_sdt, [*key, "program_number"], "full_outer")
+    newest = pmt.groupBy(*keys).agg(F.max_by(F.struct("pcr_pid", es.alias("streams")), "first_offset").alias("p"))
+    own = _first_service(pmt, "descriptors", keys).select(*keys, F.col("s.service_name").alias("own_name"))
+    by_pmt = newest.join(own, keys, "left").select(*keys, "p.*", "own_name")
+    by_sdt = service_names(sdt, key).withColumnRenamed("service_id", "program_number")
+    out = by_pat.join(by_pmt, keys, "full_outer").join(by_sdt, keys, "full_outer")
     blank = lambda c: F.expr(f"nullif(trim({c}), '')")
-    return out.select(*key, "program_number", "pmt_pid", "pcr_pid", "streams", "service_type", blank("provider").alias("provider"), F.coalesce(blank("service_name"), blank("own_name")).alias("service_name"))
+    return out.select(*keys, "pmt_pid", "pcr_pid", "streams", "service_type", blank("provider").alias("provider"), F.coalesce(blank("service_name"), blank("own_name")).alias("service_name"))
+
+
+def service_report(found: DataFrame) -> DataFrame:
+    """The services as lines of a text, in the order of their numbers."""
+    streams = F.array_join(F.transform("streams", lambda e: F.concat_ws(" ", name_of(e["stream_type"], STREAM_TYPES), e["es_pid"].cast("string"))), ", ")
+    line = F.concat_ws("; ", F.concat(F.lit("service "), F.col("program_number").cast("string")), "service_name", "provider", F.concat(F.lit("PMT "), F.col("pmt_pid").cast("string")), streams)
+    return found.select("source", "program_number", line.alias("line")).orderBy("source", "program_number")

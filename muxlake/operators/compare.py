@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StructType
 from pyspark.sql.window import Window
 
 
@@ -20,6 +21,34 @@ def differences(before: DataFrame, after: DataFrame, key: list[str], fields: lis
     return a.join(b, [*key, "path"], "full_outer").where("NOT (before <=> after)")
 
 
+def _leaves(value, kind, path):
+    """An array of (path, value) of everything inside a value; elements of arrays are told by their places."""
+    if isinstance(kind, StructType):
+        parts = [_leaves(value[f.name], f.dataType, F.concat(path, F.lit("." + f.name))) for f in kind.fields]
+        return F.concat(*parts) if parts else F.array().cast(_PAIRS)
+    if isinstance(kind, ArrayType):
+        each = F.transform(value, lambda x, k: _leaves(x, kind.elementType, F.concat(path, F.lit("["), k.cast("string"), F.lit("]"))))
+        return F.coalesce(F.flatten(each), F.array().cast(_PAIRS))
+    text = F.base64(value) if isinstance(kind, BinaryType) else value.cast("string")
+    return F.array(F.struct(path.alias("path"), text.alias("value")))
+
+
+_PAIRS = "array<struct<path:string,value:string>>"
+
+
+def deep_paths(df: DataFrame, key: list[str]) -> DataFrame:
+    """A row (key, path, value) for every leaf of all other columns, structs and arrays taken apart; binary values in base64."""
+    fields = [f for f in df.schema.fields if f.name not in key]
+    pairs = F.concat(*(_leaves(F.col(f"`{f.name}`"), f.dataType, F.lit(f.name)) for f in fields))
+    return df.select(*key, F.explode(pairs).alias("p")).select(*key, "p.*")
+
+
+def deep_differences(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
+    """(key, path, before, after) of every leaf that is not the same on both sides."""
+    a, b = (deep_paths(df, key).withColumnRenamed("value", name) for df, name in ((before, "before"), (after, "after")))
+    return a.join(b, [*key, "path"], "full_outer").where("NOT (before <=> after)")
+
+
 def distinct_by_crc(df: DataFrame, group: str, data: str) -> DataFrame:
     """One row of each content in a group, by the reflected CRC-32 of the data."""
     return df.withColumn("crc", F.crc32(data)).dropDuplicates([group, "crc"])

@@ -158,7 +158,7 @@ def split(df: DataFrame, column: str, family: str = "dvb") -> DataFrame:
 
 def name_of_tag() -> Column:
     """The name of a descriptor by its family and tag, null where it is not known."""
-    names = {key: layout.name for key, layout in LAYOUTS.items()} | {key: name for key, (name, _) in VIEWS.items()} | {("dvb", t): n for t, n in _MORE_NAMES.items()}
+    names = {key: layout.name for key, layout in LAYOUTS.items()} | {key: name for key, (name, _) in VIEWS.items()} | _MORE_NAMES
     table = F.create_map(*(F.lit(x) for (family, tag), name in sorted(names.items()) for x in (f"{family} {tag}", name)))
     return F.try_element_at(table, F.concat_ws(" ", "family", F.coalesce("ext_tag", "tag").cast("string")))
 
@@ -169,7 +169,10 @@ def unknown_tags(descriptors: DataFrame) -> DataFrame:
     return found.select("family", "tag", "ext_tag", F.lit("WARNING").alias("severity"), F.lit("UNKNOWN_DESCRIPTOR").alias("code"), "n")
 
 
-_MORE_NAMES = {0x48: "service", 0x4D: "short_event", 0x4E: "extended_event", 0x5C: "multilingual_bouquet_name", 0x6A: "ac3"}
+_MORE_NAMES = {
+    ("dvb", 0x48): "service", ("dvb", 0x4D): "short_event", ("dvb", 0x4E): "extended_event", ("dvb", 0x5C): "multilingual_bouquet_name", ("dvb", 0x6A): "ac3",
+    ("ait", 0x01): "application_name",
+}
 
 
 def typed(descriptors: DataFrame, family: str, tag: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from muxlake.functions.names import SPLICE_COMMANDS, name_of
 
+# Namespace, element and attribute names of the schema of SCTE 35.
 NAMESPACE = "http://www.scte.org/schemas/35"
 
 
@@ -21,14 +22,39 @@ def splice_xml(cues: DataFrame) -> DataFrame:
         F.when(F.col("break_duration").isNotNull(), F.struct(present("auto_return", "autoReturn"), present("break_duration", "duration"))).alias("BreakDuration"),
     )
     signal = F.struct(time("splice_pts").alias("SpliceTime"))
+    event = lambda e: F.struct(
+        e["event_id"].alias("_spliceEventId"), e["cancelled"].alias("_spliceEventCancelIndicator"), e["out_of_network"].alias("_outOfNetworkIndicator"),
+        e["unique_program_id"].alias("_uniqueProgramId"), e["avail"].alias("_availNum"), e["avails_expected"].alias("_availsExpected"),
+        F.when(e["utc_splice_time"].isNotNull(), F.struct(e["utc_splice_time"].alias("_utcSpliceTime"))).alias("Program"),
+        F.when(e["break_duration"].isNotNull(), F.struct(e["auto_return"].alias("_autoReturn"), e["break_duration"].alias("_duration"))).alias("BreakDuration"),
+    )
+    schedule = F.struct(F.transform("schedule", event).alias("Event"))
+    private = F.struct(present("private_identifier", "identifier"), F.hex("private_bytes").alias("PrivateBytes"))
     section = F.struct(
         F.lit(NAMESPACE).alias("_xmlns"), present("protocol", "protocolVersion"), present("pts_adjustment", "ptsAdjustment"), present("tier", "tier"),
         F.when(F.col("command_type") == 5, insert).alias("SpliceInsert"), F.when(F.col("command_type") == 6, signal).alias("TimeSignal"),
-        F.when(~F.col("command_type").isin(5, 6), F.struct(name_of(F.col("command_type"), SPLICE_COMMANDS).alias("_name"))).alias("SpliceCommand"),
+        F.when(F.col("command_type") == 4, schedule).alias("SpliceSchedule"), F.when(F.col("command_type") == 0xFF, private).alias("PrivateCommand"),
+        F.when(~F.col("command_type").isin(4, 5, 6, 0xFF), F.struct(name_of(F.col("command_type"), SPLICE_COMMANDS).alias("_name"))).alias("SpliceCommand"),
     )
     return cues.withColumn("xml", F.to_xml(section, {"rowTag": "SpliceInfoSection"}))
 
 
+def segmentation_xml(found: DataFrame) -> DataFrame:
+    """Rows of descriptors.segmentations with a column xml: one SegmentationDescriptor each."""
+    present = lambda c, name: F.col(c).alias(f"_{name}")
+    limits = F.struct(
+        present("web_allowed", "webDeliveryAllowedFlag"), present("no_regional_blackout", "noRegionalBlackoutFlag"), present("archive_allowed", "archiveAllowedFlag"),
+        present("device_restrictions", "deviceRestrictions"),
+    )
+    upid = F.struct(present("upid_type", "segmentationUpidType"), F.hex("upid").alias("_VALUE"))
+    element = F.struct(
+        F.lit(NAMESPACE).alias("_xmlns"), present("event_id", "segmentationEventId"), present("cancelled", "segmentationEventCancelIndicator"), present("duration", "segmentationDuration"),
+        present("type_id", "segmentationTypeId"), present("segment", "segmentNum"), present("segments", "segmentsExpected"),
+        F.when(F.col("web_allowed").isNotNull(), limits).alias("DeliveryRestrictions"), F.when(F.col("upid_type").isNotNull(), upid).alias("SegmentationUpid"),
+    )
+    return found.withColumn("xml", F.to_xml(element, {"rowTag": "SegmentationDescriptor"}))
+
+
 def as_json(df: DataFrame) -> DataFrame:
     """A column of JSON for each row; binary fields in base64."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))

@@ -171,7 +171,7 @@ def image_icon(rows: DataFrame) -> DataFrame:
     r.bits("icon_id", 5, 3)
     r.skip(1)
     mode = r.bits("transport_mode", 0, 2, first)
-    placed = r.flag("position", 2, first)
+    placed = r.flag("positioned", 2, first)
     r.bits("coordinate_system", 3, 3, placed)
     r.bits("horizontal_origin", 8, 12, placed)
     r.bits("vertical_origin", 20, 12, placed)

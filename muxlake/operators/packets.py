@@ -7,8 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from muxlake.functions.bits import bits, flag, once, part, uint
+from muxlake.functions.values import datagram_packet_size
+from muxlake.operators.ranges import with_number, with_previous
 
 SYNC, NULL_PID = 0x47, 0x1FFF
 #: Stream ids whose PES packets have no optional header (fixed values).
@@ -37,6 +40,33 @@ def lost_sync(packets: DataFrame) -> DataFrame:
     return bad.select("source", F.lit(None).cast("int").alias("pid"), "byte_offset", F.lit("WARNING").alias("severity"), F.lit("SYNC_LOSS").alias("code"))
 
 
+def sync_losses(packets: DataFrame, packet_size: int = 188) -> DataFrame:
+    """An error row for each gap between packets of a source that is not a packet long, with the bytes that were passed over."""
+    rows = with_previous(packets.select("source", "byte_offset"), ["source"], ["byte_offset"])
+    skipped = F.col("byte_offset") - F.col("before.byte_offset") - packet_size
+    lost = rows.select("source", F.lit(None).cast("int").alias("pid"), "byte_offset", F.lit("WARNING").alias("severity"), F.lit("SYNC_LOSS").alias("code"), skipped.alias("n_skipped"))
+    return lost.where("n_skipped <> 0")
+
+
+def numbered(packets: DataFrame) -> DataFrame:
+    """Packets with packet_number, which counts them from 0 in each source."""
+    return with_number(packets, ["source"], name="packet_number")
+
+
+def from_datagrams(datagrams: DataFrame, column: str = "datagram") -> DataFrame:
+    """(source, byte_offset, raw) of datagrams(source, arrival, column): the packets of those whose length is a multiple of 188 or of 204 bytes.
+
+    Offsets count the bytes of accepted datagrams of a source in the order of arrival, a number.
+    """
+    size = datagram_packet_size(F.length(column))
+    whole = datagrams.where(size.isNotNull()).select("source", "arrival", column, size.alias("size"))
+    before = F.sum(F.length(column)).over(Window.partitionBy("source").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1))
+    placed = whole.withColumn("at", F.coalesce(before, F.lit(0)))
+    rows = placed.select("source", "at", "size", column, F.explode(F.sequence(F.lit(0), (F.length(column) / F.col("size")).cast("int") - 1)).alias("k"))
+    start = F.col("k") * F.col("size")
+    return rows.select("source", (F.col("at") + start).cast("long").alias("byte_offset"), part(F.col(column), start, 188).alias("raw"))
+
+
 def _has(raw: Column, k: int) -> Column:
     """A flag of the adaptation field, if it has flags at all."""
     return (uint(raw, 4) > 0) & flag(raw, 5, k)

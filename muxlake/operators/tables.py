@@ -10,9 +10,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from muxlake.functions.bits import bits, flag, part, uint, walk
+from muxlake.functions import names
+from muxlake.functions.bits import be, bits, flag, join, part, uint, walk
+from muxlake.functions.checks import crc32_mpeg2
+from muxlake.functions.names import name_of
 from muxlake.functions.values import bcd_seconds, mjd_seconds
-from muxlake.operators.sections import of_kind
+from muxlake.operators.ranges import with_previous
+from muxlake.operators.sections import SLOTS, of_kind, versioned
 
 def _s() -> Column:
     return F.col("section")
@@ -27,7 +31,7 @@ def _twelve(at) -> Column:
 
 
 def _header(with_version: bool = True) -> list[Column]:
-    out = [F.col(c) for c in ("source", "pid", "first_offset", "table_id", "crc32")] + [_twelve(1).alias("section_length")]
+    out = [F.col(c) for c in ("source", "pid", "first_offset", "place", "table_id", "crc32")] + [_twelve(1).alias("section_length")]
     if with_version:
         out += [bits(_s(), 5, 2, 5).cast("int").alias("version"), flag(_s(), 5, 7).alias("current_next")]
         out += [uint(_s(), 6).cast("int").alias("section_number"), uint(_s(), 7).cast("int").alias("last_section_number")]
@@ -149,17 +153,35 @@ def splice(sections: DataFrame) -> DataFrame:
         return F.when(flag(_s(), pos + 4, 0), 5).otherwise(6 + base + F.when(flag(_s(), pos + 5, 2), 5).otherwise(0) + 4)
 
     events = F.slice(walk(_s(), at + 1, _end(), 5, event_size), F.lit(1), F.coalesce(uint(_s(), at).cast("int"), F.lit(0)))
-    scheduled = F.transform(events, lambda e: F.struct(
-        _id(4, e["pos"], "event_id"), flag(_s(), e["pos"] + 4, 0).alias("cancelled"),
-        F.when(~flag(_s(), e["pos"] + 4, 0), uint(_s(), e["pos"] + e["size"] - 4, 2)).cast("int").alias("unique_program_id"),
-        F.when(~flag(_s(), e["pos"] + 4, 0) & flag(_s(), e["pos"] + 5, 1), uint(_s(), e["pos"] + 6, 4)).alias("utc_splice_time")))
+
+    def event(e):
+        p, end = e["pos"], e["pos"] + e["size"]
+        told, whole, paused = ~flag(_s(), p + 4, 0), flag(_s(), p + 5, 1), flag(_s(), p + 5, 2)
+        pause_at = (end - 9).cast("int")
+        n = F.when(told & ~whole, uint(_s(), p + 6).cast("int")).otherwise(0)
+        component = lambda k: F.struct(_id(1, p + 7 + k * 5, "component"), uint(_s(), p + 8 + k * 5, 4).alias("utc_splice_time"))
+        return F.struct(
+            _id(4, p, "event_id"), (~told).alias("cancelled"), F.when(told, flag(_s(), p + 5, 0)).alias("out_of_network"), F.when(told, whole).alias("program"),
+            F.when(told & whole, uint(_s(), p + 6, 4)).alias("utc_splice_time"), F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), component)).alias("components"),
+            F.when(told & paused, flag(_s(), pause_at, 0)).alias("auto_return"), F.when(told & paused, bits(_s(), pause_at, 7, 33)).alias("break_duration"),
+            F.when(told, uint(_s(), end - 4, 2)).cast("int").alias("unique_program_id"), F.when(told, uint(_s(), end - 2)).cast("int").alias("avail"),
+            F.when(told, uint(_s(), end - 1)).cast("int").alias("avails_expected"),
+        )
+
+    scheduled = F.transform(events, event)
     used = F.when(length != 0x0FFF, length).otherwise(
         F.when(kind == 5, F.when(live, rest_at + 4 - at).otherwise(5)).when(kind == 6, F.when(flag(_s(), at, 0), 5).otherwise(1))
         .when(kind == 4, F.aggregate(events, F.lit(1), lambda a, e: a + e["size"])).otherwise(0)
     )
     loop_at = used + at
+    behind = loop_at + 2 + uint(_s(), loop_at, 2)
+    private = (kind == 0xFF) & ~encrypted & (length != 0x0FFF)
     return of_kind(sections, "SCTE35").select(
-        *_header(False), _id(1, 3, "protocol"), encrypted.alias("encrypted"), bits(_s(), 4, 7, 33).alias("pts_adjustment"),
+        *_header(False), bits(_s(), 1, 2, 2).cast("int").alias("sap_type"), _id(1, 3, "protocol"), encrypted.alias("encrypted"),
+        F.when(encrypted, bits(_s(), 4, 1, 6)).cast("int").alias("encryption_algorithm"), F.when(encrypted, uint(_s(), 9)).cast("int").alias("cw_index"),
+        F.when(encrypted, uint(_s(), _end() - 4, 4)).alias("ecrc32"),
+        F.when(private, uint(_s(), at, 4)).alias("private_identifier"), F.when(private, part(_s(), at + 4, length - 4)).alias("private_bytes"),
+        F.when(~encrypted, part(_s(), behind, F.greatest(_end() - behind, F.lit(0)))).alias("stuffing"), bits(_s(), 4, 7, 33).alias("pts_adjustment"),
         bits(_s(), 10, 0, 12).cast("int").alias("tier"), length.alias("command_length"), kind.cast("int").alias("command_type"),
         c(5, uint(_s(), at, 4)).alias("event_id"), c(5, flag(_s(), at + 4, 0)).alias("cancelled"),
         F.when(live, flag(_s(), at + 5, 0)).alias("out_of_network"), F.when(live, immediate).alias("immediate"),
@@ -173,22 +195,55 @@ def splice(sections: DataFrame) -> DataFrame:
 
 
 def mip(packets: DataFrame) -> DataFrame:
-    """Megaframe initialisation packets: one in each packet's payload, with its own CRC place."""
+    """Megaframe initialisation packets: one in each packet's payload. Its CRC covers the packet's header of four bytes too.
+
+    functions: of each transmitter its functions (tag, data; cell_id and wait_for_enable of tag 4).
+    """
     p = F.col("payload")
     n = uint(p, 1)
     loop_at, loop_size = 18, uint(p, 17)
-    functions = walk(p, loop_at, loop_at + loop_size, 3, lambda pos: uint(p, pos + 2) + 3)
+    transmitters = walk(p, loop_at, (loop_size + loop_at).cast("int"), 3, lambda pos: uint(p, pos + 2) + 3)
+
+    def function(f):
+        tag, cell = uint(p, f["pos"]).cast("int"), uint(p, f["pos"]) == 4
+        return F.struct(
+            tag.alias("tag"), part(p, f["pos"] + 2, f["size"] - 2).alias("data"), F.when(cell, uint(p, f["pos"] + 2, 2)).cast("int").alias("cell_id"),
+            F.when(cell, flag(p, f["pos"] + 4, 0)).alias("wait_for_enable"),
+        )
+
+    own = lambda t: F.transform(walk(p, t["pos"] + 3, t["pos"] + t["size"], 2, lambda pos: uint(p, pos + 1) + 2), function)
+    number = lambda c, k: F.shiftleft(F.col(c).cast("int"), k)
+    header = join(
+        be(0x47, 1), be(number("tei", 15) + number("pusi", 14) + number("priority", 13) + F.col("pid"), 2), be(number("scrambling", 6) + number("afc", 4) + F.col("cc"), 1)
+    )
+    stored = uint(p, n + 2 - 4, 4)
     return packets.where((F.col("pid") == 0x15) & F.col("payload").isNotNull()).select(
         "source", "byte_offset", uint(p, 0).cast("int").alias("sync_id"), n.cast("int").alias("section_length"), uint(p, 2, 2).cast("int").alias("pointer"),
         flag(p, 4, 0).alias("periodic"), uint(p, 6, 3).alias("sync_timestamp"), uint(p, 9, 3).alias("max_delay"),
         bits(p, 12, 0, 2).cast("int").alias("constellation"), bits(p, 12, 2, 3).cast("int").alias("hierarchy"), bits(p, 12, 5, 3).cast("int").alias("code_rate"),
         bits(p, 13, 0, 2).cast("int").alias("guard_interval"), bits(p, 13, 2, 2).cast("int").alias("transmission_mode"), bits(p, 13, 4, 2).cast("int").alias("bandwidth"),
         flag(p, 13, 6).alias("ts_priority"), bits(p, 13, 7, 2).cast("int").alias("dvbh"),
-        F.transform(functions, lambda f: F.struct(uint(p, f["pos"], 2).cast("int").alias("tx_id"), part(p, f["pos"] + 3, f["size"] - 3).alias("data"))).alias("functions"),
-        uint(p, n + 2 - 4, 4).alias("crc32"),
+        F.transform(transmitters, lambda t: F.struct(uint(p, t["pos"], 2).cast("int").alias("tx_id"), own(t).alias("functions"))).alias("transmitters"),
+        stored.alias("crc32"), F.coalesce(crc32_mpeg2(join(header, part(p, 0, n - 2))) == stored, F.lit(False)).alias("crc_ok"),
     )
 
 
+def mip_changes(packets: DataFrame) -> DataFrame:
+    """Sound MIPs whose CRC is not that of the one before."""
+    return with_previous(mip(packets).where("crc_ok"), ["source"], ["crc32"]).where("NOT (before.crc32 <=> crc32)").drop("before")
+
+
+def mip_texts(found: DataFrame) -> DataFrame:
+    """MIPs with the names of their modulation's codes."""
+    text = lambda c, table, other="reserved": name_of(F.col(c), table, other).alias(f"{c}_text")
+    dvbh = F.concat_ws(", ", F.when(F.col("dvbh") >= 2, F.lit("time slicing")), F.when(F.col("dvbh") % 2 == 1, F.lit("MPE-FEC"))).alias("dvbh_text")
+    priority = F.when(F.col("ts_priority"), F.lit("non-hierarchical or high priority")).otherwise(F.lit("low priority")).alias("ts_priority_text")
+    return found.select(
+        "*", text("constellation", names.CONSTELLATIONS), text("hierarchy", names.HIERARCHIES), text("code_rate", names.CODE_RATES), text("guard_interval", names.GUARD_INTERVALS),
+        text("transmission_mode", names.TRANSMISSION_MODES), text("bandwidth", names.MIP_BANDWIDTHS, "other"), priority, dvbh,
+    )
+
+
 #: Decoder and name of the loop of each kind.
 DECODERS: dict[str, tuple[Callable[[DataFrame], DataFrame], str | None]] = {
     "PAT": (pat, "records"), "CAT": (cat, None), "PMT": (pmt, "es"), "NIT": (nit, "streams"), "SDT": (sdt, "services"), "BAT": (bat, "streams"),
@@ -208,3 +263,8 @@ def entries(table: DataFrame, kind: str) -> DataFrame:
     rows = table.select(*rest, F.posexplode(loop).alias("position", "e"))
     fields = [f.name for f in table.schema[loop].dataType.elementType.fields]
     return rows.select(*rest, "position", *(F.col(f"e.{f}").alias("entry_descriptors" if f == "descriptors" else f) for f in fields))
+
+
+def versions(sections: DataFrame, kind: str) -> DataFrame:
+    """The decoded tables of a kind with many slots (NIT, BAT, SDT, EIT) that bring their slot another version."""
+    return versioned(decode(sections, kind), SLOTS[kind])

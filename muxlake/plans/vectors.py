@@ -1,0 +1,44 @@
+"""Descriptors in hexadecimal with what they say, worked out by hand from the standards: fixed values that views are held against.
+
+(family, tag, whole descriptor, fields as JSON without nulls).
+"""
+
+VECTORS = [
+    ("dvb", 0x13, "1305000000070055", '{"carousel_id":7,"format_id":0,"private_data":""}'),
+    ("dvb", 0x13, "1317000000090102000301000000040005000000060702AABB", '{"carousel_id":9,"format_id":1,"module_version":2,"module_id":3,"block_size":256,"module_size":1024,"compression_method":5,"original_size":6,"time_out":7,"object_key":"qrs=","private_data":""}'),
+    ("dvb", 0x14, "140F1234000008000000050000000AEE01", '{"association_tag":4660,"use":0,"selector_length":8,"transaction_id":5,"time_out":10,"private_data":"7gE="}'),
+    ("dvb", 0x14, "1407001100020201FF", '{"association_tag":17,"use":2,"selector_length":2,"selector":"Af8=","private_data":""}'),
+    ("dvb", 0x2A, "2A0F810000000003000000050000000AA0", '{"hrd_management_valid":true,"picture_and_timing":true,"flag_90khz":false,"n":3,"k":5,"num_units_in_tick":10,"fixed_frame_rate":true,"temporal_poc":false,"picture_to_display_conversion":true}'),
+    ("dvb", 0x2A, "2A020040", '{"hrd_management_valid":false,"picture_and_timing":false,"fixed_frame_rate":false,"temporal_poc":true,"picture_to_display_conversion":false}'),
+    ("dvb", 0x45, "4507010327080503012A", '{"item":0,"data_service_id":1,"data_service":"EBU teletext","lines":[{"field_parity":true,"line_offset":7},{"field_parity":false,"line_offset":8},{"field_parity":false,"line_offset":5}]}'),
+    ("dvb", 0x64, "640C012305020102656E67026869", '{"data_broadcast_id":291,"component_tag":5,"selector":"AQI=","language":"eng","text":"hi"}'),
+    ("dvb", 0x6C, "6C120007FFFE0003123456080900010002ABCDEF", '{"item":0,"cell_id":7,"latitude":-2,"longitude":3,"extent_latitude":291,"extent_longitude":1110,"subcells":[{"extension":9,"latitude":1,"longitude":2,"extent_latitude":2748,"extent_longitude":3567}]}'),
+    ("dvb", 0x6D, "6D0C00070000010005090000000A", '{"item":0,"cell_id":7,"frequency":2560,"subcells":[{"extension":9,"frequency":100}]}'),
+    ("dvb", 0x7C, "7C0451C003AA", '{"profile_and_level":81,"aac_type_present":true,"saoc_de":true,"aac_type":3,"additional_info":"qg=="}'),
+    ("dvb", 0x7C, "7C03514099", '{"profile_and_level":81,"aac_type_present":false,"saoc_de":true,"additional_info":"mQ=="}'),
+    ("dvb", 0x7C, "7C0151", '{"profile_and_level":81,"additional_info":""}'),
+    ("dvb", 0x87, "870C01025456525553040064850A", '{"item":0,"list_id":1,"list_name":"TV","country":"RUS","services":[{"service_id":100,"visible":true,"for_stb":false,"for_cam":false,"for_tv":false,"flag_4":false,"flag_5":true,"lcn":266}]}'),
+    ("dvb", 0x88, "880A7275730602546502446F", '{"item":0,"language":"rus","list_name":"Te","translation":"Do"}'),
+    ("dvb", 0x89, "8915034F7265", '{"region_name":"Ore"}'),
+    ("dvb", 0x90, "9015025A31", '{"zone_name":"Z1"}'),
+    ("dvb", 0xB0, "B00802312E8200000E10", '{"service_version":"1.","service_status":true,"update_type":2,"update":"forced update in normal mode","last_update_sec":3600}'),
+    ("dvb", 0xB1, "B110013203000100020003000000780211647E", '{"service_version":"2","service_status":false,"update_type":3,"update":"voluntary update in normal mode","service_id":1,"original_network_id":2,"ts_id":3,"last_update_sec":120,"receiver_ids":[17,100]}'),
+    ("dvb", 0xB2, "B2050161020102", '{"item":0,"postfix":"a","receiver_ids":[1,2]}'),
+    ("dvb", 0xB4, "B406014C00030102", '{"list_name":"L","zones":[3,258]}'),
+    ("dvb", 0xC0, "C005015302016E", '{"service_name":"S","receiver_ids":[1,110]}'),
+    ("dvb", 0x48, "480801025456034E4557", '{"service_type":1,"provider":"TV","service_name":"NEW"}'),
+    ("dvb", 0x4D, "4D08656E670268690121", '{"language":"eng","event_name":"hi","text":"!"}'),
+    ("dvb", 0x4E, "4E0D12656E670602484902796F017A", '{"number":1,"last_number":2,"language":"eng","items":[{"description":"SEk=","item":"eW8="}],"text":"z"}'),
+    ("dvb", 0x5C, "5C06656E67024142", '{"item":0,"language":"eng","text":"AB"}'),
+    ("dvb", 0x6A, "6A04A0010209", '{"component_type":1,"main_id":2,"additional_info":"CQ=="}'),
+    ("ext", 0x00, "7F0600120702AABB", '{"descriptor_number":1,"last_descriptor_number":2,"icon_id":7,"icon_data":"qrs="}'),
+    ("ext", 0x00, "7F0D0002032812345603706E670155", '{"descriptor_number":0,"last_descriptor_number":2,"icon_id":3,"transport_mode":0,"positioned":true,"coordinate_system":2,"horizontal_origin":291,"vertical_origin":1110,"icon_type":"png","icon_data":"VQ=="}'),
+    ("ext", 0x04, "7F1204050102444400070000000A05090000000B", '{"plp_id":5,"t2_system_id":258,"siso_miso":1,"bandwidth":1,"guard_interval":2,"transmission_mode":1,"other_frequency":false,"tfs":false,"cells":[{"cell_id":7,"frequencies":[10],"subcells":[{"extension":9,"frequency":11}]}]}'),
+    ("ext", 0x04, "7F0404050102", '{"plp_id":5,"t2_system_id":258,"cells":[]}'),
+    ("ait", 0x00, "000A0500030102039F05090A", '{"profiles":[{"profile":3,"major":1,"minor":2,"micro":3}],"service_bound":true,"visibility":0,"priority":5,"protocol_labels":[9,10]}'),
+    ("ait", 0x01, "0107656E6703617070", '{"item":0,"language":"eng","application_name":"app"}'),
+    ("ait", 0x03, "0303026162", '{"item":0,"parameter":"YWI="}'),
+    ("ait", 0x04, "0407022F61017A4D61", '{"base_directory":"/a","classpath_extension":"z","initial_class":"Ma"}'),
+    ("splice", 0x02, "021743554549000000057FFF00000DBBA00903414243340102", '{"event_id":5,"cancelled":false,"program":true,"duration":900000,"upid_type":9,"upid":"QUJD","type_id":52,"segment":1,"segments":2}'),
+    ("splice", 0x04, "040A435545491F03656E6753", '{"identifier":1129661769,"audio_count":1,"channels":[{"component_tag":3,"language":"eng","bit_stream_mode":2,"n_channels":9,"full_service":true}]}'),
+]

@@ -4,7 +4,7 @@ The reader probes each file's first bytes for packets of 188 or 204 bytes and de
 searched for again, and each packet comes once. Paths are folders, files or patterns of any file system that Arrow knows. Streaming reads new
 files of a folder as they come.
 
-Options: packet_size (probe if unset), range_mb (64), min_bytes (2040; shorter files are left out).
+Options: packet_size (probe if unset), range_mb (64), min_bytes (2040; shorter files are left out, file_report names them), recursive (false).
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "source string, byte_offset bigint, raw binary"
@@ -36,8 +36,8 @@ def file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pa.fs.LocalFileSystem(), path)
 
 
-def list_files(path: str) -> list[pa.fs.FileInfo]:
-    """The .ts files of a folder, the files of a pattern, or the file itself."""
+def list_files(path: str, recursive: bool = False) -> list[pa.fs.FileInfo]:
+    """The .ts files of a folder (and, if told so, of the folders in it), the files of a pattern, or the file itself."""
     fs, base = file_system(path)
     if any(c in base for c in "*?["):
         folder = base.rpartition("/")[0]
@@ -45,7 +45,7 @@ def list_files(path: str) -> list[pa.fs.FileInfo]:
         return sorted((f for f in found if f.is_file and fnmatch.fnmatch(f.path, base)), key=lambda f: f.path)
     info = fs.get_file_info(base)
     if info.type == pa.fs.FileType.Directory:
-        return sorted((f for f in fs.get_file_info(pa.fs.FileSelector(base)) if f.is_file and f.path.endswith(".ts")), key=lambda f: f.path)
+        return sorted((f for f in fs.get_file_info(pa.fs.FileSelector(base, recursive=recursive)) if f.is_file and f.path.endswith(".ts")), key=lambda f: f.path)
     return [info] if info.is_file else []
 
 
@@ -83,7 +83,7 @@ def read_range(part: Range) -> Iterator[pa.RecordBatch]:
                     break
             k = at - base
             if chunk[k] != SYNC:
-                found = next((j for j in range(k + 1, len(chunk)) if chunk[j] == SYNC and (j + part.size >= len(chunk) or chunk[j + part.size] == SYNC)), None)
+                found = next((j for j in range(k + 1, len(chunk)) if all(chunk[i] == SYNC for i in range(j, min(j + RUN * part.size, len(chunk)), part.size))), None)
                 at = base + (found if found is not None else len(chunk))
                 continue
             if k + 188 > len(chunk):
@@ -97,12 +97,35 @@ def read_range(part: Range) -> Iterator[pa.RecordBatch]:
         yield batch()
 
 
+def _recursive(options: dict) -> bool:
+    return str(options.get("recursive", "false")).lower() == "true"
+
+
+def file_report(spark: SparkSession, path: str, recursive: bool = False, min_bytes: int = PROBE) -> DataFrame:
+    """A row for each file: size, packet size and place of the first packet, and code: null, TOO_SHORT or NO_SYNC for files that a scan leaves out."""
+    files = [(info.path, info.size) for info in list_files(path, recursive)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = file_system(path)
+        for batch in batches:
+            out = []
+            for name, size in zip(batch.column("source").to_pylist(), batch.column("n_bytes").to_pylist()):
+                with fs.open_input_file(name) as f:
+                    found = probe(f.read(PROBE))
+                out.append((*(found or (None, None)), "TOO_SHORT" if size < min_bytes else None if found else "NO_SYNC"))
+            columns = [pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int32(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], ["source", "n_bytes", "packet_size", "first_packet", "code"])
+
+    listed = spark.createDataFrame(files, "source string, n_bytes bigint").repartition(max(1, min(len(files), 200)))
+    return listed.mapInArrow(run, "source string, n_bytes bigint, packet_size int, first_packet bigint, code string")
+
+
 class TsReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.options = options["path"], options
 
     def partitions(self) -> list[Range]:
-        return self.ranges(list_files(self.path))
+        return self.ranges(list_files(self.path, _recursive(self.options)))
 
     def ranges(self, files: list[pa.fs.FileInfo]) -> list[Range]:
         out: list[Range] = []
@@ -138,7 +161,7 @@ class TsStreamReader(DataSourceStreamReader):
         return {"files": []}
 
     def latestOffset(self) -> dict:
-        return {"files": [info.path for info in list_files(self.options["path"])]}
+        return {"files": [info.path for info in list_files(self.options["path"], _recursive(self.options))]}
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
         seen = set(start["files"])
