@@ -191,6 +191,7 @@ def versioned(tables: DataFrame, key: list[str]) -> DataFrame:
     """Tables whose version is not the one that their slot holds: a slot takes every other version, so A, B, A are three.
 
     For tables with many slots: the key names the slot, besides source and pid. What a slot holds is what it was last sent, since the same version is
-    not taken again; a content belongs to one slot, as its bytes name it.
+    not taken again; a content belongs to one slot, as its bytes name it. A window holds one slot of a PID.
     """
-    return with_previous(tables, ["source", "pid", *key], ["version"], "first_offset", ["place"]).where("before IS NULL OR before.version <> version").drop("before")
+    order = Window.partitionBy("source", "pid", *key).orderBy("first_offset", "place")
+    return tables.withColumn("was", F.lag("version").over(order)).where("was IS NULL OR was <> version").drop("was")
