@@ -11,7 +11,7 @@ from muxlake.functions.bits import be, bits, join, sint, uint, walk
 from muxlake.functions.checks import crc8_dvb, crc32_mpeg2
 from muxlake.operators import analyzer, catalog, packets, sections, t2mi
 from muxlake.operators import descriptors as desc
-from muxlake.plans import mux, queries
+from muxlake.plans import more_queries, mux, queries  # noqa: F401 - more_queries registers its own
 from muxlake.sources import ts
 from muxlake.streaming import live
 
