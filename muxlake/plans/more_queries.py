@@ -24,7 +24,7 @@ def _vectors(spark) -> DataFrame:
     return of(("dvb", "ext"), "dvb").union(of(("ait",), "ait")).union(of(("splice",), "splice"))
 
 
-_VECTOR_SQL = ", ".join(f"({k}, '{v[0]} {v[1]}', '{v[3]}')" for k, v in enumerate(VECTORS))
+_VECTOR_SQL = ", ".join(f"({k}, '{v[0]} {v[1]}', '{fields}')" for k, v in enumerate(VECTORS) for fields in v[3].splitlines())
 
 
 @query(f"SELECT r_regionkey, v AS vector, key, fields FROM region, (VALUES {_VECTOR_SQL}) t(v, key, fields)")

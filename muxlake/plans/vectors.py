@@ -1,6 +1,6 @@
 """Descriptors in hexadecimal with what they say, worked out by hand from the standards: fixed values that views are held against.
 
-(family, tag, whole descriptor, fields as JSON without nulls).
+(family, tag, whole descriptor, fields as JSON without nulls; of a loop, a line for each item).
 """
 
 VECTORS = [
@@ -41,4 +41,47 @@ VECTORS = [
     ("ait", 0x04, "0407022F61017A4D61", '{"base_directory":"/a","classpath_extension":"z","initial_class":"Ma"}'),
     ("splice", 0x02, "021743554549000000057FFF00000DBBA00903414243340102", '{"event_id":5,"cancelled":false,"program":true,"duration":900000,"upid_type":9,"upid":"QUJD","type_id":52,"segment":1,"segments":2}'),
     ("splice", 0x04, "040A435545491F03656E6753", '{"identifier":1129661769,"audio_count":1,"channels":[{"component_tag":3,"language":"eng","bit_stream_mode":2,"n_channels":9,"full_service":true}]}'),
+    ("dvb", 0x02, "02039A485F", '{"multiple_frame_rate":true,"frame_rate_code":3,"mpeg1_only":false,"constrained":true,"still_picture":false,"profile_and_level":72,"chroma_format":1,"frame_rate_extension":false}'),
+    ("dvb", 0x02, "02010C", '{"multiple_frame_rate":false,"frame_rate_code":1,"mpeg1_only":true,"constrained":false,"still_picture":false}'),
+    ("dvb", 0x03, "0301E7", '{"free_format":true,"id":true,"layer":2,"variable_rate":false}'),
+    ("dvb", 0x05, "050643554549AABB", '{"format_identifier":1129661769,"additional_info":"qrs="}'),
+    ("dvb", 0x06, "060103", '{"alignment_type":3}'),
+    ("dvb", 0x09, "09060B00E1F4CAFE", '{"ca_system_id":2816,"ca_pid":500,"private_data":"yv4="}'),
+    ("dvb", 0x0A, "0A08656E670372757300", '{"item":0,"language":"eng","audio_type":3}\n{"item":1,"language":"rus","audio_type":0}'),
+    ("dvb", 0x0C, "0C0481238456", '{"bound_valid":true,"ltw_lower_bound":291,"ltw_upper_bound":1110}'),
+    ("dvb", 0x0E, "0E03C186A0", '{"maximum_bitrate":100000}'),
+    ("dvb", 0x0F, "0F0400000028", '{"private_data_indicator":40}'),
+    ("dvb", 0x11, "1101FF", '{"leak_valid":true}'),
+    ("dvb", 0x28, "28046440293F", '{"profile_idc":100,"constraint_set0":false,"constraint_set1":true,"constraint_set2":false,"constraint_set3":false,"constraint_set4":false,"constraint_set5":false,"avc_compatible":0,"level_idc":41,"still_present":false,"picture_24_hour":false,"frame_packing_not_present":true}'),
+    ("dvb", 0x38, "380D01600000009000000000007B5E", '{"profile_space":0,"tier":false,"profile_idc":1,"profile_compatibility":1610612736,"progressive":true,"interlaced":false,"non_packed":false,"frame_only":true,"copied_44_bits":0,"level_idc":123,"temporal_layer_subset":false,"still_present":true,"picture_24_hour":false,"sub_pic_not_present":true,"hdr_wcg_idc":2}'),
+    ("dvb", 0x38, "380F01600000009000000000007BDE3FDF", '{"profile_space":0,"tier":false,"profile_idc":1,"profile_compatibility":1610612736,"progressive":true,"interlaced":false,"non_packed":false,"frame_only":true,"copied_44_bits":0,"level_idc":123,"temporal_layer_subset":true,"still_present":true,"picture_24_hour":false,"sub_pic_not_present":true,"hdr_wcg_idc":2,"temporal_id_min":1,"temporal_id_max":6}'),
+    ("dvb", 0x40, "40034E6574", '{"network_name":"Net"}'),
+    ("dvb", 0x41, "4106006401006502", '{"item":0,"service_id":100,"service_type":1}\n{"item":1,"service_id":101,"service_type":2}'),
+    ("dvb", 0x43, "430B011725000192CE02750003", '{"frequency":1172500,"orbital_position":192,"west_east":true,"polarization":2,"roll_off":1,"modulation_system":true,"modulation_type":2,"symbol_rate":275000,"fec_inner":3}'),
+    ("dvb", 0x44, "440B03460000FFF2030068750F", '{"frequency":3460000,"fec_outer":2,"modulation":3,"symbol_rate":68750,"fec_inner":15}'),
+    ("dvb", 0x47, "47025456", '{"bouquet_name":"TV"}'),
+    ("dvb", 0x4A, "4A09000A000B000C04AABB", '{"ts_id":10,"original_network_id":11,"service_id":12,"linkage_type":4,"private_data":"qrs="}'),
+    ("dvb", 0x50, "5008F50B01656E674844", '{"stream_content_ext":15,"stream_content":5,"component_type":11,"component_tag":1,"language":"eng","text":"HD"}'),
+    ("dvb", 0x52, "52012A", '{"component_tag":42}'),
+    ("dvb", 0x53, "530405000B00", '{"item":0,"ca_system_id":1280}\n{"item":1,"ca_system_id":2816}'),
+    ("dvb", 0x54, "540441FF2007", '{"item":0,"nibble1":4,"nibble2":1,"user_byte":255}\n{"item":1,"nibble1":2,"nibble2":0,"user_byte":7}'),
+    ("dvb", 0x55, "55045255530F", '{"item":0,"country":"RUS","rating":15}'),
+    ("dvb", 0x56, "5605656E671188", '{"item":0,"language":"eng","teletext_type":2,"magazine":1,"page":136}'),
+    ("dvb", 0x58, "580D5255530603009E8B0102030400", '{"item":0,"country":"RUS","region_id":1,"negative":false,"offset_min":180,"change_sec":3723,"next_offset_min":240}'),
+    ("dvb", 0x59, "5908656E671000010002", '{"item":0,"language":"eng","subtitling_type":16,"composition_page":1,"ancillary_page":2}'),
+    ("dvb", 0x5A, "5A0B02FAF0801F821AFFFFFFFF", '{"centre_frequency":500000000,"bandwidth":0,"priority":true,"time_slicing":true,"mpe_fec":true,"constellation":2,"hierarchy":0,"code_rate_hp":2,"code_rate_lp":0,"guard_interval":3,"transmission_mode":1,"other_frequency":false}'),
+    ("dvb", 0x5F, "5F0400000028", '{"private_data_specifier":40}'),
+    ("dvb", 0x60, "6006000100020003", '{"new_original_network_id":1,"new_ts_id":2,"new_service_id":3}'),
+    ("dvb", 0x66, "66040123AABB", '{"data_broadcast_id":291,"selector":"qrs="}'),
+    ("dvb", 0x6F, "6F038010E3", '{"item":0,"application_type":16,"ait_version":3}'),
+    ("dvb", 0x70, "700105", '{"adaptation_field_data_id":5}'),
+    ("dvb", 0x83, "83080064FC0500657C06", '{"item":0,"service_id":100,"visible":true,"lcn":5}\n{"item":1,"service_id":101,"visible":false,"lcn":6}'),
+    ("dvb", 0x86, "8606000100020003", '{"item":0,"ts_id":1,"original_network_id":2,"service_id":3}'),
+    ("dvb", 0x8A, "8A0101", '{"cue_stream_type":1}'),
+    ("ait", 0x02, "0205000105AABB", '{"protocol_id":1,"protocol_label":5,"selector":"qrs="}'),
+    ("ait", 0x10, "100701A00000000709", '{"storage_property":1,"not_from_broadcast":true,"complete_from_cache":false,"with_older_version":true,"version":7,"priority":9}'),
+    ("ait", 0x15, "15042F696E78", '{"initial_path":"/inx"}'),
+    ("splice", 0x00, "00084355454900000007", '{"identifier":1129661769,"provider_avail_id":7}'),
+    ("splice", 0x01, "010843554549325F3132", '{"identifier":1129661769,"preroll":50,"dtmf_count":2,"dtmf_chars":"12"}'),
+    ("splice", 0x03, "031043554549000000000064000000070025", '{"identifier":1129661769,"tai_seconds":100,"tai_ns":7,"utc_offset":37}'),
 ]
