@@ -201,7 +201,7 @@ def mip(packets: DataFrame) -> DataFrame:
     """
     p = F.col("payload")
     n = uint(p, 1)
-    loop_at, loop_size = 18, uint(p, 17)
+    loop_at, loop_size = 17, uint(p, 16)
     transmitters = walk(p, loop_at, (loop_size + loop_at).cast("int"), 3, lambda pos: uint(p, pos + 2) + 3)
 
     def function(f):
