@@ -63,7 +63,7 @@ def mip_functions(spark, sf_dir):
     tail = F.when(key % 7 == 0, be(0, 4)).otherwise(part(sound, F.length(sound) - 4, 4))
     raw = join(part(sound, 0, F.length(sound) - 4), tail, fill(F.lit(188) - F.length(sound)))
     made = s.select(F.lit("mip").alias("source"), (key * 188).cast("long").alias("byte_offset"), raw.alias("raw"))
-    found = tables.mip(packets.decode(made.repartition("byte_offset")))  # an exchange keeps the muxer's expressions out of every field's
+    found = tables.mip(packets.decode(made.groupBy("source", "byte_offset").agg(F.first("raw").alias("raw"))))  # so that filters don't repeat the muxer's expressions
     rows = found.select("*", F.posexplode("transmitters").alias("position", "t"))
     cell = F.filter("t.functions", lambda f: f["tag"] == 4)[0]
     return rows.select(
