@@ -17,6 +17,9 @@ from muxlake.llm import (
     op8_byte_bpe,
     op9_language_id,
     op10_quality_rules,
+    op11_toxicity,
+    op12_hard_negatives,
+    op13_conversation_repair,
     op4_token_counts,
 )
 
@@ -32,6 +35,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe.query,
     "op9_language_id": op9_language_id.query,
     "op10_quality_rules": op10_quality_rules.query,
+    "op11_toxicity": op11_toxicity.query,
+    "op12_hard_negatives": op12_hard_negatives.query,
+    "op13_conversation_repair": op13_conversation_repair.query,
 }
 
 # Words as the contracts have them, as one regular expression of DuckDB.
@@ -100,4 +106,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_secret_scan": _op6_sql(),
     "op7_ngram_join": _OP7_SQL,
     "op10_quality_rules": _OP10_SQL,
+    "op12_hard_negatives": op12_hard_negatives.ORACLE_SQL,
+    "op13_conversation_repair": op13_conversation_repair.ORACLE_SQL,
 }
