@@ -90,6 +90,42 @@ def test_common_items_have_seeds_too(spark):
     assert op.find_leaks(docs, bench).count() == 300
 
 
+def test_common_runs_lose_nothing(spark, monkeypatch):
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(60)]
+    prose = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(k, " ".join(["which", "of", "the", "following", *prose(rng.randint(2, 24))])) for k in range(40)]
+    docs = []
+    for k in range(120):
+        body = items[rng.randrange(40)][1].split()
+        for at in range(4, len(body)):
+            if rng.random() < 0.45:
+                body[at] = rng.choice(vocabulary)
+        docs.append((k, " ".join(prose(30) + body + prose(30))))
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {}
+    for many in (0, 8, 10**9):
+        monkeypatch.setattr(op, "MANY_ITEMS", many)
+        monkeypatch.setattr(op, "MANY_DOCS", many)
+        found[many] = sorted((r.doc_id, r.item_id, r.score) for r in op.find_leaks(frame, bench).collect())
+    assert found[0] == found[8] == found[10**9] and len(found[0]) > 40
+
+
+def test_many_items_with_a_common_run_cost_little(spark):
+    import time
+
+    rng = random.Random(9)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    docs = spark.createDataFrame([(k, f"{prose(40)} which of the following {prose(40)}") for k in range(300)], "doc_id long, text string")
+    took = {}
+    for n in (20, 20, 3000):
+        bench = spark.createDataFrame([(k, f"which of the following {prose(20)}") for k in range(n)], "item_id long, text string")
+        began = time.time()
+        assert op.find_leaks(docs, bench).count() == 0
+        took[n] = time.time() - began
+    assert took[3000] < 4 * took[20] + 6
+
+
 @pytest.mark.parametrize("table", ["odd", "empty"])
 def test_odd_rows(table, request, spark):
     docs = request.getfixturevalue(table)
