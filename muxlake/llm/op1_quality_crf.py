@@ -8,11 +8,12 @@ fitted to documents with a label, whose lines all take it; it sees texts only.
 Defined cases: a text without a word, or null, is one blank line; without labels of both kinds every score is the
 share of good labels, or 0.5 without any; null and repeated doc_ids keep one result a row; texts are read whole;
 an empty table gives an empty result; other columns are ignored. The driver holds the features of SAMPLE documents and SAMPLE_LINES
-lines at most.
+lines at most; a task holds about LINES_AT_ONCE lines as a few numbers each, or those of one text, and measures CHUNK lines at once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,12 +22,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from muxlake.llm.chain import forward_backward
 from muxlake.llm.common import documents, fold_of, per_batch, saved
 
 #: Labelled documents that the field is fitted to, chosen by a hash of doc_id.
 SAMPLE = 6000
 #: Lines of these documents, taken in the order of the hash while they fit; documents of over a hundredth of that are not learned from.
 SAMPLE_LINES = 600_000
+#: Lines that are labelled at once, lines that are measured at once, and characters that are cut into lines at once.
+LINES_AT_ONCE, CHUNK, PIECE = 400_000, 10_000, 1_000_000
 STEPS, RATE, RIDGE = 150, 0.15, 1e-3
 #: A document whose score is at least this is predicted good.
 THRESHOLD = 0.3
@@ -82,40 +86,18 @@ def measure(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return np.hstack([own, before, after]), sizes, length
 
 
-def forward_backward(unary: np.ndarray, same: float, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """P(good) of each line, P(equal to the line before), and the log of each sequence's normaliser.
-
-    A line adds unary if it is good, and same if its label is that of the line before. Sequences lie end to end and step together.
-    """
-    order = np.argsort(-sizes, kind="stable")
-    begin, size = (np.cumsum(sizes) - sizes)[order], sizes[order]
-    longest = int(size[0]) if len(size) else 0
-    active = len(size) - np.searchsorted(size[::-1], np.arange(longest), "right")
-    n = len(unary)
-    ahead, back = np.zeros((n, 2)), np.zeros((n, 2))
-    for t in range(longest):
-        rows = begin[: active[t]] + t
-        if t:
-            bad, good = ahead[rows - 1].T
-            ahead[rows, 0] = np.logaddexp(bad + same, good)
-            ahead[rows, 1] = np.logaddexp(good + same, bad) + unary[rows]
-        else:
-            ahead[rows, 1] = unary[rows]
-    for t in range(longest - 2, -1, -1):
-        rows = begin[: active[t + 1]] + t
-        bad, good = back[rows + 1, 0], back[rows + 1, 1] + unary[rows + 1]
-        back[rows, 0] = np.logaddexp(bad + same, good)
-        back[rows, 1] = np.logaddexp(good + same, bad)
-    both = ahead + back
-    norm = np.logaddexp(both[:, 0], both[:, 1])
-    equal = np.zeros(n)
-    first = np.zeros(n, bool)
-    first[begin] = True
-    k = np.flatnonzero(~first)
-    if len(k):
-        pairs = np.logaddexp(ahead[k - 1, 0] + back[k, 0], ahead[k - 1, 1] + unary[k] + back[k, 1]) + same
-        equal[k] = np.exp(pairs - norm[k])
-    return np.exp(both[:, 1] - norm), equal, norm[np.cumsum(sizes) - sizes]
+def _line_lists(text: str | None) -> Iterator[list[str]]:
+    """text_lines, a piece of the text at a time."""
+    text, at, some = text or "", 0, False
+    while at < len(text):
+        cut = text.find("\n", at + PIECE)
+        end = cut if cut >= 0 else len(text)
+        lines = [x for x in text[at:end].split("\n") if x and not x.isspace()]
+        some |= bool(lines)
+        yield lines
+        at = end + 1
+    if not some:
+        yield [""]
 
 
 @dataclass(frozen=True)
@@ -133,9 +115,31 @@ class Field:
         """The quality of each text, 0 to 1."""
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        x, sizes, length = measure(texts)
-        good, _, _ = forward_backward((x - self.mean) / self.scale @ self.weights + self.bias, self.same, sizes)
+        w = self.weights / self.scale
+        parts, length, held = [], [], []
+        sizes = np.zeros(len(texts), np.int64)
+
+        def flush() -> None:
+            own = np.array(list(map(line_measures, held)), np.float32).reshape(-1, N_MEASURES)
+            parts.append(own @ w.reshape(3, N_MEASURES).T)
+            length.append(np.fromiter((max(len(x), 1) for x in held), np.float64, len(held)))
+            held.clear()
+
+        for k, text in enumerate(texts):
+            for lines in _line_lists(text):
+                sizes[k] += len(lines)
+                for at in range(0, len(lines), CHUNK):
+                    held += lines[at : at + CHUNK]
+                    if len(held) >= CHUNK:
+                        flush()
+        flush()
+        each, length = np.concatenate(parts), np.concatenate(length)
         begin = np.cumsum(sizes) - sizes
+        unary = each[:, 0] + (self.bias - self.mean @ w)
+        before, after = np.roll(each[:, 1], 1), np.roll(each[:, 2], -1)
+        before[begin], after[begin + sizes - 1] = 0.0, 0.0
+        unary += before + after
+        good = forward_backward(unary, self.same, sizes, pairs=False)[0]
         return np.clip(np.add.reduceat(good * length, begin) / np.add.reduceat(length, begin), 0.0, 1.0)
 
 
@@ -207,8 +211,14 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
     """doc_id, score and predicted of each row of docs(doc_id, text)."""
 
     def run(batch: pa.RecordBatch):
-        for at in range(0, batch.num_rows, 4000):
-            part = batch.slice(at, 4000)
+        at, texts = 0, batch.column("text")
+        while at < batch.num_rows:
+            size, lines = 0, 0
+            while at + size < batch.num_rows and lines < LINES_AT_ONCE:
+                lines += 1 + (texts[at + size].as_py() or "").count("\n")
+                size += 1
+            part = batch.slice(at, size)
+            at += size
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(field.scores(part.column("text").to_pylist()))], ["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

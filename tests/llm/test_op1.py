@@ -26,6 +26,34 @@ def test_forward_backward_is_the_sum_over_all_labellings():
         at += n
 
 
+def test_a_long_text_is_scored_in_pieces(monkeypatch):
+    rng = np.random.default_rng(4)
+    lines = ["A good line, with words.", "BAD ## bad !!", "", "   ", "short", "x" * 40]
+    texts = ["\n".join(rng.choice(lines, n)) for n in (1, 7, 300, 3000)] + ["", None, "\n\n", "\nlast"]
+    weights = rng.normal(size=3 * op.N_MEASURES)
+    field = op.Field(rng.normal(size=len(weights)), np.abs(rng.normal(size=len(weights))) + 0.5, weights, 0.3, 0.7)
+    x, sizes, length = op.measure(texts)
+    good, _, _ = op.forward_backward((x - field.mean) / field.scale @ field.weights + field.bias, field.same, sizes)
+    begin = np.cumsum(sizes) - sizes
+    want = np.add.reduceat(good * length, begin) / np.add.reduceat(length, begin)
+    assert np.allclose(field.scores(texts), want, atol=1e-5)
+    monkeypatch.setattr(op, "PIECE", 50)
+    monkeypatch.setattr(op, "CHUNK", 7)
+    assert np.allclose(field.scores(texts), want, atol=1e-5)
+
+
+def test_memory_of_a_text_of_short_lines():
+    import tracemalloc
+
+    weights = np.ones(3 * op.N_MEASURES) / 50
+    field = op.Field(np.zeros(len(weights)), np.ones(len(weights)), weights, 0.0, 0.5)
+    text = "ab c\n" * 1_000_000
+    tracemalloc.start()
+    assert 0 <= field.scores([text])[0] <= 1
+    assert tracemalloc.get_traced_memory()[1] < 150_000_000
+    tracemalloc.stop()
+
+
 def test_held_out_accuracy(spark):
     rows = {r.doc_id: r for r in op.query(spark, "/root/testdata/sf0.01").collect()}
     assert len(rows) == 1000
