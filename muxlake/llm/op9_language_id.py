@@ -7,8 +7,8 @@ one with most letters.
 
 Defined cases: a null text and one without a letter give `und` with score 0 and no spans, and so does every text if there
 is nothing to learn from; a null doc_id is held out of nothing and not learned from; ties go to the first language in
-order of its name; texts are read whole; an empty table gives an empty result; other columns are ignored. The driver holds languages x
-BUCKETS counts, so more than MAX_LANGUAGES different languages to learn from are an error.
+order of its name; texts are read whole; an empty table gives an empty result; other columns are ignored. The driver holds CELLS counts: trigrams
+share buckets, the more the more languages there are, and beyond the thousands of languages that there are (CELLS / LEAST_BUCKETS) it is an error.
 """
 
 from __future__ import annotations
@@ -22,9 +22,8 @@ from pyspark.sql import functions as F
 
 from muxlake.llm.common import documents, fold_of, per_batch
 
-#: Hashed trigrams.
-BUCKETS = 1 << 16
-MAX_LANGUAGES = 500
+#: Hashed trigrams: buckets at most and at least, and counts of all languages together.
+BUCKETS, LEAST_BUCKETS, CELLS = 1 << 16, 1 << 8, 1 << 23
 #: Nats that a change of language costs.
 SWITCH = 12.0
 #: A language is out for a script that has less than this share of its letters.
@@ -108,36 +107,44 @@ class Model:
     prior: np.ndarray
 
 
+def n_buckets(languages: int) -> int:
+    """The most buckets, a power of two, for which all languages' counts fit CELLS."""
+    return max(LEAST_BUCKETS, min(BUCKETS, 1 << (CELLS // languages).bit_length() - 1))
+
+
 def learn(rows: DataFrame) -> Model | None:
     """The model of rows(text, lang); null texts and languages are left out. None if nothing is left."""
 
+    known = rows.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
+    most = CELLS // LEAST_BUCKETS
+    languages = sorted(r.lang for r in known.select("lang").distinct().limit(most + 1).collect())
+    if not languages:
+        return None
+    if len(languages) > most:
+        raise ValueError(f"more than {most} languages to learn from")
+    buckets = n_buckets(len(languages))
+    place = {x: k for k, x in enumerate(languages)}
+
     def count(batch: pa.RecordBatch):
         texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
         by: dict[str, list[str]] = {}
         for t, lang in zip(texts, langs):
             by.setdefault(lang, []).append(t)
         for lang, own in by.items():
-            total = np.zeros(BUCKETS + len(_SCRIPTS), np.int64)
+            total = np.zeros(buckets + len(_SCRIPTS), np.int64)
             for a, b in _slices(own, CHARS_AT_ONCE):
                 codes, _ = _codes(own[a:b])
                 at, bucket = _trigrams(codes)
-                total[:BUCKETS] += np.bincount(bucket, minlength=BUCKETS)
-                total[BUCKETS:] += np.bincount(_script(codes[at]), minlength=len(_SCRIPTS))
+                total[:buckets] += np.bincount(bucket % buckets, minlength=buckets)
+                total[buckets:] += np.bincount(_script(codes[at]), minlength=len(_SCRIPTS))
             some = np.flatnonzero(total)
-            columns = [pa.array([lang] * (len(some) + 1)), pa.array([*some.tolist(), -1], pa.int32()), pa.array([*total[some].tolist(), len(own)], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "bucket", "n"])
+            columns = [pa.array(np.full(len(some) + 1, place[lang], np.int32)), pa.array([*some.tolist(), -1], pa.int32()), pa.array([*total[some].tolist(), len(own)], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["k", "bucket", "n"])
 
-    known = rows.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
-    if known.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn from")
-    table = per_batch(known, count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    languages = sorted(set(table.column("lang").to_pylist()))
-    if not languages:
-        return None
-    counts = np.zeros((BUCKETS + len(_SCRIPTS) + 1, len(languages)))
-    place = {x: k for k, x in enumerate(languages)}
-    counts[table.column("bucket").to_numpy(), [place[x] for x in table.column("lang").to_pylist()]] = table.column("n").to_numpy()
-    grams, scripts, n = counts[:BUCKETS] + SMOOTHING, counts[BUCKETS:-1], counts[-1]
+    table = per_batch(known, count, "k int, bucket int, n bigint").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros((buckets + len(_SCRIPTS) + 1, len(languages)))
+    counts[table.column("bucket").to_numpy(), table.column("k").to_numpy()] = table.column("n").to_numpy()
+    grams, scripts, n = counts[:buckets] + SMOOTHING, counts[buckets:-1], counts[-1]
     scores = np.log(grams / grams.sum(0)).astype(np.float32)
     uses = scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(0), 1)
     uses |= ~uses.any(1, keepdims=True)
@@ -151,7 +158,7 @@ def word_scores(model: Model, texts: list[str]):
     if not len(at):
         return np.zeros((0, len(model.languages)), np.float32), *(np.zeros(0, np.int64) for _ in range(3))
     begins = np.flatnonzero(np.diff(at, prepend=-2) > 1)
-    scores = np.add.reduceat(model.scores[bucket], begins, axis=0)
+    scores = np.add.reduceat(model.scores[bucket % len(model.scores)], begins, axis=0)
     start = at[begins]
     scores[~model.uses[_script(codes[start])]] -= 1e4
     text = np.searchsorted(first, start, "right") - 1

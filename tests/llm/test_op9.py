@@ -68,5 +68,19 @@ def test_many_languages(spark):
     rows = op.identify(spark.createDataFrame([(k, f"{word(k)} " * 6) for k in range(300)], "doc_id long, text string"), model).collect()
     same = {k: min(j for j in range(300) if word(j) == word(k)) for k in range(300)}
     assert {r.doc_id: r.lang_pred for r in rows} == {k: names[same[k]] for k in range(300)}
+
+
+def test_buckets_are_shared_as_languages_grow(spark, monkeypatch):
+    sizes = [op.n_buckets(n) for n in (1, 2, 128, 129, 500, 5000, op.CELLS // op.LEAST_BUCKETS)]
+    assert sizes == [1 << 16, 1 << 16, 1 << 16, 1 << 15, 1 << 14, 1 << 10, 1 << 8]
+    monkeypatch.setattr(op, "CELLS", 1 << 16)
+    words = {"aa": "lorem ipsum dolor sit amet", "bb": "quick brown foxes jump over", "cc": "zwei kleine katzen spielen dort"}
+    extra = {f"x{k}": f"{chr(97 + k)}{chr(122 - k)}{chr(97 + k)}q" for k in range(20)}
+    train = spark.createDataFrame([(f"{t} " * 30, x) for x, t in {**words, **extra}.items()], "text string, lang string")
+    model = op.learn(train)
+    assert len(model.scores) == op.n_buckets(23) == 1 << 11
+    rows = op.identify(spark.createDataFrame([(k, f"{t} " * 4) for k, t in enumerate(words.values())], "doc_id long, text string"), model).collect()
+    assert {r.doc_id: r.lang_pred for r in rows} == dict(enumerate(words))
+    monkeypatch.setattr(op, "CELLS", op.LEAST_BUCKETS * 20)
     with pytest.raises(ValueError):
-        op.learn(spark.range(op.MAX_LANGUAGES + 1).selectExpr("'some text' AS text", "cast(id AS string) AS lang"))
+        op.learn(train)
