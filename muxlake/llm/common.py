@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
 import gc
 import tempfile
@@ -38,25 +39,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-_scratch: list[str] = []
+_scratch: contextvars.ContextVar[str | None] = contextvars.ContextVar("scratch", default=None)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder, or in the innermost scratch folder, that no other call uses."""
-    return f"{_scratch[-1] if _scratch else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder, or in the innermost scratch folder of this thread, that no other call uses."""
+    return f"{_scratch.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """What new_path names inside goes at the end; results of the body have to be written elsewhere before."""
     folder = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-    _scratch.append(folder)
+    token = _scratch.set(folder)
     try:
         yield
     finally:
-        _scratch.pop()
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _scratch.reset(token)
+        remove(spark, folder)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
@@ -119,15 +124,17 @@ def release_memory() -> None:
 
 
 def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow that releases the worker's memory when a task ends."""
+    """mapInArrow that releases the worker's memory when a task ends, and takes columns of any name."""
+    names = df.columns
+    odd = any("`" in c for c in names)  # mapInArrow looks its columns up between backticks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
-            yield from function(batches)
+            yield from function(batch.rename_columns(names) for batch in batches) if odd else function(batches)
         finally:
             release_memory()
 
-    return df.mapInArrow(run, schema)
+    return (df.toDF(*(f"c{k}" for k in range(len(names)))) if odd else df).mapInArrow(run, schema)
 
 
 def per_batch(df: DataFrame, function: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:

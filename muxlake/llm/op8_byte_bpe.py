@@ -27,6 +27,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from muxlake.llm.common import documents, map_batches, per_batch, short_batches
 
@@ -400,8 +401,8 @@ def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return _encoded(rows, ["doc_id"], path, pattern, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", finish, FREQUENT, BLOCK_BYTES)
 
 
-def with_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """docs with the columns token_ids (array<int>) and decoded (the text that the ids stand for).
+def with_ids(docs: DataFrame, path: str, pattern: str, ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
+    """docs with two more columns: ids (array<int>) and decoded (the text that the ids stand for), under names that docs does not have.
 
     Its blocks hold whole rows, so they and the broadcast pieces are smaller than those of encode_digests.
     """
@@ -410,12 +411,13 @@ def with_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         values = np.fromstring(bytes(written[0][written[1][0] : written[1][-1]]), np.int32, sep=",")
         tokens = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), pa.array(values))
         texts = [str(data[0][a:b], "utf-8") for a, b in pairwise(data[1].tolist())]
-        names = [*rows.schema.names, "token_ids", "decoded"]
+        names = [*rows.schema.names, ids, decoded]
         return pa.RecordBatch.from_arrays([*rows.columns, tokens, pa.array(texts, pa.string())], names)
 
-    kept = docs.drop("token_ids", "decoded")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return _encoded(kept, kept.columns, path, pattern, f"{schema}, token_ids array<int>, decoded string", finish, FREQUENT // 4, BLOCK_BYTES // 2)
+    if taken := {ids.lower(), decoded.lower()} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs has columns called {sorted(taken)}")
+    schema = StructType([*docs.schema.fields, StructField(ids, ArrayType(IntegerType())), StructField(decoded, StringType())])
+    return _encoded(docs, docs.columns, path, pattern, schema, finish, FREQUENT // 4, BLOCK_BYTES // 2)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from muxlake.llm import op1_quality_crf, op3_token_files, op4_token_counts, op5_chat_collapse, op6_secret_scan, op7_ngram_join, op8_byte_bpe, op9_language_id, op10_quality_rules
 from muxlake.llm import op2_decontamination as op2
-from muxlake.llm.common import fresh, new_path
+from muxlake.llm.common import fresh, new_path, written
 
 SMALL = "/root/testdata/sf0.001"
 OWN = {"doc_id", "text", "lang", "source", "n_chars", "row"}
@@ -40,10 +40,21 @@ def test_stages_carry_clashing_columns(name, stage, clashing, odd, spark):
     assert {r[0] for r in out.select(f"`{extra}`").distinct().collect()} <= {len(internal_names()) - 1}
 
 
-def test_byte_bpe_stage(clashing, spark):
-    made = {"token_ids", "decoded", "n_tokens"}
-    out = corpus_pipeline.STAGES[-1][1](spark, clashing.drop("n_tokens"), SMALL)
-    assert set(clashing.columns) - made <= set(out.columns) and out.count() == clashing.count()
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_carry_names_of_any_kind(name, stage, odd, spark):
+    extra = {"Decoded": 1, "N_TOKENS": 2, "a.b": 3, "c`d": 4, "Token_Ids": 5, "_ids": 6, "Hash": 7}
+    docs = odd.select("*", *(F.lit(v).alias(k) for k, v in extra.items()))
+    out = written(stage(spark, docs, SMALL), new_path(spark, "odd-names"))
+    assert out.columns[: len(docs.columns)] == docs.columns
+    for r in out.collect():
+        assert r.asDict().items() >= extra.items()
+    if name == "byte_bpe":
+        assert out.columns[len(docs.columns) :] == ["_n_tokens", "_token_ids"] and {len(r["_token_ids"]) - r["_n_tokens"] for r in out.collect()} == {0}
+
+
+def test_byte_bpe_stage(clashing, odd, spark):
+    out = corpus_pipeline.STAGES[-1][1](spark, clashing, SMALL)
+    assert out.columns[: len(clashing.columns)] == clashing.columns and out.count() == odd.count()
 
 
 def test_operators_ignore_clashing_columns(clashing, odd, spark):

@@ -39,6 +39,11 @@ def test_with_ids(odd, library):
         assert r.decoded == (r.text or "") and r.token_ids == library.encode_ordinary(r.text or "")
 
 
+def test_with_ids_refuses_names_that_are_taken(odd):
+    with pytest.raises(ValueError):
+        op.with_ids(odd, PATH, public.PATTERN, "ids", "ROW")
+
+
 def test_pieces_and_long_merges(library):
     texts = ["I'll  go\n\n x\t　y  z\x1c\x1f!", "naïve Ωmega 12½ ٠١ don't\xa0stop", "  lead", "trail  ", "á \U0001F600\U0001F600"]
     for t in texts:
