@@ -2,7 +2,7 @@
 
 Defined cases, for every stage: null and empty texts pass or go by the stage's own rule and never fail it; texts are read whole, however long; rows that share a
 doc_id, equal rows and ties each have a result of their own, but for near_duplicates, which keeps one of equal rows; an empty table gives an empty table; further columns
-are carried along whatever their names are (byte_bpe replaces n_tokens and token_ids).
+are carried along whatever their names are (where one is called n_tokens or token_ids, in any case, byte_bpe's own get another name).
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muxlake.llm import op2_decontamination, op6_secret_scan, op7_ngram_join, op8_byte_bpe, op10_quality_rules
-from muxlake.llm.common import documents, new_path, scratch, short_batches, written
+from muxlake.llm.common import cols, documents, fresh, new_path, remove, scratch, short_batches, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +41,14 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds the ids of each text, and takes as text what they decode to."""
+    """Adds n_tokens and token_ids of each text, and takes as text what they decode to."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = op8_byte_bpe.with_ids(docs, path, public_tokenizers.PATTERN)
-    kept = [c for c in docs.columns if c not in ("n_tokens", "token_ids", "decoded")]
-    text = [F.col("decoded").alias("text") if c == "text" else F.col(f"`{c}`") for c in kept]
-    return encoded.select(*text, F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
+    taken = {c.lower() for c in docs.columns}
+    n_tokens, ids = (name if name not in taken else fresh(docs, name)[0] for name in ("n_tokens", "token_ids"))
+    own_ids, decoded = fresh(docs, "ids", "decoded")
+    encoded = op8_byte_bpe.with_ids(docs, path, public_tokenizers.PATTERN, own_ids, decoded)
+    text = [F.col(decoded).alias("text") if c == "text" else cols(c)[0] for c in docs.columns]
+    return encoded.select(*text, F.size(own_ids).cast("long").alias(n_tokens), F.col(own_ids).alias(ids))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -63,9 +65,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
-    docs = documents(spark, sf_dir)
+    docs, last = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         path = new_path(spark, f"stage-{name}")
-        with scratch(spark):  # what a stage writes on its way goes when its result is there
+        with scratch(spark):  # what a stage writes on its way goes when its result is there, and so does what it read
             docs = written(stage(spark, docs, sf_dir), path)
+        if last:
+            remove(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
