@@ -9,8 +9,8 @@ of its marginals: their sum, the highest two and their share.
 Defined cases: a text without a word, or null, has no span and the score of no toxic word; without labels of both kinds to learn from every score
 is the share of toxic labels, or 0 without any, and there are no spans; so is the evidence of a word that fewer than MIN_DOCS toxic
 documents have; rows with a null or repeated doc_id have a result each; texts are read whole, in pieces of PIECE characters cut between words; an
-empty table gives an empty result; other columns are ignored. Evidence is counted over all labelled documents; the driver gets LEXICON words at
-most, the strongest, the tokens of FIELD_DOCS documents, FIELD_TOKENS at most, and five sums of SCORE_DOCS documents.
+empty table gives an empty result; other columns are ignored. Everything is learned from SAMPLE labelled documents at most, chosen by a hash of doc_id; of these the driver gets LEXICON words at
+most, the strongest, the tokens of FIELD_DOCS documents, FIELD_TOKENS at most, and five sums of each.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ MIN_DOCS, MIN_ODDS, LEXICON = 4, 3.0, 20_000
 MARGIN = 8.0
 #: Lengths of beginnings.
 BEGINNINGS = (4, 5, 6, 7, 8)
-#: What the field and the documents' logistic function are fitted to, chosen by a hash of doc_id.
-FIELD_DOCS, FIELD_TOKENS, SCORE_DOCS = 4000, 300_000, 20_000
+#: Labelled documents to learn from, and those of them, and their tokens, that the field is fitted to; chosen by a hash of doc_id.
+SAMPLE, FIELD_DOCS, FIELD_TOKENS = 20_000, 4000, 300_000
 STEPS, RATE, RIDGE = 120, 0.15, 1e-4
 #: A word is tagged, and a document is predicted toxic, from this probability on.
 THRESHOLD = 0.5
@@ -64,18 +64,21 @@ class Evidence:
     """Evidence of words, looked up once for each distinct word."""
 
     def __init__(self, known: dict[str, float]):
-        self.known, self.seen = known, {}
+        self.known, self.place, self.rows = known, {}, np.zeros((1024, 3), np.float32)
 
     def of(self, words: list[str]) -> np.ndarray:
         """Whole-word evidence, the best of the word and its beginnings, and capitals, of each word."""
-        seen = self.seen
-        if len(seen) > 300_000:
-            seen.clear()
-        for w in [w for w in set(words) if w not in seen]:
-            low = w.lower()
-            own = self.known.get(low, 0.0)
-            seen[w] = (own, max([own, *(self.known.get(k, 0.0) for k in keys(low)[1:])]), float(w.isupper() and len(w) > 1))
-        return np.array([seen[w] for w in words], np.float32).reshape(-1, 3)
+        place, known = self.place, self.known
+        if len(place) > 300_000:
+            place.clear()
+        for w in [w for w in set(words) if w not in place]:
+            low, k = w.lower(), len(place)
+            if k == len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            own = known.get(low, 0.0)
+            self.rows[k] = own, max([own, *(known[x] for x in keys(low)[1:] if x in known)]), w.isupper() and len(w) > 1
+            place[w] = k
+        return self.rows[np.fromiter(map(place.__getitem__, words), np.int64, len(words))]
 
     def of_text(self, text: str | None) -> np.ndarray:
         parts = [self.of(WORD.findall(p)) for _, p in pieces(text or "")]
@@ -208,18 +211,19 @@ def evidence(labelled: DataFrame) -> dict[str, float]:
     return {r.word: min(r.odds, 6.0) / 3 for r in strong.orderBy(F.desc("ratio"), "word").limit(LEXICON).collect()}
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(id, toxic, text) of docs(doc_id, text) with a label 0 or 1 in labels(doc_id, toxic); equal rows count once."""
-    own = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).distinct()
+def labelled_texts(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(id, toxic, text, text_hash) of docs(doc_id, text) for so many rows of labels(doc_id, toxic) with 0 or 1; equal rows count once."""
+    own = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic"))
+    few = own.distinct().orderBy(F.xxhash64("id"), "id", "toxic").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash"), "text")
-    return texts.join(own, "id").dropDuplicates(["id", "toxic", "text_hash"]).select("id", "toxic", "text", "text_hash")
+    return texts.join(F.broadcast(few), "id").dropDuplicates(["id", "toxic", "text_hash"]).select("id", "toxic", "text", "text_hash")
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> Tagger:
-    """The tagger of docs(doc_id, text) under labels(doc_id, toxic). Labels other than 0 and 1 and null doc_ids are left out."""
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Tagger:
+    """The tagger of docs(doc_id, text) under labels(doc_id, toxic), from a bounded sample of them. Labels other than 0 and 1 and null doc_ids are left out."""
     none = np.zeros(N_FEATURES, np.float32)
     short_batches(docs.sparkSession)
-    labelled = saved(labelled_texts(docs, labels), "labelled")
+    labelled = saved(labelled_texts(docs, labels, sample), "labelled")
     n = {r.toxic: r.n for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return Tagger({}, none, 0.0, 0.0, None, 1.0 if n.get(1) else 0.0)
@@ -243,8 +247,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Tagger:
             total += len(own)
     sizes = np.fromiter(map(len, each), np.int64, len(each))
     field = fit_field(known.known, np.concatenate(each) if each else np.zeros((0, 3), np.float32), sizes, np.array(marks, int))
-    fitted = labelled.join(F.broadcast(ids.orderBy(*order).limit(SCORE_DOCS).drop("chars")), ["id", "toxic", "text_hash"], "left_semi")
-    sums = tagged(fitted.select("id", "toxic", "text"), field, keep="toxic").select("toxic", "sums").toArrow()
+    fitted = labelled.join(F.broadcast(ids.orderBy(*order).limit(sample).drop("chars")), ["id", "toxic", "text_hash"], "left_semi")
+    sums = tagged(fitted.select("toxic", "text"), field, keep="toxic").select("toxic", "sums").toArrow()
     values = np.array(sums.column("sums").to_pylist(), float).reshape(-1, 5)
     document = fit_documents(values, sums.column("toxic").to_numpy().astype(float))
     return Tagger(field.known, field.weights, field.bias, field.same, document)
