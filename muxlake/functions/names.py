@@ -45,9 +45,9 @@ SEGMENTATION_TYPES = {
 }
 UPID_TYPES = {
     0x00: "not used", 0x01: "user defined", 0x02: "ISCI", 0x03: "Ad-ID", 0x04: "UMID", 0x05: "ISAN", 0x06: "versioned ISAN", 0x07: "TID", 0x08: "TI", 0x09: "ADI",
-    0x0A: "EIDR", 0x0B: "ATSC content identifier", 0x0C: "MPU", 0x0D: "MID", 0x0E: "ADS information", 0x0F: "URI",
+    0x0A: "EIDR", 0x0B: "ATSC content identifier", 0x0C: "MPU", 0x0D: "MID", 0x0E: "ADS information", 0x0F: "URI", 0x10: "UUID",
 }
-# Values of one operator's descriptors.
+# Fixed values of one operator's descriptors.
 CAS_PROVIDERS = {
     0x02: "CAS 3.0", 0x03: "CAS 3.0 Sib", 0x11: "CAS 2.2 / CAS 2.1", 0x14: "CAS 2.0 Sib", 0x18: "CAS 4.2", 0x19: "CAS 4.1", 0x1A: "CAS 4.0 Sib", 0x28: "CAS 5.0", 0x2C: "CAS 5.5",
 }

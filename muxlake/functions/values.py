@@ -53,33 +53,65 @@ def bits_per_second(n_bytes: Column, ticks: Column, rate: int) -> Column:
     return F.when(ticks > 0, n_bytes * F.lit(8.0) * F.lit(float(rate)) / ticks)
 
 
-# First byte of a DVB text and the codec it selects.
-CODECS = {
-    0x01: "iso8859_5", 0x02: "iso8859_6", 0x03: "iso8859_7", 0x04: "iso8859_8", 0x05: "iso8859_9", 0x06: "iso8859_10",
-    0x07: "iso8859_11", 0x09: "iso8859_13", 0x0A: "iso8859_14", 0x0B: "iso8859_15",
-    0x11: "utf-16-be", 0x12: "euc_kr", 0x13: "gb2312", 0x14: "big5", 0x15: "utf-8",
-}
-_CONTROL = dict.fromkeys([*range(0x80, 0x8A), *range(0x8B, 0xA0), *range(0xE080, 0xE08A), *range(0xE08B, 0xE0A0)])
+# First byte of a DVB text and the part of ISO 8859 that it selects; 0x10 has the part in its third byte.
+PARTS = {0x01: 5, 0x02: 6, 0x03: 7, 0x04: 8, 0x05: 9, 0x06: 10, 0x07: 11, 0x09: 13, 0x0A: 14, 0x0B: 15}
+# First bytes that select alphabets of more than a byte without a rule of their own.
+WIDE = {0x12: "euc_kr", 0x13: "gb2312", 0x14: "big5"}
+UTF_16, UTF_8 = "11", "15"
+_HIGH = "".join(map(chr, range(0xA0, 0x100)))
+
+
+_CONTROL = dict.fromkeys([0, *range(0x80, 0x8A), *range(0x8B, 0xA0), *range(0xE080, 0xE08A), *range(0xE08B, 0xE0A0)])
+
+
+def dvb_codec(raw: bytes) -> str:
+    """One DVB text, as dvb_text reads it; for SQL, where a function is called by its name."""
+    lead, n = (raw[0], PARTS.get(raw[0])) if raw else (0x20, None)
+    skip = lead < 0x20
+    if lead == 0x10 and len(raw) >= 3:
+        skip, n = 3, raw[2] if 2 <= raw[2] <= 15 and raw[2] != 12 else None
+    codec = {0x11: "utf-16-be", 0x15: "utf-8"}.get(lead) or WIDE.get(lead) or (f"iso8859_{n}" if n else "latin-1")
+    return raw[skip:].decode(codec, "replace").translate(_CONTROL).replace("\x8a", "\n")
 
 
 @F.pandas_udf(StringType())
-def dvb_text(data: pd.Series) -> pd.Series:
-    """DVB text: a leading byte selects the alphabet, control codes go, and 0x8A is a new line; null for null."""
-
-    def read(raw) -> str | None:
-        if raw is None:
-            return None
-        raw = bytes(raw)
-        codec, skip = "latin-1", 0
-        if raw[:1] == b"\x10" and len(raw) >= 3:
-            n = raw[2]
-            codec, skip = (f"iso8859_{n}" if 1 <= n <= 15 and n != 12 else "latin-1"), 3
-        elif raw and raw[0] < 0x20:
-            codec, skip = CODECS.get(raw[0], "latin-1"), 1
-        text = raw[skip:].decode(codec, "replace")
-        return text.replace("\x8a", "\n").translate(_CONTROL).replace("\x00", "")
-
-    return data.map(read, na_action="ignore")
+def _wide_text(data: pd.Series) -> pd.Series:
+    """Texts of the alphabets in WIDE; null for null."""
+    return data.map(lambda raw: bytes(raw)[1:].decode(WIDE[bytes(raw)[0]], "replace"), na_action="ignore")
+
+
+def _utf_16(body: Column) -> Column:
+    """Big-endian UTF-16; an odd byte at the end goes, and so do halves of pairs where one of them stands alone."""
+    units = F.array_join(F.regexp_extract_all(F.hex(body), F.lit("[0-9A-F]{4}"), F.lit(0)), " ")
+    paired = units.rlike("^(D[89AB].. D[C-F]..( |$)|(?!D[89A-F]).{4}( |$))*$")
+    return F.decode(F.unhex(F.replace(F.when(paired, units).otherwise(F.regexp_replace(units, "D[89A-F]..", "")), F.lit(" "), F.lit(""))), "UTF-16BE")
+
+
+def dvb_text(data: Column) -> Column:
+    """DVB text: a leading byte selects the alphabet, control codes go, and 0x8A is a new line; null for null.
+
+    Built-in functions read the parts of ISO 8859, UTF-8 and UTF-16; Python sees only the other alphabets' texts, and nulls in place of the rest.
+    """
+    data = F.col(data) if isinstance(data, str) else data
+    lead, digits = F.hex(F.substring(data, 1, 1)), lambda codes: [f"{c:02X}" for c in codes]
+    selected = (lead == "10") & (F.length(data) >= 3)
+    parts = F.create_map(*(F.lit(x) for c, n in PARTS.items() for x in (f"{c:02X}", f"{n:02X}")))
+    key = F.when(selected, F.hex(F.substring(data, 3, 1))).otherwise(F.try_element_at(parts, lead))
+    tables = {n: bytes(range(0xA0, 0x100)).decode(f"iso8859_{n}", "replace") for n in range(2, 16) if n != 12}
+    to = F.try_element_at(F.create_map(*(F.lit(x) for n, table in tables.items() for x in (f"{n:02X}", table))), key)
+    body = F.substring(data, F.when(selected, 4).when(lead < "20", 2).otherwise(1), F.length(data))
+    latin = F.decode(body, "ISO-8859-1")
+    single = F.when(to.isNull(), latin).otherwise(F.call_function("translate", latin, F.lit(_HIGH), to))
+    is_wide = lead.isin(*digits(WIDE))
+    text = F.when(lead == UTF_8, F.make_valid_utf8(body.cast("string"))).when(lead == UTF_16, _utf_16(body)).when(is_wide, _wide_text(F.when(is_wide, data))).otherwise(single)
+    return F.replace(F.regexp_replace(text, "[\\x00\\x80-\\x89\\x8b-\\x9f\ue080-\ue089\ue08b-\ue09f]", ""), F.lit("\x8a"), F.lit("\n"))
+
+
+def dvb_text_or_utf8(data: Column) -> Column:
+    """DVB text, but UTF-8 where the bytes are that and hold Cyrillic letters, without a leading byte."""
+    data = F.col(data) if isinstance(data, str) else data
+    plain = F.try_validate_utf8(data.cast("string"))
+    return F.when((F.hex(F.substring(data, 1, 1)) != UTF_8) & F.coalesce(plain.rlike("[\u0400-\u04FF]"), F.lit(False)), plain).otherwise(dvb_text(data))
 
 
 def language(data: Column, start) -> Column:

@@ -11,9 +11,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from muxlake.functions.bits import bits, once, part, sint, uint, walk
-from muxlake.functions.values import bcd_minutes, dvb_text, mjd_seconds
-from muxlake.operators.nested import VIEWS
+from muxlake.functions.bits import bits, once, part, uint, walk
+from muxlake.functions.values import bcd_minutes, dvb_text, dvb_text_or_utf8, mjd_seconds
+from muxlake.functions.names import UPID_TYPES, name_of
+from muxlake.operators.nested import VIEWS, splice_other
+
 
 def _data() -> Column:
     return F.col("data")
@@ -21,7 +23,7 @@ def _data() -> Column:
 
 @dataclass(frozen=True)
 class Field:
-    """name; first bit; bits; kind: int, flag, bcd, code (letters), mjd, hm (BCD hours and minutes), rest or text (to the end)."""
+    """name; first bit; bits; kind: int, flag, bcd, code (letters), mjd, hm (BCD hours and minutes), rest, text or name (to the end; a name may be UTF-8 without a mark)."""
 
     name: str
     at: int
@@ -42,9 +44,9 @@ class Field:
             out = mjd_seconds(data, at)
         elif self.kind == "hm":
             out = bcd_minutes(data, at)
-        elif self.kind in ("rest", "text"):
+        elif self.kind in ("rest", "text", "name"):
             rest = part(data, at, F.greatest(F.length(data) - at, F.lit(0)))
-            out = dvb_text(rest) if self.kind == "text" else rest
+            out = {"rest": lambda x: x, "text": dvb_text, "name": dvb_text_or_utf8}[self.kind](rest)
         else:
             out = bits(data, start, self.at, self.width) * self.scale
         return out.alias(self.name)
@@ -75,7 +77,6 @@ LAYOUTS: dict[tuple[str, int], Layout] = {
     ("dvb", 0x03): Layout("audio_stream", _ints("free_format:0! id:1! layer:2:2 variable_rate:4!")),
     ("dvb", 0x05): Layout("registration", (*_ints("format_identifier:0:32"), Field("additional_info", 32, 0, "rest"))),
     ("dvb", 0x06): Layout("data_stream_alignment", _ints("alignment_type:0:8")),
-    ("dvb", 0x09): Layout("ca", (*_ints("ca_system_id:0:16 ca_pid:19:13"), Field("private_data", 32, 0, "rest"))),
     ("dvb", 0x0A): Layout("iso639_language", (_LANGUAGE, *_ints("audio_type:24:8")), 4),
     ("dvb", 0x0C): Layout("multiplex_buffer_utilization", _ints("bound_valid:0! ltw_lower_bound:1:15 ltw_upper_bound:17:15")),
     ("dvb", 0x0E): Layout("maximum_bitrate", _ints("maximum_bitrate:2:22")),
@@ -105,15 +106,14 @@ LAYOUTS: dict[tuple[str, int], Layout] = {
     ("dvb", 0x70): Layout("adaptation_field_data", _ints("adaptation_field_data_id:0:8")),
     ("dvb", 0x83): Layout("logical_channel", _ints("service_id:0:16 visible:16! lcn:22:10"), 4),
     ("dvb", 0x86): Layout("gnr", _ints("ts_id:0:16 original_network_id:16:16 service_id:32:16"), 6),
-    ("dvb", 0x89): Layout("ews_region", (Field("region_name", 0, 0, "text"),)),
+    ("dvb", 0x89): Layout("ews_region", (Field("region_name", 0, 0, "name"),)),
     ("dvb", 0x8A): Layout("cue_identifier", _ints("cue_stream_type:0:8")),
-    ("dvb", 0x90): Layout("ews_zone", (Field("zone_name", 0, 0, "text"),)),
+    ("dvb", 0x90): Layout("ews_zone", (Field("zone_name", 0, 0, "name"),)),
     ("ait", 0x02): Layout("transport_protocol", (*_ints("protocol_id:0:16 protocol_label:16:8"), Field("selector", 24, 0, "rest"))),
     ("ait", 0x10): Layout("application_storage", _ints("storage_property:0:8 not_from_broadcast:8! complete_from_cache:9! with_older_version:10! version:17:31 priority:48:8")),
     ("ait", 0x15): Layout("simple_location", (Field("initial_path", 0, 0, "text"),)),
     ("splice", 0x00): Layout("avail", _ints("identifier:0:32 provider_avail_id:32:32")),
     ("splice", 0x01): Layout("dtmf", (*_ints("identifier:0:32 preroll:32:8 dtmf_count:40:3"), Field("dtmf_chars", 48, 0, "text"))),
-    ("splice", 0x02): Layout("segmentation", _ints("identifier:0:32 event_id:32:32 cancelled:64! program:72! has_duration:73! not_restricted:74!")),
     ("splice", 0x03): Layout("time", _ints("identifier:0:32 tai_seconds:32:48 tai_ns:80:32 utc_offset:112:16")),
 }
 
@@ -171,7 +171,7 @@ def unknown_tags(descriptors: DataFrame) -> DataFrame:
 
 _MORE_NAMES = {
     ("dvb", 0x48): "service", ("dvb", 0x4D): "short_event", ("dvb", 0x4E): "extended_event", ("dvb", 0x5C): "multilingual_bouquet_name", ("dvb", 0x6A): "ac3",
-    ("ait", 0x01): "application_name",
+    ("ait", 0x01): "application_name", ("splice", 0x02): "segmentation",
 }
 
 
@@ -182,6 +182,8 @@ def typed(descriptors: DataFrame, family: str, tag: int) -> DataFrame:
         return VIEWS[family, tag][1](own)
     if (family, tag) in _FUNCTIONS:
         return _FUNCTIONS[family, tag](own)
+    if family == "splice" and (family, tag) not in LAYOUTS:
+        return splice_other(own)
     layout = LAYOUTS[family, tag]
     if not layout.item:
         return own.select(*descriptors.columns, *(f.read(_data(), F.lit(0)) for f in layout.fields))
@@ -258,8 +260,17 @@ def group_key(descriptors: DataFrame) -> DataFrame:
     return descriptors.withColumn("group", F.concat(F.initcap("family"), F.lit("_"), F.lpad(F.hex("tag"), 2, "0"), ext))
 
 
+# Types of segments that may have numbers of a sub-segment behind theirs.
+SUB_SEGMENTED = (0x34, 0x36, 0x38, 0x3A)
+# Types of UPIDs: lists of them, with a format's identifier, letters and digits of an entertainment identifier, numbers, bytes; all others are text.
+MID, MPU, EIDR, TI, UPID_BYTES = 0x0D, 0x0C, 0x0A, 0x08, (0x04, 0x05, 0x06, 0x0B)
+UUID = 0x10
+# What the registrants' numbers of EIDR stand for.
+EIDR_KINDS = {5237: "party", 5238: "user", 5239: "service", 5240: "content"}
+
+
 def segmentations(descriptors: DataFrame) -> DataFrame:
-    """SCTE-35 0x02: restrictions, components, duration, UPID and the segment's type and numbers; null where it is cancelled."""
+    """SCTE-35 0x02: restrictions, components, duration, UPID, the segment's type and numbers, and a sub-segment's where its type has them; null where it is cancelled."""
     own = descriptors.where("family = 'splice' AND tag = 2")
     live = ~(bits(_data(), 8, 0, 1) == 1)
     program, timed, free = (bits(_data(), 9, k, 1) == 1 for k in range(3))
@@ -272,11 +283,13 @@ def segmentations(descriptors: DataFrame) -> DataFrame:
         lambda at: once((at + 2 + uint(_data(), at + 1)).cast("int"), lambda end: F.struct(
             uint(_data(), at).cast("int").alias("upid_type"), part(_data(), at + 2, uint(_data(), at + 1)).alias("upid"),
             uint(_data(), end).cast("int").alias("type_id"), uint(_data(), end + 1).cast("int").alias("segment"), uint(_data(), end + 2).cast("int").alias("segments"),
+            *(F.when(uint(_data(), end).isin(*SUB_SEGMENTED), uint(_data(), end + 3 + k)).cast("int").alias(name) for k, name in enumerate(("sub_segment", "sub_segments"))),
         )),
     )
     allowed = lambda k, w: F.when(live & ~free, bits(_data(), 9, k, w))
     out = own.select(
-        *descriptors.columns, uint(_data(), 4, 4).alias("event_id"), (~live).alias("cancelled"), F.when(live, program).alias("program"),
+        *descriptors.columns, uint(_data(), 0, 4).alias("identifier"), uint(_data(), 4, 4).alias("event_id"), (~live).alias("cancelled"), F.when(live, program).alias("program"),
+        F.when(live, timed).alias("has_duration"), F.when(live, free).alias("not_restricted"),
         (allowed(3, 1) == 1).alias("web_allowed"), (allowed(4, 1) == 1).alias("no_regional_blackout"), (allowed(5, 1) == 1).alias("archive_allowed"),
         allowed(6, 2).cast("int").alias("device_restrictions"), components.alias("components"),
         F.when(live & timed, uint(_data(), timed_at.cast("int"), 5)).alias("duration"), F.when(live, rest).alias("r"),
@@ -284,6 +297,48 @@ def segmentations(descriptors: DataFrame) -> DataFrame:
     return out.select(*out.columns[:-1], "r.*")
 
 
+def _eidr_check(digits: Column) -> Column:
+    """The check character of an identifier's hexadecimal digits, by ISO 7064 mod 37, 36."""
+    letters = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    value = lambda c: F.instr(F.lit(letters), c).cast("int") - 1
+    step = lambda p, c: once((p + value(c)) % 36, lambda s: F.when(s == 0, 36).otherwise(s) * 2 % 37)
+    last = F.aggregate(F.filter(F.split(digits, ""), lambda c: c != ""), F.lit(36), lambda p, c: step(p, c).cast("int"))
+    return F.substring(F.lit(letters), (37 - last) % 36 + 1, F.lit(1))
+
+
+def _upid(kind: Column, raw: Column) -> Column:
+    """A UPID's type, name, format, text and identifier of the format."""
+    digits = F.hex(F.substring(raw, 3, 10))
+    groups = F.concat_ws("-", *(F.substring(digits, k, 4) for k in (1, 5, 9, 13, 17)))
+    eidr = F.when(F.length(raw) == 12, F.concat(F.lit("10."), uint(raw, 0, 2).cast("string"), F.lit("/"), groups, F.lit("-"), _eidr_check(digits)))
+    text = F.make_valid_utf8(raw.cast("string"))
+    eidr = F.when(F.instr(text, "/") > 1, text).otherwise(eidr)
+    high, low = uint(raw, 0, 4), uint(raw, 4, 4)
+    number = F.when(F.length(raw) == 8, (high.cast("decimal(20,0)") * (1 << 32) + low).cast("string"))
+    h = F.lower(F.hex(raw))
+    uuid = F.when(F.length(raw) == 16, F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))))
+    base64 = F.base64(F.when(kind == MPU, F.substring(raw, 5, F.length(raw))).otherwise(raw))
+    as_bytes = kind.isin(*UPID_BYTES, MPU)
+    registrant = F.regexp_extract(eidr, r"^10\.(\d+)/", 1)
+    table = F.create_map(*(F.lit(x) for n, name in EIDR_KINDS.items() for x in (str(n), name)))
+    return F.struct(
+        kind.cast("int").alias("upid_type"), name_of(kind, UPID_TYPES).alias("type_name"), F.when(as_bytes, "base-64").otherwise("text").alias("format"),
+        F.when(as_bytes, base64).when(kind == EIDR, eidr).when(kind == TI, number).when(kind == UUID, uuid).otherwise(text).alias("value"),
+        F.when(kind == MPU, uint(raw, 0, 4)).alias("format_identifier"), F.when(kind == EIDR, F.try_element_at(table, registrant)).alias("eidr_kind"),
+    )
+
+
+def segmentation_upids(descriptors: DataFrame) -> DataFrame:
+    """SCTE-35 0x02: a row for each UPID, those of a list one by one, with event_id and the segment's type."""
+    found = segmentations(descriptors).where("upid_type IS NOT NULL")
+    raw = F.col("upid")
+    spans = walk(raw, 0, F.length(raw), 2, lambda pos: uint(raw, pos + 1) + 2)
+    listed = F.transform(spans, lambda e: _upid(uint(raw, e["pos"]), part(raw, e["pos"] + 2, e["size"] - 2)))
+    every = F.when(F.col("upid_type") == MID, listed).otherwise(F.array(_upid(F.col("upid_type").cast("long"), raw)))
+    rows = found.select(*descriptors.columns, "event_id", "type_id", F.posexplode(every).alias("item", "u"))
+    return rows.select(*descriptors.columns, "event_id", "type_id", "item", "u.*")
+
+
 def cells(descriptors: DataFrame) -> DataFrame:
     return typed(descriptors, "dvb", 0x6C)
 

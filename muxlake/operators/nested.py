@@ -399,7 +399,7 @@ def splice_other(rows: DataFrame) -> DataFrame:
 
 #: (family, tag): name and view of the tags that no list of fixed places describes.
 VIEWS: dict[tuple[str, int], tuple[str, Callable[[DataFrame], DataFrame]]] = {
-    ("dvb", 0x13): ("carousel_identifier", carousel_identifier), ("dvb", 0x14): ("association_tag", association_tag), ("dvb", 0x2A): ("avc_timing_and_hrd", avc_timing),
+    ("dvb", 0x09): ("ca", operator_ca), ("dvb", 0x13): ("carousel_identifier", carousel_identifier), ("dvb", 0x14): ("association_tag", association_tag), ("dvb", 0x2A): ("avc_timing_and_hrd", avc_timing),
     ("dvb", 0x45): ("vbi_data", vbi_data), ("dvb", 0x64): ("data_broadcast", data_broadcast), ("dvb", 0x6C): ("cell_list", cells),
     ("dvb", 0x6D): ("cell_frequency_link", cell_frequencies), ("dvb", 0x7C): ("aac", aac), ("dvb", 0x87): ("logical_channel_v2", channel_lists),
     ("dvb", 0x88): ("multilingual_region_name", region_names), ("dvb", 0xB0): ("settings_v3", settings_v2), ("dvb", 0xB1): ("settings_v4", settings_v4),

@@ -39,7 +39,7 @@ VECTORS = [
     ("ait", 0x01, "0107656E6703617070", '{"item":0,"language":"eng","application_name":"app"}'),
     ("ait", 0x03, "0303026162", '{"item":0,"parameter":"YWI="}'),
     ("ait", 0x04, "0407022F61017A4D61", '{"base_directory":"/a","classpath_extension":"z","initial_class":"Ma"}'),
-    ("splice", 0x02, "021743554549000000057FFF00000DBBA00903414243340102", '{"event_id":5,"cancelled":false,"program":true,"duration":900000,"upid_type":9,"upid":"QUJD","type_id":52,"segment":1,"segments":2}'),
+    ("splice", 0x02, "021743554549000000057FFF00000DBBA00903414243340102", '{"identifier":1129661769,"event_id":5,"cancelled":false,"program":true,"has_duration":true,"not_restricted":true,"duration":900000,"upid_type":9,"upid":"QUJD","type_id":52,"segment":1,"segments":2}'),
     ("splice", 0x04, "040A435545491F03656E6753", '{"identifier":1129661769,"audio_count":1,"channels":[{"component_tag":3,"language":"eng","bit_stream_mode":2,"n_channels":9,"full_service":true}]}'),
     ("dvb", 0x02, "02039A485F", '{"multiple_frame_rate":true,"frame_rate_code":3,"mpeg1_only":false,"constrained":true,"still_picture":false,"profile_and_level":72,"chroma_format":1,"frame_rate_extension":false}'),
     ("dvb", 0x02, "02010C", '{"multiple_frame_rate":false,"frame_rate_code":1,"mpeg1_only":true,"constrained":false,"still_picture":false}'),
@@ -47,6 +47,9 @@ VECTORS = [
     ("dvb", 0x05, "050643554549AABB", '{"format_identifier":1129661769,"additional_info":"qrs="}'),
     ("dvb", 0x06, "060103", '{"alignment_type":3}'),
     ("dvb", 0x09, "09060B00E1F4CAFE", '{"ca_system_id":2816,"ca_pid":500,"private_data":"yv4="}'),
+    ("dvb", 0x09, "09064AE0E1F40210", '{"ca_system_id":19168,"ca_pid":500,"private_data":"AhA=","provider_id":2,"service_id":16,"provider":"CAS 3.0","service":"Info cas new"}'),
+    ("splice", 0x02, "021143554549000000067FBF09003601020304", '{"identifier":1129661769,"event_id":6,"cancelled":false,"program":true,"has_duration":false,"not_restricted":true,"upid_type":9,"upid":"","type_id":54,"segment":1,"segments":2,"sub_segment":3,"sub_segments":4}'),
+    ("splice", 0x05, "0506435545490102", '{"identifier":1129661769,"private_bytes":"AQI="}'),
     ("dvb", 0x0A, "0A08656E670372757300", '{"item":0,"language":"eng","audio_type":3}\n{"item":1,"language":"rus","audio_type":0}'),
     ("dvb", 0x0C, "0C0481238456", '{"bound_valid":true,"ltw_lower_bound":291,"ltw_upper_bound":1110}'),
     ("dvb", 0x0E, "0E03C186A0", '{"maximum_bitrate":100000}'),

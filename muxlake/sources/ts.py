@@ -1,18 +1,22 @@
 """A data source of transport stream files: `spark.read.format("ts").load(path)` gives (source, byte_offset, raw).
 
-The reader probes each file's first bytes for packets of 188 or 204 bytes and deals byte ranges on packet borders. Inside a range a lost sync is
-searched for again, and each packet comes once. Paths are folders, files or patterns of any file system that Arrow knows. Streaming reads new
-files of a folder as they come.
+The driver only lists files; they are dealt in byte ranges, and each task probes its file's first bytes for packets of 188 or 204 bytes. A sync is four sync
+bytes a packet apart, wherever it is sought: at the file's start, behind a loss, and a little before a range, so that neighbouring ranges agree on what they hold.
+From then on packets follow each other as long as each begins with a sync byte. Each packet comes once, from the range that its first byte is in. Paths are
+folders, files or patterns of any file system that Arrow knows. Streaming reads new files of a folder as they come.
 
-Options: packet_size (probe if unset), range_mb (64), min_bytes (2040; shorter files are left out, file_report names them), recursive (false).
+Options: packet_size (probe if unset), range_mb (64), min_bytes (2040; shorter files are left out, file_report names them), recursive (false). For streams
+also max_files and max_mb, which bound a batch; they need log, a folder of one query alone where the lists of its batches are kept. An offset is then a number, whatever the history.
 """
 
 from __future__ import annotations
 
 import fnmatch
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +24,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 SCHEMA = "source string, byte_offset bigint, raw binary"
 SYNC, RUN, PROBE = 0x47, 4, 2040
-BATCH = 4096
+#: Packets that are read at once, and that a range looks back to find its sync.
+BATCH, LOOK_BACK = 4096, 64
 
 
 def probe(head: bytes) -> tuple[int, int] | None:
@@ -51,50 +56,75 @@ def list_files(path: str, recursive: bool = False) -> list[pa.fs.FileInfo]:
 
 @dataclass
 class Range(InputPartition):
-    """Packets of a file whose first byte is in [begin, end)."""
+    """Packets of a file whose first byte is in [begin, end); size 0 is probed."""
 
     root: str
     path: str
     begin: int
     end: int
-    size: int
+    size: int = 0
+
+
+def _first_sync(is_sync: np.ndarray, size: int) -> int | None:
+    """The first place with RUN sync bytes a packet apart."""
+    n = len(is_sync) - (RUN - 1) * size
+    if n <= 0:
+        return None
+    every = is_sync[:n].copy()
+    for k in range(1, RUN):
+        every &= is_sync[k * size : k * size + n]
+    at = int(every.argmax())
+    return at if every[at] else None
+
+
+def _batch(path: str, base: int, chunk: bytes, at: np.ndarray, size: int) -> pa.RecordBatch:
+    """The packets of 188 bytes at some places of a chunk, which follow each other."""
+    n, begin = len(at), int(at[0])
+    if size == 188:
+        raw = memoryview(chunk)[begin : begin + 188 * n]
+    else:
+        raw = np.lib.stride_tricks.as_strided(np.frombuffer(chunk, np.uint8)[begin:], (n, 188), (size, 1)).tobytes()
+    ends = pa.py_buffer(np.arange(0, 188 * n + 1, 188, dtype=np.int32))
+    source = pa.DictionaryArray.from_arrays(pa.array(np.zeros(n, np.int32)), [path]).cast(pa.string())
+    return pa.RecordBatch.from_arrays([source, pa.array(base + at), pa.Array.from_buffers(pa.binary(), n, [None, ends, pa.py_buffer(raw)])], ["source", "byte_offset", "raw"])
 
 
 def read_range(part: Range) -> Iterator[pa.RecordBatch]:
     """The packets of a range, a batch at a time; a packet may reach over the range's end."""
     fs, _ = file_system(part.root)
-    offsets: list[int] = []
-    raws: list[bytes] = []
-
-    def batch() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array([part.path] * len(raws)), pa.array(offsets, pa.int64()), pa.array(raws, pa.binary())], ["source", "byte_offset", "raw"])
-        offsets.clear()
-        raws.clear()
-        return out
-
     with fs.open_input_file(part.path) as f:
-        at = part.begin
-        chunk, base = b"", at
+        found = probe(f.read(PROBE))
+        if found is None:
+            return
+        size, first = part.size or found[0], found[1]
+        at, synced = max(first, part.begin - LOOK_BACK * size), False
         while at < part.end:
-            if at + RUN * part.size > base + len(chunk):
-                f.seek(at)
-                chunk, base = f.read(BATCH * part.size), at
-                if len(chunk) < 188:
+            f.seek(at)
+            chunk = f.read((BATCH + RUN) * size)
+            last = len(chunk) < (BATCH + RUN) * size
+            data = np.frombuffer(chunk, np.uint8)
+            is_sync, k, stop = data == SYNC, 0, len(data) - (0 if last else (RUN - 1) * size)
+            while k < stop and at + k < part.end:
+                if not synced:
+                    step = _first_sync(is_sync[k:], size)
+                    if step is None:
+                        k = max(k, stop)
+                        break
+                    k, synced = k + step, True
+                places = np.arange(k, min(stop, len(data) - 187), size)
+                if not len(places):
+                    k = stop
                     break
-            k = at - base
-            if chunk[k] != SYNC:
-                found = next((j for j in range(k + 1, len(chunk)) if all(chunk[i] == SYNC for i in range(j, min(j + RUN * part.size, len(chunk)), part.size))), None)
-                at = base + (found if found is not None else len(chunk))
-                continue
-            if k + 188 > len(chunk):
-                break
-            offsets.append(at)
-            raws.append(chunk[k : k + 188])
-            at += part.size
-            if len(raws) >= BATCH:
-                yield batch()
-    if raws:
-        yield batch()
+                held = is_sync[k : places[-1] + 1 : size]
+                n = len(places) if held.all() else int(held.argmin())
+                own = places[:n]
+                own = own[(at + own >= part.begin) & (at + own < part.end)]
+                if len(own):
+                    yield _batch(part.path, at, chunk, own, size)
+                synced, k = n == len(places), k + n * size
+            if last:
+                return
+            at += k
 
 
 def _recursive(options: dict) -> bool:
@@ -128,45 +158,82 @@ class TsReader(DataSourceReader):
         return self.ranges(list_files(self.path, _recursive(self.options)))
 
     def ranges(self, files: list[pa.fs.FileInfo]) -> list[Range]:
-        out: list[Range] = []
-        step = int(float(self.options.get("range_mb", 64)) * 1_000_000)
-        fs, _ = file_system(self.path)
-        for info in files:
-            if info.size < int(self.options.get("min_bytes", PROBE)):
-                continue
-            with fs.open_input_file(info.path) as f:
-                found = probe(f.read(PROBE))
-            if found is None:
-                continue
-            size, offset = found
-            size = int(self.options.get("packet_size", size))
-            stride = max(1, step // size) * size
-            out += [Range(self.path, info.path, b, min(b + stride, info.size), size) for b in range(offset, info.size, stride)]
-        return out
+        step = max(1, int(float(self.options.get("range_mb", 64)) * 1_000_000))
+        size, least = int(self.options.get("packet_size", 0)), int(self.options.get("min_bytes", PROBE))
+        return [Range(self.path, info.path, b, min(b + step, info.size), size) for info in files if info.size >= least for b in range(0, info.size, step)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         yield from read_range(partition)
 
 
 class TsStreamReader(DataSourceStreamReader):
-    """New files of a folder, whatever their names; the offset is the list of the files that are there.
+    """New files of a folder, whatever their names. A file that is gone before its batch is planned is an error.
 
-    The driver only lists and probes files; ranges are read by tasks, as in a batch. A file that is gone before its batch is planned is an error.
+    Without bounds the offset is the list of the files that are there. With max_files or max_mb it is the number of a sealed list in the log: a list is sealed
+    when the one before has been asked for, and has the files that no list has yet, in order, as far as they fit, one at least.
     """
 
     def __init__(self, options: dict):
         self.options = options
+        self.most_files, self.most_bytes = int(options.get("max_files", 0)), int(float(options.get("max_mb", 0)) * 1_000_000)
+        self.bounded = bool(self.most_files or self.most_bytes)
+        self.given, self.known, self.listed = 0, set(), 0
+        if self.bounded and "log" not in options:
+            raise ValueError("max_files and max_mb need a folder for the lists of batches: option log")
+
+    def _log(self) -> tuple[pa.fs.FileSystem, str]:
+        return file_system(self.options["log"])
+
+    def _sealed(self, n: int) -> list[str]:
+        fs, folder = self._log()
+        with fs.open_input_file(f"{folder}/{n}.json") as f:
+            return json.loads(f.read())
+
+    def _last(self) -> int:
+        fs, folder = self._log()
+        fs.create_dir(folder, recursive=True)
+        names = [info.base_name for info in fs.get_file_info(pa.fs.FileSelector(folder)) if info.base_name.endswith(".json")]
+        return max((int(x[:-5]) for x in names), default=0)
+
+    def _seal(self, n: int) -> bool:
+        for k in range(self.listed + 1, n):
+            self.known.update(self._sealed(k))
+        self.listed = n - 1
+        own, size = [], 0
+        for info in list_files(self.options["path"], _recursive(self.options)):
+            if info.path in self.known:
+                continue
+            if own and (len(own) == self.most_files or (self.most_bytes and size + info.size > self.most_bytes)):
+                break
+            own.append(info.path)
+            size += info.size
+        if own:
+            fs, folder = self._log()
+            with fs.open_output_stream(f"{folder}/.{n}") as f:
+                f.write(json.dumps(own).encode())
+            fs.move(f"{folder}/.{n}", f"{folder}/{n}.json")
+        return bool(own)
 
     def initialOffset(self) -> dict:
-        return {"files": []}
+        return {"list": 0} if self.bounded else {"files": []}
 
     def latestOffset(self) -> dict:
-        return {"files": [info.path for info in list_files(self.options["path"], _recursive(self.options))]}
+        if not self.bounded:
+            return {"files": [info.path for info in list_files(self.options["path"], _recursive(self.options))]}
+        n = self._last()
+        if n <= self.given and self._seal(n + 1):
+            n += 1
+        self.given = n
+        return {"list": n}
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
-        seen = set(start["files"])
         fs, _ = file_system(self.options["path"])
-        files = fs.get_file_info([path for path in end["files"] if path not in seen])
+        if self.bounded:
+            paths = [path for n in range(start["list"] + 1, end["list"] + 1) for path in self._sealed(n)]
+        else:
+            seen = set(start["files"])
+            paths = [path for path in end["files"] if path not in seen]
+        files = fs.get_file_info(paths)
         if gone := [info.path for info in files if not info.is_file]:
             raise FileNotFoundError(f"files of a planned batch are gone: {gone}")
         return TsReader(self.options).ranges(files)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from muxlake.functions import names
 from muxlake.functions.bits import be, join
+from muxlake.functions import values
 from muxlake.operators import descriptors as desc
 from muxlake.operators import export, packets, sections, tables
 from muxlake.plans import mux
@@ -32,6 +33,50 @@ def test_segmentation(spark):
     assert rows[2].cancelled and rows[2].type_id is None
 
 
+def test_upids(spark):
+    head = b"CUEI" + (7).to_bytes(4, "big") + bytes([0x7F, 0xBF])
+    made = lambda kind, upid, kind_of=0x10: (2, head + bytes([kind, len(upid)]) + upid + bytes([kind_of, 0, 0]))
+    eidr = (5240).to_bytes(2, "big") + bytes.fromhex("7791" "8B32" "4DE9" "1ED0" "5A37")
+    nested = bytes([0x09, 3]) + b"abc" + bytes([0x08, 8]) + (2**64 - 1).to_bytes(8, "big") + bytes([0x0C, 6]) + b"ABCD\x01\x02" + bytes([0x0A, 12]) + eidr
+    cut = nested[:5] + bytes([0x0E, 9]) + b"zz"
+    rows = loop_rows(spark, "splice", made(0x0D, nested), made(0x0D, cut), made(0x06, bytes(range(12))), made(0x0F, "u:\u044f".encode()), made(0x10, bytes(range(16))), made(0x00, b""), made(0x0A, b"10.5237/ABCD-EF01"), made(0x0A, b"short"))
+    found = [tuple(r)[-6:] for r in desc.segmentation_upids(rows).orderBy("position", "item").collect()]
+    assert found == [
+        (9, "ADI", "text", "abc", None, None), (8, "TI", "text", "18446744073709551615", None, None), (12, "MPU", "base-64", "AQI=", 0x41424344, None),
+        (10, "EIDR", "text", "10.5240/7791-8B32-4DE9-1ED0-5A37-" + found[3][3][-1], None, "content"),
+        (9, "ADI", "text", "abc", None, None), (6, "versioned ISAN", "base-64", "AAECAwQFBgcICQoL", None, None), (15, "URI", "text", "u:\u044f", None, None),
+        (16, "UUID", "text", "00010203-0405-0607-0809-0a0b0c0d0e0f", None, None), (0, "not used", "text", "", None, None), (10, "EIDR", "text", "10.5237/ABCD-EF01", None, "party"), (10, "EIDR", "text", None, None, None),
+    ]
+    p = 36
+    for c in "77918B324DE91ED05A37":
+        s = (p + int(c, 36)) % 36 or 36
+        p = s * 2 % 37
+    assert found[3][3][-1] == "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"[(37 - p) % 36]
+
+
+def test_names_in_utf8(spark):
+    cyrillic, latin = "\u041e\u0440\u0451\u043b", "\u00c9t\u00e9"
+    texts = [cyrillic.encode(), b"\x15" + cyrillic.encode(), b"\x01" + cyrillic.encode("iso8859_5"), latin.encode("latin-1"), latin.encode(), b"\xd0", b"", b"Ore\x8al"]
+    rows = desc.split(spark.createDataFrame([(bytearray(bytes([0x89, 0x15, len(t)]) + t),) for t in texts], "loop binary").coalesce(1), "loop")
+    names = [r.region_name for r in desc.typed(rows, "dvb", 0x89).collect()]
+    assert names == [cyrillic, cyrillic, cyrillic, latin, latin.encode().decode("latin-1").translate({k: None for k in range(0x80, 0xA0)}), "\u00d0", "", "Ore\nl"]
+    zones = desc.split(spark.createDataFrame([(bytearray(bytes([0x90, len(texts[0])]) + texts[0]),)], "loop binary"), "loop")
+    assert desc.typed(zones, "dvb", 0x90).first().zone_name == cyrillic
+
+
+def test_texts_of_every_alphabet(spark):
+    sample = "".join(map(chr, range(0xA0, 0x100)))
+    texts, want = [], []
+    for lead, n in [*values.PARTS.items(), *((0x10, n) for n in range(0, 17))]:
+        codec = f"iso8859_{n}" if 1 <= n <= 15 and n != 12 else "latin-1"
+        texts.append((bytes([lead, 0, n]) if lead == 0x10 else bytes([lead])) + b"a" + bytes(range(0xA0, 0x100)))
+        want.append("a" + bytes(range(0xA0, 0x100)).decode(codec, "replace"))
+    more = [(b"\x11" + "\u042f\U0001F600x".encode("utf-16-be"), "\u042f\U0001F600x"), (b"\x11\xd8\x00\x00a\x00", "a"), (b"\x12" + "\ud55c".encode("euc_kr"), "\ud55c"), (b"\x13" + "\u4e2d".encode("gb2312"), "\u4e2d"), (b"\x14" + "\u4e2d".encode("big5"), "\u4e2d"), (b"\x15\xff", "\ufffd"), (b"\x1fab", "ab"), (b"a\x86b\x87\x00", "ab")]
+    made = spark.createDataFrame([(k, bytearray(t)) for k, t in enumerate([*texts, *(t for t, _ in more)])], "k int, d binary")
+    got = [r.t for r in made.select("k", values.dvb_text("d").alias("t")).orderBy("k").collect()]
+    assert got == [*want, *(w for _, w in more)] and sample
+
+
 def test_cells_and_names(spark):
     cell = bytes([0, 7, 0xFF, 0xFE, 0, 3, 0x12, 0x34, 0x56, 0])
     row = desc.cells(loop_rows(spark, "dvb", (0x6C, cell + cell))).orderBy("item").collect()

