@@ -9,14 +9,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from muxlake.functions.values import PCR_BITS, PCR_RATE, PTS_BITS, PTS_RATE
 from muxlake.operators.packets import NULL_PID
-from muxlake.operators.ranges import range_of, with_number, with_previous
+from muxlake.operators.ranges import in_ranges, range_of, with_number, with_previous
 
 
 def _wrong(last: Column, cc: Column, has_payload: Column) -> Column:
@@ -84,14 +86,6 @@ class RateOptions:
         return F.col(self.clock)
 
 
-def reference_pids(packets: DataFrame, options: RateOptions) -> DataFrame:
-    """(source, reference): the PID that drives the clock of each source."""
-    if options.reference_pid is not None:
-        return packets.select("source").distinct().withColumn("reference", F.lit(options.reference_pid))
-    timed = packets.where("NOT tei").where(options.tick.isNotNull())
-    return timed.groupBy("source").agg(F.min_by("pid", "byte_offset").alias("reference"))
-
-
 _SLOTS = "source string, slot bigint, tick bigint, reset boolean, sums array<struct<pid:int,n:bigint,useful:bigint,reset:boolean>>"
 _WINDOWS = "source string, pid int, byte_offset bigint, n_bytes bigint, n_useful bigint, ticks bigint"
 
@@ -99,46 +93,56 @@ _WINDOWS = "source string, pid int, byte_offset bigint, n_bytes bigint, n_useful
 def slots(packets: DataFrame, options: RateOptions, per_pid: bool, range_bytes: int | None = None) -> DataFrame:
     """A row for each tick of a source's clock: slot (its byte offset), tick, reset, and the bytes since the tick before of each PID that had some.
 
-    A packet belongs to the first tick at or behind it. A discontinuity on another PID than the clock's voids that PID's bytes so far in the slot.
+    A packet belongs to the first tick at or behind it. A discontinuity on another PID than the clock's voids that PID's bytes so far in the slot. What lies
+    behind the last tick of a range comes as a row without a tick. The packets are read once: each range becomes one array, and the clock's PID is found in the same arrays.
     """
     counted = packets.where("NOT tei") if options.include_null else packets.where((~F.col("tei")) & (F.col("pid") != NULL_PID))
-    own = counted.select("source", "pid", "byte_offset", options.tick.alias("tick"), F.coalesce("discontinuity", F.lit(False)).alias("jump"), range_of("byte_offset", range_bytes).alias("range"))
-    rows = own.join(reference_pids(packets, options), "source").withColumn("clock", F.col("pid") == F.col("reference"))
-    rows = rows.withColumn("tells", F.when(F.col("clock") & (F.col("tick").isNotNull() | F.col("jump")), F.struct(F.col("byte_offset").alias("slot"), "tick", F.col("jump").alias("reset"))))
-    within = Window.partitionBy("source", "range")
-    placed = rows.withColumn("to", F.first("tells", ignorenulls=True).over(within.orderBy("byte_offset").rowsBetween(0, Window.unboundedFollowing)))
-    voids = F.col("jump") & ~F.col("clock")
-    if per_pid:
-        epoch = F.sum(voids.cast("long")).over(Window.partitionBy("source", "range", "pid").orderBy("byte_offset"))
+    own = counted.select("source", "pid", "byte_offset", options.tick.cast("bigint").alias("tick"), F.coalesce("discontinuity", F.lit(False)).alias("jump"))
+    ranges = in_ranges(own, ["source"], size=range_bytes)
+    if options.reference_pid is not None:
+        known = ranges.withColumn("reference", F.lit(options.reference_pid))
     else:
-        placed, epoch = placed.withColumn("jump", F.lit(False)), F.lit(0)
-    key = F.col("pid") if per_pid else F.lit(None).cast("int")
-    size = F.lit(options.packet_size).cast("long")
-    n = lambda c: F.sum(F.when(c, 1).otherwise(0)) * size
-    solid = ~(F.col("jump") & ~F.col("clock"))
-    parts = placed.select("source", "range", "to", key.alias("key"), epoch.alias("epoch"), "clock", "jump", "pid").groupBy("source", "range", "to", "key", "epoch").agg(
-        n(solid).alias("n"), n(solid & (F.col("pid") != NULL_PID)).alias("useful"), F.max(~solid).alias("void")
-    )
-    # Of a slot only what follows a PID's last discontinuity counts.
-    last = parts.groupBy("source", "range", "to", "key").agg(
-        F.max_by(F.struct("n", "useful"), "epoch").alias("v"), F.max("void").alias("void")
-    )
-    # Packets behind the last tick of their range belong to the first tick of a later one.
-    ticks = last.where("to IS NOT NULL").groupBy("source", "range").agg(F.min("to").alias("first"))
-    later = F.first("first", ignorenulls=True).over(Window.partitionBy("source").orderBy("range").rowsBetween(1, Window.unboundedFollowing))
-    every = last.select("source", "range").distinct().join(ticks, ["source", "range"], "left").select("source", "range", later.alias("later"))
-    moved = last.join(every, ["source", "range"]).select("source", "range", F.coalesce("to", "later").alias("to"), "key", "v", "void").where("to IS NOT NULL")
-    # Ranges of a slot in order: a discontinuity in one voids those before it.
-    each = moved.groupBy("source", "to", "key").agg(F.sort_array(F.collect_list(F.struct("range", "void", "v"))).alias("parts"))
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("useful"), F.lit(False).alias("reset"))
-
-    def add(s: Column, x: Column) -> Column:
-        base = lambda c: F.when(x["void"], 0).otherwise(s[c])
-        return F.struct((base("n") + x["v"]["n"]).alias("n"), (base("useful") + x["v"]["useful"]).alias("useful"), (s["reset"] | x["void"]).alias("reset"))
-
-    sums = each.select("source", "to", "key", F.aggregate("parts", zero, add).alias("s"))
-    row = F.struct(F.col("key").alias("pid"), F.col("s.n").alias("n"), F.col("s.useful").alias("useful"), F.col("s.reset").alias("reset"))
-    return sums.groupBy("source", "to").agg(F.collect_list(row).alias("sums")).select("source", "to.slot", "to.tick", "to.reset", "sums")
+        first = F.get(F.filter("_rows", lambda r: r["tick"].isNotNull()), F.lit(0))
+        clocks = ranges.select("source", first.alias("f")).where("f IS NOT NULL").groupBy("source").agg(F.min_by("f.pid", "f.byte_offset").alias("reference"))
+        known = ranges.join(clocks, "source")
+    return known.select("source", "reference", "_rows").mapInArrow(_slots_of(options.packet_size, per_pid), _SLOTS)
+
+
+def _slots_of(size: int, per_pid: bool):
+    """The slots of ranges: packets of one slot and PID are summed behind the PID's last discontinuity."""
+
+    def of_range(reference: int, rows: pa.StructArray) -> tuple[np.ndarray, ...]:
+        get = lambda c, missing: pc.fill_null(rows.field(c), missing).to_numpy(zero_copy_only=False)
+        pid, offset, tick, jump = get("pid", -1).astype(np.int64), get("byte_offset", 0), get("tick", -1), get("jump", False).astype(bool)
+        clock = pid == reference
+        events = np.flatnonzero(clock & ((tick >= 0) | jump))
+        slot = np.searchsorted(events, np.arange(len(pid)))
+        void = jump & ~clock if per_pid else np.zeros(len(pid), bool)
+        key = pid if per_pid else np.zeros(len(pid), np.int64)
+        order = np.lexsort((key, slot))
+        group = np.flatnonzero(np.diff(slot[order], prepend=-1) | np.diff(key[order], prepend=-1))
+        place = np.arange(len(pid))
+        last = np.maximum.reduceat(np.where(void[order], place, -1), group)
+        counts = place > np.repeat(last, np.diff(group, append=len(pid)))
+        n = np.add.reduceat(counts, group) * size
+        useful = np.add.reduceat(counts & (pid[order] != NULL_PID), group) * size
+        heads = np.unique(slot[order][group], return_index=True)
+        at = np.minimum(heads[0], max(len(events) - 1, 0))
+        told = heads[0] < len(events)
+        e = events[at] if len(events) else at
+        return offset[np.where(told, e, len(offset) - 1)], np.where(told, tick[e], -1), told & jump[e], heads[1], key[order][group], n, useful, last >= 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                at, tick, reset, heads, pid, n, useful, void = of_range(batch.column("reference")[k].as_py(), batch.column("_rows")[k].values)
+                no_pid = None if per_pid else np.ones(len(pid), bool)
+                sums = pa.StructArray.from_arrays([pa.array(pid, pa.int32(), mask=no_pid), pa.array(n, pa.int64()), pa.array(useful, pa.int64()), pa.array(void)], ["pid", "n", "useful", "reset"])
+                source = pa.array([batch.column("source")[k].as_py()] * len(at), pa.string())
+                lists = pa.ListArray.from_arrays(pa.array([*heads, len(pid)], pa.int32()), sums)
+                yield pa.RecordBatch.from_arrays([source, pa.array(at, pa.int64()), pa.array(tick, pa.int64(), mask=tick < 0), pa.array(reset), lists], ["source", "slot", "tick", "reset", "sums"])
+
+    return run
 
 
 def bitrate(packets: DataFrame, options: RateOptions | None = None, per_pid: bool = False, range_bytes: int | None = None) -> DataFrame:

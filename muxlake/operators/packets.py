@@ -53,16 +53,21 @@ def numbered(packets: DataFrame) -> DataFrame:
     return with_number(packets, ["source"], name="packet_number")
 
 
-def from_datagrams(datagrams: DataFrame, column: str = "datagram") -> DataFrame:
+def from_datagrams(datagrams: DataFrame, column: str = "datagram", range_size: int = 100_000) -> DataFrame:
     """(source, byte_offset, raw) of datagrams(source, arrival, column): the packets of those whose length is a multiple of 188 or of 204 bytes.
 
-    Offsets count the bytes of accepted datagrams of a source in the order of arrival, a number.
+    Offsets count the bytes of accepted datagrams of a source in the order of arrival, a number. Datagrams are put in order in ranges of so many arrivals; bytes
+    of the ranges before are added up apart, so no task holds a source.
     """
-    size = datagram_packet_size(F.length(column))
-    whole = datagrams.where(size.isNotNull()).select("source", "arrival", column, size.alias("size"))
-    before = F.sum(F.length(column)).over(Window.partitionBy("source").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1))
-    placed = whole.withColumn("at", F.coalesce(before, F.lit(0)))
-    rows = placed.select("source", "at", "size", column, F.explode(F.sequence(F.lit(0), (F.length(column) / F.col("size")).cast("int") - 1)).alias("k"))
+    size, n_bytes = datagram_packet_size(F.length(column)), F.length(column).cast("long")
+    own = F.floor(F.col("arrival") / range_size).cast("long")
+    whole = datagrams.where(size.isNotNull()).select("source", "arrival", own.alias("range"), column, size.alias("size"))
+    totals = whole.groupBy("source", "range").agg(F.sum(n_bytes).alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    carried = totals.select(F.col("source").alias("of"), F.col("range").alias("place"), F.coalesce(earlier, F.lit(0)).alias("carried"))
+    within = F.sum(n_bytes).over(Window.partitionBy("source", "range").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1))
+    placed = whole.withColumn("at", F.coalesce(within, F.lit(0))).join(carried, F.col("source").eqNullSafe(F.col("of")) & F.col("range").eqNullSafe(F.col("place")))
+    rows = placed.select("source", (F.col("at") + F.col("carried")).alias("at"), "size", column, F.explode(F.sequence(F.lit(0), (F.length(column) / F.col("size")).cast("int") - 1)).alias("k"))
     start = F.col("k") * F.col("size")
     return rows.select("source", (F.col("at") + start).cast("long").alias("byte_offset"), part(F.col(column), start, 188).alias("raw"))
 

@@ -156,3 +156,48 @@ def test_large_clock_field(spark):
     field = join(be(0x10, 1), mux.pcr_field(F.lit((1 << 33) * 300 - 1)))
     row = packets.decode(spark.range(1).select(F.lit("x").alias("source"), F.lit(0).cast("long").alias("byte_offset"), mux.packet(99, 0, be(7, 4), 0, field).alias("raw"))).first()
     assert row.pcr == (1 << 33) * 300 - 1
+
+
+@pytest.mark.parametrize("what", ["continuity", "clock_steps", "assumed_bitrate", "bitrate", "bitrate_per_pid", "sync_losses"])
+def test_packets_are_scanned_once(spark, tmp_path_factory, what):
+    from muxlake.plans import queries
+
+    folder = str(tmp_path_factory.mktemp("scanned") / "p")
+    queries.event_packets(spark, "/root/testdata/sf0.001").write.parquet(folder)
+    p = packets.decode(spark.read.parquet(folder))
+    df = {
+        "continuity": lambda: analyzer.continuity(p), "clock_steps": lambda: analyzer.clock_steps(p), "assumed_bitrate": lambda: analyzer.assumed_bitrate(p, 1e6), "bitrate": lambda: analyzer.bitrate(p),
+        "bitrate_per_pid": lambda: analyzer.bitrate(p, per_pid=True), "sync_losses": lambda: packets.sync_losses(p),
+    }[what]()
+    assert len(df.collect()) > 0
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan parquet") == 1, plan
+
+
+@pytest.mark.parametrize("clock", ["pts", "dts"])
+def test_other_clocks(spark, clock):
+    rng = random.Random(6)
+    rows, now = [], (1 << 33) - 400_000
+    for k in range(400):
+        now += rng.randrange(3000)
+        rows.append((k * 188, rng.choice([7, 8]), now % (1 << 33) if rng.random() < 0.5 else None, False))
+    df = spark.createDataFrame(rows, f"byte_offset long, pid int, {clock} long, discontinuity boolean").selectExpr("'s' AS source", "*", "false AS tei")
+    want = plain_rates(df.withColumnRenamed(clock, "pcr").collect(), 18_000, True, 33)
+    got = analyzer.bitrate(df, analyzer.RateOptions(clock=clock, window_sec=0.2), True).collect()
+    assert len(want) > 8 and sorted(((r.pid, r.byte_offset, r.n_bytes, r.ticks) for r in got), key=str) == want
+
+
+@pytest.mark.parametrize("size", [1, 7, 100_000])
+def test_datagrams_in_ranges(spark, size):
+    rng, at, want, rows = random.Random(2), {}, [], []
+    for k in range(60):
+        source, n, unit = rng.choice("ab"), rng.randrange(1, 5), rng.choice([188, 204])
+        data = rng.randbytes(n * unit) if rng.random() < 0.8 else rng.randbytes(100)
+        rows.append((source, k * 3, bytearray(data)))
+        if len(data) > 100:
+            begin = at.get(source, 0)
+            want += [(source, begin + j * unit, data[j * unit : j * unit + 188]) for j in range(n)]
+            at[source] = begin + len(data)
+    df = spark.createDataFrame(rows, "source string, arrival int, datagram binary").repartition(5)
+    got = packets.from_datagrams(df, range_size=size).collect()
+    assert sorted((r.source, r.byte_offset, bytes(r.raw)) for r in got) == sorted(want)
