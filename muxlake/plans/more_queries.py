@@ -1,43 +1,14 @@
-"""More registered queries: hand-made descriptors, rates of PIDs, names, datagrams, numbers and series."""
+"""More registered queries: rates of PIDs, names, datagrams, numbers and series."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from muxlake.functions import names
 from muxlake.functions.bits import be, join
 from muxlake.operators import analyzer, compare, packets
-from muxlake.operators import descriptors as desc
 from muxlake.plans import mux
 from muxlake.plans.queries import _EVENT_ROWS, ORACLE_SQL, _read, event_packets, query
-from muxlake.plans.vectors import VECTORS
-
-
-# Descriptors.
-def _vectors(spark) -> DataFrame:
-    made = [(k, family, bytearray.fromhex(text)) for k, (family, _, text, _) in enumerate(VECTORS)]
-    frame = spark.createDataFrame(made, "vector int, kind string, loop binary").coalesce(1)
-    of = lambda kinds, family: desc.split(frame.where(F.col("kind").isin(*kinds)).drop("kind"), "loop", family)
-    return of(("dvb", "ext"), "dvb").union(of(("ait",), "ait")).union(of(("splice",), "splice"))
-
-
-_VECTOR_SQL = ", ".join(f"({k}, '{v[0]} {v[1]}', '{fields}')" for k, v in enumerate(VECTORS) for fields in v[3].splitlines())
-
-
-@query(f"SELECT r_regionkey, v AS vector, key, fields FROM region, (VALUES {_VECTOR_SQL}) t(v, key, fields)")
-def descriptor_vectors(spark, sf_dir):
-    """Descriptors worked out by hand, for each region once: their fields as JSON."""
-    rows = _vectors(spark)
-    out = []
-    for family, tag in dict.fromkeys(v[:2] for v in VECTORS):
-        view = desc.typed(rows, family, tag)
-        fields = F.to_json(F.struct(*(c for c in view.columns if c not in rows.columns)))
-        out.append(view.select("vector", F.lit(f"{family} {tag}").alias("key"), fields.alias("fields")))
-    every = reduce(DataFrame.union, out)
-    return every.crossJoin(F.broadcast(_read(spark, sf_dir, "region").select("r_regionkey"))).select("r_regionkey", "vector", "key", "fields")
 
 
 ORACLE_SQL["bitrate_per_pid"] = _EVENT_ROWS.replace("WITH numbered", "WITH RECURSIVE numbered") + """

@@ -393,6 +393,7 @@ def datagram_sizes(spark, sf_dir):
 
 def register_catalogue() -> None:
     """The catalogue needs several tables at once, so it has its own small multiplex: programmes, their tables and some of their streams."""
+    held: list[DataFrame] = []
 
     def made(spark, sf_dir):
         n = _read(spark, sf_dir, "nation")
@@ -408,6 +409,9 @@ def register_catalogue() -> None:
         media = n.where("n_nationkey % 3 <> 0").select(F.lit("net").alias("source"), (F.lit(10_000_000) + key * 188).cast("long").alias("byte_offset"), mux.packet((key * 2 + 2001).cast("int"), F.lit(0), be(1, 4)).alias("raw"))
         every = packets.decode(tables_packets.union(media)).cache()
         found = sections.reassemble(every).cache()
+        for old in held:  # a call's caches go with the next call
+            old.unpersist()
+        held[:] = every, found
         return every, tables.pat(found), tables.pmt(found)
 
     @query("""

@@ -10,7 +10,7 @@ from muxlake.functions import sql, values
 from muxlake.functions.checks import crc8_dvb, crc32_mpeg2
 from muxlake.operators import compare, packets
 from muxlake.operators import descriptors as desc
-from muxlake.plans.vectors import VECTORS
+from vectors import VECTORS
 
 
 @pytest.fixture(scope="module")
