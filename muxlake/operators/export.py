@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from muxlake.functions.names import SPLICE_COMMANDS, name_of
+from muxlake.operators import descriptors as desc
 
 # Namespace, element and attribute names of the schema of SCTE 35.
 NAMESPACE = "http://www.scte.org/schemas/35"
@@ -55,6 +58,47 @@ def segmentation_xml(found: DataFrame) -> DataFrame:
     return found.withColumn("xml", F.to_xml(element, {"rowTag": "SegmentationDescriptor"}))
 
 
+_PLACE = ["source", "pid", "first_offset", "place"]
+
+
+def descriptor_xml(descriptors: DataFrame) -> DataFrame:
+    """Rows of descriptors.split of family splice with a column xml: an element of each kind, private ones for tags that the schema does not name."""
+    present = lambda c, name: F.col(c).alias(f"_{name}")
+    kinds = {
+        0x00: ("AvailDescriptor", [present("provider_avail_id", "providerAvailId")]),
+        0x01: ("DTMFDescriptor", [present("preroll", "preroll"), present("dtmf_chars", "chars")]),
+        0x03: ("TimeDescriptor", [present("tai_seconds", "taiSeconds"), present("tai_ns", "taiNs"), present("utc_offset", "utcOffset")]),
+        0x04: ("AudioDescriptor", [F.transform("channels", lambda c: F.struct(
+            c["component_tag"].alias("_componentTag"), c["language"].alias("_ISOCode"), c["bit_stream_mode"].alias("_BitStreamMode"), c["n_channels"].alias("_NumChannels"), c["full_service"].alias("_FullSrvcAudio"),
+        )).alias("AudioChannel")]),
+    }
+    own = descriptors.columns
+    out = [segmentation_xml(desc.typed(descriptors, "splice", 0x02)).select(*own, F.replace("xml", F.lit(f' xmlns="{NAMESPACE}"'), F.lit("")).alias("xml"))]
+    for tag, (element, fields) in kinds.items():
+        out.append(desc.typed(descriptors, "splice", tag).select(*own, F.to_xml(F.struct(*fields), {"rowTag": element}).alias("xml")))
+    other = desc.splice_other(descriptors.where(~F.col("tag").isin(0x02, *kinds)))
+    private = F.struct(F.col("tag").alias("_privateTag"), F.col("identifier").alias("_identifier"), F.hex("private_bytes").alias("PrivateBytes"))
+    out.append(other.select(*own, F.to_xml(private, {"rowTag": "PrivateDescriptor"}).alias("xml")))
+    return reduce(DataFrame.union, out)
+
+
+def full_end_tags(xml: Column) -> Column:
+    """XML whose empty elements have end tags of their own."""
+    return F.regexp_replace(xml, r"<([\w:.-]+)((?:\s+[\w:.-]+=\"[^\"]*\")*)\s*/>", "<$1$2></$1>")
+
+
+def cue_documents(cues: DataFrame) -> DataFrame:
+    """cues of tables.splice with a column xml: one document each, the descriptors behind the command in their order, every element with an end tag."""
+    found = descriptor_xml(desc.split(cues.select(*_PLACE, "descriptors"), "descriptors", "splice"))
+    listed = found.groupBy(*_PLACE).agg(F.sort_array(F.collect_list(F.struct("position", "xml"))).getField("xml").alias("_inner"))
+    whole = splice_xml(cues).join(listed, _PLACE, "left")
+    end = "</SpliceInfoSection>"
+    full = full_end_tags(F.col("xml"))
+    body = F.substring(full, F.lit(1), F.length(full) - len(end))
+    inner = full_end_tags(F.array_join(F.coalesce("_inner", F.array().cast("array<string>")), "\n"))
+    return whole.select(*cues.columns, F.concat(body, inner, F.lit(end)).alias("xml"))
+
+
 def as_json(df: DataFrame) -> DataFrame:
     """A column of JSON for each row; binary fields in base64."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))

@@ -100,3 +100,31 @@ def test_splice_xml(spark):
     assert row.splice_pts == 12345 and root.tag.endswith("SpliceInfoSection")
     assert root.find(".//{*}SpliceTime").attrib == {"ptsTime": "12345"}
     assert export.as_json(cues).count() == 1
+
+
+def test_cue_documents(spark):
+    loops = [
+        ["00084355454900000007", "021743554549000000057FFF00000DBBA00903414243340102", "031043554549000000000064000000070025"],
+        ["040A435545491F03656E6753", "0506435545490102", "010843554549325F3132"],
+        [],
+    ]
+    rows = []
+    for k, loop in enumerate(loops):
+        data = bytes.fromhex("".join(loop))
+        body = bytes(6) + b"\x00\xff\xf0\x05\x06" + bytes([0xFE]) + (12345 + k).to_bytes(4, "big") + len(data).to_bytes(2, "big") + data
+        rows.append(("x", k, bytearray(b"\xfc" + (0x3000 + len(body) + 4).to_bytes(2, "big") + body + bytes(4))))
+    made = spark.createDataFrame(rows, "source string, seq long, section binary").select("source", F.lit(300).alias("pid"), F.col("seq").alias("first_offset"), F.lit(0).alias("place"), "section", F.lit(0xFC).alias("table_id"), F.lit(0).cast("long").alias("crc32"), F.lit(True).alias("crc_ok"))
+    documents = export.cue_documents(tables.splice(made)).orderBy("first_offset").collect()
+    names = []
+    for k, r in enumerate(documents):
+        assert "/>" not in r.xml and r.splice_pts == 12345 + k
+        root = ElementTree.fromstring(r.xml)
+        assert root.tag.endswith("SpliceInfoSection") and root[0].tag.endswith("TimeSignal")
+        names.append([e.tag.partition("}")[2] for e in root[1:]])
+        if k == 0:
+            time = root.find(".//{*}TimeDescriptor")
+            assert time.attrib == {"taiSeconds": "100", "taiNs": "7", "utcOffset": "37"}
+            assert root.find(".//{*}SegmentationDescriptor").attrib["segmentationDuration"] == "900000"
+        if k == 1:
+            assert root.find(".//{*}AudioChannel").attrib["ISOCode"] == "eng" and root.find(".//{*}PrivateDescriptor").attrib == {"privateTag": "5", "identifier": "1129661769"}
+    assert names == [["AvailDescriptor", "SegmentationDescriptor", "TimeDescriptor"], ["AudioDescriptor", "PrivateDescriptor", "DTMFDescriptor"], []]
