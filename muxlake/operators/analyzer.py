@@ -235,22 +235,36 @@ def clock_steps(packets: DataFrame, clock: str = "pcr", range_bytes: int | None
 
 
 def merged_points(samples: DataFrame, time: str = "ts", value: str = "bps", gap_ms: int = 150) -> DataFrame:
-    """Points of several series added up: a group takes what comes within so many milliseconds of its first point. One task a source, points are few."""
-
-    def fold(table: pa.Table) -> pa.Table:
-        table = table.sort_by("at")
-        out: list[list] = []
-        for at, v in zip(table.column("at").to_pylist(), table.column("v").to_pylist()):
-            if not out or at - out[-1][0] > gap_ms * 1000:
-                out.append([at, 0.0, 0])
-            out[-1][1] += v
-            out[-1][2] += 1
-        first = table.column("source")[0].as_py()
-        columns = [pa.array([first] * len(out), pa.string()), *(pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.float64(), pa.int64())))]
-        return pa.Table.from_arrays(columns, ["source", "at", "v", "n"])
-
-    rows = samples.where(F.col(value).isNotNull()).select("source", F.unix_micros(F.col(time).cast("timestamp")).alias("at"), F.col(value).cast("double").alias("v"))
-    found = rows.groupBy("source").applyInArrow(fold, "source string, at bigint, v double, n bigint")
+    """Points of several series added up: a group takes what comes within so many milliseconds of its first point.
+
+    A source's points come to one task in order, which holds a batch and the open group.
+    """
+    names = ["source", "at", "v", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, open_, begun = None, None, False
+
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.string(), pa.int64(), pa.float64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+
+        for batch in batches:
+            out = []
+            for own, at, v in zip(*(batch.column(c).to_pylist() for c in ("source", "at", "v"))):
+                if not begun or own != source or at - open_[1] > gap_ms * 1000:
+                    if begun:
+                        out.append(tuple(open_))
+                    source, open_, begun = own, [own, at, 0.0, 0], True
+                open_[2] += v
+                open_[3] += 1
+            if out:
+                yield made(out)
+        if begun:
+            yield made([tuple(open_)])
+
+    rows = samples.where(F.col(value).isNotNull() & F.col(time).isNotNull()).select("source", F.unix_micros(F.col(time).cast("timestamp")).alias("at"), F.col(value).cast("double").alias("v"))
+    width = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = rows.repartition(width, "source").sortWithinPartitions("source", "at").mapInArrow(run, "source string, at bigint, v double, n bigint")
     return found.select("source", F.timestamp_micros("at").alias("first_seen"), F.col("v").alias(value), F.col("n").alias("n_points"))
 
 
