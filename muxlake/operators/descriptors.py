@@ -7,13 +7,15 @@ Most tags are lists of bit fields, or loops of such lists with a fixed item size
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from muxlake.functions import names
 from muxlake.functions.bits import bits, once, part, uint, walk
-from muxlake.functions.values import bcd_minutes, dvb_text, dvb_text_or_utf8, mjd_seconds
 from muxlake.functions.names import UPID_TYPES, name_of
+from muxlake.functions.values import bcd_minutes, dvb_text, dvb_text_or_utf8, mjd_seconds
 from muxlake.operators.nested import VIEWS, splice_other
 
 
@@ -347,6 +349,44 @@ def cell_frequencies(descriptors: DataFrame) -> DataFrame:
     return typed(descriptors, "dvb", 0x6D)
 
 
+#: Columns of delivery_systems: what all systems have, then what only some have.
+_DELIVERY = (
+    ("system", "string"), ("frequency_mhz", "double"), ("symbol_rate_msym", "double"), ("modulation", "string"), ("fec", "string"), ("fec_outer", "string"), ("polarization", "string"),
+    ("orbital_degrees", "double"), ("east", "boolean"), ("roll_off", "string"), ("second_generation", "boolean"), ("bandwidth", "string"), ("hierarchy", "string"), ("fec_low", "string"),
+    ("guard_interval", "string"), ("transmission_mode", "string"),
+)
+
+
+def delivery_systems(descriptors: DataFrame) -> DataFrame:
+    """0x43, 0x44, 0x5A and T2: a row each, with units and texts; null where a system has no such thing."""
+    named = lambda c, table: name_of(F.col(c), table, "reserved")
+    mega = lambda c, divisor: F.col(c) / F.lit(float(divisor))
+    systems = [
+        (("dvb", 0x43), {
+            "system": F.lit("satellite"), "frequency_mhz": mega("frequency", 100), "symbol_rate_msym": mega("symbol_rate", 10_000), "modulation": named("modulation_type", names.SATELLITE_MODULATIONS),
+            "fec": named("fec_inner", names.INNER_FECS), "polarization": named("polarization", names.POLARIZATIONS), "orbital_degrees": mega("orbital_position", 10), "east": F.col("west_east"),
+            "roll_off": F.when(F.col("modulation_system"), named("roll_off", names.ROLL_OFFS)), "second_generation": F.col("modulation_system"),
+        }),
+        (("dvb", 0x44), {
+            "system": F.lit("cable"), "frequency_mhz": mega("frequency", 10_000), "symbol_rate_msym": mega("symbol_rate", 10_000), "modulation": named("modulation", names.CABLE_MODULATIONS),
+            "fec": named("fec_inner", names.INNER_FECS), "fec_outer": named("fec_outer", names.OUTER_FECS),
+        }),
+        (("dvb", 0x5A), {
+            "system": F.lit("terrestrial"), "frequency_mhz": mega("centre_frequency", 1_000_000), "modulation": named("constellation", names.CONSTELLATIONS), "fec": named("code_rate_hp", names.CODE_RATES),
+            "bandwidth": named("bandwidth", names.BANDWIDTHS), "hierarchy": named("hierarchy", names.HIERARCHIES), "fec_low": named("code_rate_lp", names.CODE_RATES),
+            "guard_interval": named("guard_interval", names.GUARD_INTERVALS), "transmission_mode": named("transmission_mode", names.TRANSMISSION_MODES),
+        }),
+        (("ext", 0x04), {
+            "system": F.lit("terrestrial, second generation"), "bandwidth": F.when(F.col("bandwidth").isNotNull(), named("bandwidth", names.T2_BANDWIDTHS)),
+            "guard_interval": F.when(F.col("guard_interval").isNotNull(), named("guard_interval", names.T2_GUARDS)),
+            "transmission_mode": F.when(F.col("transmission_mode").isNotNull(), named("transmission_mode", names.T2_MODES)), "second_generation": F.lit(True),
+        }),
+    ]
+    own = descriptors.columns
+    out = [typed(descriptors, *key).select(*own, *(fields.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in _DELIVERY)) for key, fields in systems]
+    return reduce(DataFrame.union, out)
+
+
 def application_names(descriptors: DataFrame) -> DataFrame:
     """AIT 0x01: a row for each language and name."""
     own = descriptors.where("family = 'ait' AND tag = 1")

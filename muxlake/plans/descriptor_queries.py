@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from muxlake.functions import names
 from muxlake.operators import descriptors as desc
 from muxlake.plans.queries import _read, query
 
@@ -212,3 +213,27 @@ def upids(spark, sf_dir):
     parts = _read(spark, sf_dir, "part").select("p_partkey", made(_UPIDS).alias("loop"))
     found = desc.segmentation_upids(desc.split(parts, "loop", "splice"))
     return found.select("p_partkey", "event_id", "item", "upid_type", "type_name", "format", "value", "format_identifier")
+
+
+def _names_sql(code: str, table: dict[int, str]) -> str:
+    return f"CASE {code} " + " ".join(f"WHEN {k} THEN '{text}'" for k, text in table.items()) + " ELSE 'reserved' END"
+
+
+@query(f"""WITH s AS (SELECT s_suppkey AS k, CAST(10000 + s_suppkey % 3000 AS BIGINT) AS mhz, s_suppkey % 256 AS a, s_suppkey % 11 AS f, 10000 + s_suppkey % 50000 AS rate FROM supplier)
+SELECT k, 'satellite' AS system, CAST(mhz AS DOUBLE) AS frequency_mhz, rate / 10000.0::DOUBLE AS symbol_rate_msym, {_names_sql("a % 4", names.SATELLITE_MODULATIONS)} AS modulation, {_names_sql("f", names.INNER_FECS)} AS fec,
+  {_names_sql("a // 32 % 4", names.POLARIZATIONS)} AS polarization, 19.2::DOUBLE AS orbital_degrees, a >= 128 AS east, CASE WHEN a // 4 % 2 = 1 THEN {_names_sql("a // 8 % 4", names.ROLL_OFFS)} END AS roll_off, NULL AS bandwidth FROM s WHERE k % 3 = 0
+UNION ALL SELECT k, 'cable', CAST(mhz AS DOUBLE) / 100, rate / 10000.0::DOUBLE, {_names_sql("a % 8", names.CABLE_MODULATIONS)}, {_names_sql("f", names.INNER_FECS)}, NULL, NULL, NULL, NULL, NULL FROM s WHERE k % 3 = 1
+UNION ALL SELECT k, 'terrestrial', CAST(mhz AS DOUBLE) / 100, NULL, {_names_sql("a // 64", names.CONSTELLATIONS)}, {_names_sql("a % 8", names.CODE_RATES)}, NULL, NULL, NULL, NULL, {_names_sql("a // 32", names.BANDWIDTHS)} FROM s WHERE k % 3 = 2""")
+def delivery_systems(spark, sf_dir):
+    """Satellite, cable and terrestrial systems with units and texts."""
+    key = F.col("s_suppkey")
+    mhz, a, f, rate = (key % 3000 + 10_000), key % 256, key % 11, (key % 50_000 + 10_000).cast("string")
+    digits = lambda x, n: F.lpad(x.cast("string"), n, "0")
+    byte = lambda x: F.lpad(F.hex(x), 2, "0")
+    satellite = F.concat(F.lit("430B"), digits(mhz * 100, 8), F.lit("0192"), byte(a), F.lpad(rate, 7, "0"), F.hex(f))
+    cable = F.concat(F.lit("440B"), digits(mhz * 100, 8), F.lit("FFF2"), byte(a % 8), F.lpad(rate, 7, "0"), F.hex(f))
+    ten_hertz = F.lpad(F.hex(mhz * 1000), 8, "0")
+    terrestrial = F.concat(F.lit("5A0B"), ten_hertz, byte(a), byte(a), F.lit("1AFFFFFFFF"))
+    loop = F.unhex(F.when(key % 3 == 0, satellite).when(key % 3 == 1, cable).otherwise(terrestrial))
+    found = desc.delivery_systems(desc.split(_read(spark, sf_dir, "supplier").select(key.alias("k"), loop.alias("loop")), "loop"))
+    return found.select("k", "system", "frequency_mhz", "symbol_rate_msym", "modulation", "fec", "polarization", "orbital_degrees", "east", "roll_off", "bandwidth")
