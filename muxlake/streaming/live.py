@@ -2,7 +2,7 @@
 
 Arrival order is byte_offset within a source and PID; each micro-batch is put in that order before it meets the state, so a batch's rows of a key have to fit
 a task: bound them where they are read (options max_files and max_mb of the source). What does not depend on the past (decoding, tables, descriptors) needs no
-form of its own: the batch functions take streaming DataFrames. Sections, changes, versions, tables that others announce, rates and inner streams are
+form of its own: the batch functions take streaming DataFrames. Sections, changes, versions, tables that others announce, rates, T2-MI packets and the streams inside them are
 stateful processors, which may follow each other in one query; they need a state store of column families (use_state_store).
 """
 
@@ -18,6 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from muxlake.functions.bits import bits, part
+from muxlake.operators import t2mi
 from muxlake.operators.analyzer import RateOptions
 from muxlake.operators.packets import NULL_PID, decode
 from muxlake.operators.sections import MAX_LENGTH, NO_CRC, SECTIONS, crc_matches
@@ -106,8 +107,13 @@ def _section_rows(source: str, found: list[tuple]) -> dict:
 _ASSEMBLER = "pending binary, first_offset bigint, place int, last_cc int"
 
 
+def _values(row: tuple) -> tuple:
+    """A row of state whose first value is bytes."""
+    return None if row[0] is None else bytes(row[0]), *row[1:]
+
+
 def _restored(row: tuple) -> Assembler:
-    return Assembler(None if row[0] is None else bytes(row[0]), *row[1:])
+    return Assembler(*_values(row))
 
 
 def _kept(a: Assembler) -> tuple:
@@ -373,6 +379,58 @@ def rate_windows(packets: DataFrame, options: RateOptions | None = None, per_pid
     return found.withColumn("pid", F.when(F.col("pid") >= 0, F.col("pid")))
 
 
+class Carrier(Assembler):
+    """The T2-MI packets of one PID, packet by packet."""
+
+    def _whole(self) -> Iterator[tuple]:
+        data, at = self.pending or b"", 0
+        for unit in t2mi.cut_packets(data):
+            yield self.first_offset, self.place, unit
+            self.place += 1
+            at += len(unit)
+        self.pending = data[at:] if t2mi.may_begin(data[at:]) else None
+
+
+class _Carriers(_Processor):
+    state = _ASSEMBLER
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        carrier = Carrier(*_values(self.value.get())) if self.value.exists() else Carrier()
+        rows = _ordered(rows, "byte_offset")
+        values = zip(rows["byte_offset"], rows["cc"], rows["pusi"], map(bytes, rows["payload"]))
+        found = [x for offset, cc, starts, payload in values for x in carrier.push(offset, cc, starts and len(payload) > 0, False, payload)]
+        self.value.update(_kept(carrier))
+        if found:
+            fixed = {"source": [key[0]] * len(found), "pid": [key[1]] * len(found), "first_offset": [x[0] for x in found], "place": [x[1] for x in found]}
+            yield pd.DataFrame(fixed | {"packet": [x[2] for x in found], "crc_ok": [crc_matches(x[2]) for x in found]})
+
+
+def carrier_packets(packets: DataFrame) -> DataFrame:
+    """T2-MI packets of decoded packets (of carriers' PIDs only) across micro-batches, as `t2mi.carrier_packets` gives them; `t2mi.baseband_frames` takes them."""
+    useful = packets.where("NOT tei AND payload IS NOT NULL").select("source", "pid", "byte_offset", F.col("cc").cast("int").alias("cc"), "pusi", "payload")
+    return t2mi.of_packets(useful.groupBy("source", "pid").transformWithStateInPandas(_Carriers(), t2mi.UNITS, "Append", "None"))
+
+
+class _Plps(_Processor):
+    state = "rest binary, size int, mode int, deleted boolean, n bigint"
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        stripper = t2mi.Stripper(*_values(self.value.get())) if self.value.exists() else t2mi.Stripper()
+        rows = _ordered(rows, "first_offset", "place")
+        values = zip(map(bytes, rows["data"]), rows["syncd"].tolist(), rows["upl"].tolist(), rows["mode"].tolist(), rows["null_deleted"].tolist())
+        found = [x for value in values for x in stripper.push(*value)]
+        self.value.update(stripper.state())
+        if found:
+            fixed = {"source": [key[0]] * len(found), "pid": [key[1]] * len(found), "plp_id": [key[2]] * len(found)}
+            yield pd.DataFrame(fixed | dict(zip(("number", "nulls", "raw"), map(list, zip(*found)))))
+
+
+def inner_packets(frames: DataFrame) -> DataFrame:
+    """The packets in each PLP's frames across micro-batches, as `t2mi.inner_packets` gives them; one that is torn over frames comes with the next start."""
+    useful = t2mi.usable(frames).select("source", "pid", "plp_id", "first_offset", "place", "data", "syncd", "upl", "mode", "null_deleted")
+    return t2mi.with_nulls(useful.groupBy("source", "pid", "plp_id").transformWithStateInPandas(_Plps(), t2mi.CUT, "Append", "None"))
+
+
 def windowed_bytes(packets: DataFrame, time: str = "ingested", width: str = "1 second", late: str = "10 seconds", packet_size: int = 188) -> DataFrame:
     """Bytes of each PID in tumbling windows of arrival time, with a watermark for late packets."""
     return packets.withWatermark(time, late).groupBy(F.window(time, width), "source", "pid").agg((F.count("*") * packet_size).alias("n_bytes"))
