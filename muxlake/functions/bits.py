@@ -23,6 +23,8 @@ def part(data: Column, start: Value, size: Value) -> Column:
 def uint(data: Column, start: Value, size: int = 1) -> Column:
     """The big-endian unsigned integer of size bytes (7 at most), as a long."""
     raw = part(data, start, size)
+    if size == 1:  # no byte gives no digit, and that null: the place is in the plan once
+        return F.conv(F.hex(raw), 16, 10).cast("long")
     return F.when(F.length(raw) == size, F.conv(F.hex(raw), 16, 10).cast("long"))
 
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from json import dumps
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from muxlake.functions.bits import part, uint
+from muxlake.functions.bits import once, part, uint
 
 PCR_RATE, PTS_RATE = 27_000_000, 90_000
 PCR_BITS, PTS_BITS = 42, 33
@@ -61,6 +67,14 @@ UTF_16, UTF_8 = "11", "15"
 _HIGH = "".join(map(chr, range(0xA0, 0x100)))
 
 
+def _sql_map(pairs: dict[str, str]) -> str:
+    """A map of texts without quotes or backslashes as SQL, which is made in one call."""
+    return f"map({', '.join(f"'{x}'" for pair in pairs.items() for x in pair)})"
+
+
+_LEADS = _sql_map({f"{c:02X}": f"{n:02X}" for c, n in PARTS.items()})
+#: What the upper bytes stand for in each part.
+_TABLES = _sql_map({f"{n:02X}": bytes(range(0xA0, 0x100)).decode(f"iso8859_{n}", "replace") for n in range(2, 16) if n != 12})
 _CONTROL = dict.fromkeys([0, *range(0x80, 0x8A), *range(0x8B, 0xA0), *range(0xE080, 0xE08A), *range(0xE08B, 0xE0A0)])
 
 
@@ -80,6 +94,40 @@ def _wide_text(data: pd.Series) -> pd.Series:
     return data.map(lambda raw: bytes(raw)[1:].decode(WIDE[bytes(raw)[0]], "replace"), na_action="ignore")
 
 
+#: Set where expressions are built for JSON of many fields, whose texts in wide alphabets one function decodes at last (unmarked).
+_MARKING: ContextVar[bool] = ContextVar("marking", default=False)
+#: A character that is none, in front of and behind the hexadecimal digits of a text that is not decoded yet.
+_MARK = "\ufdd0"
+
+
+@contextmanager
+def marked_wide_texts() -> Iterator[None]:
+    token = _MARKING.set(True)
+    try:
+        yield
+    finally:
+        _MARKING.reset(token)
+
+
+@F.pandas_udf(StringType())
+def _unmarked(json: pd.Series) -> pd.Series:
+    def text(m: re.Match) -> str:
+        return dumps(dvb_codec(bytes.fromhex(m.group(1))), ensure_ascii=False)[1:-1]
+
+    return json.map(lambda x: re.sub(f"{_MARK}([0-9A-F]*){_MARK}", text, x), na_action="ignore")
+
+
+# Filters on the decoded fields must not be pushed below the function, where it can't be evaluated.
+_unmarked = _unmarked.asNondeterministic()
+
+
+def unmarked(json: Column | str) -> Column:
+    """JSON whose marked texts are decoded; Python sees rows with such texts only."""
+    json = F.col(json) if isinstance(json, str) else json
+    marked = F.contains(json, F.lit(_MARK))
+    return F.when(marked, _unmarked(F.when(marked, json))).otherwise(json)
+
+
 def _utf_16(body: Column) -> Column:
     """Big-endian UTF-16; an odd byte at the end goes, and so do halves of pairs where one of them stands alone."""
     units = F.array_join(F.regexp_extract_all(F.hex(body), F.lit("[0-9A-F]{4}"), F.lit(0)), " ")
@@ -93,17 +141,23 @@ def dvb_text(data: Column) -> Column:
     Built-in functions read the parts of ISO 8859, UTF-8 and UTF-16; Python sees only the other alphabets' texts, and nulls in place of the rest.
     """
     data = F.col(data) if isinstance(data, str) else data
-    lead, digits = F.hex(F.substring(data, 1, 1)), lambda codes: [f"{c:02X}" for c in codes]
+    if _MARKING.get():  # many texts in one expression: each value is in the plan once
+        return once(data, lambda d: once(F.hex(F.substring(d, 1, 1)), lambda lead: _dvb_text(d, lead)))
+    return _dvb_text(data, F.hex(F.substring(data, 1, 1)))
+
+
+def _dvb_text(data: Column, lead: Column) -> Column:
+    digits = lambda codes: [f"{c:02X}" for c in codes]
     selected = (lead == "10") & (F.length(data) >= 3)
-    parts = F.create_map(*(F.lit(x) for c, n in PARTS.items() for x in (f"{c:02X}", f"{n:02X}")))
+    parts = F.expr(_LEADS)
     key = F.when(selected, F.hex(F.substring(data, 3, 1))).otherwise(F.try_element_at(parts, lead))
-    tables = {n: bytes(range(0xA0, 0x100)).decode(f"iso8859_{n}", "replace") for n in range(2, 16) if n != 12}
-    to = F.try_element_at(F.create_map(*(F.lit(x) for n, table in tables.items() for x in (f"{n:02X}", table))), key)
+    to = F.try_element_at(F.expr(_TABLES), key)
     body = F.substring(data, F.when(selected, 4).when(lead < "20", 2).otherwise(1), F.length(data))
     latin = F.decode(body, "ISO-8859-1")
     single = F.when(to.isNull(), latin).otherwise(F.call_function("translate", latin, F.lit(_HIGH), to))
     is_wide = lead.isin(*digits(WIDE))
-    text = F.when(lead == UTF_8, F.make_valid_utf8(body.cast("string"))).when(lead == UTF_16, _utf_16(body)).when(is_wide, _wide_text(F.when(is_wide, data))).otherwise(single)
+    wide = F.concat(F.lit(_MARK), F.hex(data), F.lit(_MARK)) if _MARKING.get() else _wide_text(F.when(is_wide, data))
+    text = F.when(lead == UTF_8, F.make_valid_utf8(body.cast("string"))).when(lead == UTF_16, _utf_16(body)).when(is_wide, wide).otherwise(single)
     return F.replace(F.regexp_replace(text, "[\\x00\\x80-\\x89\\x8b-\\x9f\ue080-\ue089\ue08b-\ue09f]", ""), F.lit("\x8a"), F.lit("\n"))
 
 

@@ -6,6 +6,7 @@ Most tags are lists of bit fields, or loops of such lists with a fixed item size
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 from muxlake.functions import names
 from muxlake.functions.bits import bits, once, part, uint, walk
 from muxlake.functions.names import UPID_TYPES, name_of
-from muxlake.functions.values import bcd_minutes, dvb_text, dvb_text_or_utf8, mjd_seconds
-from muxlake.operators.nested import VIEWS, splice_other
+from muxlake.functions.values import bcd_minutes, dvb_text, dvb_text_or_utf8, marked_wide_texts, mjd_seconds, unmarked
+from muxlake.operators.nested import VIEWS, Shape, items, splice_other
 
 
 def _data() -> Column:
@@ -194,6 +195,52 @@ def typed(descriptors: DataFrame, family: str, tag: int) -> DataFrame:
     return rows.select(*rows.columns, *(f.read(_data(), F.col("item") * layout.item) for f in layout.fields))
 
 
+def _shape(family: str, tag: int) -> Shape:
+    """The items and fields of a tag, read from data, item and at."""
+    layout = LAYOUTS.get((family, tag))
+    shape = Shape()
+    if layout is None or not layout.item:
+        return typed(shape, family, tag)
+    n = F.floor(F.length("data") / layout.item).cast("int")
+    span = lambda k: F.struct((k * layout.item).cast("int").alias("pos"), F.lit(layout.item).alias("size"))
+    shape.spans = F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), span)
+    shape.fields = [f.read(_data(), F.col("at")) for f in layout.fields]
+    return shape
+
+
+def _by_key(branches: list[tuple[int, Column]], other: Column) -> Column:
+    key = F.col("_key")
+    return reduce(lambda c, b: c.when(key == b[0], b[1]), branches[1:], F.when(key == branches[0][0], branches[0][1])).otherwise(other)
+
+
+#: What a loop's tags belong to: tables, extensions of tag 0x7F, applications, cues.
+FAMILIES = ("dvb", "ext", "ait", "splice")
+
+
+def decoded(descriptors: DataFrame, families: Sequence[str] = FAMILIES, variant: bool = True) -> DataFrame:
+    """All tags in one pass: the rows of `split` with item (null but in loops) and fields, a VARIANT (or JSON) of what `typed` gives for their tag.
+
+    families: those that occur, so that the plan has no others. A loop without items has no row; a tag that no view knows, or of another family, has null fields.
+    Columns item, at and those that begin with _ must not be among the rows' own.
+    """
+    known = {*LAYOUTS, *VIEWS, *_FUNCTIONS}
+    keys = sorted((k for k in known if k[0] in families), key=lambda k: (FAMILIES.index(k[0]), k[1]))
+    code = lambda family, tag: FAMILIES.index(family) << 8 | tag
+    with marked_wide_texts():
+        shapes = {code(*key): _shape(*key) for key in keys}
+        other = typed(Shape(), "splice", -1)
+    family = reduce(lambda c, k: c.when(F.col("family") == FAMILIES[k], k), range(1, len(FAMILIES)), F.when(F.col("family") == FAMILIES[0], 0))
+    rows = descriptors.withColumn("_key", F.shiftleft(family, 8).bitwiseOR(F.coalesce("ext_tag", "tag")))
+    looped = [(key, shape.spans) for key, shape in shapes.items() if shape.spans is not None]
+    whole = F.array(F.struct(F.lit(0).alias("pos"), F.length("data").alias("size")))
+    placed = rows.select(*rows.columns, F.posexplode(_by_key(looped, whole) if looped else whole).alias("_item", "_e"))
+    placed = placed.select(*rows.columns, F.when(F.col("_key").isin([key for key, _ in looped]), F.col("_item")).alias("item"), F.col("_e.pos").alias("at"))
+    json = lambda shape: F.to_json(F.struct(*([F.col("item")] if shape.spans is not None else []), *shape.fields))
+    fields = _by_key([(key, json(shape)) for key, shape in shapes.items()], F.when(F.col("family") == "splice", json(other)))
+    out = placed.select(*descriptors.columns, "item", fields.alias("_json")).select(*descriptors.columns, "item", unmarked("_json").alias("fields"))
+    return out.withColumn("fields", F.parse_json("fields")) if variant else out
+
+
 def _text(at: Column) -> Column:
     """A text behind its byte of length."""
     return dvb_text(part(_data(), at + 1, uint(_data(), at)))
@@ -240,9 +287,8 @@ def event_items(descriptors: DataFrame) -> DataFrame:
 def multilingual_names(descriptors: DataFrame, tag: int = 0x5C) -> DataFrame:
     """0x5C and its kin: a row for each language and name."""
     own = descriptors.where((F.col("family") == "dvb") & (F.col("tag") == tag))
-    spans = walk(_data(), 0, F.length("data"), 4, lambda pos: uint(_data(), pos + 3) + 4)
-    rows = own.select(*descriptors.columns, F.posexplode(spans).alias("item", "e"))
-    return rows.select(*descriptors.columns, "item", F.decode(part(_data(), F.col("e.pos"), 3), "ISO-8859-1").alias("language"), _text(F.col("e.pos") + 3).alias("text"))
+    rows = items(own, 0, F.length("data"), 4, lambda pos: uint(_data(), pos + 3) + 4)
+    return rows.select(*descriptors.columns, "item", F.decode(part(_data(), F.col("at"), 3), "ISO-8859-1").alias("language"), _text(F.col("at") + 3).alias("text"))
 
 
 def ac3(descriptors: DataFrame) -> DataFrame:
@@ -289,13 +335,16 @@ def segmentations(descriptors: DataFrame) -> DataFrame:
         )),
     )
     allowed = lambda k, w: F.when(live & ~free, bits(_data(), 9, k, w))
-    out = own.select(
-        *descriptors.columns, uint(_data(), 0, 4).alias("identifier"), uint(_data(), 4, 4).alias("event_id"), (~live).alias("cancelled"), F.when(live, program).alias("program"),
+    fields = [
+        uint(_data(), 0, 4).alias("identifier"), uint(_data(), 4, 4).alias("event_id"), (~live).alias("cancelled"), F.when(live, program).alias("program"),
         F.when(live, timed).alias("has_duration"), F.when(live, free).alias("not_restricted"),
         (allowed(3, 1) == 1).alias("web_allowed"), (allowed(4, 1) == 1).alias("no_regional_blackout"), (allowed(5, 1) == 1).alias("archive_allowed"),
         allowed(6, 2).cast("int").alias("device_restrictions"), components.alias("components"),
-        F.when(live & timed, uint(_data(), timed_at.cast("int"), 5)).alias("duration"), F.when(live, rest).alias("r"),
-    )
+        F.when(live & timed, uint(_data(), timed_at.cast("int"), 5)).alias("duration"),
+    ]
+    if isinstance(own, Shape):
+        return own.select(*fields, *(F.when(live, rest)[name].alias(name) for name in ("upid_type", "upid", "type_id", "segment", "segments", "sub_segment", "sub_segments")))
+    out = own.select(*descriptors.columns, *fields, F.when(live, rest).alias("r"))
     return out.select(*out.columns[:-1], "r.*")
 
 
@@ -390,9 +439,8 @@ def delivery_systems(descriptors: DataFrame) -> DataFrame:
 def application_names(descriptors: DataFrame) -> DataFrame:
     """AIT 0x01: a row for each language and name."""
     own = descriptors.where("family = 'ait' AND tag = 1")
-    spans = walk(_data(), 0, F.length("data"), 4, lambda pos: uint(_data(), pos + 3) + 4)
-    rows = own.select(*descriptors.columns, F.posexplode(spans).alias("item", "e"))
-    return rows.select(*descriptors.columns, "item", F.decode(part(_data(), F.col("e.pos"), 3), "ISO-8859-1").alias("language"), _text(F.col("e.pos") + 3).alias("application_name"))
+    rows = items(own, 0, F.length("data"), 4, lambda pos: uint(_data(), pos + 3) + 4)
+    return rows.select(*descriptors.columns, "item", F.decode(part(_data(), F.col("at"), 3), "ISO-8859-1").alias("language"), _text(F.col("at") + 3).alias("application_name"))
 
 
 _FUNCTIONS = {

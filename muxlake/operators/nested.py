@@ -75,9 +75,32 @@ class Reader:
         return rows.select(*rows.columns, *self.out)
 
 
-def _items(rows: DataFrame, start: Value, end: Value, header: int, size: Callable[[Column], Column]) -> DataFrame:
+class Shape:
+    """What a view reads, without rows: the places of its items, None if it has none, and its fields. Views take it in place of rows."""
+
+    columns = ()
+
+    def __init__(self):
+        self.spans: Column | None = None
+        self.fields: list[Column] = []
+
+    def select(self, *columns: Column | str) -> "Shape":
+        self.fields = [c for c in columns if isinstance(c, Column)]
+        return self
+
+    def where(self, *_) -> "Shape":
+        return self
+
+    def drop(self, *_) -> "Shape":
+        return self
+
+
+def items(rows: DataFrame, start: Value, end: Value, header: int, size: Callable[[Column], Column]) -> DataFrame:
     """A row for each entry of a loop: item, and at, where it begins."""
     spans = walk(F.col("data"), start, end, header, size)
+    if isinstance(rows, Shape):
+        rows.spans = spans
+        return rows
     out = rows.select(*rows.columns, F.posexplode(spans).alias("item", "_e"))
     return out.withColumn("at", F.col("_e.pos")).drop("_e")
 
@@ -213,7 +236,7 @@ def t2_delivery(rows: DataFrame) -> DataFrame:
 def cells(rows: DataFrame) -> DataFrame:
     """0x6C: the cells of a list with their places in 1/2^15 of a right angle, their extents and subcells."""
     data = F.col("data")
-    found = _items(rows, 0, _length(), 10, lambda pos: uint(data, pos + 9) + 10)
+    found = items(rows, 0, _length(), 10, lambda pos: uint(data, pos + 9) + 10)
     at = F.col("at")
     subcell = lambda p: F.struct(
         uint(data, p).cast("int").alias("extension"), sint(data, p + 1, 2).cast("int").alias("latitude"), sint(data, p + 3, 2).cast("int").alias("longitude"),
@@ -229,7 +252,7 @@ def cells(rows: DataFrame) -> DataFrame:
 def cell_frequencies(rows: DataFrame) -> DataFrame:
     """0x6D: the frequency of each cell in Hz, and its subcells' transposers."""
     data = F.col("data")
-    found = _items(rows, 0, _length(), 7, lambda pos: uint(data, pos + 6) + 7)
+    found = items(rows, 0, _length(), 7, lambda pos: uint(data, pos + 6) + 7)
     at = F.col("at")
     subcell = lambda p: F.struct(uint(data, p).cast("int").alias("extension"), (uint(data, p + 1, 4) * 10).alias("frequency"))
     subcells = _list(at + 7, F.floor(uint(data, at + 6) / 5), 5, subcell)
@@ -239,7 +262,7 @@ def cell_frequencies(rows: DataFrame) -> DataFrame:
 def vbi_data(rows: DataFrame) -> DataFrame:
     """0x45: a row for each service, with the field parity and offset of its lines."""
     data = F.col("data")
-    found = _items(rows, 0, _length(), 2, lambda pos: uint(data, pos + 1) + 2)
+    found = items(rows, 0, _length(), 2, lambda pos: uint(data, pos + 1) + 2)
     service = uint(data, F.col("at")).cast("int")
     line = lambda p: F.struct(flag(data, p, 2).alias("field_parity"), bits(data, p, 3, 5).cast("int").alias("line_offset"))
     lines = F.when(service.isin(1, 2, 4, 5, 6, 7), _list(F.col("at") + 2, uint(data, F.col("at") + 1), 1, line))
@@ -265,7 +288,7 @@ def channel_lists(rows: DataFrame) -> DataFrame:
     data = F.col("data")
     name_size = lambda p: uint(data, p + 1)
     size = lambda p: (name_size(p) + 6 + uint(data, (p + name_size(p) + 5).cast("int"))).cast("int")
-    found = _items(rows, 0, _length(), 6, size)
+    found = items(rows, 0, _length(), 6, size)
     r = Reader(F.col("at"))
     r.int("list_id", 1, kind="int")
     r.text("list_name")
@@ -280,7 +303,7 @@ def channel_lists(rows: DataFrame) -> DataFrame:
 def region_names(rows: DataFrame) -> DataFrame:
     """0x88: a row for each language, with the list's name and its translation."""
     data = F.col("data")
-    found = _items(rows, 0, _length(), 4, lambda p: uint(data, p + 3) + 4)
+    found = items(rows, 0, _length(), 4, lambda p: uint(data, p + 3) + 4)
     r = Reader(F.col("at"))
     r.code("language")
     r.skip(1)
@@ -293,7 +316,7 @@ def list_types(rows: DataFrame) -> DataFrame:
     """0xB2: a row for each kind of list, with the receivers it is for."""
     data = F.col("data")
     receivers = lambda p: uint(data, (p + uint(data, p) + 1).cast("int"))
-    found = _items(rows, 0, _length(), 2, lambda p: (uint(data, p) + receivers(p) + 2).cast("int"))
+    found = items(rows, 0, _length(), 2, lambda p: (uint(data, p) + receivers(p) + 2).cast("int"))
     r = Reader(F.col("at"))
     r.text("postfix")
     r.out.append(_list(r.at + 1, uint(data, r.at), 1, lambda p: uint(data, p).cast("int")).alias("receiver_ids"))
@@ -360,7 +383,7 @@ def application(rows: DataFrame) -> DataFrame:
 
 def java_parameters(rows: DataFrame) -> DataFrame:
     """AIT 0x03: a row for each parameter."""
-    found = _items(rows, 0, _length(), 1, lambda p: _byte(p) + 1)
+    found = items(rows, 0, _length(), 1, lambda p: _byte(p) + 1)
     r = Reader(F.col("at"))
     r.counted("parameter")
     return r.of(found).drop("at")

@@ -201,6 +201,26 @@ for _group in TEMPLATES:
     _register(_group)
 
 
+def _whole_loops(spark, sf_dir) -> DataFrame:
+    """One loop a part and family: of each group the part's descriptor, one behind the other; every tag in one pass."""
+    parts, out = _read(spark, sf_dir, "part"), []
+    for source, families in (("dvb", ("dvb", "ext")), ("ait", ("ait",)), ("splice", ("splice",))):
+        loops = []
+        for every in TEMPLATES.values():
+            own = [(k, t[2]) for k, t in enumerate(every) if t[0] in families]
+            if own:
+                k = F.col("p_partkey") % len(every)
+                loops.append(F.coalesce(reduce(lambda c, x: c.when(k == x[0], made(x[1])), own[1:], F.when(k == own[0][0], made(own[0][1]))), F.lit(b"")))  # noqa: B023
+        rows = desc.split(parts.select("p_partkey", F.concat(*loops).alias("loop")), "loop", source)
+        key = F.concat_ws(" ", "family", F.coalesce("ext_tag", "tag").cast("string"))
+        out.append(desc.decoded(rows, families, variant=False).select("p_partkey", key.alias("key"), "fields"))
+    return reduce(DataFrame.union, out)
+
+
+_whole_loops.__name__ = "descriptors_in_one_pass"
+query(" UNION ALL ".join(_sql(group) for group in TEMPLATES))(_whole_loops)
+
+
 _UPIDS = "022743554549{a:8}7FBF0D180904{t:T4}0808{b:16:4294967296}0C0641424344010234{c:2}{d:2}"
 _UPID_VALUES = {name: expected(_UPIDS, f"<{name}>,").removesuffix(" || ','").removeprefix("'' || ") for name in "abt"}
 
