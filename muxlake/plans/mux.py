@@ -67,13 +67,13 @@ def loop(data: Column, flags: int = 0xF000) -> Column:
 def section_packets(sections: DataFrame, key: str = "source") -> DataFrame:
     """(key, byte_offset, raw) of the packets of sections(key, pid, seq, section), each section from a packet of its own.
 
-    Continuity counts within a PID and offsets within a key, both in the order of seq. Sections are numbered by running totals of their packets
-    before they are cut.
+    Continuity counts within a PID and offsets within a key, both in one order: of seq, pid and the section's bytes, so that sections of the same
+    seq have theirs too. Sections are numbered by running totals of their packets before they are cut.
     """
     n = F.floor(F.length("section") / 184).cast("long") + 1
-    before = lambda *by: F.sum("n").over(Window.partitionBy(*by).orderBy("seq", "pid").rowsBetween(Window.unboundedPreceding, -1))
+    before = lambda by, *order: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counted = sections.select(key, "pid", "seq", join(be(0, 1), F.col("section")).alias("data"), n.alias("n"))
-    placed = counted.withColumns({"of_key": F.coalesce(before(key), F.lit(0)), "of_pid": F.coalesce(before(key, "pid"), F.lit(0))})
+    placed = counted.withColumn("of_key", before([key], "seq", "pid", "data")).withColumn("of_pid", before([key, "pid"], "of_key"))
     chunks = placed.select(key, "pid", "data", "of_key", "of_pid", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("k"))
     raw = once(part(F.col("data"), F.col("k") * 184, 184), lambda x: join(x, fill(F.lit(184) - F.length(x))))
     made = packet(F.col("pid"), (F.col("of_pid") + F.col("k")) % 16, raw, (F.col("k") == 0).cast("int"))
