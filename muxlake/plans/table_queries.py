@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from muxlake.functions.bits import be, fill, join, once, part
+from muxlake.functions.bits import be, fill, join, once, part, uint
 from muxlake.functions.checks import with_crc
 from muxlake.operators import descriptors as desc
 from muxlake.operators import packets, tables
@@ -72,10 +72,11 @@ def mip_functions(spark, sf_dir):
     )
 
 
-def _cues(df: DataFrame, key: str, kind, command) -> DataFrame:
-    """Cues of a command each, whose adjustment of time stamps is the row's key."""
+def _cues(df: DataFrame, key: str, kind, command, descriptors=None) -> DataFrame:
+    """Cues of a command and a loop of descriptors each, whose adjustment of time stamps is the row's key."""
     head = lambda x: join(be(0, 1), be(F.col(key), 5), be(0, 1), be(F.length(x) + (0xFFF << 12), 3), be(kind, 1))
-    body = once(command, lambda x: join(head(x), x, be(0, 2)))
+    loop = be(0, 2) if descriptors is None else mux.loop(descriptors, 0)
+    body = once(command, lambda x: join(head(x), x, loop))
     section = with_crc(once(body, lambda x: join(be(0xFC, 1), be(F.length(x) + 4 + 0x3000, 2), x)))
     return tables.splice(_decoded(_numbered(df, F.lit(0x300), section, key, F.concat(F.lit("cues "), (F.col(key) % 16).cast("string")))))
 
@@ -84,16 +85,23 @@ def _cues(df: DataFrame, key: str, kind, command) -> DataFrame:
   CASE WHEN c_custkey % 6 = 0 THEN CAST(c_custkey * 90000 + 4294967296 AS BIGINT) ELSE -1 END AS splice_pts, CASE WHEN c_custkey % 3 = 1 THEN CAST(1129661769 AS BIGINT) ELSE -1 END AS private_identifier,
   CASE WHEN c_custkey % 3 = 1 THEN c_name ELSE '' END AS private_text FROM customer""")
 def splice_signals(spark, sf_dir):
-    """Time signals with and without a time, private commands and reserved bandwidth."""
-    key = F.col("c_custkey")
-    signal = F.when(key % 2 == 0, be(key * 90000 + (1 << 32) + (0xFE << 32), 5)).otherwise(be(0x7F, 1))
+    """Time signals with and without a time, private commands and reserved bandwidth.
+
+    A time stamp has 33 bits and begins anew after them; a time descriptor beside it tells the second, and so how often it did.
+    """
+    key, turn = F.col("c_custkey"), 1 << 33
+    ticks = key * 90000 + (1 << 32)
+    signal = F.when(key % 2 == 0, be(ticks % turn + (0xFE << 32), 5)).otherwise(be(0x7F, 1))
+    time = F.when(key % 6 == 0, mux.descriptor(0x03, join(be(0x43554549, 4), be(F.floor(ticks / 90000), 6), be(0, 4), be(0, 2)))).otherwise(F.unhex(F.lit("")))
     private = join(be(0x43554549, 4), F.encode("c_name", "UTF-8"))
     kind = F.when(key % 3 == 0, 6).when(key % 3 == 1, 255).otherwise(7)
     command = F.when(key % 3 == 0, signal).when(key % 3 == 1, private).otherwise(F.unhex(F.lit("")))
-    out = _cues(_read(spark, sf_dir, "customer"), "c_custkey", kind, command)
-    told = lambda c: F.coalesce(c, F.lit(-1)).cast("long").alias(c)
+    out = _cues(_read(spark, sf_dir, "customer"), "c_custkey", kind, command, time)
+    second = uint(F.col("descriptors"), 6, 6)  # behind the only descriptor's tag, length and identifier
+    pts = F.col("splice_pts") + F.floor((second * 90000 - F.col("splice_pts") + turn // 2) / turn) * turn
+    told = lambda c: F.coalesce(c, F.lit(-1)).cast("long")
     return out.select(
-        F.col("pts_adjustment").alias("place"), "command_type", told("splice_pts"), told("private_identifier"),
+        F.col("pts_adjustment").alias("place"), "command_type", told(pts).alias("splice_pts"), told("private_identifier").alias("private_identifier"),
         F.coalesce(F.decode("private_bytes", "UTF-8"), F.lit("")).alias("private_text"),
     )
 
