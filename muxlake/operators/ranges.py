@@ -17,6 +17,16 @@ from pyspark.sql.window import Window
 RANGE_BYTES = 32 << 20
 
 
+#: Rows of a table that one task makes streams of and reads them again: what it sorts takes some hundred bytes a row, several times over.
+SHARE = 50_000
+
+
+def shares(df: DataFrame, rows: int = SHARE) -> int:
+    """Partitions for df: as many as give each so many rows, or all cores some. It counts the rows."""
+    n = df.count()
+    return max(1, min(n // 1000, max(df.sparkSession.sparkContext.defaultParallelism, -(-n // rows))))
+
+
 def range_of(offset: str = "byte_offset", size: int | None = None) -> Column:
     return F.floor(F.col(offset) / F.lit(size or RANGE_BYTES)).cast("long")
 

@@ -44,13 +44,14 @@ def _until_cut(parts: Column) -> Column:
     return F.aggregate(parts, zero, lambda s, x: F.when(s["open"], more(s, x)).otherwise(s), lambda s: s["data"])
 
 
-def runs(packets: DataFrame, skip_pes: bool = True, range_bytes: int | None = None) -> DataFrame:
+def runs(packets: DataFrame, skip_pes: bool = True, range_bytes: int | None = None, partitions: int | None = None) -> DataFrame:
     """(source, pid, first_offset, data): the bytes from each start of a unit to where the next one begins or continuity ends.
 
     packets have source, pid, byte_offset, cc, pusi, payload and discontinuity, and a payload each. skip_pes: payloads that start as PES packets do are no
-    sections, and their runs are left out before they are collected.
+    sections, and their runs are left out before they are collected. partitions: how many the ranges are dealt to, where Spark's number would be too small.
     """
     rows = packets.select("source", "pid", "byte_offset", "cc", "pusi", "payload", "discontinuity", range_of("byte_offset", range_bytes).alias("range"))
+    rows = rows if partitions is None else rows.repartition(partitions, "source", "pid", "range")
     order = Window.partitionBy("source", "pid", "range").orderBy("byte_offset")
     until = lambda k: order.rowsBetween(Window.unboundedPreceding, k)
     pes = (uint(F.col("payload"), 0, 3) == 1) if skip_pes else F.lit(False)
@@ -128,7 +129,7 @@ def _section_fields(every: list[bytes]) -> list[pa.Array]:
     ]
 
 
-def reassemble(packets: DataFrame, pids: DataFrame | None = None, range_bytes: int | None = None) -> DataFrame:
+def reassemble(packets: DataFrame, pids: DataFrame | None = None, range_bytes: int | None = None, partitions: int | None = None) -> DataFrame:
     """sections(source, pid, first_offset, place, section, table_id, crc32, crc_ok) of decoded packets.
 
     Damaged, scrambled and null packets and those without payload are left out. A jump or repetition of the continuity counter drops the
@@ -138,7 +139,7 @@ def reassemble(packets: DataFrame, pids: DataFrame | None = None, range_bytes: i
     useful = packets.where("NOT tei AND has_payload AND scrambling = 0 AND pid <> 8191 AND payload IS NOT NULL")
     if pids is not None:
         useful = useful.join(pids.select("source", "pid").distinct(), ["source", "pid"], "left_semi")
-    return units(runs(useful, range_bytes=range_bytes), cut_sections, SECTIONS, _section_fields)
+    return units(runs(useful, range_bytes=range_bytes, partitions=partitions), cut_sections, SECTIONS, _section_fields)
 
 
 def checked(sections: DataFrame) -> DataFrame:

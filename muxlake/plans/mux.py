@@ -64,16 +64,27 @@ def loop(data: Column, flags: int = 0xF000) -> Column:
     return once(data, lambda x: join(be(F.length(x) + flags, 2), x))
 
 
-def section_packets(sections: DataFrame, key: str = "source") -> DataFrame:
+def section_packets(sections: DataFrame, key: str = "source", span: str | None = None, partitions: int | None = None) -> DataFrame:
     """(key, byte_offset, raw) of the packets of sections(key, pid, seq, section), each section from a packet of its own.
 
     Continuity counts within a PID and offsets within a key, both in one order: of seq, pid and the section's bytes, so that sections of the same
     seq have theirs too. Sections are numbered by running totals of their packets before they are cut.
+
+    span: a number that grows with seq. Sections are then put in order within a span, and totals of the spans before are added, so no task holds a key.
+    partitions: how many those are dealt to.
     """
-    n = F.floor(F.length("section") / 184).cast("long") + 1
+    by, n = [key] if span is None else [key, span], F.floor(F.length("section") / 184).cast("long") + 1
+    dealt = sections if partitions is None or span is None else sections.repartition(partitions, *by)
     before = lambda by, *order: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counted = sections.select(key, "pid", "seq", join(be(0, 1), F.col("section")).alias("data"), n.alias("n"))
-    placed = counted.withColumn("of_key", before([key], "seq", "pid", "data")).withColumn("of_pid", before([key, "pid"], "of_key"))
+    counted = dealt.select(*by, "pid", "seq", join(be(0, 1), F.col("section")).alias("data"), n.alias("n"))
+    placed = counted.withColumn("of_key", before(by, "seq", "pid", "data")).withColumn("of_pid", before([*by, "pid"], "of_key"))
+    if span is not None:
+        # seq is summed up only so that both sides read the same columns, and with them the same exchange.
+        sums = dealt.groupBy(*by, "pid").agg(F.sum(n).alias("n"), F.max("seq").alias("last"))
+        earlier = F.sum("n").over(Window.partitionBy(key).orderBy(span).rangeBetween(Window.unboundedPreceding, -1))
+        told = sums.where("last IS NOT NULL").select(F.col(key).alias("k"), F.col(span).alias("s"), F.col("pid").alias("p"), F.coalesce(earlier, F.lit(0)).alias("key_before"), before([key, "pid"], span).alias("pid_before"))
+        placed = placed.join(told, F.col(key).eqNullSafe(F.col("k")) & F.col(span).eqNullSafe(F.col("s")) & F.col("pid").eqNullSafe(F.col("p")))
+        placed = placed.withColumns({"of_key": F.col("of_key") + F.col("key_before"), "of_pid": F.col("of_pid") + F.col("pid_before")})
     chunks = placed.select(key, "pid", "data", "of_key", "of_pid", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("k"))
     raw = once(part(F.col("data"), F.col("k") * 184, 184), lambda x: join(x, fill(F.lit(184) - F.length(x))))
     made = packet(F.col("pid"), (F.col("of_pid") + F.col("k")) % 16, raw, (F.col("k") == 0).cast("int"))

@@ -12,6 +12,7 @@ from muxlake.functions import values
 from muxlake.functions.bits import be, join
 from muxlake.operators import analyzer, catalog, compare, packets, sections, tables
 from muxlake.operators import descriptors as desc
+from muxlake.operators.ranges import shares
 from muxlake.plans import mux
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,15 +156,27 @@ def pes_time_stamps(spark, sf_dir):
     return d.select("byte_offset", "pid", h["stream_id"].cast("int").alias("stream_id"), "pts", F.coalesce("dts", F.lit(-1)).alias("dts"))
 
 
+#: Sections of a source that the queries mux at once, about.
+SPAN = 10_000
+#: Bytes of a source whose packets the queries put in order at once.
+RANGE = 4 << 20
+
+
 def _decoded(made: DataFrame) -> DataFrame:
-    """Sections out of the packets of sections(source, pid, seq, section)."""
-    return sections.reassemble(packets.decode(mux.section_packets(made)))
+    """Sections out of the packets of sections(source, pid, seq, section), and perhaps span."""
+    span, n = "span" if "span" in made.columns else None, shares(made)
+    return sections.reassemble(packets.decode(mux.section_packets(made, "source", span, n)), range_bytes=RANGE, partitions=n)
+
 
+def _numbered(df: DataFrame, pid, section, seq: str, source=None, span: int | None = None) -> DataFrame:
+    """Sections for the muxer; unless told otherwise, a source has 2,000 values of seq. Sources that grow with the table are muxed in spans of so many values of seq.
 
-def _numbered(df: DataFrame, pid, section, seq: str, source=None) -> DataFrame:
-    """Sections for the muxer; unless told otherwise, a source has 2,000 values of seq."""
+    Rows are dealt out before their bytes are made, so that the work does not follow the pieces of the table's file.
+    """
     src = source if source is not None else F.concat(F.lit("driver "), F.floor(F.col(seq) / 2000).cast("string"))
-    return df.select(src.alias("source"), pid.cast("int").alias("pid"), F.col(seq).cast("long").alias("seq"), section.alias("section"))
+    spread = df.withColumn("_source", src).repartition(shares(df), *(["_source"] if span is None else df.columns))
+    spans = [] if span is None else [F.floor(F.col(seq) / span).alias("span")]
+    return spread.select(F.col("_source").alias("source"), pid.cast("int").alias("pid"), F.col(seq).cast("long").alias("seq"), section.alias("section"), *spans)
 
 
 @query("SELECT c_custkey, length(repeat(c_name, CAST(1 + c_custkey % 60 AS INTEGER))) AS n_bytes, md5(repeat(c_name, CAST(1 + c_custkey % 60 AS INTEGER))) AS digest FROM customer")
@@ -278,7 +291,7 @@ def _event_sections(spark, sf_dir, copies: int = 1):
     body = join(be(F.col("o_custkey") % 100, 2), be(2, 2), be(0, 1), be(0x50, 1), event)
     section = mux.section(0x50, F.col("o_custkey") % 65536, body, F.col("o_orderkey") % 32)
     rows = o.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).withColumn("seq", F.col("o_orderkey") * copies + F.col("copy"))
-    return _decoded(_numbered(rows, F.lit(0x12), section, "seq", F.concat(F.lit("orders "), (F.col("o_orderkey") % 64).cast("string"))))
+    return _decoded(_numbered(rows, F.lit(0x12), section, "seq", F.concat(F.lit("orders "), (F.col("o_orderkey") % 64).cast("string")), SPAN * 64 * copies))
 
 
 @query("""SELECT CAST(o_custkey % 65536 AS INTEGER) AS service_id, CAST(o_orderkey % 65536 AS INTEGER) AS event_id, CAST(epoch_us(o_orderdate) // 1000000 AS BIGINT) AS start_sec,
@@ -317,7 +330,7 @@ def splice_inserts(spark, sf_dir):
     body = join(head, command, be(0, 2))
     section = mux.with_crc(join(be(0xFC, 1), be(F.length(body) + 4 + 0x3000, 2), body))
     rows = li.withColumn("seq", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
-    out = tables.splice(_decoded(_numbered(rows, F.lit(0x300), section, "seq", F.concat(F.lit("cues "), (F.col("l_orderkey") % 64).cast("string")))))
+    out = tables.splice(_decoded(_numbered(rows, F.lit(0x300), section, "seq", F.concat(F.lit("cues "), (F.col("l_orderkey") % 64).cast("string")), SPAN * 128)))
     return out.select("event_id", "out_of_network", "splice_pts", F.coalesce("break_duration", F.lit(-1)).alias("break_duration"), "unique_program_id", "avail")
 
 

@@ -12,7 +12,7 @@ from muxlake.functions.checks import with_crc
 from muxlake.operators import descriptors as desc
 from muxlake.operators import packets, tables
 from muxlake.plans import mux
-from muxlake.plans.queries import _decoded, _micros, _mjd, _numbered, _read, query
+from muxlake.plans.queries import SPAN, _decoded, _micros, _mjd, _numbered, _read, query
 
 
 def _joined(items: str):
@@ -78,7 +78,7 @@ def _cues(df: DataFrame, key: str, kind, command, descriptors=None) -> DataFrame
     loop = be(0, 2) if descriptors is None else mux.loop(descriptors, 0)
     body = once(command, lambda x: join(head(x), x, loop))
     section = with_crc(once(body, lambda x: join(be(0xFC, 1), be(F.length(x) + 4 + 0x3000, 2), x)))
-    return tables.splice(_decoded(_numbered(df, F.lit(0x300), section, key, F.concat(F.lit("cues "), (F.col(key) % 16).cast("string")))))
+    return tables.splice(_decoded(_numbered(df, F.lit(0x300), section, key, F.concat(F.lit("cues "), (F.col(key) % 16).cast("string")), SPAN * 16)))
 
 
 @query("""SELECT c_custkey AS place, CAST(CASE c_custkey % 3 WHEN 0 THEN 6 WHEN 1 THEN 255 ELSE 7 END AS INTEGER) AS command_type,
