@@ -49,13 +49,13 @@ def of_packets(units_: DataFrame) -> DataFrame:
     )
 
 
-def carrier_packets(packets: DataFrame, range_bytes: int | None = None) -> DataFrame:
+def carrier_packets(packets: DataFrame, range_bytes: int | None = None, partitions: int | None = None) -> DataFrame:
     """t2mi(source, pid, first_offset, place, packet_type, packet_count, superframe, stream_id, plp_id, frame_index, interleave_start, payload, crc_ok).
 
     Runs of packets are cut at the starts that pointers tell, as sections are; a run's bytes hold whole T2-MI packets.
     """
     useful = packets.where("NOT tei AND payload IS NOT NULL").withColumn("discontinuity", F.lit(False))
-    return of_packets(units(runs(useful, skip_pes=False, range_bytes=range_bytes), cut_packets, UNITS, lambda every: [pa.array(map(crc_matches, every), pa.bool_())]))
+    return of_packets(units(runs(useful, skip_pes=False, range_bytes=range_bytes, partitions=partitions), cut_packets, UNITS, lambda every: [pa.array(map(crc_matches, every), pa.bool_())]))
 
 
 def baseband_frames(t2mi: DataFrame) -> DataFrame:
