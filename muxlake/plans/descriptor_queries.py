@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from muxlake.functions import names
 from muxlake.operators import descriptors as desc
+from muxlake.operators.ranges import shares
 from muxlake.plans.queries import _read, query
 
 #: Factor and offset of the number of each name.
@@ -174,11 +175,17 @@ def _sql(group: str) -> str:
     return " UNION ALL ".join(rows)
 
 
+def _parts(spark, sf_dir) -> DataFrame:
+    """Keys of parts, dealt out before their descriptors are made: a file of few pieces would leave all work to as many tasks."""
+    parts = _read(spark, sf_dir, "part").select("p_partkey")
+    return parts.repartition(shares(parts), "p_partkey")
+
+
 def _register(group: str) -> None:
     every = TEMPLATES[group]
 
     def decoded(spark, sf_dir) -> DataFrame:
-        parts = _read(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % len(every)).alias("k"))
+        parts = _parts(spark, sf_dir).select("p_partkey", (F.col("p_partkey") % len(every)).alias("k"))
         out = []
         for source, families in (("dvb", ("dvb", "ext")), ("ait", ("ait",)), ("splice", ("splice",))):
             own = [(k, t) for k, t in enumerate(every) if t[0] in families]
@@ -203,7 +210,7 @@ for _group in TEMPLATES:
 
 def _whole_loops(spark, sf_dir) -> DataFrame:
     """One loop a part and family: of each group the part's descriptor, one behind the other; every tag in one pass."""
-    parts, out = _read(spark, sf_dir, "part"), []
+    parts, out = _parts(spark, sf_dir), []
     for source, families in (("dvb", ("dvb", "ext")), ("ait", ("ait",)), ("splice", ("splice",))):
         loops = []
         for every in TEMPLATES.values():
@@ -230,7 +237,7 @@ SELECT p_partkey, event_id, 0 AS item, 9 AS upid_type, 'ADI' AS type_name, 'text
 UNION ALL SELECT p_partkey, event_id, 1, 8, 'TI', 'text', number, NULL FROM v UNION ALL SELECT p_partkey, event_id, 2, 12, 'MPU', 'base-64', 'AQI=', 1094861636 FROM v""")
 def upids(spark, sf_dir):
     """The UPIDs of a list, of three kinds."""
-    parts = _read(spark, sf_dir, "part").select("p_partkey", made(_UPIDS).alias("loop"))
+    parts = _parts(spark, sf_dir).select("p_partkey", made(_UPIDS).alias("loop"))
     found = desc.segmentation_upids(desc.split(parts, "loop", "splice"))
     return found.select("p_partkey", "event_id", "item", "upid_type", "type_name", "format", "value", "format_identifier")
 
