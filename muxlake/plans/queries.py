@@ -159,7 +159,7 @@ def pes_time_stamps(spark, sf_dir):
 #: Sections of a source that the queries mux at once, about.
 SPAN = 10_000
 #: Bytes of a source whose packets the queries put in order at once.
-RANGE = 4 << 20
+RANGE = 1 << 20
 
 
 def _decoded(made: DataFrame) -> DataFrame:
