@@ -1,9 +1,9 @@
 """Operator 8, byte-level BPE: texts to ids and back by a file of ranked merges.
 
 Words are counted over all documents, and the pieces of the FREQUENT most frequent ones are encoded once and broadcast. A task splits its
-documents and keeps each other piece of a block of documents once. Spark's higher-order functions fold the merges over its byte array: the pair of lowest rank becomes one part until no pair has a rank. Ranks come from
-a constant table, looked up by hash. Decoding looks up each id's bytes in a constant array and concatenates them. Only
-counts are shuffled; memory follows the block, not the partition.
+documents and keeps each other piece of a block of documents once, as parts of one byte each. Spark's higher-order functions fold the merges
+over its array of parts: the pair of lowest rank becomes one part until no pair has a rank. Ranks come from a constant table, looked up by
+hash. Decoding takes each id's bytes from a constant array. Only counts are shuffled; memory follows the block, not the partition.
 
 Pieces of more than FOLD_BYTES bytes are merged with a heap instead, because the fold takes quadratic time in them.
 
@@ -31,12 +31,16 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from muxlake.llm.common import documents, map_batches, per_batch, short_batches
 
-#: A part of a piece is one number: its id in ID bits, its first byte in PLACE bits, and the rank of its pair with the next part.
+#: A part of a piece is one number: its id in ID bits, its place among the parts in PLACE bits, and the rank of its pair with the next part.
 ID, PLACE = 20, 8
 NO_RANK = 1 << ID
-#: A pair's key is its first id times KEY plus its second. It is in one of two places of the rank table, modulo these primes.
+#: A pair's key is its first id times KEY plus its second, above ID bits for its rank. It is in one of two places of the rank table, modulo these primes.
 KEY, PRIMES = 1_500_007, (262_139, 262_133)
+#: What the rank table holds where no pair is: a bit above all keys.
+NO_ENTRY = 1 << 62
 PLACES = ((1 << PLACE) - 1) << ID
+#: What stands before the first part, in place 0: an id that no piece has. It is the least of all numbers when no pair has a rank.
+FRONT = NO_RANK << ID + PLACE | NO_RANK - 1
 LONGEST = 1 << 30
 FOLD_BYTES = 200
 #: Bytes of the texts of a block.
@@ -106,107 +110,105 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[k : ends[k]]] for k in range(len(piece)) if alive[k]]
 
 
-def _let(value: Column, body, kind: str = "bigint") -> Column:
-    """body(value) of a kind, with value computed once. A fold's type is known without a walk through its body."""
-    zero = F.lit(0) if kind == "bigint" else F.array()
-    return F.aggregate(F.array(value), zero.cast(kind), lambda _, x: body(x))
-
-
-def _two_places(keys: dict[int, int]) -> list[int]:
+def _two_places(keys: dict[int, int]) -> np.ndarray:
     """A table with each key and its rank in one of the key's two places; what is in the way moves to its other place."""
     table = [-1] * max(PRIMES)
     for key, rank in keys.items():
-        entry, place = key << ID | rank, key % PRIMES[0]
+        entry, place = key | rank, key % PRIMES[0]
         for _ in range(1000):
             entry, table[place] = table[place], entry
             if entry < 0:
                 break
-            one, two = ((entry >> ID) % p for p in PRIMES)
+            one, two = ((entry >> ID << ID) % p for p in PRIMES)
             place = two if place == one else one
         else:
             raise ValueError("the rank table is too full")
-    return table
+    return np.where(np.array(table) < 0, NO_ENTRY, table)
 
 
 class RankMap:
-    """Arrays of a rank file: first ids of bytes, the ranks of pairs of ids, and the bytes of ids.
+    """Arrays of a rank file: first ids of bytes, ranks of pairs of bytes, the ranks of pairs of ids, and ids in decimal and their bytes.
 
-    An entry of the pairs' table is a key and below it the rank; a key is in either of its two places. Every block carries the
-    arrays as columns: as literals of the query they would be printed, 3 MB at each mention, in every text of its plan.
+    An entry of the pairs' table is a key with the rank in its lowest bits; a key is in either of its two places. Every block carries that
+    table as a column: as a literal of the query it would be printed, 3 MB at each mention, in every text of its plan.
     """
 
-    SCHEMA = "first array<bigint>, pairs array<bigint>, pieces array<binary>"
-    NAMES = ["first", "pairs", "pieces"]
+    SCHEMA = "pairs array<bigint>"
+    NAMES = ["pairs"]
 
     def __init__(self, ranks: dict[bytes, int]):
         by_rank = {r: p for p, r in ranks.items()}
-        if max(by_rank) >= NO_RANK:
-            raise ValueError(f"ids of more than {ID} bits")
+        if max(by_rank) >= NO_RANK - 1:
+            raise ValueError(f"ids of more than {ID} bits, or the last of them")
         keys = {
-            ranks[piece[:k]] * KEY + ranks[piece[k:]]: rank
+            ranks[piece[:k]] * KEY + ranks[piece[k:]] << ID: rank
             for piece, rank in ranks.items()
             for k in range(1, len(piece))
             if piece[:k] in ranks and piece[k:] in ranks
         }
-        self.columns = [
-            pa.array([[ranks[bytes([b])] for b in range(256)]], pa.list_(pa.int64())),
-            pa.array([_two_places(keys)], pa.list_(pa.int64())),
-            pa.array([[by_rank.get(r, b"") for r in range(max(by_rank) + 1)]], pa.list_(pa.binary())),
-        ]
+        self.columns = [pa.array([_two_places(keys)], pa.list_(pa.int64()))]
+        self.first = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.of_bytes = np.array([[ranks.get(bytes([a, b]), NO_RANK) for b in range(256)] for a in range(256)], np.int32)
+        self.decimal = pa.array([b"%d," % r for r in range(max(by_rank) + 1)], pa.binary())
+        self.pieces = pa.array([by_rank.get(r, b"") for r in range(max(by_rank) + 1)], pa.binary())
+
+    def parts(self, raw: list[bytes]) -> pa.ListArray:
+        """What the fold starts from, for each piece: FRONT and a part for each byte. Nothing for no bytes."""
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        ranks = np.full(len(data), NO_RANK, np.int64)
+        ranks[:-1] = self.of_bytes[data[:-1], data[1:]]
+        ranks[np.cumsum(sizes)[sizes > 0] - 1] = NO_RANK  # the last byte of a piece has no next one
+        sizes += sizes > 0
+        ends = np.cumsum(sizes)
+        place = np.arange(sizes.sum()) - np.repeat(ends - sizes, sizes)
+        out = np.full(len(place), FRONT, np.int64)
+        out[place > 0] = (ranks << PLACE | place[place > 0]) << ID | self.first[data]
+        return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(out))
 
     @staticmethod
-    def part(a: Column, b: Column, place: Column) -> Column:
-        """The number of part a at a place, with the rank of a and b together; NO_RANK where there is none, or no b."""
-
-        number = lambda rank: F.shiftleft(F.shiftleft(rank, PLACE) + place, ID) + a
+    def encode(parts: Column) -> Column:
+        """The ids of a piece, from its parts.
 
-        def ranked(key: Column) -> Column:
-            out = F.shiftleft(F.lit(NO_RANK << PLACE).cast("bigint") + place, ID) + a
-            for prime in reversed(PRIMES):
-                entry = F.get(F.col("pairs"), (key % prime).cast("int"))
-                out = F.when(F.shiftright(entry, ID) == key, number(entry.bitwiseAND(NO_RANK - 1))).otherwise(out)
-            return out
-
-        return _let(a * KEY + b, ranked)
-
-    @classmethod
-    def encode(cls, data: Column) -> Column:
-        """The ids of an array of byte values, of FOLD_BYTES at most.
-
-        The fold's state is the array of parts. Its minimum is the pair of lowest rank, the leftmost of equal ones; what
-        stands before that pair and what has taken its place get new ranks.
+        The fold's state is the array of parts. Its minimum is the pair of lowest rank, the leftmost of equal ones, or FRONT; what
+        stands before that pair and what has taken its place get new ranks, what comes after it moves up a place. All of this
+        is interpreted, and each let or fold copies its array, so a step has one let and four small arrays.
         """
-        first = F.transform(data, lambda b: F.get(F.col("first"), b.cast("int")))
-        none = F.array().cast("array<bigint>")
-        numbers = lambda x: F.transform(x, lambda a, k: cls.part(a, F.get(x, k + 1), k.cast("bigint")))
-        start = _let(first, numbers, "array<bigint>")
+        above = lambda rank: F.shiftleft(rank, ID + PLACE)
         id_of = lambda x: x.bitwiseAND(NO_RANK - 1)
-        place_of = lambda x: F.shiftright(x, ID).bitwiseAND((1 << PLACE) - 1)
-
-        def merge(s: Column, low: Column) -> Column:
-            new, place = F.shiftright(low, ID + PLACE), place_of(low)
+        key = lambda a, b: F.shiftleft(a * KEY + b, ID)
+        none, one = F.lit(NO_RANK).cast("bigint"), F.lit(1 << ID).cast("bigint")
+        # An entry with the key taken off is the rank where the keys are equal, and more than NO_RANK elsewhere.
+        entry = lambda key, prime: F.get(F.col("pairs"), (key % prime).cast("int")).bitwiseXOR(key)
+        ranked = lambda key, rest: above(F.least(*(entry(key, p) for p in PRIMES), none)) + rest
+
+        def merge(s: Column, p: Column) -> Column:
+            last, low = F.get(s, p - 1), F.get(s, p)
+            new = F.shiftright(low, ID + PLACE)
+            keys = F.array(key(id_of(last), new), key(new, id_of(F.get(s, p + 2))))
+            rest = F.array(last.bitwiseAND(PLACES | NO_RANK - 1), low.bitwiseAND(PLACES) + new)
+            after = F.transform(F.slice(s, p + 3, F.lit(LONGEST)), lambda x: x - one)
+            return F.flatten(F.array(F.slice(s, F.lit(1), p - 1), F.zip_with(keys, rest, ranked), after))
 
-            def at(p: Column) -> Column:
-                last = F.get(s, p - 1)
-                before = F.when(p > 0, F.array(cls.part(id_of(last), new, place_of(last)))).otherwise(none)
-                after = F.array(cls.part(new, id_of(F.get(s, p + 2)), place))
-                head = F.when(p > 1, F.slice(s, F.lit(1), p - 1)).otherwise(none)
-                return _let(F.array(head, before, after, F.slice(s, p + 3, F.lit(LONGEST))), F.flatten, "array<bigint>")
+        def step(s: Column, _: Column) -> Column:
+            place = F.shiftright(F.array_min(s).bitwiseAND(PLACES), ID).cast("int")
+            let = lambda body: F.aggregate(F.array(place), F.array().cast("array<bigint>"), lambda _, p: body(p))
+            return let(lambda p: F.when(p == 0, s).otherwise(merge(s, p)))
 
-            earlier = lambda cut: F.size(F.filter(s, lambda x: x.bitwiseAND(PLACES) < cut)).cast("bigint")
-            return _let(_let(low.bitwiseAND(PLACES), earlier).cast("int"), at, "array<bigint>")
+        # So many steps as there are pairs: the array tells no more than that.
+        pairs = F.slice(parts, F.lit(3), F.lit(LONGEST))
+        return F.transform(F.slice(F.aggregate(pairs, parts, step), F.lit(2), F.lit(LONGEST)), lambda x: id_of(x).cast("int"))
 
-        def step(s: Column, _: Column) -> Column:
-            return _let(F.array_min(s), lambda low: F.when(low >= NO_RANK << (ID + PLACE), s).otherwise(merge(s, low)), "array<bigint>")
+    def decode(self, ids: pa.ListArray) -> tuple[pa.Array, np.ndarray, pa.Array]:
+        """For each list of ids: the ids in decimal with a comma behind each, their number, and the bytes that they decode to."""
+        bounds, flat = ids.offsets.to_numpy() - ids.offsets[0].as_py(), ids.flatten()
 
-        parts = F.aggregate(F.sequence(F.lit(1), F.size(data)), start, step)
-        ids = F.transform(parts, lambda x: id_of(x).cast("int"))
-        return F.when(F.size(data) > 0, ids).otherwise(F.array().cast("array<int>"))
+        def joined(values: pa.Array) -> pa.Array:
+            taken = values.take(flat)
+            offsets = np.frombuffer(taken.buffers()[1], np.int32)[bounds]
+            return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets), taken.buffers()[2] or pa.py_buffer(b"")])
 
-    @staticmethod
-    def decode(ids: Column) -> Column:
-        """The bytes of an array of ids."""
-        return F.aggregate(ids, F.lit(b""), lambda out, k: F.concat(out, F.get(F.col("pieces"), k)))
+        return joined(self.decimal), np.diff(bounds).astype(np.int64), joined(self.pieces)
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -231,13 +233,8 @@ def _counted(counts: Counter[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"])
 
 
-def _byte_lists(raw: list[bytes]) -> pa.ListArray:
-    offsets = np.cumsum([0, *map(len, raw)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), np.uint8).astype(np.int16)))
-
-
 def frequent_pieces(docs: DataFrame, pattern: str, table: RankMap, most: int) -> pa.Table:
-    """piece, written, n and bytes of the pieces of the most frequent words of all texts, as they are after a space.
+    """piece and ids of the pieces of the most frequent words of all texts, as they are after a space.
 
     The driver holds a few pieces for each of so many words.
     """
@@ -247,25 +244,22 @@ def frequent_pieces(docs: DataFrame, pattern: str, table: RankMap, most: int) ->
         words = [x.decode("utf-8") for x in batch.column(0).to_pylist()]
         pieces = list({p for w in words for p in split_pieces(f" {w}", pattern)})
         whole = pa.array([0, len(pieces)], pa.int32())
-        lists = [pa.ListArray.from_arrays(whole, x) for x in (pa.array(pieces, pa.string()), _byte_lists([x.encode("utf-8") for x in pieces]))]
+        lists = [pa.ListArray.from_arrays(whole, x) for x in (pa.array(pieces, pa.string()), table.parts([x.encode("utf-8") for x in pieces]))]
         yield pa.RecordBatch.from_arrays([*lists, *table.columns], ["piece", "words", *RankMap.NAMES])
 
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = per_batch(top.select("word").repartition(width), split, f"piece array<string>, words array<array<smallint>>, {RankMap.SCHEMA}")
-    each = F.explode(F.arrays_zip("piece", "written", "n", "bytes")).alias("x")
-    found = _folded(rows, "piece").select(each).select("x.*").toArrow().to_pandas().drop_duplicates("piece")
-    return pa.Table.from_pandas(found, preserve_index=False)
+    rows = per_batch(top.select("word").repartition(width), split, f"piece array<string>, words array<array<bigint>>, {RankMap.SCHEMA}")
+    each = F.explode(F.arrays_zip("piece", "ids")).alias("x")
+    found = _folded(rows, "piece").select(each).select("x.*").toArrow()
+    return found.filter(pa.array(~found.column("piece").to_pandas().duplicated()))
 
 
 def _folded(blocks: DataFrame, *keep: str) -> DataFrame:
-    """For the words of every block: ids in decimal with a comma behind each, their number, and the bytes that they decode to."""
-    ids = blocks.select(*keep, "pieces", F.transform("words", lambda w: RankMap.encode(w)).alias("ids"))
-    written = F.transform("ids", lambda x: F.concat(F.array_join(F.transform(x, lambda k: k.cast("string")), ","), F.lit(",")))
-    decoded = F.transform("ids", lambda x: RankMap.decode(x))
-    return ids.select(*keep, written.alias("written"), F.transform("ids", lambda x: F.size(x)).alias("n"), decoded.alias("bytes"))
+    """The ids of the words of every block."""
+    return blocks.select(*keep, F.transform("words", lambda w: RankMap.encode(w)).alias("ids"))
 
 
-_BLOCK = f"docs binary, words array<array<smallint>>, long array<binary>, uses array<binary>, {RankMap.SCHEMA}"
+_BLOCK = f"docs binary, words array<array<bigint>>, long array<binary>, uses array<binary>, {RankMap.SCHEMA}"
 _held: dict[str, tuple] = {}
 
 
@@ -281,10 +275,6 @@ def _numbered(pieces: pa.Array) -> dict[str, int]:
     return {x: k for k, x in enumerate(pieces.to_pylist())}
 
 
-def _columns(written: pa.Array, n: pa.Array, data: pa.Array) -> tuple[pa.Array, np.ndarray, pa.Array]:
-    return written.cast(pa.binary()), n.to_numpy(zero_copy_only=False).astype(np.int64), data
-
-
 def _ends(taken: pa.Array, bounds: np.ndarray) -> tuple[memoryview, np.ndarray]:
     """All bytes of an array, and where in them each of some ranges of its values ends."""
     offsets = np.frombuffer(taken.buffers()[1], np.int32)[: len(taken) + 1]
@@ -328,7 +318,7 @@ def _blocks(docs: DataFrame, pattern: str, table: RankMap, frequent, keep: list[
         for x in own:
             del known[x]
         raw = [x.encode("utf-8") for x in own]
-        words = _byte_lists([x if len(x) <= FOLD_BYTES else b"" for x in raw])
+        words = table.parts([x if len(x) <= FOLD_BYTES else b"" for x in raw])
         sink = pa.BufferOutputStream()
         kept = rows.select(keep)
         with pa.ipc.new_stream(sink, kept.schema) as w:
@@ -352,22 +342,20 @@ def _encoded(docs: DataFrame, keep: list[str], path: str, pattern: str, schema:
     short_batches(docs.sparkSession)
     share = docs.sparkSession.sparkContext.broadcast
     common, key = frequent_pieces(docs, pattern, table, most), uuid.uuid4().hex
-    parts = [common.column(c).combine_chunks() for c in ("piece", "written", "n", "bytes")]
-    pieces, encoded = share((key, parts[0])), share((key, parts[1:]))
+    pieces, encoded = (share((key, common.column(c).combine_chunks())) for c in ("piece", "ids"))
     folded = _folded(_blocks(docs, pattern, table, pieces, keep, block_bytes), "docs", "long", "uses")
 
     def run(batch: pa.RecordBatch):
-        common = _unpacked(encoded, "encoded", lambda x: _columns(*x))
+        common = _unpacked(encoded, "encoded", table.decode)
         for k in range(batch.num_rows):
             row = batch.slice(k, 1)
-            written, n, data = _columns(*(row.column(c).flatten() for c in ("written", "n", "bytes")))
+            written, n, data = table.decode(row.column("ids").flatten())
             long = iter(row.column("long")[0].as_py())
             if len(row.column("long")[0]):
-                by_rank = {r: p for p, r in ranks.items()}
                 w, d = written.to_pylist(), data.to_pylist()
                 for j in np.flatnonzero(n == 0):
                     ids = merge_long(next(long), ranks)
-                    w[j], n[j], d[j] = (",".join(map(str, ids)) + ",").encode(), len(ids), b"".join(map(by_rank.__getitem__, ids))
+                    w[j], n[j], d[j] = (",".join(map(str, ids)) + ",").encode(), len(ids), b"".join(table.pieces.take(pa.array(ids)).to_pylist())
                 written, data = pa.array(w, pa.binary()), pa.array(d, pa.binary())
             rows = pa.ipc.open_stream(row.column("docs")[0].as_buffer()).read_next_batch()
             written, data = (pa.concat_arrays([a, b]) for a, b in ((common[0], written), (common[2], data)))
